@@ -57,7 +57,7 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def _card(spark: SparkSession, sf_dir: str) -> cw.CardWarehouse:
-    return cw.CardWarehouse.from_raw(driver.card_sources(spark, sf_dir))
+    return cw.CardWarehouse(spark, lambda name: driver.card_source(spark, sf_dir, name))
 
 
 def _bills(spark: SparkSession, sf_dir: str) -> bills.BillWarehouse:
@@ -823,13 +823,13 @@ def _s8(spark, sf_dir):
 
 @query("s15_csv_export")
 def _s15(spark, sf_dir):
-    """Monthly bill report exported with quoted text and read back as text."""
+    """The monthly bill report exported as one file with quoted text, and read back as text."""
     path = scratch_path(spark, "export")
-    publish.export_csv(bills.revenue_per_month(_bill_report(spark, sf_dir)), path, one_file=True)
+    publish.export_csv(bills.revenue_per_month(_bill_report(spark, sf_dir)), path, ["year", "month_name"])
     back = readers.read_delimited(
         spark, path, schemas.text_schema("year month_name settled_transactions gmv net_revenue take_rate_pct")
     )
-    return back.select(
-        F.col("year").cast("long").alias("year"), "month_name", F.col("gmv").cast("long").alias("gmv"),
-        F.col("net_revenue").cast("long").alias("net_revenue"), F.col("take_rate_pct").cast("double").alias("take_rate_pct"),
+    return back.selectExpr(
+        "CAST(year AS BIGINT) AS year", "month_name", "CAST(gmv AS BIGINT) AS gmv",
+        "CAST(net_revenue AS BIGINT) AS net_revenue", "CAST(take_rate_pct AS DOUBLE) AS take_rate_pct",
     )

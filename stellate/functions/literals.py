@@ -1,10 +1,11 @@
-"""Small fixed tables written as constants in the plan."""
+"""Small fixed tables and maps written as constants in the plan."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -19,6 +20,11 @@ def _literal(value: object) -> str:
     return str(value)
 
 
+def literal_map(pairs: Iterable[tuple[object, object]]) -> Column:
+    """A constant map column, written as one expression."""
+    return F.expr("map(" + ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in pairs) + ")")
+
+
 def literal_table(spark: SparkSession, rows: Iterable[Sequence[object]], schema: str) -> DataFrame:
     """Rows as a VALUES list, so that the optimizer sees a local relation of known size."""
     fields = StructType.fromDDL(schema).fields

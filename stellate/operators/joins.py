@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A lookup of at most this many narrow rows may be broadcast.
@@ -20,8 +20,13 @@ def fits_broadcast(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return lookup.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str, null_safe: bool) -> DataFrame:
+    """Equi-join; ``null_safe`` lets missing key parts match each other."""
+    if not null_safe:
+        return rows.join(lookup, on, how)
+    renamed = lookup.withColumnsRenamed({k: f"_lookup_{k}" for k in on})
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_lookup_{k}")) for k in on])
+    return rows.join(renamed, match, how).drop(*[f"_lookup_{k}" for k in on])
 
 
 def lookup_join(
@@ -51,16 +56,19 @@ def salted_join(
     """Equi-join in which a hot key's rows are spread over as many tasks as they need.
 
     Only keys above ``rows_per_task`` are salted: their lookup rows are copied
-    once per salt, all others once. At most total / rows_per_task keys can be
-    hot, which bounds the broadcast list. ``salt_by`` names columns that tell
-    the rows of one key apart. ``key_counts`` (keys + ``count``) saves the
-    counting pass where the caller already has it.
+    once per salt, all others once; with no such key it is a plain join. At
+    most total / rows_per_task keys can be hot, which bounds the broadcast
+    list. ``salt_by`` names columns that tell the rows of one key apart.
+    ``key_counts`` (keys + ``count``) saves the counting pass where the caller
+    already has it.
     """
     on = list(on)
     counts = key_counts if key_counts is not None else rows.groupBy(*on).count()
     hot = counts.filter(F.col("count") > rows_per_task).select(
         *on, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_salts")
     )
+    if hot.isEmpty():
+        return _join(rows, lookup, on, how, null_safe)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
 
     def with_salts(df: DataFrame) -> DataFrame:
@@ -78,12 +86,7 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
-    if not null_safe:
-        return spread.join(copies, [*on, "_salt"], how).drop("_salt")
-    joined = spread.join(copies, _same(spread, copies, [*on, "_salt"]), how)
-    for key in [*on, "_salt"]:
-        joined = joined.drop(copies[key])
-    return joined.drop("_salt")
+    return _join(spread, copies, [*on, "_salt"], how, null_safe).drop("_salt")
 
 
 def flag_members(rows: DataFrame, members: DataFrame, on: str, flag: str) -> DataFrame:

@@ -15,25 +15,30 @@ WIDEST_KM = 2 * EARTH_KM + 1  # neighbouring cells of this width hold the whole
 _SAFETY = 1e-6
 
 
-def _cells(width: float, offsets: tuple[int, ...]) -> Column:
-    """The cell of a row, or of all its neighbours, as an array of (cx, cy, cz)."""
-    cx, cy, cz = (F.floor(F.col(axis) / width) for axis in ("_x", "_y", "_z"))
-    return F.array(
-        *[
-            F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy"), (cz + dz).alias("cz"))
-            for dx in offsets
-            for dy in offsets
-            for dz in offsets
-        ]
+# The steps to a cell's own position and to the 26 cells that touch it.
+_STEPS = "array({})".format(
+    ", ".join(
+        f"named_struct('x', {x}L, 'y', {y}L, 'z', {z}L)"
+        for x in (-1, 0, 1)
+        for y in (-1, 0, 1)
+        for z in (-1, 0, 1)
     )
+)
+
+
+def _cell(width: float, step: str = "") -> Column:
+    """The cube a row lies in, or the one a step away from it."""
+    axes = [
+        f"'{a}', floor(_{a} / {width!r}D)" + (f" + {step}.{a}" if step else "") for a in ("x", "y", "z")
+    ]
+    return F.expr(f"named_struct({', '.join(axes)})")
 
 
 def _starting_width(targets: DataFrame, crowd: int) -> float:
     """The widest starting cell in which no more than ``crowd`` targets meet."""
     width = 100.0
     while width > FINEST_KM:
-        cell = _cells(width, (0,)).getItem(0)
-        fullest = targets.groupBy(cell.alias("c")).count().agg(F.max("count")).first()[0]
+        fullest = targets.groupBy(_cell(width).alias("c")).count().agg(F.max("count")).first()[0]
         if fullest is None or fullest <= crowd:
             return width
         width /= WIDEN
@@ -133,13 +138,13 @@ def _best_in_touching_cells(
 ) -> DataFrame:
     """Per place the nearest site found in the 27 touching cells, or NULL."""
     lat, lon = here
-    around = sites.select(
-        F.explode(_cells(width, (-1, 0, 1))).alias("_cell"),
+    around = sites.withColumn("_step", F.explode(F.expr(_STEPS))).select(
+        _cell(width, "_step").alias("_cell"),
         F.col(target_id),
         F.col(lat).alias("_tlat"),
         F.col(lon).alias("_tlon"),
     )
-    at_cell = left.withColumn("_cell", _cells(width, (0,)).getItem(0))
+    at_cell = left.withColumn("_cell", _cell(width))
     cell = ["_cell"]
     if site_count * 27 <= max_broadcast:
         pairs = at_cell.join(F.broadcast(around), cell, "left")

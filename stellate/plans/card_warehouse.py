@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellate.functions import bands, calendar, text
-from stellate.functions.literals import literal_table
+from stellate.functions.literals import literal_map, literal_table
 from stellate.operators.gates import counters, row_total, side_by_side
 from stellate.operators.numbering import hash_key
 from stellate.sources.publish import Landing, publish_layer, register_views
@@ -52,9 +52,7 @@ OTHER_CATEGORY = "General Retail & Apparel"
 
 
 def spend_category(mcc: Column) -> Column:
-    listed = F.create_map(
-        *[F.lit(x) for name, codes in SPEND_CATEGORIES.items() for code in codes for x in (code, name)]
-    )
+    listed = literal_map((code, name) for name, codes in SPEND_CATEGORIES.items() for code in codes)
     ranged = F.when(mcc.between(*MANUFACTURING_RANGE), MANUFACTURING_CATEGORY)
     return F.coalesce(F.try_element_at(listed, mcc), ranged, F.lit(OTHER_CATEGORY))
 
@@ -230,8 +228,7 @@ def location_dimension(transactions: DataFrame) -> DataFrame:
 
 def _lookup(pairs: list[tuple], value: Column) -> Column:
     """Key of a fixed, literal dimension as a map lookup inside the projection."""
-    table = F.create_map(*[F.lit(x) for key, name, *_ in pairs for x in (name, key)])
-    return F.try_element_at(table, value).cast("short")
+    return F.try_element_at(literal_map((name, key) for key, name, *_ in pairs), value).cast("short")
 
 
 def error_keys(error_list: Column) -> Column:
@@ -285,37 +282,45 @@ def has_any_error(*names: str) -> Column:
     return F.coalesce(F.arrays_overlap("error_keys", F.array(*wanted)), F.lit(False))
 
 
-@dataclass
 class CardWarehouse:
     """The card star schema as lazy frames over raw text.
 
-    ``charges`` is the fact without its two label columns: reports that ask
-    nothing about fraud read it and spare the label join.
+    ``source(name)`` gives a raw source: transactions, users, cards, mcc or
+    fraud_labels. ``charges`` is the fact without its two label columns:
+    reports that ask nothing about fraud read it and spare the label join.
     """
 
-    spark: SparkSession
-    typed: DataFrame
-    transactions: DataFrame
-    clients: DataFrame
-    cards: DataFrame
-    mcc_codes: DataFrame
-    charges: DataFrame
-    fact: DataFrame
-
-    @classmethod
-    def from_raw(cls, raw: dict[str, DataFrame]) -> CardWarehouse:
-        typed = type_transactions(raw["transactions"])
-        staged = attach_labels(typed, raw["fraud_labels"])
-        return cls(
-            spark=typed.sparkSession,
-            typed=typed,
-            transactions=staged,
-            clients=stage_clients(raw["users"]),
-            cards=stage_cards(raw["cards"]),
-            mcc_codes=raw["mcc"],
-            charges=assemble_fact(typed),
-            fact=assemble_fact(staged),
-        )
+    def __init__(self, spark: SparkSession, source: Callable[[str], DataFrame]):
+        self.spark = spark
+        self._source = source
+
+    @cached_property
+    def typed(self) -> DataFrame:
+        return type_transactions(self._source("transactions"))
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return attach_labels(self.typed, self._source("fraud_labels"))
+
+    @cached_property
+    def clients(self) -> DataFrame:
+        return stage_clients(self._source("users"))
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        return stage_cards(self._source("cards"))
+
+    @cached_property
+    def mcc_codes(self) -> DataFrame:
+        return self._source("mcc")
+
+    @cached_property
+    def charges(self) -> DataFrame:
+        return assemble_fact(self.typed)
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        return assemble_fact(self.transactions)
 
     @cached_property
     def dim_date(self) -> DataFrame:

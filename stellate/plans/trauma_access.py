@@ -11,6 +11,7 @@ from stellate.functions.rates import fraction, median_tenths, rows, rows_where
 from stellate.operators.gates import counters, row_total, side_by_side
 from stellate.operators.joins import lookup_join, missing_keys, salted_join
 from stellate.operators.nearest import nearest_target
+from stellate.session import cut_lineage
 
 # Trauma designations (text, category, adult level, pediatric level, has pediatric).
 TRAUMA_MAP = [
@@ -116,8 +117,12 @@ def in_scope(staged: DataFrame) -> DataFrame:
 
 
 def hospital_access(staged: DataFrame) -> DataFrame:
-    """One row per open hospital with its nearest qualifying centre."""
-    base = in_scope(staged)
+    """One row per open hospital with its nearest qualifying centre.
+
+    The open hospitals serve as points, as centres and as the final rows, so
+    they are materialised once.
+    """
+    base = cut_lineage(in_scope(staged))
     qualifies = F.col("trauma_adult_level") <= QUALIFYING_LEVEL
     centres = base.filter(qualifies).select(
         F.col("hospital_id").alias("nearest_trauma_id"),

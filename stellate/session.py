@@ -16,6 +16,7 @@ def local_session(app: str = "stellate", cores: int | str = "*", **conf: str) ->
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
     )
     for key, value in conf.items():

@@ -7,7 +7,7 @@ from their keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellate.functions.literals import literal_table
@@ -33,80 +33,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
-
-
-def _text(col: Column) -> Column:
-    return col.cast("string")
-
-
-def _dollars(col: Column) -> Column:
-    return F.concat(F.lit("$"), _text(col))
+def _pick(values: list, index: str) -> str:
+    """SQL for the value at a 0-based index."""
+    return f"get(array({', '.join(repr(v) for v in values)}), CAST({index} AS INT))"
 
 
 def _as_layout(df: DataFrame, schema) -> DataFrame:
-    return df.select(*[_text(F.col(n)).alias(n) for n in schema.fieldNames()])
+    return df.selectExpr(*[f"CAST({name} AS STRING) AS {name}" for name in schema.fieldNames()])
 
 
 def card_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    n = F.col("event_id")
-    day = F.date_add(F.to_date(F.lit("2010-01-01")), ((n * 37) % 3591).cast("int"))
-    value = (F.col("value") * 2).cast("decimal(12,2)")
-    amount = F.when(n % 97 == 3, value * 0).when(n % 20 == 7, -value).otherwise(value).cast("decimal(12,2)")
-    kind = F.col("event_type")
-    chip = (
-        F.when(kind.isin("view", "purchase"), "Chip Transaction")
-        .when(kind == "error", "Online Transaction")
-        .otherwise("Swipe Transaction")
+    errors = ", ".join(f"IF(k % {step} = 0, '{name}', NULL)" for name, step in ERROR_STEPS)
+    named = table(spark, sf_dir, "events").selectExpr(
+        "event_id AS n",
+        "user_id",
+        "event_type = 'error' AS online",
+        "event_type",
+        "date_add(DATE'2010-01-01', CAST(event_id * 37 % 3591 AS INT)) || ' ' || date_format(ts, 'HH:mm:ss') AS date",
+        "CAST(value * 2 AS DECIMAL(12,2)) AS v",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
     )
-    city = F.when((kind == "error") & (n % 50 != 1), "ONLINE").otherwise(F.concat(F.lit("City "), _text(n % 40)))
-    state = F.when(F.col("merchant_city") != "ONLINE", _pick(STATES, n % 8))
-    zip_code = F.when(
-        F.length("merchant_state") == 2, F.concat(_text(10000 + (n % 40) * 100 + n % 8), F.lit(".0"))
+    located = named.selectExpr("*", "IF(online AND n % 50 <> 1, 'ONLINE', 'City ' || n % 40) AS merchant_city")
+    placed = located.selectExpr(
+        "*", f"IF(merchant_city <> 'ONLINE', {_pick(STATES, 'n % 8')}, NULL) AS merchant_state"
     )
-    k = F.get_json_object("props", "$.k").cast("int")
-    errors = F.concat_ws(",", *[F.when(k % step == 0, name) for name, step in ERROR_STEPS])
     return _as_layout(
-        e.select(
-            n.alias("id"),
-            F.concat(_text(day), F.lit(" "), F.date_format("ts", "HH:mm:ss")).alias("date"),
-            F.col("user_id").alias("client_id"),
-            (F.col("user_id") * 4 + n % 4).alias("card_id"),
-            _dollars(amount).alias("amount"),
-            chip.alias("use_chip"),
-            (n % 211).alias("merchant_id"),
-            city.alias("merchant_city"),
-            _pick(MCC_CODES, (n * 7 + F.col("user_id")) % 24).alias("mcc"),
-            F.when(n % 5 < 2, F.nullif(errors, F.lit(""))).alias("errors"),
-            n,
-        )
-        .withColumn("merchant_state", state)
-        .withColumn("zip", zip_code),
+        placed.selectExpr(
+            "n AS id",
+            "date",
+            "user_id AS client_id",
+            "user_id * 4 + n % 4 AS card_id",
+            "'$' || CAST(CASE WHEN n % 97 = 3 THEN 0 WHEN n % 20 = 7 THEN -v ELSE v END AS DECIMAL(12,2)) AS amount",
+            "CASE WHEN online THEN 'Online' WHEN event_type IN ('view', 'purchase') THEN 'Chip' ELSE 'Swipe' END"
+            " || ' Transaction' AS use_chip",
+            "n % 211 AS merchant_id",
+            "merchant_city",
+            "merchant_state",
+            "IF(length(merchant_state) = 2, 10000 + n % 40 * 100 + n % 8 || '.0', NULL) AS zip",
+            f"{_pick(MCC_CODES, '(n * 7 + user_id) % 24')} AS mcc",
+            f"IF(n % 5 < 2, nullif(concat_ws(',', {errors}), ''), NULL) AS errors",
+        ),
         schemas.TRANSACTIONS,
     )
 
 
 def card_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("c_custkey")
-    income = F.when(c % 50 == 49, F.lit(0)).otherwise(25000 + (c * 997) % 130000)
     return _as_layout(
-        table(spark, sf_dir, "customer").select(
-            c.alias("id"),
-            (18 + (c * 7) % 70).alias("current_age"),
-            (60 + c % 10).alias("retirement_age"),
-            (1930 + c % 70).alias("birth_year"),
-            (1 + c % 12).alias("birth_month"),
-            F.when(c % 2 == 0, "Male").otherwise("Female").alias("gender"),
-            F.col("c_name").alias("address"),
-            ((2500 + (c * 37) % 2400) / F.lit(100)).cast("decimal(6,2)").alias("latitude"),
-            ((-12400 + (c * 91) % 5700) / F.lit(100)).cast("decimal(6,2)").alias("longitude"),
-            _dollars(15000 + (c * 113) % 30000).alias("per_capita_income"),
-            _dollars(income).alias("yearly_income"),
-            _dollars((c * 1523) % 300000).alias("total_debt"),
-            (480 + (c * 53) % 370).alias("credit_score"),
-            (1 + c % 5).alias("num_credit_cards"),
+        table(spark, sf_dir, "customer").selectExpr(
+            "c_custkey AS id",
+            "18 + c_custkey * 7 % 70 AS current_age",
+            "60 + c_custkey % 10 AS retirement_age",
+            "1930 + c_custkey % 70 AS birth_year",
+            "1 + c_custkey % 12 AS birth_month",
+            "IF(c_custkey % 2 = 0, 'Male', 'Female') AS gender",
+            "c_name AS address",
+            "CAST((2500 + c_custkey * 37 % 2400) / 100 AS DECIMAL(6,2)) AS latitude",
+            "CAST((-12400 + c_custkey * 91 % 5700) / 100 AS DECIMAL(6,2)) AS longitude",
+            "'$' || (15000 + c_custkey * 113 % 30000) AS per_capita_income",
+            "'$' || IF(c_custkey % 50 = 49, 0, 25000 + c_custkey * 997 % 130000) AS yearly_income",
+            "'$' || (c_custkey * 1523 % 300000) AS total_debt",
+            "480 + c_custkey * 53 % 370 AS credit_score",
+            "1 + c_custkey % 5 AS num_credit_cards",
         ),
         schemas.USERS,
     )
@@ -114,25 +101,24 @@ def card_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def card_cards_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four cards per customer, with the sensitive columns that must not be kept."""
-    c, j = F.col("c_custkey"), F.col("j")
-    month = F.lpad(_text(1 + c % 12), 2, "0")
+    month = "lpad(1 + c % 12, 2, '0')"
     return _as_layout(
         table(spark, sf_dir, "customer")
-        .select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
-        .select(
-            (c * 4 + j).alias("id"),
-            c.alias("client_id"),
-            _pick(["Visa", "Mastercard", "Amex", "Discover"], (c + j) % 4).alias("card_brand"),
-            _pick(["Credit", "Debit", "Debit (Prepaid)", "Credit"], j).alias("card_type"),
-            (4000000000000000 + c * 4 + j).alias("card_number"),
-            F.concat(month, F.lit("/"), _text(2018 + (c + j) % 6)).alias("expires"),
-            (100 + c % 900).alias("cvv"),
-            F.when((c + j) % 5 == 0, "NO").otherwise("YES").alias("has_chip"),
-            (1 + j % 2).alias("num_cards_issued"),
-            _dollars((c * 37 + j * 4000) % 45000).alias("credit_limit"),
-            F.concat(month, F.lit("/"), _text(2000 + (c + j) % 10)).alias("acct_open_date"),
-            (2005 + c % 12).alias("year_pin_last_changed"),
-            F.lit("No").alias("card_on_dark_web"),
+        .selectExpr("c_custkey AS c", "explode(sequence(0, 3)) AS j")
+        .selectExpr(
+            "c * 4 + j AS id",
+            "c AS client_id",
+            f"{_pick(['Visa', 'Mastercard', 'Amex', 'Discover'], '(c + j) % 4')} AS card_brand",
+            f"{_pick(['Credit', 'Debit', 'Debit (Prepaid)', 'Credit'], 'j')} AS card_type",
+            "4000000000000000 + c * 4 + j AS card_number",
+            f"{month} || '/' || (2018 + (c + j) % 6) AS expires",
+            "100 + c % 900 AS cvv",
+            "IF((c + j) % 5 = 0, 'NO', 'YES') AS has_chip",
+            "1 + j % 2 AS num_cards_issued",
+            "'$' || ((c * 37 + j * 4000) % 45000) AS credit_limit",
+            f"{month} || '/' || (2000 + (c + j) % 10) AS acct_open_date",
+            "2005 + c % 12 AS year_pin_last_changed",
+            "'No' AS card_on_dark_web",
         ),
         schemas.CARDS_FILE,
     )
@@ -147,131 +133,125 @@ def card_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About two thirds of the transactions have a label."""
     return (
         table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderstatus") != "P")
-        .select(
-            _text(F.col("o_orderkey")).alias("transaction_id"),
-            F.when(F.col("o_totalprice") >= 470000, "Yes").otherwise("No").alias("is_fraud"),
+        .filter("o_orderstatus <> 'P'")
+        .selectExpr(
+            "CAST(o_orderkey AS STRING) AS transaction_id",
+            "IF(o_totalprice >= 470000, 'Yes', 'No') AS is_fraud",
         )
     )
 
 
-def card_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "transactions": card_transactions(spark, sf_dir),
-        "users": card_users(spark, sf_dir),
-        "cards": card_cards_file(spark, sf_dir).drop(*schemas.CARDS_SENSITIVE),
-        "mcc": card_mcc(spark, sf_dir),
-        "fraud_labels": card_labels(spark, sf_dir),
+def card_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One raw card source in its landed layout."""
+    if name == "cards":
+        return card_cards_file(spark, sf_dir).drop(*schemas.CARDS_SENSITIVE)
+    builders = {
+        "transactions": card_transactions,
+        "users": card_users,
+        "mcc": card_mcc,
+        "fraud_labels": card_labels,
     }
+    return builders[name](spark, sf_dir)
 
 
 def bill_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
     kinds = ["Listrik", "Air", "Internet", "Asuransi", "Telepon"]
     channels = ["ATM", "EDC", "Teller", "Mobile Banking", "Internet Banking"]
-    status = (
-        F.when(F.col("o_orderstatus") != "P", "Sukses")
-        .when(o % 2 == 0, "Gagal")
-        .otherwise("Pending ")
+    paid = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS o",
+        "o_custkey AS c",
+        "date_format(o_orderdate, 'yyyy-MM-dd') AS tanggal",
+        f"{_pick(kinds, 'o_custkey % 5')} AS kind",
+        f"{_pick(channels, 'substr(o_orderpriority, 1, 1) - 1')} AS channel",
+        "CASE WHEN o_orderstatus <> 'P' THEN 'Sukses' WHEN o_orderkey % 2 = 0 THEN 'Gagal' ELSE 'Pending ' END AS status",
+        "IF(o_orderkey % 101 <> 0, floor(o_totalprice), NULL) AS nominal",
+        "IF(o_orderkey % 103 <> 0, 1000 + o_orderkey % 5 * 500, NULL) AS biaya_admin",
     )
-    nominal = F.floor("o_totalprice")
-    fee = 1000 + (o % 5) * 500
-    kind = _pick(kinds, c % 5)
-    return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("TX"), _text(o)).alias("id_transaksi"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("tanggal"),
-        c.alias("no_rekening"),
-        F.concat(F.lit("Nasabah "), _text(c), F.lit("  ")).alias("nama_nasabah"),
-        kind.alias("jenis_biller"),
-        F.concat(kind, F.lit(" "), _text(c % 3), F.lit(" ")).alias("nama_biller"),
-        (c * 7 + 100000).alias("nomor_pelanggan"),
-        F.when(o % 101 != 0, nominal).alias("nominal"),
-        F.when(o % 103 != 0, fee).alias("biaya_admin"),
-        (
-            F.when(o % 101 != 0, nominal).otherwise(0)
-            + F.when(o % 103 != 0, fee).otherwise(0)
-            + F.when(o % 997 == 5, 1).otherwise(0)
-        ).alias("total_bayar"),
-        _pick(channels, F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("channel"),
-        status.alias("status"),
+    return paid.selectExpr(
+        "'TX' || o AS id_transaksi",
+        "tanggal",
+        "c AS no_rekening",
+        "'Nasabah ' || c || '  ' AS nama_nasabah",
+        "kind AS jenis_biller",
+        "kind || ' ' || c % 3 || ' ' AS nama_biller",
+        "c * 7 + 100000 AS nomor_pelanggan",
+        "nominal",
+        "biaya_admin",
+        "coalesce(nominal, 0) + coalesce(biaya_admin, 0) + IF(o % 997 = 5, 1, 0) AS total_bayar",
+        "channel",
+        "status",
     )
 
 
 def hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers are plain hospitals, suppliers the ones that may be centres."""
-    c, s = F.col("c_custkey"), F.col("s_suppkey")
-
-    def degrees(base: int, n: Column, step: int, span: int) -> Column:
-        return ((base + (n * step) % span) / F.lit(100)).cast("decimal(6,2)")
-
-    plain = table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("H"), F.lpad(_text(c), 9, "0")).alias("id"),
-        F.concat(F.lit("Hospital "), _text(c % 700)).alias("name"),
-        F.concat(_text(c % 350), F.lit(" Main St")).alias("address"),
-        F.when(c % 90 != 7, F.concat(F.lit("Town "), _text(c % 70))).alias("city"),
-        _pick(HOSPITAL_STATES, F.col("c_nationkey")).alias("state"),
-        _pick(["GENERAL ACUTE CARE", "CRITICAL ACCESS", "PSYCHIATRIC"], c % 3).alias("type"),
-        F.when(c % 29 == 4, "CLOSED").otherwise("OPEN").alias("status"),
-        degrees(2500, c, 37, 2400).alias("latitude"),
-        degrees(-12400, c, 91, 5700).alias("longitude"),
-        F.when(c % 11 == 0, "-999").otherwise(_text(10 + c % 400)).alias("beds"),
-        F.when(c % 4 == 0, "LEVEL IV").when(c % 203 == 9, "SOMETHING NEW").otherwise("NOT AVAILABLE").alias("trauma"),
-        _pick(["Y", "N", "NOT AVAILABLE"], c % 3).alias("helipad"),
-        _pick(["GOVERNMENT - LOCAL", "NON-PROFIT", "NOT AVAILABLE", "GOVERNMENT - FEDERAL"], c % 4).alias("owner"),
-        c.alias("n"),
+
+    def degrees(base: int, key: str, step: int, span: int) -> str:
+        return f"CAST(({base} + {key} * {step} % {span}) / 100 AS DECIMAL(6,2))"
+
+    plain = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS n",
+        "'H' || lpad(c_custkey, 9, '0') AS id",
+        "'Hospital ' || c_custkey % 700 AS name",
+        "c_custkey % 350 || ' Main St' AS address",
+        "IF(c_custkey % 90 <> 7, 'Town ' || c_custkey % 70, NULL) AS city",
+        f"{_pick(HOSPITAL_STATES, 'c_nationkey')} AS state",
+        f"{_pick(['GENERAL ACUTE CARE', 'CRITICAL ACCESS', 'PSYCHIATRIC'], 'c_custkey % 3')} AS type",
+        "IF(c_custkey % 29 = 4, 'CLOSED', 'OPEN') AS status",
+        f"{degrees(2500, 'c_custkey', 37, 2400)} AS latitude",
+        f"{degrees(-12400, 'c_custkey', 91, 5700)} AS longitude",
+        "IF(c_custkey % 11 = 0, '-999', CAST(10 + c_custkey % 400 AS STRING)) AS beds",
+        "CASE WHEN c_custkey % 4 = 0 THEN 'LEVEL IV' WHEN c_custkey % 203 = 9 THEN 'SOMETHING NEW'"
+        " ELSE 'NOT AVAILABLE' END AS trauma",
+        f"{_pick(['Y', 'N', 'NOT AVAILABLE'], 'c_custkey % 3')} AS helipad",
+        f"{_pick(['GOVERNMENT - LOCAL', 'NON-PROFIT', 'NOT AVAILABLE', 'GOVERNMENT - FEDERAL'], 'c_custkey % 4')} AS owner",
     )
-    centres = table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("S"), F.lpad(_text(s), 9, "0")).alias("id"),
-        F.concat(F.lit("Centre "), _text(s)).alias("name"),
-        F.concat(_text(s), F.lit(" High St")).alias("address"),
-        F.concat(F.lit("Town "), _text(s % 70)).alias("city"),
-        _pick(HOSPITAL_STATES, F.col("s_nationkey")).alias("state"),
-        F.lit("GENERAL ACUTE CARE").alias("type"),
-        F.lit("OPEN").alias("status"),
-        degrees(2500, s, 53, 2400).alias("latitude"),
-        degrees(-12400, s, 71, 5700).alias("longitude"),
-        _text(100 + s % 900).alias("beds"),
-        _pick(CENTRE_LEVELS, s % 6).alias("trauma"),
-        F.lit("Y").alias("helipad"),
-        F.lit("NON-PROFIT").alias("owner"),
-        s.alias("n"),
+    centres = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS n",
+        "'S' || lpad(s_suppkey, 9, '0') AS id",
+        "'Centre ' || s_suppkey AS name",
+        "s_suppkey || ' High St' AS address",
+        "'Town ' || s_suppkey % 70 AS city",
+        f"{_pick(HOSPITAL_STATES, 's_nationkey')} AS state",
+        "'GENERAL ACUTE CARE' AS type",
+        "'OPEN' AS status",
+        f"{degrees(2500, 's_suppkey', 53, 2400)} AS latitude",
+        f"{degrees(-12400, 's_suppkey', 71, 5700)} AS longitude",
+        "CAST(100 + s_suppkey % 900 AS STRING) AS beds",
+        f"{_pick(CENTRE_LEVELS, 's_suppkey % 6')} AS trauma",
+        "'Y' AS helipad",
+        "'NON-PROFIT' AS owner",
     )
-    n = F.col("n")
-    both = plain.unionByName(centres).withColumns(
-        {
-            "alt_name": F.when(n % 2 == 0, "NOT AVAILABLE").otherwise(F.concat(F.lit("Alt "), _text(n))),
-            "website": F.when(n % 5 == 0, "NOT AVAILABLE").otherwise(F.concat(F.lit("http://h/"), _text(n))),
-            "sourcedate": F.concat(
-                F.lit("20"), F.lpad(_text(10 + n % 14), 2, "0"), F.lit("/"), F.lpad(_text(1 + n % 12), 2, "0"),
-                F.lit("/"), F.lpad(_text(1 + n % 28), 2, "0"), F.lit(" 00:00:00+00"),
-            ),
-            "zip": F.lpad(_text(n % 99999), 5, "0"),
-            "county": F.concat(F.lit("County "), _text(n % 30)),
-            "countyfips": _text(n % 30),
-            "st_fips": _text(n % 56),
-            "country": F.lit("USA"),
-            "naics_code": F.lit("622110"),
-            "naics_desc": F.lit("GENERAL MEDICAL AND SURGICAL HOSPITALS"),
-        }
+    both = plain.unionByName(centres).selectExpr(
+        "*",
+        "IF(n % 2 = 0, 'NOT AVAILABLE', 'Alt ' || n) AS alt_name",
+        "IF(n % 5 = 0, 'NOT AVAILABLE', 'http://h/' || n) AS website",
+        "'20' || lpad(10 + n % 14, 2, '0') || '/' || lpad(1 + n % 12, 2, '0') || '/' || lpad(1 + n % 28, 2, '0')"
+        " || ' 00:00:00+00' AS sourcedate",
+        "lpad(n % 99999, 5, '0') AS zip",
+        "'County ' || n % 30 AS county",
+        "n % 30 AS countyfips",
+        "n % 56 AS st_fips",
+        "'USA' AS country",
+        "'622110' AS naics_code",
+        "'GENERAL MEDICAL AND SURGICAL HOSPITALS' AS naics_desc",
     )
-    rest = [c for c in schemas.HOSPITALS.fieldNames() if c not in both.columns]
-    return _as_layout(both.withColumns({c: F.lit(None).cast("string") for c in rest}), schemas.HOSPITALS)
+    rest = [f"NULL AS {c}" for c in schemas.HOSPITALS.fieldNames() if c not in both.columns]
+    return _as_layout(both.selectExpr("*", *rest), schemas.HOSPITALS)
 
 
 def retail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_shipdate").cast("date").alias("sale_date"),
-        (6 + (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 14).cast("int").alias("sale_hour"),
-        _pick(["Harbour", "Station", "University"], F.col("l_suppkey") % 3).alias("store"),
-        F.col("l_quantity").cast("long").alias("quantity"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("revenue"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_partkey AS product_id",
+        "CAST(l_shipdate AS DATE) AS sale_date",
+        "CAST(6 + (l_orderkey * 7 + l_linenumber) % 14 AS INT) AS sale_hour",
+        f"{_pick(['Harbour', 'Station', 'University'], 'l_suppkey % 3')} AS store",
+        "CAST(l_quantity AS BIGINT) AS quantity",
+        "CAST(l_extendedprice AS DECIMAL(12,2)) AS revenue",
     )
 
 
 def retail_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product"),
-        F.col("p_type").alias("category"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id", "p_name AS product", "p_type AS category"
     )

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
+
+from stellate.functions.literals import literal_table
 
 
 class RowCountMismatch(RuntimeError):
@@ -60,15 +63,24 @@ def register_views(tables: Mapping[str, DataFrame], prefix: str) -> None:
         frame.createOrReplaceTempView(f"{prefix}_{name}")
 
 
-def export_csv(frame: DataFrame, path: str, sep: str = ",", one_file: bool = False) -> None:
-    """Header and quoted text. ``one_file`` is for marts whose size is bounded by their grain."""
-    out = frame.coalesce(1) if one_file else frame
-    (
-        out.write.mode("overwrite")
-        .option("header", True)
-        .option("sep", sep)
-        .option("quoteAll", True)
-        .option("nullValue", "")
-        .option("emptyValue", "")
-        .csv(path)
+def export_csv(mart: DataFrame, path: str, order: Sequence[str]) -> None:
+    """One file with a header, text quoted, numbers bare and NULL left empty, rows in the given order.
+
+    For marts, whose size is bounded by their grain: the rows meet in one task
+    only after the mart has been computed.
+    """
+
+    def field(f: StructField) -> Column:
+        value = F.col(f"`{f.name}`").cast("string")
+        if f.dataType == StringType():
+            value = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.coalesce(value, F.lit(""))
+
+    header = ",".join(f'"{name}"' for name in mart.columns)
+    line = F.concat_ws(",", *[field(f) for f in mart.schema.fields])
+    lines = mart.select(F.lit(1).alias("_part"), line.alias("value"), *order)
+    first = lines.limit(0).unionByName(
+        literal_table(mart.sparkSession, [(0, header)], "_part int, value string"), allowMissingColumns=True
     )
+    ordered = first.unionByName(lines).repartition(1).sortWithinPartitions("_part", *order)
+    ordered.select("value").write.mode("overwrite").text(path)
