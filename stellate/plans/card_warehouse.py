@@ -12,7 +12,7 @@ from stellate.functions import bands, calendar, text
 from stellate.functions.literals import literal_map, literal_table
 from stellate.operators.gates import counters, row_total, side_by_side
 from stellate.operators.numbering import hash_key
-from stellate.sources.publish import Landing, publish_layer, register_views
+from stellate.sources.publish import Landing, publish_layer, read_published, register_views
 
 # Calendar span and first day of the reporting window.
 CALENDAR_FIRST, CALENDAR_LAST = "2010-01-01", "2019-12-31"
@@ -419,6 +419,33 @@ class CardWarehouse:
         )
 
 
+class PublishedCardWarehouse(CardWarehouse):
+    """The same star schema over published tables: reports scan the columns and years they need.
+
+    Dimension sizes are known from their files, so Spark decides which to broadcast.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__(spark, lambda name: read_published(spark, root, name))
+        for name in ("dim_date", "dim_channel", "dim_error", "dim_ticket_band", "dim_mcc", "dim_client",
+                     "dim_card", "dim_location"):
+            setattr(self, name, self._source(name))
+        self.charges = self.fact = self._source("fact_transaction")
+
+    @cached_property
+    def window_fact(self) -> DataFrame:
+        first_year = WINDOW_FIRST_KEY // 10000
+        return self.fact.filter((F.col("year") >= first_year) & (F.col("date_key") >= WINDOW_FIRST_KEY)).drop("year")
+
+    @cached_property
+    def window_charges(self) -> DataFrame:
+        return self.window_fact
+
+    @cached_property
+    def bridge(self) -> DataFrame:
+        return self._source("br_transaction_error")
+
+
 # -- gates --------------------------------------------------------------------
 
 
