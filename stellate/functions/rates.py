@@ -45,11 +45,9 @@ def whole_units(total: Column) -> Column:
     return F.round(total, 0).cast("long")
 
 
-def median_tenths(value: Column) -> Column:
-    """Exact median of a one-decimal value, rounded to one decimal.
+def median_tenths(value: Column, rows: Column) -> Column:
+    """Exact median of a one-decimal value that occurs ``rows`` times, rounded to one decimal.
 
-    Works on integer tenths, so the half step between two neighbours is exact
-    and the number of distinct values the aggregate keeps is bounded by the
-    value range, not by the row count.
+    Works on integer tenths, so the half step between two neighbours is exact.
     """
-    return F.floor(F.percentile((value * 10).cast("long"), 0.5) + F.lit(0.5)) / F.lit(10.0)
+    return F.floor(F.percentile((value * 10).cast("long"), 0.5, rows) + F.lit(0.5)) / F.lit(10.0)

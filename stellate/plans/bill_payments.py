@@ -15,7 +15,8 @@ from stellate.operators.joins import lookup_join
 from stellate.operators.numbering import with_dense_key
 from stellate.operators.shares import with_share
 from stellate.operators.star import split_by_dimensions
-from stellate.sources.publish import Landing, publish_layer
+from stellate.session import cut_lineage
+from stellate.sources.publish import Landing, publish_layer, read_published
 
 # The settled status and the days below which a month is partial.
 SETTLED = "Sukses"
@@ -68,7 +69,8 @@ class BillWarehouse:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return calendar.harvested_calendar(self.staged, "transaction_date_clean")
+        """One pass over the bills; every later use reads the few days."""
+        return cut_lineage(calendar.harvested_calendar(self.staged, "transaction_date_clean"))
 
     @cached_property
     def dim_channel(self) -> DataFrame:
@@ -104,16 +106,7 @@ class BillWarehouse:
 
     @cached_property
     def report(self) -> DataFrame:
-        """The reporting view: fact with its three dimensions, revenue zeroed unless settled.
-
-        Days and channels are bounded sets; billers are sized before they are broadcast.
-        """
-        settled = F.col("is_success") == 1
-        days = self.dim_date.select("date_key", "full_date", "day_name", "month", "month_name", "quarter", "year")
-        joined = lookup_join(self.fact, days, ["date_key"], ["transaction_id"], "inner")
-        joined = lookup_join(joined, self.dim_channel, ["channel_key"], ["transaction_id"], "inner")
-        joined = lookup_join(joined, self.dim_biller, ["biller_key"], ["transaction_id"], "inner")
-        return _report_columns(joined, settled)
+        return star_report(self.fact, self.dim_date, self.dim_channel, self.dim_biller)
 
     def load_check(self) -> DataFrame:
         return side_by_side(
@@ -135,6 +128,23 @@ class BillWarehouse:
         )
 
 
+def star_report(fact: DataFrame, dates: DataFrame, channels: DataFrame, billers: DataFrame) -> DataFrame:
+    """The reporting view: fact with its three dimensions, revenue zeroed unless settled.
+
+    Each dimension is sized before it is broadcast; beyond the bound its join is salted.
+    """
+    days = dates.select("date_key", "full_date", "day_name", "month", "month_name", "quarter", "year")
+    joined = fact
+    for dimension, key in ((days, "date_key"), (channels, "channel_key"), (billers, "biller_key")):
+        joined = lookup_join(joined, dimension, [key], ["transaction_id"], "inner")
+    return _report_columns(joined, F.col("is_success") == 1)
+
+
+def report_from_tables(spark: SparkSession, root: str) -> DataFrame:
+    tables = ("fact_transactions", "dim_date", "dim_channel", "dim_biller")
+    return star_report(*[read_published(spark, root, name) for name in tables])
+
+
 def _report_columns(joined: DataFrame, settled) -> DataFrame:
     return joined.select(
         "transaction_id", "full_date", "day_name", "month", "month_name", "quarter", "year",

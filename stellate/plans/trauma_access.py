@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellate.functions import bands, text
@@ -153,24 +153,50 @@ def hospital_access(staged: DataFrame) -> DataFrame:
     )
 
 
+def _per_distance(access: DataFrame, *by: str) -> DataFrame:
+    """Totals per group and distance.
+
+    Distances have one decimal and end at half the Earth's circumference, so a
+    group has at most some 200,000 of them however many hospitals it holds:
+    exact medians are taken over these rows and their counts.
+    """
+    return access.groupBy(*by, "distance_km").agg(
+        rows().alias("n"),
+        F.sum("beds").alias("beds"),
+        F.count("beds").alias("reported"),
+        rows_where(F.col("is_level12_trauma")).alias("level12"),
+        rows_where(F.col("hospital_type") == "CRITICAL ACCESS").alias("critical"),
+        rows_where(F.col("trauma_category") != "NOT REPORTED").alias("designated"),
+    )
+
+
+def _n_far() -> Column:
+    return F.coalesce(F.sum(F.when(F.col("distance_km") > 100, F.col("n"))), F.lit(0))
+
+
 def state_summary(access: DataFrame) -> DataFrame:
-    """Fourteen columns per state. A site counts once even where a part of its name is missing."""
-    far = F.col("distance_km") > 100
-    totals = access.groupBy("state").agg(
-        rows().alias("n_hospitals"),
-        F.count_distinct(F.struct("hospital_name", "address", "city")).alias("n_sites"),
+    """Fourteen columns per state. A site counts once even where a part of its name is missing.
+
+    Sites are counted on their own, so that the median does not have to be
+    carried through the distinct step; states are a bounded set.
+    """
+    sites = access.groupBy("state").agg(
+        F.count_distinct(F.struct("hospital_name", "address", "city")).alias("n_sites")
+    )
+    totals = _per_distance(access, "state").groupBy("state").agg(
+        F.sum("n").alias("n_hospitals"),
         F.sum("beds").alias("total_beds"),
-        F.count("beds").alias("reported"),
-        rows_where(F.col("is_level12_trauma")).alias("n_level12_trauma"),
-        rows_where(F.col("hospital_type") == "CRITICAL ACCESS").alias("n_critical_access"),
-        median_tenths(F.col("distance_km")).alias("median_distance_km"),
+        F.sum("reported").alias("reported"),
+        F.sum("level12").alias("n_level12_trauma"),
+        F.sum("critical").alias("n_critical_access"),
+        median_tenths(F.col("distance_km"), F.col("n")).alias("median_distance_km"),
         F.max("distance_km").cast("double").alias("max_distance_km"),
-        rows_where(far).alias("n_over_100km"),
-        rows_where(F.col("trauma_category") != "NOT REPORTED").alias("designated"),
+        _n_far().alias("n_over_100km"),
+        F.sum("designated").alias("designated"),
     )
     n = F.col("n_hospitals")
     low = F.col("designated").cast("decimal(20,2)") < n * F.lit(LOW_REPORTING).cast("decimal(3,2)")
-    return totals.select(
+    return totals.withColumnRenamed("state", "_state").join(sites, F.col("_state").eqNullSafe(F.col("state"))).select(
         "state", "n_hospitals", "n_sites", "total_beds",
         fraction(F.col("reported"), n, 4).alias("pct_beds_reported"),
         "n_level12_trauma", "n_critical_access",
@@ -194,10 +220,14 @@ def farthest(access: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _distances(access: DataFrame, *by: str) -> DataFrame:
-    return access.groupBy(*by).agg(
-        rows().alias("n"),
-        median_tenths(F.col("distance_km")).alias("median_km"),
-        rows_where(F.col("distance_km") > 100).alias("n_over_100km"),
+    return (
+        _per_distance(access, *by)
+        .groupBy(*by)
+        .agg(
+            F.sum("n").alias("n"),
+            median_tenths(F.col("distance_km"), F.col("n")).alias("median_km"),
+            _n_far().alias("n_over_100km"),
+        )
     )
 
 

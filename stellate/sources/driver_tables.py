@@ -35,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pick(values: list, index: str) -> str:
     """SQL for the value at a 0-based index."""
-    return f"get(array({', '.join(repr(v) for v in values)}), CAST({index} AS INT))"
+    listed = ", ".join("NULL" if v is None else repr(v) for v in values)
+    return f"get(array({listed}), CAST({index} AS INT))"
 
 
 def _as_layout(df: DataFrame, schema) -> DataFrame:
@@ -43,7 +44,7 @@ def _as_layout(df: DataFrame, schema) -> DataFrame:
 
 
 def card_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = ", ".join(f"IF(k % {step} = 0, '{name}', NULL)" for name, step in ERROR_STEPS)
+    by_k = [",".join(name for name, step in ERROR_STEPS if k % step == 0) or None for k in range(100)]
     named = table(spark, sf_dir, "events").selectExpr(
         "event_id AS n",
         "user_id",
@@ -51,7 +52,7 @@ def card_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         "date_add(DATE'2010-01-01', CAST(event_id * 37 % 3591 AS INT)) || ' ' || date_format(ts, 'HH:mm:ss') AS date",
         "CAST(value * 2 AS DECIMAL(12,2)) AS v",
-        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        f"{_pick(by_k, "get_json_object(props, '$.k')")} AS reasons",
     )
     located = named.selectExpr("*", "IF(online AND n % 50 <> 1, 'ONLINE', 'City ' || n % 40) AS merchant_city")
     placed = located.selectExpr(
@@ -71,7 +72,7 @@ def card_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "merchant_state",
             "IF(length(merchant_state) = 2, 10000 + n % 40 * 100 + n % 8 || '.0', NULL) AS zip",
             f"{_pick(MCC_CODES, '(n * 7 + user_id) % 24')} AS mcc",
-            f"IF(n % 5 < 2, nullif(concat_ws(',', {errors}), ''), NULL) AS errors",
+            "IF(n % 5 < 2, reasons, NULL) AS errors",
         ),
         schemas.TRANSACTIONS,
     )

@@ -29,7 +29,9 @@ class Landing:
 def publish_layer(spark: SparkSession, root: str, tables: Mapping[str, Landing]) -> dict[str, int]:
     """Write all tables of a layer into a new run folder and switch to it only if every count holds.
 
-    Counts are taken while writing. On a mismatch nothing is published and the
+    Counts are taken while writing. Partitioned tables are rebalanced by their
+    folders first, which splits a large folder over tasks and keeps small ones
+    from turning into a file per task. On a mismatch nothing is published and the
     previous run stays current.
     """
     run = uuid.uuid4().hex
@@ -37,7 +39,10 @@ def publish_layer(spark: SparkSession, root: str, tables: Mapping[str, Landing])
     bad: list[str] = []
     for name, landing in tables.items():
         seen = Observation(f"rows_{name}_{run}")
-        writer = landing.frame.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+        frame = landing.frame.observe(seen, F.count(F.lit(1)).alias("n"))
+        if landing.partition_by:
+            frame = frame.hint("rebalance", *[F.col(c) for c in landing.partition_by])
+        writer = frame.write.mode("overwrite")
         if landing.partition_by:
             writer = writer.partitionBy(*landing.partition_by)
         writer.parquet(f"{root}/run={run}/{name}")

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stellate.sources import schemas
 
@@ -31,7 +31,7 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str
 
     An unquoted empty field is NULL, a quoted one is empty text. The header is
     read first so that the file's own column order does not matter and a
-    missing column stops the load.
+    missing column stops the load; every further file must have the same header.
     """
     reader = (
         spark.read.option("header", True)
@@ -43,10 +43,8 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str
     )
     header = reader.option("inferSchema", False).csv(path).columns
     require_columns(header, schema.fieldNames())
-    in_file = schemas.text_schema("") if not header else StructType().fromDDL(
-        ", ".join(f"`{name}` string" for name in header)
-    )
-    return reader.schema(in_file).csv(path).select(*[F.col(f"`{f.name}`") for f in schema.fields])
+    in_file = StructType([StructField(name, StringType()) for name in header])
+    return reader.option("enforceSchema", False).schema(in_file).csv(path).select(*[F.col(f"`{f.name}`") for f in schema.fields])
 
 
 def read_card_file(spark: SparkSession, path: str) -> DataFrame:

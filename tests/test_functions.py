@@ -124,9 +124,11 @@ def test_sum_where_is_null_without_rows(spark):
 
 
 def test_median_rounds_the_half_step_up(spark):
-    df = spark.createDataFrame([(decimal.Decimal("16.4"),), (decimal.Decimal("16.5"),)], "v decimal(10,1)")
-    assert df.agg(rates.median_tenths(F.col("v"))).first()[0] == 16.5
-    assert df.union(df.limit(1)).agg(rates.median_tenths(F.col("v"))).first()[0] == 16.4
+    df = spark.createDataFrame([(decimal.Decimal("16.4"), 1), (decimal.Decimal("16.5"), 1), (None, 5)], "v decimal(10,1), n long")
+    assert df.agg(rates.median_tenths(F.col("v"), F.col("n"))).first()[0] == 16.5
+    assert df.union(df.limit(1)).agg(rates.median_tenths(F.col("v"), F.col("n"))).first()[0] == 16.4
+    more = df.withColumn("n", F.when(F.col("v") == 16.4, 2).otherwise(1))
+    assert more.agg(rates.median_tenths(F.col("v"), F.col("n"))).first()[0] == 16.4
 
 
 def test_haversine(spark):
