@@ -25,6 +25,14 @@ def day_name(day: Column) -> Column:
     return F.date_format(day, "EEEE")
 
 
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
+
+def weekday_text(iso: Column) -> Column:
+    """Name of an ISO weekday number given as text or number."""
+    return F.get(F.array(*[F.lit(name) for name in WEEKDAYS]), F.try_subtract(iso.try_cast("int"), F.lit(1)))
+
+
 def month_name(day: Column) -> Column:
     return F.date_format(day, "MMMM")
 

@@ -34,15 +34,28 @@ def _cell(width: float, step: str = "") -> Column:
     return F.expr(f"named_struct({', '.join(axes)})")
 
 
-def _starting_width(targets: DataFrame, crowd: int) -> float:
-    """The widest starting cell in which no more than ``crowd`` targets meet."""
-    width = 100.0
-    while width > FINEST_KM:
-        fullest = targets.groupBy(_cell(width).alias("c")).count().agg(F.max("count")).first()[0]
-        if fullest is None or fullest <= crowd:
-            return width
-        width /= WIDEN
-    return width
+def _widths() -> list[float]:
+    """The ladder of cube widths, from the finest to the one that holds the sphere."""
+    widths = [FINEST_KM]
+    while widths[-1] < WIDEST_KM:
+        widths.append(min(widths[-1] * WIDEN, WIDEST_KM))
+    return widths
+
+
+def _starting_step(sites: DataFrame, widths: list[float], crowd: int) -> int:
+    """The widest step in which no cube holds more than ``crowd`` sites; one pass over the sites."""
+    per_width = [
+        F.struct(F.lit(i).alias("step"), _cell(width).alias("cell")) for i, width in enumerate(widths)
+    ]
+    fullest = (
+        sites.select(F.explode(F.array(*per_width)).alias("c"))
+        .groupBy("c")
+        .count()
+        .groupBy("c.step")
+        .agg(F.max("count").alias("fullest"))
+    )
+    fitting = fullest.filter(F.col("fullest") <= crowd).agg(F.max("step")).first()[0]
+    return fitting or 0
 
 
 def nearest_target(
@@ -52,7 +65,7 @@ def nearest_target(
     target_id: str,
     lat: str = "latitude",
     lon: str = "longitude",
-    crowd: int = 64,
+    crowd: int = 24,
     max_broadcast: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(point_id, target_id, distance_km) with ties at equal distance going to the lowest id.
@@ -81,12 +94,11 @@ def nearest_target(
     )
     site_count = sites.count()
     places = located_points.groupBy(*here).agg(F.count(F.lit(1)).alias("_copies"))
-    left = cut_lineage(placed(places))
+    left = placed(places)
 
     found = []
-    width = _starting_width(sites, crowd)
-    while site_count:
-        width = min(width, WIDEST_KM)
+    widths = _widths()
+    for width in widths[_starting_step(sites, widths, crowd) :] if site_count else []:
         best = _best_in_touching_cells(left, sites, width, here, target_id, site_count, max_broadcast)
         certain = F.col("_best").isNotNull() & (
             chord_km(F.col("_best.d")) <= F.lit(width * (1 - _SAFETY))
@@ -99,7 +111,6 @@ def nearest_target(
         left = best.filter(~F.coalesce(certain, F.lit(False))).drop("_best")
         if left.isEmpty():
             break
-        width *= WIDEN
 
     if not found:
         return located_points.select(

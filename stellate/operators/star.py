@@ -8,6 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def totals_by_label(
+    fact: DataFrame,
+    dimension: DataFrame,
+    key: str,
+    labels: Sequence[str],
+    parts: Mapping[str, Column],
+) -> DataFrame:
+    """Totals per label of a dimension whose key domain is fixed (days, codes, channels, bands, reasons).
+
+    Such a dimension may always be broadcast, and joining it first leaves one
+    row per label and task to shuffle instead of one per key and task.
+    """
+    joined = fact.join(F.broadcast(dimension.select(key, *labels)), key)
+    return joined.groupBy(*labels).agg(*[agg.alias(name) for name, agg in parts.items()])
+
+
 def totals_by_attribute(
     fact: DataFrame,
     dimension: DataFrame,
@@ -17,7 +33,7 @@ def totals_by_attribute(
     members: str | None = None,
     extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Additive totals per dimension attribute.
+    """Additive totals per attribute of a dimension that grows with the data (clients, cards, products).
 
     The fact is first reduced to one row per key (combined map-side, so a hot
     key costs one row per task), and only then meets the dimension. ``members``

@@ -270,20 +270,15 @@ def status_split(report: DataFrame) -> DataFrame:
 
 
 def success_by_dimension(report: DataFrame) -> DataFrame:
-    """Channel, biller and weekday rates from one scan.
-
-    The weekday is a function of the day, so days are reduced before they are named.
-    """
-    per_day = report.groupBy("channel_name", "nama_biller", "full_date").agg(
-        rows().alias("n"), F.sum(F.col("is_success").cast("long")).alias("ok")
-    )
+    """Channel, biller and weekday rates from one scan; weekdays are named after they are counted."""
     totals = split_by_dimensions(
-        per_day,
-        {"channel": F.col("channel_name"), "biller": F.col("nama_biller"), "weekday": calendar.day_name(F.col("full_date"))},
-        {"transactions": F.sum("n"), "settled": F.sum("ok")},
+        report,
+        {"channel": F.col("channel_name"), "biller": F.col("nama_biller"), "weekday": calendar.iso_weekday(F.col("full_date"))},
+        {"transactions": rows(), "settled": F.sum(F.col("is_success").cast("long"))},
     )
+    segment = F.when(F.col("dimension") == "weekday", calendar.weekday_text(F.col("segment"))).otherwise(F.col("segment"))
     return totals.select(
-        "dimension", "segment", "transactions",
+        "dimension", segment.alias("segment"), "transactions",
         percent(F.col("settled"), F.col("transactions"), 2).alias("success_rate_pct"),
     ).orderBy("dimension", "success_rate_pct", "segment")
 

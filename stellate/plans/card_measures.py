@@ -1,8 +1,9 @@
 """Named measures over the reporting window, evaluated for any grouping in one pass.
 
 Base measures are additive parts of one aggregation; the others are built from
-them afterwards. A grouping names dimension attributes; the fact is reduced to
-the foreign keys it needs before it meets any dimension.
+them afterwards. A grouping names dimension attributes. Dimensions with a fixed
+key domain are broadcast; those that grow with the data are met only after the
+fact has been reduced to their keys.
 """
 
 from __future__ import annotations
@@ -92,6 +93,9 @@ _DIMENSION = {
     "mcc": "dim_mcc", "location_key": "dim_location", "card_id": "dim_card", "client_id": "dim_client",
 }
 
+# Dimensions that grow with the data: met after the fact is reduced to their keys.
+GROWING = {"location_key", "card_id", "client_id"}
+
 
 def names() -> list[str]:
     return [*BASE, *DERIVED, *DISTINCT, *PER_DAY]
@@ -139,18 +143,25 @@ def evaluate(
         rows_in = rows_in.filter(where)
 
     keys = list(dict.fromkeys(ATTRIBUTES[a] for a in by))
-    kept = [DISTINCT[m][0] for m in measures if m in DISTINCT]
-    reduced = rows_in.groupBy(*dict.fromkeys([*keys, *kept])).agg(*[BASE[n]().alias(n) for n in base])
+    attributes = {key: [a for a in by if ATTRIBUTES[a] == key] for key in keys}
+    growing = [key for key in keys if key in GROWING]
     for key in keys:
-        attributes = [a for a in by if ATTRIBUTES[a] == key]
-        reduced = reduced.join(getattr(wh, _DIMENSION[key]).select(key, *attributes), key)
+        if key not in GROWING:
+            dimension = getattr(wh, _DIMENSION[key]).select(key, *attributes[key])
+            rows_in = rows_in.join(F.broadcast(dimension), key)
+    fixed = [a for a in by if ATTRIBUTES[a] not in GROWING]
 
-    aggs = [F.sum(n).alias(n) for n in base]
-    for name in measures:
-        if name in DISTINCT:
-            key, count = DISTINCT[name]
-            aggs.append(F.count_distinct(F.when(F.col(count) > 0, F.col(key))).alias(name))
-    result = reduced.groupBy(*by).agg(*aggs)
+    kept = [DISTINCT[m][0] for m in measures if m in DISTINCT]
+    result = rows_in.groupBy(*fixed, *dict.fromkeys([*growing, *kept])).agg(*[BASE[n]().alias(n) for n in base])
+    if growing or kept:
+        for key in growing:
+            result = result.join(getattr(wh, _DIMENSION[key]).select(key, *attributes[key]), key)
+        aggs = [F.sum(n).alias(n) for n in base]
+        for name in measures:
+            if name in DISTINCT:
+                key, count = DISTINCT[name]
+                aggs.append(F.count_distinct(F.when(F.col(count) > 0, F.col(key))).alias(name))
+        result = result.groupBy(*by).agg(*aggs)
 
     for name in derived:
         result = result.withColumn(name, DERIVED[name][1]())

@@ -10,7 +10,7 @@ from stellate.functions.rates import (
 )
 from stellate.operators.numbering import with_tile
 from stellate.operators.shares import with_share
-from stellate.operators.star import totals_by_attribute
+from stellate.operators.star import totals_by_attribute, totals_by_label
 from stellate.plans.card_warehouse import STALE_CREDENTIAL, CardWarehouse, bridge_of, has_any_error
 
 # Categories that bill a stored card, evening hours, first day after the liability shift.
@@ -76,21 +76,20 @@ def _fraud_loss() -> Column:
 
 
 def leakage_by_year(wh: CardWarehouse) -> DataFrame:
-    days = wh.dim_date.select("date_key", "year")
     return (
-        totals_by_attribute(wh.window_charges, days, "date_key", ["year"], _failures())
+        totals_by_label(wh.window_charges, wh.dim_date, "date_key", ["year"], _failures())
         .select("year", "transactions", "failed", _failure_rate(), _failed_value())
         .orderBy("year")
     )
 
 
 def _window_errors(wh: CardWarehouse, *carried: str) -> DataFrame:
-    return bridge_of(wh.window_charges, *carried).join(wh.dim_error, "error_key")
+    return bridge_of(wh.window_charges, *carried).join(F.broadcast(wh.dim_error), "error_key")
 
 
 def failures_by_error(wh: CardWarehouse) -> DataFrame:
     """Value counts once per error: a transaction with two errors is in two rows."""
-    totals = totals_by_attribute(
+    totals = totals_by_label(
         bridge_of(wh.window_charges, "abs_amount"),
         wh.dim_error,
         "error_key",
@@ -106,7 +105,7 @@ def failures_by_error(wh: CardWarehouse) -> DataFrame:
 
 def failures_by_fault_owner(wh: CardWarehouse) -> DataFrame:
     """The three owners with their value per error and its share."""
-    totals = totals_by_attribute(
+    totals = totals_by_label(
         bridge_of(wh.window_charges, "abs_amount"),
         wh.dim_error,
         "error_key",
@@ -122,7 +121,7 @@ def failures_by_fault_owner(wh: CardWarehouse) -> DataFrame:
 
 def failure_by_channel(wh: CardWarehouse) -> DataFrame:
     return (
-        totals_by_attribute(wh.window_charges, wh.dim_channel, "channel_key", ["channel_name"], _failures())
+        totals_by_label(wh.window_charges, wh.dim_channel, "channel_key", ["channel_name"], _failures())
         .select("channel_name", "transactions", _failure_rate(), _failed_value())
         .orderBy(F.desc_nulls_last("failure_rate_pct"), "channel_name")
     )
@@ -131,7 +130,7 @@ def failure_by_channel(wh: CardWarehouse) -> DataFrame:
 def expired_card_declines(wh: CardWarehouse) -> DataFrame:
     expired = wh.window_charges.filter(has_any_error("Bad Expiration"))
     return (
-        expired.join(wh.dim_date.select("date_key", "year"), "date_key")
+        expired.join(F.broadcast(wh.dim_date.select("date_key", "year")), "date_key")
         .groupBy("year")
         .agg(
             rows().alias("expired_card_declines"),
@@ -144,19 +143,18 @@ def expired_card_declines(wh: CardWarehouse) -> DataFrame:
 
 def failure_by_category(wh: CardWarehouse) -> DataFrame:
     return (
-        totals_by_attribute(wh.window_charges, wh.dim_mcc, "mcc", ["spend_category"], _failures())
+        totals_by_label(wh.window_charges, wh.dim_mcc, "mcc", ["spend_category"], _failures())
         .select("spend_category", "transactions", _failure_rate(), _failed_value())
         .orderBy(F.desc_nulls_last("failed_value_usd"), "spend_category")
     )
 
 
 def _category_errors(wh: CardWarehouse) -> DataFrame:
-    per_code = bridge_of(wh.window_charges, "mcc").groupBy("mcc", "error_key").agg(rows().alias("n"))
     return (
-        per_code.join(wh.dim_mcc, "mcc")
-        .join(wh.dim_error, "error_key")
+        _window_errors(wh, "mcc")
+        .join(F.broadcast(wh.dim_mcc), "mcc")
         .groupBy("spend_category", "error_name")
-        .agg(F.sum("n").alias("occurrences"))
+        .agg(rows().alias("occurrences"))
     )
 
 
@@ -188,7 +186,7 @@ def stale_declines_by_category(wh: CardWarehouse) -> DataFrame:
         F.col("error_name").isin(*STALE_CREDENTIAL)
     )
     return (
-        stale.join(wh.dim_mcc, "mcc")
+        stale.join(F.broadcast(wh.dim_mcc), "mcc")
         .rollup("spend_category")
         .agg(
             rows().alias("stale_credential_declines"),
@@ -206,7 +204,7 @@ def _stale() -> Column:
 
 def _stale_totals(wh: CardWarehouse, *by: str, **columns: Column) -> DataFrame:
     codes = wh.dim_mcc.withColumns(columns) if columns else wh.dim_mcc
-    return totals_by_attribute(
+    return totals_by_label(
         wh.window_charges, codes, "mcc", list(by),
         {"transactions": rows(), "stale_credential": rows_where(_stale())},
     )
@@ -233,9 +231,9 @@ def stale_by_category(wh: CardWarehouse) -> DataFrame:
 
 def stale_per_month(wh: CardWarehouse) -> DataFrame:
     return (
-        totals_by_attribute(
+        totals_by_label(
             wh.window_charges.filter(_stale()),
-            wh.dim_date.select("date_key", "month_start"),
+            wh.dim_date,
             "date_key",
             ["month_start"],
             {"stale_credential": rows(), "value": F.sum(_amount())},
@@ -283,7 +281,7 @@ def label_coverage(wh: CardWarehouse) -> DataFrame:
 
 def fraud_by_channel(wh: CardWarehouse) -> DataFrame:
     return (
-        totals_by_attribute(
+        totals_by_label(
             wh.window_fact, wh.dim_channel, "channel_key", ["channel_name"], {**_frauds(), **_tickets()}
         )
         .select(
@@ -297,7 +295,7 @@ def fraud_by_channel(wh: CardWarehouse) -> DataFrame:
 
 def fraud_by_category(wh: CardWarehouse) -> DataFrame:
     return (
-        totals_by_attribute(wh.window_fact, wh.dim_mcc, "mcc", ["spend_category"], _frauds())
+        totals_by_label(wh.window_fact, wh.dim_mcc, "mcc", ["spend_category"], _frauds())
         .filter(F.col("fraud_txns") > 0)
         .select("spend_category", "fraud_txns", _fraud_rate(), _fraud_loss())
         .orderBy(F.desc_nulls_last("fraud_rate_pct"), "spend_category")
@@ -311,7 +309,7 @@ def fraud_by_ticket_band(wh: CardWarehouse) -> DataFrame:
         F.concat(F.col("ticket_band_key").cast("string"), F.lit(". "), "ticket_band").alias("ticket_band"),
     )
     return (
-        totals_by_attribute(wh.window_fact, numbered, "ticket_band_key", ["ticket_band"], _frauds())
+        totals_by_label(wh.window_fact, numbered, "ticket_band_key", ["ticket_band"], _frauds())
         .select("ticket_band", "labelled", "fraud_txns", _fraud_rate(), _fraud_loss())
         .orderBy("ticket_band")
     )
@@ -489,10 +487,10 @@ def by_brand_type_chip(wh: CardWarehouse) -> DataFrame:
 
 def channel_mix_by_year(wh: CardWarehouse) -> DataFrame:
     cells = (
-        wh.charges.groupBy("date_key", "channel_key")
+        wh.charges.join(F.broadcast(wh.dim_date.select("date_key", "year")), "date_key")
+        .join(F.broadcast(wh.dim_channel), "channel_key")
+        .groupBy("year", "channel_name")
         .agg(rows().alias("n"))
-        .join(wh.dim_date.select("date_key", "year"), "date_key")
-        .join(wh.dim_channel, "channel_key")
     )
     names = ("Swipe", "Chip", "Online")
     wide = cells.groupBy("year").agg(
@@ -510,7 +508,7 @@ def fraud_by_era_and_channel(wh: CardWarehouse) -> DataFrame:
     era = F.when(F.col("date_key") < ERA_CUT, "Before Oct 2015").otherwise("After Oct 2015")
     return (
         _agg(wh.fact.withColumn("era", era), _frauds(), "era", "channel_key")
-        .join(wh.dim_channel, "channel_key")
+        .join(F.broadcast(wh.dim_channel), "channel_key")
         .select("era", "channel_name", "labelled", _fraud_rate(), _fraud_loss())
         .orderBy("channel_name", F.desc("era"))
     )
@@ -524,7 +522,7 @@ def _yearly_fraud(wh: CardWarehouse) -> DataFrame:
         "fraud_card_present": rows_where(_fraud() & ~F.col("is_online")),
         "online_loss": sum_where(_amount(), online),
     }
-    return totals_by_attribute(wh.fact, wh.dim_date.select("date_key", "year"), "date_key", ["year"], parts)
+    return totals_by_label(wh.fact, wh.dim_date, "date_key", ["year"], parts)
 
 
 def online_share_of_loss(wh: CardWarehouse) -> DataFrame:

@@ -27,11 +27,8 @@ DAY_PARTS = Scale((8, 11, 15, 18), ("Opening", "Morning Rush", "Midday", "Aftern
 
 def monthly_growth(sales: DataFrame) -> DataFrame:
     """Revenue per month with its change on the month before and first-to-last growth."""
-    months = (
-        sales.groupBy("sale_date")
-        .agg(F.sum("revenue").alias("revenue"))
-        .groupBy(F.trunc("sale_date", "month").alias("month_start"))
-        .agg(F.sum("revenue").alias("revenue"))
+    months = sales.groupBy(F.trunc("sale_date", "month").alias("month_start")).agg(
+        F.sum("revenue").alias("revenue")
     )
     return months.select(
         "month_start",

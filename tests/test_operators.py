@@ -13,7 +13,7 @@ from stellate.operators import joins, numbering, periods
 from stellate.operators.gates import GateFailed, counters, duplicate_keys, enforce, key_counters, side_by_side
 from stellate.operators.nearest import nearest_target
 from stellate.operators.shares import with_share
-from stellate.operators.star import split_by_dimensions, totals_by_attribute
+from stellate.operators.star import split_by_dimensions, totals_by_attribute, totals_by_label
 from tests.conftest import rows_of
 
 
@@ -173,6 +173,8 @@ def test_totals_by_attribute_equals_join_then_group(spark):
         F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"), F.count_distinct("k").alias("keys")
     )
     assert rows_of(found) == rows_of(plain)
+    by_label = totals_by_label(fact, dim, "k", ["a"], parts)
+    assert rows_of(by_label) == rows_of(plain.drop("keys"))
 
 
 def test_one_scan_split_equals_union(spark):
