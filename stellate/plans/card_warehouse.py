@@ -18,6 +18,9 @@ from stellate.sources.publish import Landing, publish_layer, read_published, reg
 CALENDAR_FIRST, CALENDAR_LAST = "2010-01-01", "2019-12-31"
 WINDOW_FIRST_KEY, WINDOW_FIRST_DAY = 20170101, "2017-01-01"
 
+# Folder column of the published fact.
+YEAR_FOLDER = "fact_year"
+
 # Channels (key, name, card present).
 CHANNELS = [(1, "Chip", True), (2, "Swipe", True), (3, "Online", False)]
 
@@ -415,14 +418,17 @@ class CardWarehouse:
         register_views(self.views(), "bi")
 
     def publish(self, root: str) -> dict[str, int]:
-        """Write the warehouse; the fact is laid out by year so that the window prunes folders."""
-        by_year = self.fact.withColumn("year", F.floor(F.col("date_key") / 10000).cast("int"))
+        """Write the warehouse; the fact is laid out by year so that the window prunes folders.
+
+        The bridge is read off the written fact.
+        """
+        by_year = self.fact.withColumn(YEAR_FOLDER, F.floor(F.col("date_key") / 10000).cast("int"))
         return publish_layer(
             self.spark,
             root,
             {
-                "fact_transaction": Landing(by_year, partition_by=("year",)),
-                "br_transaction_error": Landing(self.bridge),
+                "fact_transaction": Landing(by_year, partition_by=(YEAR_FOLDER,)),
+                "br_transaction_error": Landing(lambda written: bridge_of(written("fact_transaction"))),
                 "dim_date": Landing(self.dim_date),
                 "dim_client": Landing(self.dim_client),
                 "dim_card": Landing(self.dim_card),
@@ -451,7 +457,7 @@ class PublishedCardWarehouse(CardWarehouse):
     @cached_property
     def window_fact(self) -> DataFrame:
         first_year = WINDOW_FIRST_KEY // 10000
-        return self.fact.filter((F.col("year") >= first_year) & (F.col("date_key") >= WINDOW_FIRST_KEY)).drop("year")
+        return self.fact.filter((F.col(YEAR_FOLDER) >= first_year) & (F.col("date_key") >= WINDOW_FIRST_KEY))
 
     @cached_property
     def window_charges(self) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -19,9 +19,13 @@ class RowCountMismatch(RuntimeError):
 
 @dataclass(frozen=True)
 class Landing:
-    """A frame to land, with the row count its source promises (None: no promise)."""
+    """A frame to land, with the row count its source promises (None: no promise).
 
-    frame: DataFrame
+    A frame that builds on a table of the same layer is given as a function of
+    a reader for the tables written so far, so that nothing is computed twice.
+    """
+
+    frame: DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]
     expected_rows: int | None = None
     partition_by: tuple[str, ...] = ()
 
@@ -37,9 +41,14 @@ def publish_layer(spark: SparkSession, root: str, tables: Mapping[str, Landing])
     run = uuid.uuid4().hex
     counts: dict[str, int] = {}
     bad: list[str] = []
+
+    def written(table: str) -> DataFrame:
+        return spark.read.parquet(f"{root}/run={run}/{table}")
+
     for name, landing in tables.items():
         seen = Observation(f"rows_{name}_{run}")
-        frame = landing.frame.observe(seen, F.count(F.lit(1)).alias("n"))
+        frame = landing.frame if isinstance(landing.frame, DataFrame) else landing.frame(written)
+        frame = frame.observe(seen, F.count(F.lit(1)).alias("n"))
         if landing.partition_by:
             frame = frame.hint("rebalance", *[F.col(c) for c in landing.partition_by])
         writer = frame.write.mode("overwrite")

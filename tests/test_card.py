@@ -38,6 +38,12 @@ CARDS = [
 MCC = [("3722", "rail"), ("4900", "utility"), ("4829", "wires"), ("5812", "food"), ("9999", "other"), ("3999", "range")]
 
 
+ALL_REPORTS = [
+    f for name, f in vars(reports).items()
+    if callable(f) and f.__module__ == reports.__name__ and not name.startswith("_") and name != "error_mix_side_by_side"
+]
+
+
 def warehouse(spark, transactions=TRANSACTIONS, labels=LABELS, users=USERS, cards=CARDS, mcc=MCC):
     frames = {
         "transactions": spark.createDataFrame(transactions, schemas.TRANSACTIONS),
@@ -201,9 +207,10 @@ def test_publish_and_read_back(spark, wh, tmp_path):
     counts = wh.publish(root)
     assert counts["fact_transaction"] == 6 and counts["br_transaction_error"] == 5 and counts["dim_date"] == 3652
     stored = cw.PublishedCardWarehouse(spark, root)
-    assert rows_of(reports.failure_by_channel(stored)) == rows_of(reports.failure_by_channel(wh))
-    assert rows_of(reports.fraud_by_card_type(stored)) == rows_of(reports.fraud_by_card_type(wh))
-    assert "PartitionFilters: [isnotnull(year" in stored.window_fact._jdf.queryExecution().toString()
+    for build in ALL_REPORTS:
+        assert rows_of(build(stored)) == rows_of(build(wh)), build.__name__
+    assert rows_of(stored.bridge) == rows_of(wh.bridge)
+    assert "PartitionFilters: [isnotnull(fact_year" in stored.window_fact._jdf.queryExecution().toString()
 
 
 def test_views_are_queryable(spark, wh):
