@@ -811,6 +811,10 @@ SELECT c_custkey, round({_km('a', 'b')}, 3) AS km FROM a CROSS JOIN b"""
 card("s1_csv_scan_and_stage", """
 SELECT channel_name || ' Transaction' AS channel, is_failed, COUNT(*) AS n, CAST(SUM(amount) AS DECIMAL(18,2)) AS amount,
   COUNT(zip) AS zips, CAST(SUM(zip) AS BIGINT) AS zip_sum, MIN(d)::VARCHAR AS first_day, MAX(d)::VARCHAR AS last_day FROM tx GROUP BY 1, 2""")
+ORACLE["s6_code_map_to_rows"] = """
+SELECT CAST(p_size + 5800 AS BIGINT) AS mcc, COUNT(*) || ' parts, "' || MAX(p_name) || '"' AS description,
+  CASE WHEN p_size IN (12, 13, 14) THEN 'Restaurants & Bars' WHEN p_size IN (15, 16) THEN 'Digital & Entertainment'
+    ELSE 'General Retail & Apparel' END AS spend_category FROM part GROUP BY p_size"""
 ORACLE["s7_label_object_to_rows"] = """
 SELECT CASE WHEN o_totalprice < 470000 THEN 'No' ELSE 'Yes' END AS is_fraud, COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS id_sum
 FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1"""

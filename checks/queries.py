@@ -792,6 +792,27 @@ def _s5(spark, sf_dir):
     return cw.stage_cards(readers.read_card_file(spark, path))
 
 
+@query("s6_code_map_to_rows")
+def _s6(spark, sf_dir):
+    """One JSON object {code: description} with a code per part size, as there are at most 50 of them."""
+    path = scratch_path(spark, "codes")
+    sizes = driver.table(spark, sf_dir, "part").groupBy("p_size").agg(rows().alias("n"), F.max("p_name").alias("last"))
+    one = sizes.agg(
+        F.to_json(
+            F.map_from_entries(
+                F.collect_list(
+                    F.struct(
+                        (F.col("p_size") + 5800).cast("string"),
+                        F.concat(F.col("n").cast("string"), F.lit(' parts, "'), "last", F.lit('"')),
+                    )
+                )
+            )
+        ).alias("value")
+    )
+    one.write.text(path)
+    return cw.mcc_dimension(readers.read_code_map(spark, path))
+
+
 @query("s7_label_object_to_rows")
 def _s7(spark, sf_dir):
     path = scratch_path(spark, "labels")

@@ -33,6 +33,7 @@ def land_card_sources(
 ) -> dict[str, int]:
     """All five card sources as text tables. The label object is parsed here, once."""
     expected = expected or {}
+    # Names of the source files.
     frames = {
         "transactions": readers.read_delimited(spark, f"{folder}/transactions_data.csv", schemas.TRANSACTIONS),
         "users": readers.read_delimited(spark, f"{folder}/users_data.csv", schemas.USERS),
