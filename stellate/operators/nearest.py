@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellate.functions.geo import EARTH_KM, cartesian_km, chord_km, haversine_km
-from stellate.operators.joins import BROADCAST_ROWS, fits_broadcast, salted_join
+from stellate.operators.joins import BROADCAST_ROWS, salted_join
+from stellate.operators.numbering import with_dense_key
 from stellate.session import cut_lineage
 
 WIDEN = 4.0  # a point with any candidate at one width is certain at the next
@@ -44,14 +47,13 @@ def _widths() -> list[float]:
 
 def _starting_step(sites: DataFrame, widths: list[float], crowd: int) -> int:
     """The widest step in which no cube holds more than ``crowd`` sites; one pass over the sites."""
-    per_width = [
-        F.struct(F.lit(i).alias("step"), _cell(width).alias("cell")) for i, width in enumerate(widths)
-    ]
+    listed = ", ".join(f"{width!r}D" for width in widths)
+    axes = ", ".join(f"'{a}', floor(_{a} / _width)" for a in ("x", "y", "z"))
     fullest = (
-        sites.select(F.explode(F.array(*per_width)).alias("c"))
-        .groupBy("c")
+        sites.select("_x", "_y", "_z", F.expr(f"posexplode(array({listed}))").alias("step", "_width"))
+        .groupBy("step", F.expr(f"named_struct({axes})").alias("cell"))
         .count()
-        .groupBy("c.step")
+        .groupBy("step")
         .agg(F.max("count").alias("fullest"))
     )
     fitting = fullest.filter(F.col("fullest") <= crowd).agg(F.max("step")).first()[0]
@@ -76,33 +78,37 @@ def nearest_target(
     one cube width lies in its own or a touching cube: such an answer is final
     and everything else goes on with wider cubes. The last width covers the
     sphere, so every point with coordinates gets its exact answer.
+
+    A candidate is one number, its distance in millimetres followed by the rank
+    of its id, so that the best one is the minimum of a plain hash aggregation.
     """
     here = [lat, lon]
 
+    def located(df: DataFrame, key: str) -> DataFrame:
+        return df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
+            key, F.col(lat).cast("double").alias(lat), F.col(lon).cast("double").alias(lon)
+        )
+
     def placed(df: DataFrame) -> DataFrame:
         x, y, z = cartesian_km(F.col(lat), F.col(lon))
         return df.withColumns({"_x": x, "_y": y, "_z": z})
 
-    located_points = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
-        point_id, F.col(lat).cast("double").alias(lat), F.col(lon).cast("double").alias(lon)
-    )
-    located_targets = targets.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
-        target_id, F.col(lat).cast("double").alias(lat), F.col(lon).cast("double").alias(lon)
-    )
-    sites = cut_lineage(
-        placed(located_targets.groupBy(*here).agg(F.min(target_id).alias(target_id)))
-    )
-    site_count = sites.count()
-    places = located_points.groupBy(*here).agg(F.count(F.lit(1)).alias("_copies"))
-    left = placed(places)
+    located_points = located(points, point_id)
+    distinct_sites = located(targets, target_id).groupBy(*here).agg(F.min(target_id).alias(target_id))
+    ranked = with_dense_key(distinct_sites, "_rank", [target_id])
+    site_count = ranked.count()
+    if site_count > _MAX_RANK:
+        raise ValueError(f"more than {_MAX_RANK:,} distinct target places")
+    sites = placed(ranked)
+    left = located_points.groupBy(*here).agg(F.count(F.lit(1)).alias("_copies"))
 
     found = []
     widths = _widths()
     for width in widths[_starting_step(sites, widths, crowd) :] if site_count else []:
-        best = _best_in_touching_cells(left, sites, width, here, target_id, site_count, max_broadcast)
-        certain = F.col("_best").isNotNull() & (
-            chord_km(F.col("_best.d")) <= F.lit(width * (1 - _SAFETY))
-        )
+        small = site_count * 27 <= max_broadcast
+        best = _best_in_touching_cells(placed(left), sites, width, here, small)
+        arc = _distance_km(F.col("_best"))
+        certain = F.col("_best").isNotNull() & (chord_km(arc) <= F.lit(width * (1 - _SAFETY)))
         if width >= WIDEST_KM:
             found.append(best)
             break
@@ -119,18 +125,20 @@ def nearest_target(
             F.lit(None).cast("double").alias("distance_km"),
         ).limit(0)
 
-    answers = found[0]
-    for more in found[1:]:
-        answers = answers.unionByName(more)
-    answers = answers.select(
+    answers = reduce(DataFrame.unionByName, found).select(
         *here,
         F.col("_copies").alias("count"),
-        F.col(f"_best.{target_id}").alias(target_id),
-        F.col("_best.d").alias("distance_km"),
+        F.col("_best").bitwiseAND(F.lit(_MAX_RANK)).cast("int").alias("_rank"),
+        _distance_km(F.col("_best")).alias("distance_km"),
     )
+    ids = ranked.select("_rank", target_id)
+    if site_count <= max_broadcast:
+        named = answers.join(F.broadcast(ids), "_rank")
+    else:
+        named = salted_join(answers, ids, ["_rank"], here, "inner")
     return salted_join(
         located_points,
-        answers.drop("count"),
+        named.select(*here, target_id, "distance_km"),
         here,
         [point_id],
         "inner",
@@ -138,31 +146,33 @@ def nearest_target(
     ).select(point_id, target_id, "distance_km")
 
 
+# Layout of a candidate: millimetres above, the rank of the target's id in the low bits.
+# Half the circumference is 2.1e10 mm (35 bits), which leaves 28 bits and the sign.
+_RANK_BITS = 28
+_MAX_RANK = (1 << _RANK_BITS) - 1
+
+
+def _distance_km(candidate: Column) -> Column:
+    return F.shiftright(candidate, _RANK_BITS) / F.lit(1e6)
+
+
 def _best_in_touching_cells(
-    left: DataFrame,
-    sites: DataFrame,
-    width: float,
-    here: list[str],
-    target_id: str,
-    site_count: int,
-    max_broadcast: int,
+    left: DataFrame, sites: DataFrame, width: float, here: list[str], broadcast_sites: bool
 ) -> DataFrame:
     """Per place the nearest site found in the 27 touching cells, or NULL."""
     lat, lon = here
     around = sites.withColumn("_step", F.explode(F.expr(_STEPS))).select(
         _cell(width, "_step").alias("_cell"),
-        F.col(target_id),
+        "_rank",
         F.col(lat).alias("_tlat"),
         F.col(lon).alias("_tlon"),
     )
     at_cell = left.withColumn("_cell", _cell(width))
-    cell = ["_cell"]
-    if site_count * 27 <= max_broadcast:
-        pairs = at_cell.join(F.broadcast(around), cell, "left")
+    if broadcast_sites:
+        pairs = at_cell.join(F.broadcast(around), "_cell", "left")
     else:
-        pairs = salted_join(at_cell, around, cell, here, "left")
-    d = F.round(haversine_km(F.col(lat), F.col(lon), F.col("_tlat"), F.col("_tlon")), 6)
-    candidate = F.when(
-        F.col(target_id).isNotNull(), F.struct(d.alias("d"), F.col(target_id).alias(target_id))
-    )
-    return pairs.groupBy(*here, "_x", "_y", "_z", "_copies").agg(F.min(candidate).alias("_best"))
+        pairs = salted_join(at_cell, around, ["_cell"], here, "left")
+    km = haversine_km(F.col(lat), F.col(lon), F.col("_tlat"), F.col("_tlon"))
+    millimetres = F.floor(km * F.lit(1e6) + F.lit(0.5)).cast("long")
+    candidate = F.shiftleft(millimetres, _RANK_BITS) + F.col("_rank")
+    return pairs.groupBy(*here, "_copies").agg(F.min(candidate).alias("_best"))
