@@ -32,7 +32,7 @@ def yes_no(col: Column, yes: str = "Y", no: str = "N") -> Column:
 
 
 def first_word(col: Column) -> Column:
-    return F.split_part(col, F.lit(" "), F.lit(1))
+    return F.substring_index(col, " ", 1)
 
 
 def month_year(col: Column) -> Column:

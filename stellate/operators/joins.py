@@ -90,7 +90,11 @@ def salted_join(
 
 
 def flag_members(rows: DataFrame, members: DataFrame, on: str, flag: str) -> DataFrame:
-    """Semi-join as a column: true where the key occurs in members, each row kept once."""
+    """Semi-join as a column: true where the key occurs in members, each row kept once.
+
+    ``on`` is the row id of ``rows``, so its join keys are spread evenly; members are
+    reduced to their distinct ids before the shuffle, however often one occurs.
+    """
     marks = members.select(on).distinct().withColumn(flag, F.lit(True))
     return rows.join(marks, on, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 

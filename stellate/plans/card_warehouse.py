@@ -234,18 +234,23 @@ def _lookup(pairs: list[tuple], value: Column) -> Column:
     return F.try_element_at(literal_map((name, key) for key, name, *_ in pairs), value).cast("short")
 
 
-def error_keys(error_list: Column) -> Column:
+def reason_text(error_list: Column) -> Column:
+    """The items of a decline list, trimmed and fenced by commas: ',Bad PIN,Bad CVV,'."""
+    joined = F.regexp_replace(F.trim(F.array_join(error_list, ",")), " *, *", ",")
+    return F.concat(F.lit(","), joined, F.lit(","))
+
+
+def error_keys(reasons: Column) -> Column:
     """Known decline reasons of one transaction, each once; unknown names have no key.
 
-    Written over the fixed reasons, without lambdas, so that it stays inside
-    generated code.
+    Takes the text of ``reason_text`` as a column of its own, so that it is
+    made once per row, and looks for the few fixed names without lambdas.
     """
-    names = F.split(F.regexp_replace(F.trim(F.array_join(error_list, ",")), " *, *", ","), ",")
     present = F.array(
-        *[F.when(F.array_contains(names, name), key).otherwise(0).cast("short") for key, name, _ in ERRORS]
+        *[F.when(F.contains(reasons, F.lit(f",{name},")), key).otherwise(0).cast("short") for key, name, _ in ERRORS]
     )
     none = F.array().cast("array<smallint>")
-    return F.when(error_list.isNotNull(), F.array_remove(present, F.lit(0).cast("short"))).otherwise(none)
+    return F.when(reasons.isNotNull(), F.array_remove(present, F.lit(0).cast("short"))).otherwise(none)
 
 
 def assemble_fact(transactions: DataFrame) -> DataFrame:
@@ -260,7 +265,7 @@ def assemble_fact(transactions: DataFrame) -> DataFrame:
         F.col("has_fraud_label"),
         F.coalesce("is_fraud", F.lit(False)).alias("is_fraud"),
     ]
-    return transactions.select(
+    return transactions.withColumn("_reasons", reason_text(F.col("error_list"))).select(
         "transaction_id",
         calendar.date_key(F.col("transaction_date")).alias("date_key"),
         "hour_of_day",
@@ -278,7 +283,7 @@ def assemble_fact(transactions: DataFrame) -> DataFrame:
         "is_failed",
         "is_online",
         *(labels if "has_fraud_label" in transactions.columns else []),
-        error_keys(F.col("error_list")).alias("error_keys"),
+        error_keys(F.col("_reasons")).alias("error_keys"),
     )
 
 

@@ -60,7 +60,7 @@ def publish_layer(spark: SparkSession, root: str, tables: Mapping[str, Landing])
             bad.append(f"{name}: got {counts[name]:,}, expected {landing.expected_rows:,}")
     if bad:
         raise RowCountMismatch("; ".join(bad))
-    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").text(
+    literal_table(spark, [(run,)], "run string").write.mode("overwrite").text(
         f"{root}/current"
     )
     return counts
