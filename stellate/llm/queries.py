@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellate.llm import simhash
+from stellate.llm import line_quality, simhash, warc
 from stellate.llm.common import table
+from stellate.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,3 +26,15 @@ def query(name: str) -> Callable[[Query], Query]:
 @query("op9_simhash_near_duplicates")
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+@query("op7_warc_revisits")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.resolve(warc.read_archives(spark, path))
+
+
+@query("op8_line_quality")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.assess_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
