@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellate.llm import line_quality, simhash, warc
+from stellate.llm import language, licenses, line_quality, simhash, warc
 from stellate.llm.common import table
 from stellate.session import scratch_path
 
@@ -38,3 +38,13 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_line_quality")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.assess_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_license_scan")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_spans")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
