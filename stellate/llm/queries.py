@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellate.llm import language, licenses, line_quality, simhash, warc
+from stellate.llm import language, licenses, line_quality, packing, rule_ensemble, simhash, warc
 from stellate.llm.common import table
 from stellate.session import scratch_path
 
+TOKENIZER = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +51,20 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_spans")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str = TOKENIZER) -> str:
+    """The content of a public tokenizer's file."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+@query("op2_packed_sequences")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=2, length=4096)
+
+
+@query("op3_quality_rules")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
