@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellate.llm import language, licenses, line_quality, packing, rule_ensemble, simhash, warc
+from stellate.llm import decontaminate, html_extract, language, licenses, line_quality, packing, rule_ensemble, simhash, warc
 from stellate.llm.common import table
 from stellate.session import scratch_path
 
@@ -68,3 +68,13 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality_rules")
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_benchmark_leaks")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_html_main_text")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
