@@ -6,8 +6,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ``bytes.split()`` cuts at exactly these: 0x20 and 0x09 to 0x0D.
-SPACE = b" \t\n\r\x0b\x0c"
+_KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    """Runs of letters, digits and bytes above 0x7F, with A-Z lower-cased."""
+    return text.translate(_KEEP).split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellate.llm.common import utf8
+from stellate.llm.common import plain_words, unique_prefix, utf8
 
 SIMILARITY = 0.8
 #: A repeat agrees on this many places; places of an embedded leak that agree at worst, and the recall aimed at.
@@ -30,14 +30,6 @@ BLOCK_WORDS = 500_000
 _WORDS_AT_ONCE, _WINDOWS_AT_ONCE = 1 << 19, 1 << 13
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-_KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Runs of letters, digits and bytes above 0x7F, with A-Z lower-cased."""
-    return text.translate(_KEEP).split()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -99,7 +91,7 @@ class Index:
         index = cls(similarity)
         entries: dict[int, list[tuple[int, int, int]]] = {}
         for number, text in enumerate(texts):
-            words = words_of(text)
+            words = plain_words(text)
             ids = np.array([index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in words], np.int64)
             k = int((1 - similarity) * len(words) + 1e-9)
             index.items.append(ids)
@@ -179,7 +171,7 @@ def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int
         part, where, size = [], [], 0
 
     for number, text in enumerate(texts):
-        words = words_of(text)
+        words = plain_words(text)
         if words:
             part.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
             where.append(number)
@@ -224,9 +216,6 @@ def _leaks(index: Index, ids: np.ndarray, begin: np.ndarray) -> list[tuple[int,
     return [(t, i, last, d, len(index.items[i])) for (t, i), (d, last) in sorted(best.items())]
 
 
-_FOUND = "array<struct<item:long,end:long,edits:long,words:long>>"
-
-
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -242,36 +231,44 @@ def leaks(
     that repeat are each reported; null ids keep their rows; other columns are not looked at. The benchmark is
     looked up in blocks of bounded size.
     """
-    return _with_leaks(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), utf8(text).alias("_text")), benchmark, item_id, item_text, similarity)
-
-
-def _with_leaks(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, similarity: float) -> DataFrame:
-    keep = [c for c in rows.columns if c != "_text"]
-    parts = [
-        rows.select(*keep, F.explode(column).alias("_leak")).select(*keep, "_leak.*")
-        for column in _lookups(rows.sparkSession, benchmark, item_id, item_text, similarity)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    out = None
+    for column in leak_columns("text", benchmark, item_id, item_text, similarity):
+        part = rows.select("doc_id", F.explode(column).alias("leak")).select("doc_id", "leak.*")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _lookups(spark: SparkSession, benchmark: DataFrame, item_id: str, item_text: str, similarity: float) -> list[Column]:
-    """One column per block of the benchmark: the leaks of its items in the column ``_text``."""
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    similarity: float = SIMILARITY,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that leak no item."""
+    mark = unique_prefix(docs, "_leaks")
+    for column in leak_columns(text, benchmark, item_id, item_text, similarity):
+        docs = docs.withColumn(mark, column).where(F.size(mark) == 0).drop(mark)
+    return docs
+
+
+def leak_columns(
+    text: str, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY
+) -> list[Column]:
+    """One column per block of the benchmark: the leaks of its items in a text column."""
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("id"), utf8(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / 6 / BLOCK_WORDS))
-    return [
-        _lookup(spark, items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("id", "text").collect(), similarity)
-        for b in range(blocks)
-    ]
+    parts = [items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("id", "text") for b in range(blocks)]
+    return [_lookup(benchmark.sparkSession, text, part.collect(), similarity) for part in parts]
 
 
 _LEAK = "array<struct<item_id:long,end_word:long,edits:long,item_words:long,similarity:double>>"
 
 
-def _lookup(spark: SparkSession, rows: list, similarity: float) -> Column:
+def _lookup(spark: SparkSession, text: str, rows: list, similarity: float) -> Column:
     texts: dict[bytes, list[int]] = {}
     for r in rows:
         texts.setdefault(bytes(r["text"]), []).append(r["id"])
@@ -291,7 +288,7 @@ def _lookup(spark: SparkSession, rows: list, similarity: float) -> Column:
                 out[t].append({"item_id": item, "end_word": last, "edits": d, "item_words": n, "similarity": 1 - d / n})
         return pa.array(out, kind)
 
-    return run(F.col("_text"))
+    return run(utf8(text))
 
 
 _INDEXES: dict[tuple[str, float], Index] = {}

@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import crc_of_id, struct_array
+from stellate.llm.common import crc_of_id, struct_array, unique_prefix
 
 #: Expected number of documents per language that the trigram model is fitted on.
 SAMPLE_PER_LANGUAGE = 2000
 LANGUAGES = 256  # most languages, by number of documents, that a model holds
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 6.0
+LEAST_SHARE = 0.5
 _FOREIGN = -20.0
 _TEXT_AT_ONCE = 1 << 20
 
@@ -214,6 +215,13 @@ def prediction(text: str, model: Model) -> Column:
     return run(F.col(f"`{text}`"))
 
 
+def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which one language holds LEAST_SHARE of the letters."""
+    mark = unique_prefix(docs, "_language")
+    found = docs.withColumn(mark, prediction(text, train(docs, text, lang, doc_id)))
+    return found.where((F.col(mark)["lang"] != "und") & (F.col(mark)["score"] >= LEAST_SHARE)).drop(mark)
+
+
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 

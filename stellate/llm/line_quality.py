@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import struct_array, utf8
+from stellate.llm.common import struct_array, unique_prefix, utf8
 
 #: Bounds of the fitting sample; nothing else is bounded.
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 200
@@ -222,6 +222,13 @@ def kept(v: Column) -> Column:
     return ~base_failed(v) & (v["content_share"] >= CONTENT_SHARE)
 
 
+def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    mark = unique_prefix(docs, "_verdict")
+    verdicts = docs.withColumn(mark, verdict(text, *train(docs, labels, doc_id, text)))
+    return verdicts.where(kept(F.col(mark))).drop(mark)
+
+
 def assess_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, statistics, ``base_failed``, ``content_share`` and ``kept``.
 

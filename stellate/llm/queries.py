@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellate.llm import decontaminate, html_extract, language, licenses, line_quality, packing, rule_ensemble, simhash, warc
+from stellate.llm import decontaminate, html_extract, language, licenses, line_quality, lm_score, packing, rule_ensemble, simhash, warc
 from stellate.llm.common import table
 from stellate.session import scratch_path
 
@@ -78,3 +78,22 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html_main_text")
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_stupid_backoff")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op7_warc_revisits"] = """
+WITH p AS (SELECT page_id, octet_length(encode(COALESCE(html, ''))) AS payload_bytes, sha1(COALESCE(html, '')) AS h FROM pages),
+f AS (SELECT h, MIN(page_id) AS first_id FROM p GROUP BY h),
+d AS (
+  SELECT h, first_id, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5))::INT >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1), 1)), '') AS payload_digest
+  FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN d USING (h)
+"""

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import utf8
+from stellate.llm.common import unique_prefix, utf8
 from stellate.llm.components import components
 from stellate.session import cut_lineage
 
@@ -216,3 +216,22 @@ def near_duplicates(
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is the smallest of their group.
+
+    Of rows that repeat such an id one stays. Rows without an id can't be told apart and stay.
+    """
+    found = near_duplicates(docs, doc_id, text, shingle, max_bits)
+    key = unique_prefix(docs, "_dropped")
+    dropped = cut_lineage(found.where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct())
+    left = docs.join(dropped, F.col(f"`{doc_id}`") == F.col(key), "left_anti")
+    again = docs.where(F.col(f"`{doc_id}`").isNotNull()).groupBy(f"`{doc_id}`").count().where("count > 1")
+    again = cut_lineage(again.select(F.col(doc_id).alias(key)))
+    if again.limit(1).isEmpty():
+        return left
+    same = F.col(f"`{doc_id}`") == F.col(key)
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([doc_id]))
