@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 import unicodedata
 
@@ -11,6 +12,7 @@ import numpy as np
 
 #: The split this class relies on: letters, single digits and runs of other characters, white space dropped.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _TAIL = string.punctuation.replace("'", "")
 #: Chunks remembered per worker before the memory starts afresh.
 REMEMBERED = 400_000
@@ -71,6 +73,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, two bytes each."""
+        if _SEPARATORS.search(text):  # Python splits at these, the vocabulary doesn't
+            return self._pack(self._all.encode(text, add_special_tokens=False).ids)
         chunks = text.split()
         held = self._chunks
         try:

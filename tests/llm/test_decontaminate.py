@@ -99,8 +99,9 @@ def test_embedding_keeps_equal_texts_equal_and_few_edits_near():
     b = a.copy()
     b[20] = 777
     steps = dc.WALK * 50
-    far = np.mean([(dc.embed(a[None], steps, r)[0] != dc.embed(rng.integers(1, 500, 50)[None], steps, r)[0]).mean() for r in range(20)])
-    near = np.mean([(dc.embed(a[None], steps, r)[0] != dc.embed(b[None], steps, r)[0]).mean() for r in range(20)])
+    walks = lambda x, r: dc.embed(x[None], steps, r)[0, : steps * 3 // 5]
+    far = np.mean([(walks(a, r) != walks(rng.integers(1, 500, 50), r)).mean() for r in range(20)])
+    near = np.mean([(walks(a, r) != walks(b, r)).mean() for r in range(20)])
     assert (dc.embed(a[None], steps, 0) == dc.embed(a[None].copy(), steps, 0)).all()
     assert near < 0.4 < 0.8 < far
 
