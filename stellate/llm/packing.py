@@ -41,8 +41,8 @@ def tokenized(spark: SparkSession, text: str, definition: str, end_id: int, leng
         encode = encoder(shared.value).encode
         end = np.array([end_id], "<u2").tobytes()
         ids, tokens, full, rest = [], [], [], []
-        for t in texts.to_pylist():
-            raw = encode(t) + end
+        for text in texts:  # one at a time: a batch's texts are never all held twice
+            raw = encode(text.as_py()) + end
             n = len(raw) // 2
             wide = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
             cuts = range(0, n // length * length, length)

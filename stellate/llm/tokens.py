@@ -15,7 +15,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _TAIL = string.punctuation.replace("'", "")
 #: Chunks remembered per worker before the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def _byte_letters() -> list[str]:
