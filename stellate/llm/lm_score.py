@@ -3,7 +3,7 @@
 Documents are taken in blocks of about BLOCK_WORDS words. A block lists each of its n-grams once, with its number
 there, packed into one row per hash bucket. Buckets sum the lists of all blocks and answer each with the corpus counts;
 a block joins the answers to its n-grams and sums per document. So an n-gram that a third of the corpus
-repeats is one entry per block, an entry takes little more than its 8-byte hash, and no list of the corpus'
+repeats is one entry per block, an entry of a sorted list takes about six bytes, and no list of the corpus'
 n-grams is ever in one place.
 """
 
@@ -27,31 +27,57 @@ BACKOFF, LEAST_COUNT = 0.4, 2
 BLOCK_WORDS, BUCKET_GRAMS = 1 << 20, 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes: the small ones' upper bytes take no room."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
 class Block:
-    """The distinct words and bigrams of some documents, sorted by hash, and where each position's are."""
+    """Some documents as numbers of their distinct words, which are kept as hashes."""
+
+    def __init__(self, ids: list, lengths: np.ndarray, word: np.ndarray, hashes: np.ndarray) -> None:
+        self.ids, self.lengths, self.word, self.hashes = ids, lengths, word, hashes
 
-    def __init__(self, ids: list, texts: list[list[bytes]]) -> None:
-        self.ids = ids
-        self.lengths = np.array([len(t) for t in texts], np.int64)
+    @classmethod
+    def of(cls, ids: list, texts: list[list[bytes]]) -> Block:
+        lengths = np.array([len(t) for t in texts], np.int64)
         local: dict[bytes, int] = {}
-        word = np.fromiter((local.setdefault(w, len(local)) for t in texts for w in t), np.int64, int(self.lengths.sum()))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in local), np.uint64, len(local))
-        follows = np.ones(len(word), bool)  # has a word before it in its document
+        word = np.fromiter((local.setdefault(w, len(local)) for t in texts for w in t), np.int64, int(lengths.sum()))
+        return cls(ids, lengths, word, np.fromiter((xxhash.xxh64_intdigest(w) for w in local), np.uint64, len(local)))
+
+    def key(self) -> int:
+        """Tells whether two readings of the documents made the same block."""
+        digest = xxhash.xxh64(self.word.tobytes())
+        digest.update(self.hashes.tobytes())
+        return digest.intdigest() - (1 << 63)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, times) of the distinct words and bigrams by rising hash, and where each position's are.
+
+        A position without a word before it in its document has no bigram; it points anywhere.
+        """
+        n = max(1, len(self.hashes))
+        follows = np.ones(len(self.word), bool)
         follows[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = False
         at = np.flatnonzero(follows)
-        pair, number = np.unique(word[at - 1] * max(1, len(local)) + word[at], return_inverse=True)
-        first, second = np.divmod(pair, max(1, len(local)))
-        mixed = (hashes[first] ^ (hashes[first] >> np.uint64(29))) * _BASE + hashes[second]
-        grams = np.concatenate([hashes, mixed])
-        times = np.concatenate([np.bincount(word, minlength=len(local)), np.bincount(number, minlength=len(pair))])
+        pair, number = np.unique(self.word[at - 1] * n + self.word[at], return_inverse=True)
+        first, second = np.divmod(pair, n)
+        mixed = (self.hashes[first] ^ (self.hashes[first] >> np.uint64(29))) * _BASE + self.hashes[second]
+        grams = np.concatenate([self.hashes, mixed])
+        times = np.concatenate([np.bincount(self.word, minlength=len(self.hashes)), np.bincount(number, minlength=len(pair))])
         order = np.argsort(grams, kind="stable")
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        self.grams, self.times = grams[order], times[order].astype(np.uint32)
-        self.word = place[: len(local)][word]
-        self.pair = np.zeros(len(word), np.uint32)
-        self.pair[at] = place[len(local) :][number]
-        self.key = int(np.bitwise_xor.reduce(self.grams * _BASE + self.times, initial=np.uint64(0)).view(np.int64))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pairs = np.zeros(len(self.word), np.int64)
+        pairs[at] = place[len(self.hashes) :][number]
+        return grams[order], times[order], place[: len(self.hashes)][self.word], pairs
 
 
 def _blocks(make: Callable[[int, int, Block], Iterator[pa.RecordBatch]]):
@@ -67,56 +93,54 @@ def _blocks(make: Callable[[int, int, Block], Iterator[pa.RecordBatch]]):
                 texts.append(words)
                 size += len(words) + 1
                 if size >= BLOCK_WORDS:
-                    yield from make(part, number, Block(ids, texts))
+                    yield from make(part, number, Block.of(ids, texts))
                     ids, texts, size, number = [], [], 0, number + 1
         if ids:
-            yield from make(part, number, Block(ids, texts))
+            yield from make(part, number, Block.of(ids, texts))
 
     return run
 
 
 _LISTS = "bucket long, part int, number int, key long, grams binary, times binary"
-_ROWS = "part int, number int, key long, bucket long, logs binary, ids binary, lengths binary, words binary, pairs binary"
+_ROWS = "part int, number int, key long, bucket long, counts binary, ids binary, lengths binary, words binary, hashes binary"
 
 
 def _lists(bits: int):
     def make(part: int, number: int, block: Block) -> Iterator[pa.RecordBatch]:
-        bucket = (block.grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(block.grams), np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = [*cuts[1:].tolist(), len(bucket)]
-        spans = list(zip(cuts.tolist(), ends, strict=False)) if len(cuts) else []
+        grams, times, _, _ = block.grams()
+        bucket = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        spans = list(zip(starts, [*starts[1:], len(bucket)], strict=False)) if starts else []
         yield pa.record_batch({
             "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int64()),
             "part": pa.array([part] * len(spans), pa.int32()),
             "number": pa.array([number] * len(spans), pa.int32()),
-            "key": pa.array([block.key] * len(spans), pa.int64()),
-            "grams": pa.array([block.grams[a:b].tobytes() for a, b in spans], pa.binary()),
-            "times": pa.array([block.times[a:b].tobytes() for a, b in spans], pa.binary()),
+            "key": pa.array([block.key()] * len(spans), pa.int64()),
+            "grams": pa.array([packed(np.diff(grams[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
+            "times": pa.array([packed(times[a:b]) for a, b in spans], pa.binary()),
         })
 
     return make
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Corpus counts, as logarithms, for the lists of each bucket; rows come sorted by bucket."""
+    """Corpus counts for the lists of each bucket; rows come sorted by bucket."""
     held: list[dict] = []
 
     def done() -> pa.RecordBatch:
-        lists = [np.frombuffer(r["grams"], np.uint64) for r in held]
-        times = np.concatenate([np.frombuffer(r["times"], np.uint32) for r in held]).astype(np.int64)
+        lists = [np.cumsum(unpacked(r["grams"]), dtype=np.uint64) for r in held]
+        times = np.concatenate([unpacked(r["times"]) for r in held]).astype(np.int64)
         grams, number = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.zeros(len(grams), np.int64)
         np.add.at(total, number, times)
-        logs = np.log(total)[number]
-        ends = np.cumsum([len(x) for x in lists])
-        n = len(held)
+        answers = np.split(total[number], np.cumsum([len(x) for x in lists])[:-1])
         return pa.record_batch({
             "part": pa.array([r["part"] for r in held], pa.int32()),
             "number": pa.array([r["number"] for r in held], pa.int32()),
             "key": pa.array([r["key"] for r in held], pa.int64()),
             "bucket": pa.array([r["bucket"] for r in held], pa.int64()),
-            "logs": pa.array([x.tobytes() for x in np.split(logs, ends[:-1])], pa.binary()),
-            **{c: pa.array([None] * n, pa.binary()) for c in ("ids", "lengths", "words", "pairs")},
+            "counts": pa.array([packed(x) for x in answers], pa.binary()),
+            **{c: pa.array([None] * len(held), pa.binary()) for c in ("ids", "lengths", "words", "hashes")},
         })
 
     for batch in batches:
@@ -136,10 +160,10 @@ def _documents(part: int, number: int, block: Block) -> Iterator[pa.RecordBatch]
     with pa.ipc.new_stream(sink, column.schema) as out:
         out.write_batch(column)
     yield pa.record_batch({
-        "part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "key": pa.array([block.key], pa.int64()),
-        "bucket": pa.array([-1], pa.int64()), "logs": pa.array([None], pa.binary()),
-        "ids": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "lengths": pa.array([block.lengths.tobytes()], pa.binary()),
-        "words": pa.array([block.word.tobytes()], pa.binary()), "pairs": pa.array([block.pair.tobytes()], pa.binary()),
+        "part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "key": pa.array([block.key()], pa.int64()),
+        "bucket": pa.array([-1], pa.int64()), "counts": pa.array([None], pa.binary()),
+        "ids": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "lengths": pa.array([packed(block.lengths)], pa.binary()),
+        "words": pa.array([packed(block.word)], pa.binary()), "hashes": pa.array([block.hashes.tobytes()], pa.binary()),
     })
 
 
@@ -147,9 +171,10 @@ def _score(id_type: pa.DataType):
     """Sums per document; a block's own row comes first, then its answers by bucket."""
 
     def finish(own: dict, answers: list[bytes]) -> pa.RecordBatch:
-        logs = np.frombuffer(b"".join(answers), np.float64)
-        lengths = np.frombuffer(own["lengths"], np.int64)
-        words, pairs = np.frombuffer(own["words"], np.uint32), np.frombuffer(own["pairs"], np.uint32)
+        lengths, numbers = unpacked(own["lengths"]).astype(np.int64), unpacked(own["words"]).astype(np.int64)
+        _, _, words, pairs = Block([], lengths, numbers, np.frombuffer(own["hashes"], np.uint64)).grams()
+        counts = np.concatenate([unpacked(a) for a in answers]) if answers else np.zeros(0)
+        logs = np.log(counts.astype(np.float64))
         starts = np.cumsum(lengths) - lengths
         first = np.zeros(len(words), bool)
         first[starts[lengths > 0]] = True
@@ -178,7 +203,7 @@ def _score(id_type: pa.DataType):
                     continue
                 if own is None or (own["part"], own["number"], own["key"]) != (row["part"], row["number"], row["key"]):
                     raise RuntimeError("the documents were read in another order the second time")
-                answers.append(row["logs"])
+                answers.append(row["counts"])
         if own is not None:
             yield finish(own, answers)
 
