@@ -10,22 +10,26 @@ current one. Running a job again replaces the layers.
 
 from __future__ import annotations
 
+import logging
 import sys
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellate.operators.gates import duplicate_keys, enforce
+from stellate.operators.gates import enforce, enforce_rows
 from stellate.plans import bill_payments, card_warehouse, trauma_access
-from stellate.plans.card_warehouse import CardWarehouse, PublishedCardWarehouse
+from stellate.plans.card_warehouse import CardWarehouse, PublishedCardWarehouse, StagedCardWarehouse
 from stellate.sources import readers, schemas
-from stellate.sources.publish import Landing, export_csv, publish_layer, read_published
+from stellate.sources.publish import Landing, Reader, export_csv, open_published, publish_layer, read_published
 
 
-def _no_duplicates(table: DataFrame, name: str, *key: str) -> None:
-    found = duplicate_keys(table, *key).limit(5).collect()
-    if found:
-        raise RuntimeError(f"{name}: keys missing or not unique, such as {found}")
+log = logging.getLogger(__name__)
+
+
+def _report(name: str, result: DataFrame) -> None:
+    """Informational counters: written to the log, never a reason to stop."""
+    for row in result.limit(100).collect():
+        log.info("%s: %s", name, row.asDict())
 
 
 def land_card_sources(
@@ -49,16 +53,27 @@ def land_card_sources(
 def run_card(
     spark: SparkSession, folder: str, out: str, expected: Mapping[str, int] | None = None
 ) -> PublishedCardWarehouse:
+    """Land, stage once, gate the written staging, model from it, gate the written warehouse, publish.
+
+    Raw transactions are read and labels joined for the staging tables only.
+    """
     land_card_sources(spark, folder, f"{out}/raw", expected)
-    wh = CardWarehouse(spark, lambda name: read_published(spark, f"{out}/raw", name))
-    enforce("card staging", card_warehouse.staging_gate(wh))
-    enforce(
-        "card reconciliation",
-        card_warehouse.reconciliation_gate(wh),
-        informational=card_warehouse.INFORMATIONAL,
-    )
-    _no_duplicates(wh.fact, "fact_transaction", "transaction_id")
-    wh.publish(f"{out}/warehouse")
+
+    def staging(wh: CardWarehouse) -> None:
+        enforce("card staging", card_warehouse.staging_gate(wh))
+        _report("channel disagreement", card_warehouse.channel_disagreement(wh))
+
+    def model(wh: CardWarehouse) -> None:
+        enforce_rows("card keys", card_warehouse.key_gate(wh), "table_name")
+        enforce(
+            "card reconciliation",
+            card_warehouse.reconciliation_gate(wh),
+            informational=card_warehouse.INFORMATIONAL,
+        )
+        _report("sizes", card_warehouse.sizes(wh))
+
+    CardWarehouse(spark, open_published(spark, f"{out}/raw")).publish_staging(f"{out}/staging", staging)
+    StagedCardWarehouse(spark, open_published(spark, f"{out}/staging")).publish(f"{out}/warehouse", model)
     published = PublishedCardWarehouse(spark, f"{out}/warehouse")
     published.register_views()
     return published
@@ -67,13 +82,23 @@ def run_card(
 def run_bills(spark: SparkSession, file: str, out: str, expected_rows: int | None = None) -> DataFrame:
     """The bill warehouse; returns the report view over its published tables."""
     publish_layer(spark, f"{out}/raw", {"bills": Landing(readers.read_bills(spark, file), expected_rows)})
-    wh = bill_payments.BillWarehouse.from_raw(read_published(spark, f"{out}/raw", "bills"))
-    enforce("bill staging", bill_payments.staging_gate(wh.staged))
-    _no_duplicates(wh.staged, "bills", "id_transaksi")
-    counts = {name: int(n) for name, n in wh.load_check().first().asDict().items()}
-    if len(set(counts.values())) > 1:
-        raise RuntimeError(f"bill row counts differ: {counts}")
-    wh.publish(f"{out}/warehouse")
+    raw = read_published(spark, f"{out}/raw", "bills")
+    publish_layer(
+        spark,
+        f"{out}/staging",
+        {"bills": Landing(bill_payments.stage_bills(raw))},
+        lambda read: enforce("bill staging", bill_payments.staging_gate(read("bills"))),
+    )
+
+    def model(wh: bill_payments.BillWarehouse) -> None:
+        enforce_rows("bill keys", wh.key_gate(), "table_name")
+        enforce_rows("bill references", wh.reference_gate(), "key")
+        counts = {name: int(n) for name, n in wh.load_check().first().asDict().items()}
+        if len(set(counts.values())) > 1:
+            raise RuntimeError(f"bill row counts differ: {counts}")
+
+    staged = read_published(spark, f"{out}/staging", "bills")
+    bill_payments.BillWarehouse(spark, raw, staged).publish(f"{out}/warehouse", model)
     report = bill_payments.report_from_tables(spark, f"{out}/warehouse")
     report.createOrReplaceTempView("vw_transaction_report")
     return report
@@ -83,17 +108,29 @@ def run_trauma(spark: SparkSession, file: str, out: str, expected_rows: int | No
     """The access mart and its state summary, which is also exported as one file."""
     raw = readers.read_delimited(spark, file, schemas.HOSPITALS)
     publish_layer(spark, f"{out}/raw", {"hospitals": Landing(raw, expected_rows)})
-    staged = trauma_access.stage_hospitals(read_published(spark, f"{out}/raw", "hospitals"))
-    unmapped = trauma_access.unmapped_designations(read_published(spark, f"{out}/raw", "hospitals")).limit(20).collect()
+    landed = read_published(spark, f"{out}/raw", "hospitals")
+    unmapped = trauma_access.unmapped_designations(landed).limit(20).collect()
     if unmapped:
         raise RuntimeError(f"trauma designations without a mapping: {unmapped}")
+    publish_layer(spark, f"{out}/staging", {"hospitals": Landing(trauma_access.stage_hospitals(landed))})
+    staged = read_published(spark, f"{out}/staging", "hospitals")
+    _report("null profile", trauma_access.null_profile(staged))
+    _report("category", trauma_access.category_distribution(staged))
     wanted = trauma_access.in_scope(staged).count()
-    access = trauma_access.hospital_access(staged)
-    publish_layer(spark, f"{out}/access", {"hospital_access": Landing(access, wanted)})
+    publish_layer(
+        spark,
+        f"{out}/access",
+        {"hospital_access": Landing(trauma_access.hospital_access(staged), wanted)},
+        lambda read: enforce("distances", trauma_access.distance_gate(read("hospital_access"))),
+    )
     access = read_published(spark, f"{out}/access", "hospital_access")
-    enforce("distances", trauma_access.distance_gate(access))
-    summary = trauma_access.state_summary(access)
-    publish_layer(spark, f"{out}/mart", {"state_summary": Landing(summary)})
+
+    def complete(read: Reader) -> None:
+        total = trauma_access.summary_check(read("state_summary")).first()["total_hospitals"] or 0
+        if total != wanted:
+            raise RuntimeError(f"the state summary holds {total} of {wanted} hospitals")
+
+    publish_layer(spark, f"{out}/mart", {"state_summary": Landing(trauma_access.state_summary(access))}, complete)
     summary = read_published(spark, f"{out}/mart", "state_summary")
     export_csv(summary, f"{out}/state_summary_csv", ["state"])
     return access

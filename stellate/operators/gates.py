@@ -41,6 +41,15 @@ def enforce(gate: str, result: DataFrame, informational: Sequence[str] = ()) ->
     return row
 
 
+def enforce_rows(gate: str, result: DataFrame, name: str) -> None:
+    """Fail the layer if any counter of any row is not zero. One row per checked table, called ``name``."""
+    broken = {
+        f"{row[name]}.{k}": v for row in result.collect() for k, v in row.asDict().items() if k != name and v != 0
+    }
+    if broken:
+        raise GateFailed(gate, broken)
+
+
 def duplicate_keys(table: DataFrame, *key: str) -> DataFrame:
     """Keys that occur more than once or hold a NULL; must be empty."""
     null_part = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])

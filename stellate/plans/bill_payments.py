@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,13 +11,13 @@ from pyspark.sql import functions as F
 
 from stellate.functions import calendar
 from stellate.functions.rates import percent, rows, sum_where
-from stellate.operators.gates import counters, row_total, side_by_side
-from stellate.operators.joins import lookup_join
+from stellate.operators.gates import counters, key_counters, row_total, side_by_side
+from stellate.operators.joins import lookup_join, missing_keys
 from stellate.operators.numbering import with_dense_key
 from stellate.operators.shares import with_share
 from stellate.operators.star import split_by_dimensions
 from stellate.session import cut_lineage
-from stellate.sources.publish import Landing, publish_layer, read_published
+from stellate.sources.publish import Landing, Reader, open_published, publish_layer
 
 # The settled status and the days below which a month is partial.
 SETTLED = "Sukses"
@@ -24,7 +25,7 @@ FULL_MONTH_DAYS = 28
 
 
 def stage_bills(raw: DataFrame) -> DataFrame:
-    """Pending counts as not settled: it has produced no confirmed revenue yet."""
+    """Typed bills; only the settled status counts as success."""
     day = F.col("tanggal").cast("date")
     status = F.trim("status")
     return raw.select(
@@ -84,7 +85,7 @@ class BillWarehouse:
 
     @cached_property
     def fact(self) -> DataFrame:
-        """Fees stay apart from the pass-through amount. Keyless rows are kept for the gate."""
+        """Every staged row once, whether or not its dimensions have a key for it: the gates count those that have none."""
         s = self.staged.withColumn("channel_name", F.col("channel"))
         keyed = lookup_join(s, self.dim_channel, ["channel_name"], ["id_transaksi"])
         keyed = lookup_join(
@@ -109,13 +110,48 @@ class BillWarehouse:
         return star_report(self.fact, self.dim_date, self.dim_channel, self.dim_biller)
 
     def load_check(self) -> DataFrame:
+        """Rows at each step and in the report, which an inner join makes shorter by every row without a key."""
         return side_by_side(
             row_total(self.raw, "raw_rows"),
             row_total(self.staged, "staged_rows"),
             row_total(self.fact, "fact_rows"),
+            row_total(self.report, "report_rows"),
         )
 
-    def publish(self, root: str) -> dict[str, int]:
+    def reference_gate(self) -> DataFrame:
+        """Per dimension: facts without its key, and keys that it lacks."""
+        found = None
+        for key, dimension in (
+            ("date_key", self.dim_date), ("channel_key", self.dim_channel), ("biller_key", self.dim_biller),
+        ):
+            keyless = self.fact.agg(F.count_if(F.col(key).isNull()).alias("facts_without_key"))
+            unknown = missing_keys(self.fact.filter(F.col(key).isNotNull()), dimension, key)
+            one = side_by_side(keyless, unknown.agg(rows().alias("missing"))).select(
+                F.lit(key).alias("key"), F.col("facts_without_key").cast("long"), F.col("missing").cast("long")
+            )
+            found = one if found is None else found.unionByName(one)
+        return found
+
+    def key_gate(self) -> DataFrame:
+        """Per table: keys that occur twice, and rows without one. A biller belongs to one kind."""
+        found = None
+        for name, table, key in (
+            ("fact_transactions", self.fact, "transaction_id"), ("dim_date", self.dim_date, "date_key"),
+            ("dim_channel", self.dim_channel, "channel_name"), ("dim_biller", self.dim_biller, "nama_biller"),
+        ):
+            one = key_counters(table, key).select(F.lit(name).alias("table_name"), "duplicate_keys", "null_keys")
+            found = one if found is None else found.unionByName(one)
+        return found
+
+    def publish(self, root: str, check: Callable[[BillWarehouse], object] | None = None) -> dict[str, int]:
+        """Write the warehouse; ``check`` sees the written tables before they become current."""
+
+        def gate(read: Reader) -> None:
+            written = BillWarehouse(self.spark, self.raw, self.staged)
+            written.fact, written.dim_date = read("fact_transactions"), read("dim_date")
+            written.dim_channel, written.dim_biller = read("dim_channel"), read("dim_biller")
+            check(written)
+
         return publish_layer(
             self.spark,
             root,
@@ -125,6 +161,7 @@ class BillWarehouse:
                 "dim_channel": Landing(self.dim_channel),
                 "dim_biller": Landing(self.dim_biller),
             },
+            gate if check else None,
         )
 
 
@@ -142,7 +179,8 @@ def star_report(fact: DataFrame, dates: DataFrame, channels: DataFrame, billers:
 
 def report_from_tables(spark: SparkSession, root: str) -> DataFrame:
     tables = ("fact_transactions", "dim_date", "dim_channel", "dim_biller")
-    return star_report(*[read_published(spark, root, name) for name in tables])
+    read = open_published(spark, root)
+    return star_report(*[read(name) for name in tables])
 
 
 def _report_columns(joined: DataFrame, settled) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from stellate.functions import bands, calendar, text
 from stellate.functions.literals import literal_map, literal_table
-from stellate.operators.gates import counters, row_total, side_by_side
+from stellate.operators.gates import counters, key_counters, row_total, side_by_side
 from stellate.operators.numbering import hash_key
-from stellate.sources.publish import Landing, publish_layer, read_published, register_views
+from stellate.sources.publish import Landing, Reader, open_published, publish_layer, register_views
 
 # Calendar span and first day of the reporting window.
 CALENDAR_FIRST, CALENDAR_LAST = "2010-01-01", "2019-12-31"
@@ -422,12 +422,28 @@ class CardWarehouse:
     def register_views(self) -> None:
         register_views(self.views(), "bi")
 
-    def publish(self, root: str) -> dict[str, int]:
+    def publish_staging(self, root: str, check: Callable[[CardWarehouse], object] | None = None) -> dict[str, int]:
+        """Write the typed tables: the only place where raw transactions are read and labels are joined.
+
+        ``check`` sees a warehouse over the written tables before they become current.
+        """
+        tables = {
+            "transactions": Landing(self.transactions),
+            "clients": Landing(self.clients),
+            "cards": Landing(self.cards),
+            "mcc": Landing(self.mcc_codes),
+        }
+        gate = (lambda read: check(StagedCardWarehouse(self.spark, read))) if check else None
+        return publish_layer(self.spark, root, tables, gate)
+
+    def publish(self, root: str, check: Callable[[CardWarehouse], object] | None = None) -> dict[str, int]:
         """Write the warehouse; the fact is laid out by year so that the window prunes folders.
 
-        The bridge is read off the written fact.
+        The bridge is read off the written fact, and ``check`` sees the written warehouse
+        next to this one's staging before it becomes current.
         """
         by_year = self.fact.withColumn(YEAR_FOLDER, F.floor(F.col("date_key") / 10000).cast("int"))
+        gate = (lambda read: check(PublishedCardWarehouse(self.spark, read, staged=self))) if check else None
         return publish_layer(
             self.spark,
             root,
@@ -443,21 +459,35 @@ class CardWarehouse:
                 "dim_ticket_band": Landing(self.dim_ticket_band),
                 "dim_error": Landing(self.dim_error),
             },
+            gate,
         )
 
 
+class StagedCardWarehouse(CardWarehouse):
+    """The star schema over written staging tables; ``read(name)`` gives one of them."""
+
+    def __init__(self, spark: SparkSession, read: Reader):
+        super().__init__(spark, read)
+        self.typed = self.transactions = read("transactions")
+        self.clients, self.cards, self.mcc_codes = read("clients"), read("cards"), read("mcc")
+
+
 class PublishedCardWarehouse(CardWarehouse):
     """The same star schema over published tables: reports scan the columns and years they need.
 
-    Dimension sizes are known from their files, so Spark decides which to broadcast.
+    ``source`` is the layer's folder, whose current run is looked up once, or a reader of
+    one run. Dimension sizes are known from their files, so Spark decides which to broadcast.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        super().__init__(spark, lambda name: read_published(spark, root, name))
+    def __init__(self, spark: SparkSession, source: str | Reader, staged: CardWarehouse | None = None):
+        read = open_published(spark, source) if isinstance(source, str) else source
+        super().__init__(spark, read)
         for name in ("dim_date", "dim_channel", "dim_error", "dim_ticket_band", "dim_mcc", "dim_client",
                      "dim_card", "dim_location"):
-            setattr(self, name, self._source(name))
-        self.charges = self.fact = self._source("fact_transaction")
+            setattr(self, name, read(name))
+        self.charges = self.fact = read("fact_transaction")
+        if staged is not None:
+            self.typed = staged.typed
 
     @cached_property
     def window_fact(self) -> DataFrame:
@@ -535,6 +565,10 @@ def reconciliation_gate(wh: CardWarehouse) -> DataFrame:
             "unbanded_ticket": F.col("ticket_band_key").isNull(),
         },
     )
+    per_day = wh.charges.groupBy("date_key").agg(F.count(F.lit(1)).alias("n"))
+    known = wh.dim_date.select(F.col("date_key").alias("_known"))
+    outside = per_day.join(known, F.col("date_key") == F.col("_known"), "left_anti")
+    unmatched_date = outside.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unmatched_date"))
     uncategorised = counters(wh.dim_mcc, {"uncategorised_mcc": F.col("spend_category").isNull()})
     names = wh.typed.select(F.explode("error_list").alias("name"))
     unknown_errors = counters(
@@ -544,7 +578,7 @@ def reconciliation_gate(wh: CardWarehouse) -> DataFrame:
     empty_days = wh.window_calendar.join(facts_on, "date_key", "left_anti").agg(
         F.count(F.lit(1)).alias("empty_bi_days")
     )
-    return side_by_side(both, uncategorised, unknown, unknown_errors, wrong_location(wh), empty_days)
+    return side_by_side(both, uncategorised, unknown, unmatched_date, unknown_errors, wrong_location(wh), empty_days)
 
 
 # Counters of the reconciliation that are reported without failing the layer: a name
@@ -552,6 +586,32 @@ def reconciliation_gate(wh: CardWarehouse) -> DataFrame:
 INFORMATIONAL = ("unknown_errors",)
 
 
+# Tables and their keys, none of which may be missing or occur twice.
+KEYS = {
+    "fact_transaction": ("fact", ("transaction_id",)),
+    "br_transaction_error": ("bridge", ("transaction_id", "error_key")),
+    "dim_client": ("dim_client", ("client_id",)),
+    "dim_card": ("dim_card", ("card_id",)),
+    "dim_location": ("dim_location", ("location_key",)),
+    "dim_mcc": ("dim_mcc", ("mcc",)),
+}
+
+
+def key_gate(wh: CardWarehouse) -> DataFrame:
+    """Per table how many keys occur twice, how many rows have none, and how many are outside their domain.
+
+    Category codes have four digits, which bounds their dimension.
+    """
+    found = None
+    for table, (name, key) in KEYS.items():
+        frame = getattr(wh, name)
+        one = key_counters(frame, *key).select(F.lit(table).alias("table_name"), "duplicate_keys", "null_keys")
+        found = one if found is None else found.unionByName(one)
+    beyond = wh.dim_mcc.filter(~F.col("mcc").between(0, 9999)).agg(F.count(F.lit(1)).alias("n"))
+    codes = beyond.select(F.lit("dim_mcc, codes beyond four digits").alias("table_name"), F.col("n").alias("duplicate_keys"), F.lit(0).cast("long").alias("null_keys"))
+    return found.unionByName(codes)
+
+
 def wrong_location(wh: CardWarehouse) -> DataFrame:
     """Facts whose location row differs from their source row in city, state or zip.
 

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
@@ -30,20 +31,28 @@ class Landing:
     partition_by: tuple[str, ...] = ()
 
 
-def publish_layer(spark: SparkSession, root: str, tables: Mapping[str, Landing]) -> dict[str, int]:
-    """Write all tables of a layer into a new run folder and switch to it only if every count holds.
+#: Reads a table of one run.
+Reader = Callable[[str], DataFrame]
 
-    Counts are taken while writing. Partitioned tables are rebalanced by their
+
+def publish_layer(
+    spark: SparkSession,
+    root: str,
+    tables: Mapping[str, Landing],
+    check: Callable[[Reader], object] | None = None,
+) -> dict[str, int]:
+    """Write all tables of a layer into a new run folder and switch to it only if everything holds.
+
+    Counts are taken while writing; ``check`` then sees the written tables and
+    raises if they must not be published. Partitioned tables are rebalanced by their
     folders first, which splits a large folder over tasks and keeps small ones
-    from turning into a file per task. On a mismatch nothing is published and the
-    previous run stays current.
+    from turning into a file per task. If a count or the check fails nothing is
+    published and the previous run stays current.
     """
     run = uuid.uuid4().hex
     counts: dict[str, int] = {}
     bad: list[str] = []
-
-    def written(table: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/run={run}/{table}")
+    written = _reader(spark, root, run)
 
     for name, landing in tables.items():
         seen = Observation(f"rows_{name}_{run}")
@@ -60,15 +69,53 @@ def publish_layer(spark: SparkSession, root: str, tables: Mapping[str, Landing])
             bad.append(f"{name}: got {counts[name]:,}, expected {landing.expected_rows:,}")
     if bad:
         raise RowCountMismatch("; ".join(bad))
-    literal_table(spark, [(run,)], "run string").write.mode("overwrite").text(
-        f"{root}/current"
-    )
+    if check is not None:
+        check(written)
+    _switch(spark, root, run)
     return counts
 
 
+def _switch(spark: SparkSession, root: str, run: str) -> None:
+    """A new pointer next to the older ones: pointers are written once and never changed.
+
+    Until its one file is in place readers see the pointer before it. Two
+    publishers of the same layer cannot both take a number: the second write fails.
+    """
+    known = published_runs(spark, root)
+    number = known[-1][0] + 1 if known else 1
+    pointer = literal_table(spark, [(run,)], "run string")
+    pointer.write.mode("errorifexists").text(f"{root}/pointers/number={number}")
+
+
+def published_runs(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, run) of every published run, the current one last. One small file per run.
+
+    Run folders that are not the last one may be removed once no reader holds them.
+    """
+    try:
+        pointers = spark.read.schema("value string, number long").text(f"{root}/pointers")
+        return sorted((r["number"], r["value"]) for r in pointers.collect())
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+
+
+def _reader(spark: SparkSession, root: str, run: str) -> Reader:
+    return lambda table: spark.read.parquet(f"{root}/run={run}/{table}")
+
+
+def open_published(spark: SparkSession, root: str) -> Reader:
+    """A reader for the tables of the run that is current now; later runs don't change what it reads."""
+    runs = published_runs(spark, root)
+    if not runs:
+        raise FileNotFoundError(f"nothing is published below {root}")
+    return _reader(spark, root, runs[-1][1])
+
+
 def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
-    run = spark.read.text(f"{root}/current").first()[0]
-    return spark.read.parquet(f"{root}/run={run}/{table}")
+    """One table of the current run; for several of one run use ``open_published``."""
+    return open_published(spark, root)(table)
 
 
 def register_views(tables: Mapping[str, DataFrame], prefix: str) -> None:

@@ -46,7 +46,15 @@ def test_bill_star_equals_the_short_path(spark):
     assert rows_of(wh.dim_channel) == [(1, "ATM"), (2, "EDC")]
     assert {(r.date_key, r.day_of_week) for r in wh.dim_date.collect()} == {(20260104, 0), (20260105, 1), (20260401, 3)}
     assert rows_of(wh.report) == rows_of(bills.report_from_staging(wh.staged))
-    assert tuple(int(v) for v in wh.load_check().first()) == (4, 4, 4)
+    assert tuple(int(v) for v in wh.load_check().first()) == (4, 4, 4, 4)
+
+
+def test_bill_gates_see_rows_the_report_would_lose(spark):
+    nameless = [*BILLS, ("T5", "2026-04-02", 2, "Budi", "Air", None, 8, 500, 50, 550, "ATM", "Sukses")]
+    wh = bill_warehouse(spark, nameless)
+    assert tuple(int(v) for v in wh.load_check().first()) == (5, 5, 5, 4)
+    assert rows_of(wh.reference_gate()) == [("biller_key", 1, 0), ("channel_key", 0, 0), ("date_key", 0, 0)]
+    assert ("dim_biller", 0, 1) in rows_of(wh.key_gate())
 
 
 def test_bill_reports(spark):
