@@ -306,7 +306,7 @@ card("p8_card_limit_bands", """
 SELECT card_id, credit_limit, (['Under $5k','$5-15k','$15-30k','$30k+'])[limit_o] AS limit_band,
   CAST(limit_o AS BIGINT) AS limit_band_order FROM dim_card""")
 ORACLE["p10_spend_category"] = """
-WITH p AS (SELECT p_partkey % 10000 AS mcc FROM part),
+WITH p AS (SELECT p_partkey * 7919 % 10000 AS mcc FROM part),
 listed(spend_category, codes) AS (VALUES
   ('Groceries & Food Retail', [5411, 5499, 5300, 5921]),
   ('Restaurants & Bars', [5812, 5813, 5814]),
@@ -350,8 +350,8 @@ card("k7_fixed_dimensions_in_use", """
 SELECT channel_name, channel_name <> 'Online' AS is_card_present,
   (['Under $25','$25-100','$100-250','$250-500','$500+'])[band] AS ticket_band,
   CAST(([0, 25, 100, 250, 500])[band] AS DECIMAL(18,2)) AS lower_bound,
-  CAST(([25, 100, 250, 500, NULL])[band] AS DECIMAL(18,2)) AS upper_bound, COUNT(*) AS transactions
-FROM tx GROUP BY channel_name, band""")
+  CAST(([25, 100, 250, 500, NULL])[band] AS DECIMAL(18,2)) AS upper_bound, error_name, fault_owner, COUNT(*) AS declines
+FROM br GROUP BY channel_name, band, error_name, fault_owner""")
 card("k11_fact", """
 SELECT transaction_id, date_key, hour_of_day, client_id, card_id, merchant_id, CAST(mcc AS BIGINT) AS mcc,
   CAST(CASE channel_name WHEN 'Chip' THEN 1 WHEN 'Swipe' THEN 2 ELSE 3 END AS BIGINT) AS channel_key,
@@ -377,7 +377,7 @@ SELECT o_orderpriority, COUNT(*) AS orders, COUNT(*) FILTER (WHERE EXISTS (
 FROM orders GROUP BY o_orderpriority"""
 ORACLE["j11_customers_without_orders"] = """
 SELECT c_mktsegment, COUNT(*) AS idle FROM customer
-WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_mktsegment"""
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate < DATE '1996-01-01') GROUP BY c_mktsegment"""
 
 
 def _km(a: str, b: str) -> str:
@@ -394,23 +394,46 @@ pairs AS (SELECT c_custkey, s_suppkey, round({_km('p', 't')}, 6) AS km FROM p CR
 best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS place FROM pairs)
 SELECT c_custkey, s_suppkey, round(km, 1) AS distance_km FROM best WHERE place = 1"""
 
-card("q1_card_staging_gate", """
-SELECT 0::BIGINT AS null_dates, COUNT(*) FILTER (amount IS NULL) AS null_amounts, COUNT(*) FILTER (mcc IS NULL) AS null_mcc,
-  0::BIGINT AS failed_without_error,
-  COUNT(*) FILTER (card_id NOT IN (SELECT card_id FROM dim_card)) AS orphan_cards,
-  COUNT(*) FILTER (client_id NOT IN (SELECT client_id FROM dim_client)) AS orphan_clients,
-  COUNT(*) FILTER (mcc NOT IN (SELECT mcc FROM codes)) AS unknown_mcc FROM tx""")
-card("q5_card_reconciliation", """
-SELECT 0::BIGINT AS rows_lost, 0::BIGINT AS amount_drift, 0::BIGINT AS uncategorised_mcc, 0::BIGINT AS unmatched_channel,
-  0::BIGINT AS unmatched_location, 0::BIGINT AS unbanded_ticket, 0::BIGINT AS unknown_errors, 0::BIGINT AS wrong_location,
-  COUNT(*) AS empty_bi_days FROM bidays WHERE full_date NOT IN (SELECT d FROM bi)""")
+# The card tables with the faults that the gate queries plant.
+_FAULTY = """
+, ft AS (
+  SELECT transaction_id AS n,
+    CASE WHEN transaction_id % 89 = 11 THEN DATE '2020-01-05' WHEN transaction_id % 101 <> 7 THEN d END AS fd,
+    CASE WHEN transaction_id % 103 <> 5 THEN amount END AS fa,
+    CASE WHEN transaction_id % 107 = 3 THEN 1234 WHEN transaction_id % 109 <> 4 THEN mcc END AS fm,
+    CASE WHEN transaction_id % 113 = 6 THEN -1 ELSE card_id END AS fcard,
+    CASE WHEN transaction_id % 127 = 9 THEN -1 ELSE client_id END AS fclient,
+    transaction_id % 131 = 8 AS no_channel, transaction_id % 137 = 2 AS no_city,
+    transaction_id % 139 = 12 AS blank, transaction_id % 139 <> 12 AND transaction_id % 149 = 13 AS strange
+  FROM tx)"""
+card("q1_card_staging_gate", _FAULTY + """
+SELECT COUNT(*) FILTER (fd IS NULL) AS null_dates, COUNT(*) FILTER (fa IS NULL) AS null_amounts,
+  COUNT(*) FILTER (fm IS NULL) AS null_mcc, 0::BIGINT AS failed_without_error,
+  COUNT(*) FILTER (fcard NOT IN (SELECT card_id FROM dim_card)) AS orphan_cards,
+  COUNT(*) FILTER (fclient NOT IN (SELECT client_id FROM dim_client)) AS orphan_clients,
+  COUNT(*) FILTER (fm IS NULL OR fm NOT IN (SELECT mcc FROM codes)) AS unknown_mcc FROM ft""")
+card("q5_card_reconciliation", _FAULTY + """
+, fdays AS (SELECT full_date FROM days WHERE full_date >= DATE '2017-01-01' AND full_date <= (SELECT MAX(fd) FROM ft))
+SELECT 0::BIGINT AS rows_lost, 0::BIGINT AS amount_drift, 0::BIGINT AS uncategorised_mcc,
+  (SELECT COUNT(*) FROM ft WHERE no_channel) AS unmatched_channel,
+  (SELECT COUNT(*) FROM ft WHERE no_city) AS unmatched_location,
+  (SELECT COUNT(*) FROM ft WHERE fa IS NULL) AS unbanded_ticket,
+  (SELECT COUNT(*) FROM ft WHERE fd IS NULL OR fd NOT IN (SELECT full_date FROM days)) AS unmatched_date,
+  (SELECT COUNT(*) FROM ft WHERE strange) AS unknown_errors,
+  (SELECT COUNT(*) FROM ft WHERE no_city) AS wrong_location,
+  (SELECT COUNT(*) FROM fdays WHERE NOT EXISTS (SELECT 1 FROM ft WHERE fd = full_date)) AS empty_bi_days""")
 card("q6_card_sizes", f"""
 SELECT (SELECT COUNT(*) FROM bi) AS bi_window_rows, (SELECT COUNT(*) FROM br) AS bridge_rows,
   (SELECT COUNT(*) FROM tx WHERE fraud) AS fraud_rows, (SELECT COUNT(*) FROM tx WHERE amount = 0) AS zero_auth_rows,
   (SELECT COUNT(*) FROM (SELECT DISTINCT {_PLACE} FROM tx)) AS locations""")
-ORACLE["q12_card_keys"] = """
-SELECT name AS table_name, 0::BIGINT AS duplicate_keys, 0::BIGINT AS null_keys FROM (VALUES ('fact_transaction'),
-  ('br_transaction_error'), ('dim_client'), ('dim_card'), ('dim_location'), ('dim_mcc')) AS t(name)"""
+card("q12_card_keys", """
+SELECT 'fact_transaction' AS table_name, 0::BIGINT AS duplicate_keys, COUNT(*) FILTER (transaction_id IS NULL) AS null_keys FROM tx
+UNION ALL SELECT 'br_transaction_error', 0, 0
+UNION ALL SELECT 'dim_client', COUNT(*), 0 FROM dim_client WHERE client_id % 151 = 1
+UNION ALL SELECT 'dim_card', COUNT(*), 0 FROM dim_card WHERE card_id % 151 = 1
+UNION ALL SELECT 'dim_location', 0, 0
+UNION ALL SELECT 'dim_mcc', COUNT(*) - COUNT(DISTINCT mcc), 0 FROM codes
+UNION ALL SELECT 'dim_mcc, codes beyond four digits', COUNT(*) FILTER (mcc > 9999), 0 FROM codes""")
 
 _D = "CAST({} AS DOUBLE)"
 _MEASURE = {
@@ -500,6 +523,37 @@ SELECT a.s::VARCHAR AS period_start, CAST(a.v AS DECIMAL(18,2)) AS total_spend,
   (a.r - b.r) * 100 AS failure_rate_yoy_pp
 FROM p a LEFT JOIN p b ON b.s = CAST(a.s - INTERVAL 1 YEAR AS DATE)""")
 
+_GROUP_DAYS = """
+, per AS (SELECT {0} AS g, d, SUM(amount) AS v, COUNT(*) AS c, SUM(CASE WHEN is_failed THEN 1 ELSE 0 END) AS f FROM {1} GROUP BY 1, 2),
+cal AS (SELECT gs.g, full_date, COALESCE(v, 0) AS v, COALESCE(c, 0) AS c, COALESCE(f, 0) AS f
+  FROM (SELECT DISTINCT g FROM per) AS gs CROSS JOIN bidays LEFT JOIN per ON per.d = full_date AND per.g = gs.g)"""
+card("m19_m27_by_channel_and_month", _GROUP_DAYS.format("channel_name", "bi") + """
+, run AS (SELECT *, date_trunc('month', full_date)::DATE AS m,
+    SUM(v) OVER (PARTITION BY g, year(full_date), month(full_date) ORDER BY full_date) AS mtd,
+    SUM(v) OVER (PARTITION BY g, year(full_date) ORDER BY full_date) AS ytd,
+    SUM(v) OVER (PARTITION BY g ORDER BY full_date) AS run,
+    SUM(v) OVER (PARTITION BY g ORDER BY full_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS roll FROM cal),
+p AS (SELECT g, m, SUM(v) AS v, CAST(SUM(f) AS DOUBLE) / NULLIF(CAST(SUM(c) AS DOUBLE), 0) AS r, arg_max(mtd, full_date) AS mtd,
+    arg_max(ytd, full_date) AS ytd, arg_max(run, full_date) AS run, arg_max(roll, full_date) AS roll FROM run GROUP BY g, m)
+SELECT a.g AS channel_name, a.m::VARCHAR AS month_start, CASE WHEN EXISTS (SELECT 1 FROM bi WHERE channel_name = a.g AND date_trunc('month', d)::DATE = a.m) THEN CAST(a.v AS DECIMAL(18,2)) END AS total_spend,
+  CAST(a.mtd AS DECIMAL(18,2)) AS spend_mtd, CAST(a.ytd AS DECIMAL(18,2)) AS spend_ytd,
+  CAST(a.run AS DECIMAL(18,2)) AS spend_running_total, CAST(a.roll AS DECIMAL(18,2)) AS spend_rolling_30d,
+  CAST(a.roll AS DOUBLE) / 30 AS spend_rolling_30d_avg, CAST(b.v AS DECIMAL(18,2)) AS spend_py,
+  CAST(a.v - b.v AS DOUBLE) / NULLIF(CAST(b.v AS DOUBLE), 0) AS spend_yoy, b.r AS failure_rate_py,
+  (a.r - b.r) * 100 AS failure_rate_yoy_pp
+FROM p a LEFT JOIN p b ON b.g = a.g AND b.m = CAST(a.m - INTERVAL 1 YEAR AS DATE)""")
+card("m21_m24_by_category_and_year", _GROUP_DAYS.format("spend_category", "bi JOIN codes USING (mcc)") + """
+, p AS (SELECT g, year(full_date) AS y, SUM(v) AS v, CAST(SUM(f) AS DOUBLE) / NULLIF(CAST(SUM(c) AS DOUBLE), 0) AS r FROM cal GROUP BY 1, 2)
+SELECT a.g AS spend_category, a.y AS year, CAST(b.v AS DECIMAL(18,2)) AS spend_py,
+  CAST(a.v - b.v AS DOUBLE) / NULLIF(CAST(b.v AS DOUBLE), 0) AS spend_yoy, b.r AS failure_rate_py,
+  (a.r - b.r) * 100 AS failure_rate_yoy_pp
+FROM p a LEFT JOIN p b ON b.g = a.g AND b.y = a.y - 1""")
+card("m_filtered_by_card_type_and_category", """
+SELECT CAST(year AS BIGINT) AS year, COUNT(*) AS transactions, CAST(SUM(amount) AS DECIMAL(18,2)) AS total_spend,
+  CAST(SUM(CASE WHEN is_failed THEN 1 ELSE 0 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS failure_rate
+FROM bi JOIN codes USING (mcc) JOIN dim_card USING (card_id)
+WHERE card_type = 'Credit' AND spend_category IN ('Restaurants & Bars', 'Fuel & Automotive') GROUP BY 1""")
+
 # -- bill payments ------------------------------------------------------------
 
 _BILLS = """
@@ -582,12 +636,20 @@ SELECT 'TX' || o AS transaction_id, d::VARCHAR AS full_date, dayname(d) AS day_n
   monthname(d) AS month_name, CAST(quarter(d) AS BIGINT) AS quarter, CAST(year(d) AS BIGINT) AS year, channel AS channel_name,
   kind AS jenis_biller, biller AS nama_biller, nominal, fee AS biaya_admin, total AS total_bayar, status,
   CAST(ok AS BIGINT) AS is_success, gmv AS gmv_settled, net AS net_revenue FROM rep""")
-ORACLE["k10_bill_references"] = """
-SELECT name AS key, 0::BIGINT AS missing FROM (VALUES ('date_key'), ('channel_key'), ('biller_key')) AS t(name)"""
+# Bills without a biller sort first, as do those without a channel: the dropped second key is the first name.
+bill("k10_bill_references", """
+, f AS (SELECT CASE WHEN o % 13 <> 5 THEN biller END AS biller, CASE WHEN o % 17 <> 6 THEN channel END AS channel, kind FROM r),
+used AS (SELECT biller, ROW_NUMBER() OVER (ORDER BY kind, biller NULLS FIRST) AS k FROM (SELECT DISTINCT kind, biller FROM f)),
+uch AS (SELECT channel, ROW_NUMBER() OVER (ORDER BY channel NULLS FIRST) AS k FROM (SELECT DISTINCT channel FROM f))
+SELECT 'date_key' AS key, 0::BIGINT AS facts_without_key, 0::BIGINT AS missing
+UNION ALL SELECT 'channel_key', (SELECT COUNT(*) FROM f WHERE channel IS NULL), (SELECT COUNT(*) FROM uch WHERE k = 2 AND channel IS NOT NULL)
+UNION ALL SELECT 'biller_key', (SELECT COUNT(*) FROM f WHERE biller IS NULL), (SELECT COUNT(*) FROM used WHERE k = 2 AND biller IS NOT NULL)""")
 bill("q3_bill_staging_gate", """
 SELECT COUNT(*) FILTER (d IS NULL) AS null_dates, COUNT(*) FILTER (COALESCE(channel, '') = '') AS null_channels,
   COUNT(*) FILTER (COALESCE(status, '') = '') AS null_status, COUNT(*) FILTER (off = 1) AS amount_mismatch FROM r""")
-ORACLE["q4_bill_load_check"] = "SELECT COUNT(*) AS raw_rows, COUNT(*) AS staged_rows, COUNT(*) AS fact_rows FROM orders"
+ORACLE["q4_bill_load_check"] = """
+SELECT COUNT(*) AS raw_rows, COUNT(*) AS staged_rows, COUNT(*) AS fact_rows,
+  COUNT(*) FILTER (o_orderkey % 13 <> 5 AND o_orderkey % 17 <> 6) AS report_rows FROM orders"""
 
 # -- hospitals ----------------------------------------------------------------
 
@@ -765,7 +827,8 @@ WITH t AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price,
   NTILE(100) OVER (ORDER BY CAST(o_totalprice AS DECIMAL(18,2)) DESC, o_orderkey) AS tile FROM orders)
 SELECT tile, COUNT(*) AS n, MIN(price) AS lowest, MAX(price) AS highest, CAST(SUM(o_orderkey) AS BIGINT) AS key_sum FROM t GROUP BY tile"""
 _ORDER_DAYS = """
-WITH days AS (SELECT CAST(g AS DATE) AS full_date FROM generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 DAY) AS t(g)),
+WITH days AS (SELECT CAST(g AS DATE) AS full_date FROM generate_series(
+  (SELECT CAST(MIN(o_orderdate) AS DATE) FROM orders), (SELECT CAST(MAX(o_orderdate) AS DATE) FROM orders), INTERVAL 1 DAY) AS t(g)),
 per AS (SELECT CAST(o_orderdate AS DATE) AS d, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders GROUP BY 1),
 cal AS (SELECT full_date, COALESCE(v, 0) AS v FROM days LEFT JOIN per ON d = full_date)
 """

@@ -159,8 +159,8 @@ def _p8b(spark, sf_dir):
 
 @query("p10_spend_category")
 def _p10(spark, sf_dir):
-    """Every part size as a code in the 3000 range and around the listed codes."""
-    parts = driver.table(spark, sf_dir, "part").select((F.col("p_partkey") % 10000).cast("int").alias("mcc"))
+    """Part keys spread over all four-digit codes, listed ones, the 3000 range and the rest."""
+    parts = driver.table(spark, sf_dir, "part").select((F.col("p_partkey") * 7919 % 10000).cast("int").alias("mcc"))
     return (
         parts.withColumn("spend_category", cw.spend_category(F.col("mcc")))
         .groupBy("spend_category")
@@ -212,13 +212,18 @@ def _k5(spark, sf_dir):
 
 @query("k7_fixed_dimensions_in_use")
 def _k7(spark, sf_dir):
-    """The three literal dimensions, each with the facts that use its rows."""
+    """The three literal dimensions, each with the declined facts that use its rows."""
     wh = _card(spark, sf_dir)
-    used = wh.charges.groupBy("channel_key", "ticket_band_key").agg(rows().alias("transactions"))
+    used = cw.bridge_of(wh.charges, "channel_key", "ticket_band_key")
+    used = used.groupBy("channel_key", "ticket_band_key", "error_key").agg(rows().alias("declines"))
     return (
         used.join(wh.dim_channel, "channel_key")
         .join(wh.dim_ticket_band, "ticket_band_key")
-        .select("channel_name", "is_card_present", "ticket_band", "lower_bound", "upper_bound", "transactions")
+        .join(wh.dim_error, "error_key")
+        .select(
+            "channel_name", "is_card_present", "ticket_band", "lower_bound", "upper_bound", "error_name",
+            "fault_owner", "declines",
+        )
     )
 
 
@@ -283,7 +288,9 @@ def _j9(spark, sf_dir):
 @query("j11_customers_without_orders")
 def _j11(spark, sf_dir):
     customers = driver.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    orders = driver.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order in the tables' first year."""
+    early = driver.table(spark, sf_dir, "orders").filter("o_orderdate < '1996-01-01'")
+    orders = early.select(F.col("o_custkey").alias("c_custkey"))
     idle = joins.missing_keys(customers, orders.distinct(), "c_custkey")
     return customers.join(idle, "c_custkey").groupBy("c_mktsegment").agg(rows().alias("idle"))
 
@@ -307,14 +314,49 @@ def _whole(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("long").alias(c) for c in df.columns])
 
 
+def _faulty_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The card sources with a fault for every counter of the gates."""
+    raw = driver.card_source(spark, sf_dir, name)
+    n = F.expr("CAST(id AS BIGINT)") if name in ("transactions", "users", "cards") else None
+    if name == "transactions":
+        changed = {
+            "date": F.when(n % 89 == 11, "2020-01-05 10:00:00").when(n % 101 != 7, F.col("date")),
+            "amount": F.when(n % 103 != 5, F.col("amount")),
+            "mcc": F.when(n % 107 == 3, "1234").when(n % 109 != 4, F.col("mcc")),
+            "card_id": F.when(n % 113 == 6, "-1").otherwise(F.col("card_id")),
+            "client_id": F.when(n % 127 == 9, "-1").otherwise(F.col("client_id")),
+            "use_chip": F.when(n % 131 == 8, "Mail Order").otherwise(F.col("use_chip")),
+            "merchant_city": F.when(n % 137 != 2, F.col("merchant_city")),
+            "errors": F.when(n % 139 == 12, "").when(n % 149 == 13, "Bad Mood").otherwise(F.col("errors")),
+        }
+        return raw.withColumns(changed)
+    if name in ("users", "cards"):  # some rows twice
+        return raw.unionByName(raw.filter(n % 151 == 1))
+    return raw
+
+
+def _faulty_card(spark: SparkSession, sf_dir: str) -> cw.CardWarehouse:
+    return cw.CardWarehouse(spark, lambda name: _faulty_source(spark, sf_dir, name))
+
+
+def _faulty_bills(spark: SparkSession, sf_dir: str) -> bills.BillWarehouse:
+    """Bills of which some have no biller and some no channel."""
+    raw = driver.bill_payments(spark, sf_dir)
+    n = F.expr("CAST(substr(id_transaksi, 3) AS BIGINT)")
+    return bills.BillWarehouse.from_raw(raw.withColumns({
+        "nama_biller": F.when(n % 13 != 5, F.col("nama_biller")),
+        "channel": F.when(n % 17 != 6, F.col("channel")),
+    }))
+
+
 @query("q1_card_staging_gate")
 def _q1(spark, sf_dir):
-    return _whole(cw.staging_gate(_card(spark, sf_dir)))
+    return _whole(cw.staging_gate(_faulty_card(spark, sf_dir)))
 
 
 @query("q5_card_reconciliation")
 def _q5(spark, sf_dir):
-    return _whole(cw.reconciliation_gate(_card(spark, sf_dir)))
+    return _whole(cw.reconciliation_gate(_faulty_card(spark, sf_dir)))
 
 
 @query("q6_card_sizes")
@@ -324,20 +366,7 @@ def _q6(spark, sf_dir):
 
 @query("q12_card_keys")
 def _q12(spark, sf_dir):
-    wh = _card(spark, sf_dir)
-    checked = [
-        ("fact_transaction", wh.fact, ["transaction_id"]),
-        ("br_transaction_error", wh.bridge, ["transaction_id", "error_key"]),
-        ("dim_client", wh.dim_client, ["client_id"]),
-        ("dim_card", wh.dim_card, ["card_id"]),
-        ("dim_location", wh.dim_location, ["location_key"]),
-        ("dim_mcc", wh.dim_mcc, ["mcc"]),
-    ]
-    found = None
-    for name, frame, key in checked:
-        one = gates.key_counters(frame, *key).select(F.lit(name).alias("table_name"), "duplicate_keys", "null_keys")
-        found = one if found is None else found.unionByName(one)
-    return found
+    return cw.key_gate(_faulty_card(spark, sf_dir))
 
 
 # -- measures -----------------------------------------------------------------
@@ -411,6 +440,28 @@ def _mf(spark, sf_dir):
     )
 
 
+@query("m19_m27_by_channel_and_month")
+def _m19_by_channel(spark, sf_dir):
+    return measures.evaluate(
+        _card(spark, sf_dir), ["total_spend", *measures.TIME], by=["channel_name", "month_start"]
+    )
+
+
+@query("m21_m24_by_category_and_year")
+def _m21_by_category(spark, sf_dir):
+    names = ["spend_py", "spend_yoy", "failure_rate_py", "failure_rate_yoy_pp"]
+    return measures.evaluate(_card(spark, sf_dir), names, by=["spend_category", "year"])
+
+
+@query("m_filtered_by_card_type_and_category")
+def _mf_dimension(spark, sf_dir):
+    """Slicers on a dimension that grows and on a fixed one."""
+    return measures.evaluate(
+        _card(spark, sf_dir), ["transactions", "total_spend", "failure_rate"], by=["year"],
+        filters={"card_type": ["Credit"], "spend_category": ["Restaurants & Bars", "Fuel & Automotive"]},
+    )
+
+
 # -- bill payments ------------------------------------------------------------
 
 for _name, _build in {
@@ -470,12 +521,14 @@ def _k14(spark, sf_dir):
 
 @query("k10_bill_references")
 def _k10(spark, sf_dir):
-    wh = _bills(spark, sf_dir)
-    found = None
-    for key, dim in (("date_key", wh.dim_date), ("channel_key", wh.dim_channel), ("biller_key", wh.dim_biller)):
-        one = joins.missing_keys(wh.fact, dim, key).agg(rows().alias("missing")).select(F.lit(key).alias("key"), "missing")
-        found = one if found is None else found.unionByName(one)
-    return found
+    """References of all facts against dimensions that lack their first channel and biller."""
+    wh = _faulty_bills(spark, sf_dir)
+    fact = wh.fact
+    short = bills.BillWarehouse(spark, wh.raw, wh.staged)
+    short.fact, short.dim_date = fact, wh.dim_date
+    short.dim_channel = wh.dim_channel.filter("channel_key <> 2")
+    short.dim_biller = wh.dim_biller.filter("biller_key <> 2")
+    return short.reference_gate()
 
 
 @query("q3_bill_staging_gate")
@@ -485,7 +538,7 @@ def _q3(spark, sf_dir):
 
 @query("q4_bill_load_check")
 def _q4(spark, sf_dir):
-    return _whole(_bills(spark, sf_dir).load_check())
+    return _whole(_faulty_bills(spark, sf_dir).load_check())
 
 
 # -- hospitals ----------------------------------------------------------------
@@ -654,7 +707,9 @@ def _order_days(spark, sf_dir):
         calendar.date_key(F.col("o_orderdate").cast("date")).alias("date_key"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
     )
-    days = F.broadcast(calendar.generated_calendar(spark, "1995-01-01", "2001-08-01"))
+    first, last = orders.agg(F.min("date_key"), F.max("date_key")).first()
+    span = [f"{key // 10000:04d}-{key // 100 % 100:02d}-{key % 100:02d}" for key in (first or 19950101, last or 19950101)]
+    days = F.broadcast(calendar.generated_calendar(spark, *span))
     return periods.daily_totals(days, orders, {"value": F.sum("price"), "orders": rows()})
 
 

@@ -1,4 +1,8 @@
-"""Joins that keep their shape when a key is hot or a lookup grows."""
+"""Joins that keep their shape when a key is hot.
+
+Whether a lookup is small enough to broadcast is left to Spark, which knows the size of written tables;
+beyond that AQE splits the rows of a hot key. ``salted_join`` is for plans that AQE cannot split.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup of at most this many narrow rows may be broadcast.
-BROADCAST_ROWS = 200_000
-
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 4_000_000
 
 
-def fits_broadcast(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Counts no further than the bound."""
-    return lookup.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-
-
 def _join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str, null_safe: bool) -> DataFrame:
     """Equi-join; ``null_safe`` lets missing key parts match each other."""
     if not null_safe:
@@ -29,20 +25,6 @@ def _join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str, null_safe
     return rows.join(renamed, match, how).drop(*[f"_lookup_{k}" for k in on])
 
 
-def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    salt_by: Sequence[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join rows to a lookup: broadcast while its size allows, salted shuffle beyond that."""
-    if fits_broadcast(lookup, max_rows):
-        return rows.join(F.broadcast(lookup), list(on), how)
-    return salted_join(rows, lookup, on, salt_by, how)
-
-
 def salted_join(
     rows: DataFrame,
     lookup: DataFrame,

@@ -1,63 +1,78 @@
-"""Exact nearest target per point, by grid cells that widen until the answer is certain."""
+"""Exact nearest target per point, by walking a packed tree of the targets with a bound."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from stellate.functions.geo import EARTH_KM, cartesian_km, chord_km, haversine_km
-from stellate.operators.joins import BROADCAST_ROWS, salted_join
-from stellate.operators.numbering import with_dense_key
-from stellate.session import cut_lineage
-
-WIDEN = 4.0  # a point with any candidate at one width is certain at the next
-FINEST_KM = 0.05
-WIDEST_KM = 2 * EARTH_KM + 1  # neighbouring cells of this width hold the whole sphere
-_SAFETY = 1e-6
+from pyspark.sql.window import Window
+
+from stellate.functions.geo import cartesian_km, haversine_km
+from stellate.operators.numbering import with_position
+
+FANOUT_BITS = 5  # a node has 32 children
+_SLACK_KM = 1e-5  # answers are compared to the millimetre; nothing that close is left out
+_AXES = ("x", "y", "z")
+
+
+def _spread(value: Column) -> Column:
+    """Puts a zero between any two bits of a 31-bit number."""
+    for shift, mask in (
+        (16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+        (2, 0x3333333333333333), (1, 0x5555555555555555),
+    ):
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+    return value
+
+
+def _z_order(lat: Column, lon: Column) -> Column:
+    """Neighbours in this order are mostly neighbours on the map."""
+    steps = (1 << 31) - 1
+    north = F.floor((lat + 90) / 180 * steps).cast("long")
+    east = F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * steps).cast("long")
+    return _spread(north).bitwiseOR(F.shiftleft(_spread(east), 1))
+
+
+def _nodes(sites: DataFrame, level: int) -> DataFrame:
+    """Boxes around runs of 32 ** level targets, each with one target that stands for the run."""
+    node = F.shiftright("_position", FANOUT_BITS * level)
+    boxes = [f(f"_{a}").alias(f"_{n}{a}") for a in _AXES for n, f in (("low", F.min), ("high", F.max))]
+    one = F.min(F.struct("_position", *[f"_{a}" for a in _AXES])).alias("_one")
+    return (
+        sites.groupBy(node.alias("_node"))
+        .agg(*boxes, one)
+        .withColumn("_parent", F.shiftright("_node", FANOUT_BITS))
+    )
 
 
-# The steps to a cell's own position and to the 26 cells that touch it.
-_STEPS = "array({})".format(
-    ", ".join(
-        f"named_struct('x', {x}L, 'y', {y}L, 'z', {z}L)"
-        for x in (-1, 0, 1)
-        for y in (-1, 0, 1)
-        for z in (-1, 0, 1)
-    )
-)
-
-
-def _cell(width: float, step: str = "") -> Column:
-    """The cube a row lies in, or the one a step away from it."""
-    axes = [
-        f"'{a}', floor(_{a} / {width!r}D)" + (f" + {step}.{a}" if step else "") for a in ("x", "y", "z")
-    ]
-    return F.expr(f"named_struct({', '.join(axes)})")
-
-
-def _widths() -> list[float]:
-    """The ladder of cube widths, from the finest to the one that holds the sphere."""
-    widths = [FINEST_KM]
-    while widths[-1] < WIDEST_KM:
-        widths.append(min(widths[-1] * WIDEN, WIDEST_KM))
-    return widths
-
-
-def _starting_step(sites: DataFrame, widths: list[float], crowd: int) -> int:
-    """The widest step in which no cube holds more than ``crowd`` sites; one pass over the sites."""
-    listed = ", ".join(f"{width!r}D" for width in widths)
-    axes = ", ".join(f"'{a}', floor(_{a} / _width)" for a in ("x", "y", "z"))
-    fullest = (
-        sites.select("_x", "_y", "_z", F.expr(f"posexplode(array({listed}))").alias("step", "_width"))
-        .groupBy("step", F.expr(f"named_struct({axes})").alias("cell"))
-        .count()
-        .groupBy("step")
-        .agg(F.max("count").alias("fullest"))
-    )
-    fitting = fullest.filter(F.col("fullest") <= crowd).agg(F.max("step")).first()[0]
-    return fitting or 0
+def _length(parts: list[Column]) -> Column:
+    return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+
+
+def reachable_leaves(places: DataFrame, sites: DataFrame, here: list[str]) -> DataFrame:
+    """Per place the leaves (``_at``) that can hold its nearest site; ``_position`` numbers the sites."""
+    count = sites.count()
+    levels = 0
+    while count > 1 << FANOUT_BITS * (levels + 1):
+        levels += 1
+    place = Window.partitionBy(*here)
+    walk = places.withColumns({"_at": F.lit(0).cast("long"), "_bound": F.lit(float("inf"))})
+    for level in range(levels, 0, -1):
+        nodes = _nodes(sites, level)
+        if level == levels:  # at most 32 nodes
+            nodes = F.broadcast(nodes)
+        met = walk.join(nodes, F.col("_at") == F.col("_parent"))
+        to_one = _length([F.col(f"_{a}") - F.col(f"_one._{a}") for a in _AXES])
+        outside = _length([
+            F.greatest(F.col(f"_low{a}") - F.col(f"_{a}"), F.col(f"_{a}") - F.col(f"_high{a}"), F.lit(0.0)) for a in _AXES
+        ])
+        kept = [*here, "_x", "_y", "_z", "_at", "_bound"]
+        walk = (
+            met.withColumns({"_at": F.col("_node"), "_near": to_one, "_box": outside})
+            .withColumn("_bound", F.least("_bound", F.min("_near").over(place)))
+            .filter(F.col("_box") <= F.col("_bound") + _SLACK_KM)
+            .select(*kept)
+        )
+    return walk
 
 
 def nearest_target(
@@ -67,20 +82,16 @@ def nearest_target(
     target_id: str,
     lat: str = "latitude",
     lon: str = "longitude",
-    crowd: int = 24,
-    max_broadcast: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(point_id, target_id, distance_km) with ties at equal distance going to the lowest id.
 
     Both sides need unique ids. Distances are compared to the millimetre.
-    Points and targets at one place are reduced to one each first. Space is cut
-    into cubes around the Earth's centre, so a point's nearest target within
-    one cube width lies in its own or a touching cube: such an answer is final
-    and everything else goes on with wider cubes. The last width covers the
-    sphere, so every point with coordinates gets its exact answer.
-
-    A candidate is one number, its distance in millimetres followed by the rank
-    of its id, so that the best one is the minimum of a plain hash aggregation.
+    Points and targets at one place are reduced to one each first. Targets are
+    put in an order that keeps neighbours together and packed into nodes of 32,
+    those into nodes of 32, and so on. Each place starts at the top and goes on
+    only into nodes whose box, seen as a straight line through the Earth, can
+    be nearer than the nearest target it knows of. That leaves a few nodes per place and
+    level however targets are spread, also where all of them lie far away.
     """
     here = [lat, lon]
 
@@ -95,84 +106,17 @@ def nearest_target(
 
     located_points = located(points, point_id)
     distinct_sites = located(targets, target_id).groupBy(*here).agg(F.min(target_id).alias(target_id))
-    ranked = with_dense_key(distinct_sites, "_rank", [target_id])
-    site_count = ranked.count()
-    if site_count > _MAX_RANK:
-        raise ValueError(f"more than {_MAX_RANK:,} distinct target places")
-    sites = placed(ranked)
-    left = located_points.groupBy(*here).agg(F.count(F.lit(1)).alias("_copies"))
-
-    found = []
-    widths = _widths()
-    for width in widths[_starting_step(sites, widths, crowd) :] if site_count else []:
-        small = site_count * 27 <= max_broadcast
-        best = _best_in_touching_cells(placed(left), sites, width, here, small)
-        arc = _distance_km(F.col("_best"))
-        certain = F.col("_best").isNotNull() & (chord_km(arc) <= F.lit(width * (1 - _SAFETY)))
-        if width >= WIDEST_KM:
-            found.append(best)
-            break
-        best = cut_lineage(best)
-        found.append(best.filter(certain))
-        left = best.filter(~F.coalesce(certain, F.lit(False))).drop("_best")
-        if left.isEmpty():
-            break
-
-    if not found:
-        return located_points.select(
-            point_id,
-            F.lit(None).cast(targets.schema[target_id].dataType).alias(target_id),
-            F.lit(None).cast("double").alias("distance_km"),
-        ).limit(0)
-
-    answers = reduce(DataFrame.unionByName, found).select(
-        *here,
-        F.col("_copies").alias("count"),
-        F.col("_best").bitwiseAND(F.lit(_MAX_RANK)).cast("int").alias("_rank"),
-        _distance_km(F.col("_best")).alias("distance_km"),
-    )
-    ids = ranked.select("_rank", target_id)
-    if site_count <= max_broadcast:
-        named = answers.join(F.broadcast(ids), "_rank")
-    else:
-        named = salted_join(answers, ids, ["_rank"], here, "inner")
-    return salted_join(
-        located_points,
-        named.select(*here, target_id, "distance_km"),
-        here,
-        [point_id],
-        "inner",
-        key_counts=answers.select(*here, "count"),
-    ).select(point_id, target_id, "distance_km")
-
-
-# Layout of a candidate: millimetres above, the rank of the target's id in the low bits.
-# Half the circumference is 2.1e10 mm (35 bits), which leaves 28 bits and the sign.
-_RANK_BITS = 28
-_MAX_RANK = (1 << _RANK_BITS) - 1
-
-
-def _distance_km(candidate: Column) -> Column:
-    return F.shiftright(candidate, _RANK_BITS) / F.lit(1e6)
-
-
-def _best_in_touching_cells(
-    left: DataFrame, sites: DataFrame, width: float, here: list[str], broadcast_sites: bool
-) -> DataFrame:
-    """Per place the nearest site found in the 27 touching cells, or NULL."""
-    lat, lon = here
-    around = sites.withColumn("_step", F.explode(F.expr(_STEPS))).select(
-        _cell(width, "_step").alias("_cell"),
-        "_rank",
-        F.col(lat).alias("_tlat"),
-        F.col(lon).alias("_tlon"),
-    )
-    at_cell = left.withColumn("_cell", _cell(width))
-    if broadcast_sites:
-        pairs = at_cell.join(F.broadcast(around), "_cell", "left")
-    else:
-        pairs = salted_join(at_cell, around, ["_cell"], here, "left")
+    order = [_z_order(F.col(lat), F.col(lon)), F.col(lat), F.col(lon)]
+    sites = placed(with_position(distinct_sites, order, "_position", "_total"))
+    walk = reachable_leaves(placed(located_points.select(*here).distinct()), sites, here)
+    leaves = sites.select(
+        F.shiftright("_position", FANOUT_BITS).alias("_leaf"), F.col(target_id),
+        F.col(lat).alias("_tlat"), F.col(lon).alias("_tlon"),
+    )
+    pairs = walk.join(leaves, F.col("_at") == F.col("_leaf"))
     km = haversine_km(F.col(lat), F.col(lon), F.col("_tlat"), F.col("_tlon"))
     millimetres = F.floor(km * F.lit(1e6) + F.lit(0.5)).cast("long")
-    candidate = F.shiftleft(millimetres, _RANK_BITS) + F.col("_rank")
-    return pairs.groupBy(*here, "_copies").agg(F.min(candidate).alias("_best"))
+    best = pairs.groupBy(*here).agg(F.min(F.struct(millimetres.alias("mm"), F.col(target_id).alias("id"))).alias("_best"))
+    return located_points.join(best, here).select(
+        point_id, F.col("_best.id").alias(target_id), (F.col("_best.mm") / F.lit(1e6)).alias("distance_km")
+    )

@@ -60,7 +60,7 @@ def with_dense_key(members: DataFrame, key: str, order: Sequence[str]) -> DataFr
     """Keys 1..n in sorted order over a set of any size whose ``order`` columns are unique."""
     numbered = with_position(members, [F.col(c) for c in order], "_position", "_total")
     return numbered.select(
-        (F.col("_position") + 1).cast("int").alias(key), *[F.col(c) for c in members.columns]
+        (F.col("_position") + 1).cast("long").alias(key), *[F.col(c) for c in members.columns]
     )
 
 

@@ -31,24 +31,30 @@ def running_total(column: str, day: str) -> Column:
     return to_date(column, day, [])
 
 
-def trailing_days(column: str, day: str, days: int) -> Column:
+def trailing_days(column: str, day: str, days: int, within: Sequence[str] = ()) -> Column:
     """Sum over the day and the days - 1 before it; the calendar has no gaps, so rows are days."""
-    return F.sum(column).over(Window.orderBy(day).rowsBetween(1 - days, Window.currentRow))
+    window = Window.partitionBy(*within).orderBy(day)
+    return F.sum(column).over(window.rowsBetween(1 - days, Window.currentRow))
 
 
-def with_prior_year(periods: DataFrame, start: str, columns: Sequence[str], suffix: str) -> DataFrame:
-    """Adds the same period one year earlier; NULL where the calendar has none.
+def with_prior_year(
+    periods: DataFrame, start: str, columns: Sequence[str], suffix: str, within: Sequence[str] = ()
+) -> DataFrame:
+    """Adds the same period of the same group one year earlier; NULL where the calendar has none.
 
     ``start`` is the first day of the period. At day grain, 29 February looks
     back to 28 February.
     """
     prior = periods.select(
-        F.col(start).alias("_prior"), *[F.col(c).alias(c + suffix) for c in columns]
+        F.col(start).alias("_prior"),
+        *[F.col(c).alias(f"_prior_{c}") for c in within],
+        *[F.col(c).alias(c + suffix) for c in columns],
     )
     back = F.add_months(F.col(start), -12)
-    return periods.withColumn("_back", back).join(
-        prior, F.col("_back") == F.col("_prior"), "left"
-    ).drop("_back", "_prior")
+    same = [F.col("_back") == F.col("_prior"), *[F.col(c).eqNullSafe(F.col(f"_prior_{c}")) for c in within]]
+    return periods.withColumn("_back", back).join(prior, same, "left").drop(
+        "_back", "_prior", *[f"_prior_{c}" for c in within]
+    )
 
 
 def change_from_previous(column: str, order: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stellate.functions import calendar
 from stellate.functions.rates import percent, rows, sum_where
 from stellate.operators.gates import counters, key_counters, row_total, side_by_side
-from stellate.operators.joins import lookup_join, missing_keys
+from stellate.operators.joins import missing_keys
 from stellate.operators.numbering import with_dense_key
 from stellate.operators.shares import with_share
 from stellate.operators.star import split_by_dimensions
@@ -87,10 +87,8 @@ class BillWarehouse:
     def fact(self) -> DataFrame:
         """Every staged row once, whether or not its dimensions have a key for it: the gates count those that have none."""
         s = self.staged.withColumn("channel_name", F.col("channel"))
-        keyed = lookup_join(s, self.dim_channel, ["channel_name"], ["id_transaksi"])
-        keyed = lookup_join(
-            keyed, self.dim_biller.select("biller_key", "nama_biller"), ["nama_biller"], ["id_transaksi"]
-        )
+        keyed = s.join(self.dim_channel, ["channel_name"], "left")
+        keyed = keyed.join(self.dim_biller.select("biller_key", "nama_biller"), ["nama_biller"], "left")
         return keyed.select(
             F.col("id_transaksi").alias("transaction_id"),
             calendar.date_key(F.col("transaction_date_clean")).alias("date_key"),
@@ -168,12 +166,12 @@ class BillWarehouse:
 def star_report(fact: DataFrame, dates: DataFrame, channels: DataFrame, billers: DataFrame) -> DataFrame:
     """The reporting view: fact with its three dimensions, revenue zeroed unless settled.
 
-    Each dimension is sized before it is broadcast; beyond the bound its join is salted.
+    Spark knows the sizes of the written dimensions and decides which to broadcast.
     """
     days = dates.select("date_key", "full_date", "day_name", "month", "month_name", "quarter", "year")
     joined = fact
     for dimension, key in ((days, "date_key"), (channels, "channel_key"), (billers, "biller_key")):
-        joined = lookup_join(joined, dimension, [key], ["transaction_id"], "inner")
+        joined = joined.join(dimension, key)
     return _report_columns(joined, F.col("is_success") == 1)
 
 

@@ -8,7 +8,7 @@ fact has been reduced to their keys.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stellate.functions.rates import ratio, rows, rows_where, sum_where
 from stellate.operators import periods
 from stellate.plans.card_warehouse import (
-    ERRORS, STALE_CREDENTIAL, CardWarehouse, has_any_error,
+    ERRORS, STALE_CREDENTIAL, WINDOW_FIRST_DAY, CardWarehouse, has_any_error,
 )
 
 ISSUER_ERRORS = [name for _, name, owner in ERRORS if owner == "Issuer"]
@@ -97,8 +97,21 @@ _DIMENSION = {
 GROWING = {"location_key", "card_id", "client_id"}
 
 
+# Time intelligence: what each measure is made from. They need a date attribute to stand on.
+TIME = {
+    "spend_mtd": "total_spend", "spend_ytd": "total_spend", "spend_running_total": "total_spend",
+    "spend_rolling_30d": "total_spend", "spend_rolling_30d_avg": "total_spend",
+    "spend_py": "total_spend", "spend_yoy": "total_spend",
+    "failure_rate_py": "failure_rate", "failure_rate_yoy_pp": "failure_rate",
+}
+_DAILY = ["total_spend", "transactions", "failed_transactions"]
+
+# Date attributes that a time measure can stand on, and the length of their periods.
+GRAINS = {"full_date": "day", "month_start": "month", "year": "year"}
+
+
 def names() -> list[str]:
-    return [*BASE, *DERIVED, *DISTINCT, *PER_DAY]
+    return [*BASE, *DERIVED, *DISTINCT, *PER_DAY, *TIME]
 
 
 def _needed(measures: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -133,8 +146,23 @@ def evaluate(
     by: Sequence[str] = (),
     where: Column | None = None,
     fact: DataFrame | None = None,
+    filters: Mapping[str, Sequence[object]] | None = None,
 ) -> DataFrame:
-    """One row per combination of ``by``, one column per measure. ``where`` filters the fact."""
+    """One row per combination of ``by``, one column per measure.
+
+    ``where`` filters the fact; ``filters`` gives dimension attributes the values they may have,
+    and is applied to the dimension before the fact meets it. Time measures need exactly one of
+    ``GRAINS`` among ``by``; they see every day of the window in every group.
+    """
+    filters = filters or {}
+    timed = [m for m in measures if m in TIME]
+    if timed:
+        plain = [m for m in measures if m not in TIME]
+        result = _over_time(wh, timed, by, where, fact, filters)
+        if plain:
+            result = _join_by(result, evaluate(wh, plain, by, where, fact, filters), by)
+        return result.select(*by, *measures)
+
     base, derived = _needed(measures)
     rows_in = fact
     if rows_in is None:
@@ -142,20 +170,22 @@ def evaluate(
     if where is not None:
         rows_in = rows_in.filter(where)
 
-    keys = list(dict.fromkeys(ATTRIBUTES[a] for a in by))
+    keys = list(dict.fromkeys(ATTRIBUTES[a] for a in [*by, *filters]))
     attributes = {key: [a for a in by if ATTRIBUTES[a] == key] for key in keys}
     growing = [key for key in keys if key in GROWING]
     for key in keys:
         if key not in GROWING:
-            dimension = getattr(wh, _DIMENSION[key]).select(key, *attributes[key])
-            rows_in = rows_in.join(F.broadcast(dimension), key)
+            dimension = _dimension(wh, key, filters).select(key, *attributes[key])
+            if key != "mcc":  # its size is the file's; the other keys have a fixed domain
+                dimension = F.broadcast(dimension)
+            rows_in = rows_in.join(dimension, key)
     fixed = [a for a in by if ATTRIBUTES[a] not in GROWING]
 
     kept = [DISTINCT[m][0] for m in measures if m in DISTINCT]
     result = rows_in.groupBy(*fixed, *dict.fromkeys([*growing, *kept])).agg(*[BASE[n]().alias(n) for n in base])
     if growing or kept:
         for key in growing:
-            result = result.join(getattr(wh, _DIMENSION[key]).select(key, *attributes[key]), key)
+            result = result.join(_dimension(wh, key, filters).select(key, *attributes[key]), key)
         aggs = [F.sum(n).alias(n) for n in base]
         for name in measures:
             if name in DISTINCT:
@@ -166,17 +196,94 @@ def evaluate(
     for name in derived:
         result = result.withColumn(name, DERIVED[name][1]())
     if any(m in PER_DAY for m in measures):
-        result = _with_days(wh, result, by)
+        result = _with_days(wh, result, by, filters)
         for name in measures:
             if name in PER_DAY:
                 result = result.withColumn(name, ratio(F.col(PER_DAY[name]), F.col("_days")))
     return result.select(*by, *measures)
 
 
-def _with_days(wh: CardWarehouse, result: DataFrame, by: Sequence[str]) -> DataFrame:
+def _dimension(wh: CardWarehouse, key: str, filters: Mapping[str, Sequence[object]]) -> DataFrame:
+    dimension = getattr(wh, _DIMENSION[key])
+    for attribute, values in filters.items():
+        if ATTRIBUTES[attribute] == key:
+            dimension = dimension.filter(F.col(attribute).isin(*values))
+    return dimension
+
+
+def _join_by(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Left join on all grouping columns; a missing label matches itself."""
+    named = right.withColumnsRenamed({a: f"_{a}" for a in by})
+    match = [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in by]
+    return left.join(named, match, "left").drop(*[f"_{a}" for a in by])
+
+
+def _over_time(
+    wh: CardWarehouse, measures: Sequence[str], by: Sequence[str], where: Column | None, fact: DataFrame | None,
+    filters: Mapping[str, Sequence[object]],
+) -> DataFrame:
+    """Time measures per group and period.
+
+    The fact is reduced to days per group; every group then gets every day of the window, at most some
+    thousand, and all windows run inside a group. A period stands where its last day does.
+    """
+    grains = [a for a in by if a in GRAINS]
+    others = [a for a in by if ATTRIBUTES[a] != "date_key"]
+    if len(grains) != 1 or len(grains) + len(others) != len(by):
+        raise ValueError(f"time measures need one of {', '.join(GRAINS)} and no other date attribute in by")
+    grain = grains[0]
+    daily = evaluate(wh, _DAILY, [*others, "full_date"], where, fact, filters)
+    last = wh.window_calendar.agg(F.max("full_date")).first()[0]
+    if last is None:
+        span_days = F.array().cast("array<date>")
+    else:
+        span_days = F.sequence(F.to_date(F.lit(WINDOW_FIRST_DAY)), F.lit(last), F.expr("interval 1 day"))
+    groups = daily.select(*others).distinct() if others else wh.spark.range(1)
+    every = groups.select(*others, F.explode(span_days).alias("full_date"))
+    days = _join_by(every, daily, [*others, "full_date"]).na.fill(0, _DAILY)
+
+    spend, day = "total_spend", "full_date"
+    dated = days.withColumns({"_year": F.year(day), "_month": F.month(day)})
+    days = dated.select(
+        "*",
+        periods.to_date(spend, day, [*others, "_year", "_month"]).alias("spend_mtd"),
+        periods.to_date(spend, day, [*others, "_year"]).alias("spend_ytd"),
+        periods.to_date(spend, day, others).alias("spend_running_total"),
+        periods.trailing_days(spend, day, 30, others).alias("spend_rolling_30d"),
+    )
+    running = ["spend_mtd", "spend_ytd", "spend_running_total", "spend_rolling_30d"]
+    start = F.trunc(day, GRAINS[grain]) if grain != "full_date" else F.col(day)
+    per = days.groupBy(*others, start.alias("_start")).agg(
+        *[F.sum(n).alias(n) for n in _DAILY], *[F.max_by(n, day).alias(n) for n in running]
+    )
+    rated = per.withColumn("failure_rate", DERIVED["failure_rate"][1]())
+    both = periods.with_prior_year(rated, "_start", [spend, "failure_rate"], "_py", others)
+    if grain == "year":
+        both = both.withColumn("year", F.year("_start").cast(wh.dim_date.schema["year"].dataType))
+    else:
+        both = both.withColumn(grain, F.col("_start"))
+    before = F.col("total_spend_py")
+    made = {
+        **{n: F.col(n) for n in running},
+        "spend_rolling_30d_avg": ratio(F.col("spend_rolling_30d"), F.lit(30)),
+        "spend_py": before,
+        "spend_yoy": ratio(F.col(spend) - before, before),
+        "failure_rate_py": F.col("failure_rate_py"),
+        "failure_rate_yoy_pp": (F.col("failure_rate") - F.col("failure_rate_py")) * 100,
+    }
+    return both.select(*by, *[made[n].alias(n) for n in measures])
+
+
+def _with_days(
+    wh: CardWarehouse, result: DataFrame, by: Sequence[str], filters: Mapping[str, Sequence[object]]
+) -> DataFrame:
     """Adds the calendar days in context: those of the window that match the date attributes."""
     dates = [a for a in by if ATTRIBUTES[a] == "date_key"]
-    days = wh.window_calendar.groupBy(*dates).agg(rows().alias("_days"))
+    days = wh.window_calendar
+    for attribute, values in filters.items():
+        if ATTRIBUTES[attribute] == "date_key":
+            days = days.filter(F.col(attribute).isin(*values))
+    days = days.groupBy(*dates).agg(rows().alias("_days"))
     if dates:
         return result.join(F.broadcast(days), dates)
     return result.withColumn("_one", F.lit(1)).join(

@@ -9,7 +9,7 @@ from stellate.functions import bands, text
 from stellate.functions.literals import literal_table
 from stellate.functions.rates import fraction, median_tenths, rows, rows_where
 from stellate.operators.gates import counters, row_total, side_by_side
-from stellate.operators.joins import lookup_join, missing_keys, salted_join
+from stellate.operators.joins import missing_keys
 from stellate.operators.nearest import nearest_target
 from stellate.session import cut_lineage
 
@@ -66,15 +66,13 @@ def trauma_map(spark: SparkSession) -> DataFrame:
 def stage_hospitals(raw: DataFrame) -> DataFrame:
     """Typed hospitals with their trauma level and the number of units at their site.
 
-    Site sizes are counted first and joined back, salted where one site holds
-    a large part of the rows; rows with missing site parts belong together.
+    Site sizes are counted and joined back; rows with missing site parts belong together. Spark splits
+    the rows of a site that holds a large part of them.
     """
     site = ["name", "address", "city"]
-    sizes = raw.groupBy(*site).agg(rows().alias("units_at_site"))
-    sized = salted_join(
-        raw, sizes, site, ["id"], "left",
-        key_counts=sizes.withColumnRenamed("units_at_site", "count"), null_safe=True,
-    )
+    sizes = raw.groupBy(*[F.col(c).alias(f"_{c}") for c in site]).agg(rows().alias("units_at_site"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in site]
+    sized = raw.join(sizes, same, "left").drop(*[f"_{c}" for c in site])
     levels = trauma_map(raw.sparkSession).withColumnsRenamed(
         {
             "trauma_raw": "trauma",
@@ -134,9 +132,7 @@ def hospital_access(staged: DataFrame) -> DataFrame:
     found = nearest_target(base, centres, "hospital_id", "nearest_trauma_id").withColumnRenamed(
         "distance_km", "_km"
     )
-    named = lookup_join(
-        found, centres.drop("latitude", "longitude"), ["nearest_trauma_id"], ["hospital_id"]
-    )
+    named = found.join(centres.drop("latitude", "longitude"), "nearest_trauma_id", "left")
     # Without coordinates (or without any centre) a distance is unknown: such a
     # hospital keeps its row, has no centre, falls into the last band and shows
     # up in the distance gate.

@@ -75,8 +75,8 @@ def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# One '"id": "Yes"' pair of the label object.
-_PAIR = r'"([^",:{}]+)"\s*:\s*"([^",:{}]*)"'
+# One '"id": "Yes"' pair of the label object, with nothing but the object's wrapping around it.
+_PAIR = r'^[\s{]*(?:"target"\s*:\s*\{)?\s*"([^",:{}]+)"\s*:\s*"([^",:{}]*)"[\s}]*$'
 _WRAPPING = r'^[\s{}]*("target"\s*:\s*\{)?[\s{}]*$'
 
 

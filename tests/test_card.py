@@ -158,11 +158,34 @@ def test_measures_reject_unknown_names(wh):
 
 
 def test_every_measure_evaluates_in_every_context(wh):
-    for by in ([], ["year", "channel_name"], ["credit_band"], ["card_type", "spend_category"]):
+    assert len(measures.names()) == 31
+    untimed = [m for m in measures.names() if m not in measures.TIME]
+    for by in ([], ["credit_band"], ["card_type", "spend_category"]):
+        df = measures.evaluate(wh, untimed, by=by)
+        assert df.columns == [*by, *untimed] and df.count() > 0
+        with pytest.raises(ValueError, match="time measures need one of"):
+            measures.evaluate(wh, measures.names(), by=by)
+    for by in (["year", "channel_name"], ["credit_band", "month_start"], ["full_date"]):
         df = measures.evaluate(wh, measures.names(), by=by)
         assert df.columns == [*by, *measures.names()] and df.count() > 0
 
 
+def test_time_measures_see_quiet_days_of_every_group(wh):
+    by_day = measures.evaluate(wh, ["total_spend", "spend_mtd"], by=["channel_name", "full_date"]).collect()
+    days = {r.full_date for r in by_day}
+    assert len(by_day) == len(days) * len({r.channel_name for r in by_day})
+    whole = measures.daily_spend(wh).collect()
+    for r in whole:
+        assert sum(x.spend_mtd for x in by_day if x.full_date == r.full_date) == r.spend_mtd
+
+
+def test_filters_meet_the_dimension_before_the_fact(wh):
+    both = measures.evaluate(wh, ["transactions"], by=["card_type"]).collect()
+    for r in both:
+        one = measures.evaluate(wh, ["transactions"], filters={"card_type": [r.card_type]}).first()
+        assert one.transactions == r.transactions
+
+
 def test_spend_per_day_uses_calendar_days(wh):
     row = measures.evaluate(wh, ["total_spend", "spend_per_day"]).first()
     assert row.spend_per_day == pytest.approx(float(row.total_spend) / 5)

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stellate.operators import joins, numbering, periods
+from stellate.functions.geo import cartesian_km
+from stellate.operators import joins, nearest, numbering, periods
 from stellate.operators.gates import GateFailed, counters, duplicate_keys, enforce, key_counters, side_by_side
 from stellate.operators.nearest import nearest_target
 from stellate.operators.shares import with_share
@@ -47,15 +48,6 @@ def test_salted_join_matches_missing_parts_when_asked(spark):
         assert rows_of(found.select("id", "k", "n")) == rows_of(expected.select("id", "k", "n"))
 
 
-def test_lookup_join_broadcasts_only_within_its_bound(spark):
-    rows, lookup = skewed(spark), spark.range(40).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"))
-    small = joins.lookup_join(rows, lookup, ["k"], ["id"])
-    large = joins.lookup_join(rows, lookup, ["k"], ["id"], max_rows=10)
-    assert "hint" in small._jdf.queryExecution().analyzed().toString().lower()
-    assert "hint" not in large._jdf.queryExecution().analyzed().toString().lower()
-    assert rows_of(small.select("id", "v")) == rows_of(large.select("id", "v"))
-
-
 def test_flag_members_keeps_each_row_once(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     members = spark.createDataFrame([(1,), (1,), (3,), (9,)], "id long")
@@ -135,8 +127,9 @@ def scattered(rng, n, lat=(-90, 90), lon=(-180, 180)):
     return [(i, round(rng.uniform(*lat), 4), round(rng.uniform(*lon), 4)) for i in range(n)]
 
 
-@pytest.mark.parametrize("options", [{}, {"crowd": 2}, {"max_broadcast": 0}], ids=["default", "fine", "shuffled"])
-def test_nearest_equals_brute_force(spark, options):
+@pytest.mark.parametrize("bits", [5, 1], ids=["flat", "deep"])
+def test_nearest_equals_brute_force(spark, bits, monkeypatch):
+    monkeypatch.setattr(nearest, "FANOUT_BITS", bits)
     rng = random.Random(7)
     points = scattered(rng, 150)
     # crowds, copies of one place, poles, both sides of the date line, gaps
@@ -145,7 +138,24 @@ def test_nearest_equals_brute_force(spark, options):
     points += [(300 + i, 40.0, -74.0) for i in range(30)] + [(400, 89.9, 170.0), (401, 0.0, -180.0), (402, 0.0, 179.95)]
     points += [(500, None, 1.0), (501, 1.0, None)]
     targets += [(600, None, None)]
-    check_nearest(spark, points, targets, **options)
+    check_nearest(spark, points, targets)
+
+
+def test_two_far_cities_stay_far_below_all_pairs(spark):
+    n = 20_000
+    rng = [F.rand(s) / 5 for s in (1, 2, 3, 4)]
+    here = ["latitude", "longitude"]
+
+    def city(lat, lon, a, b):
+        df = spark.range(n).select("id", (lat + a).alias("latitude"), (lon + b).alias("longitude"))
+        x, y, z = cartesian_km(F.col("latitude"), F.col("longitude"))
+        return df.withColumns({"_x": x, "_y": y, "_z": z})
+
+    points = city(F.lit(40.0), F.lit(-74.0), rng[0], rng[1])
+    order = [nearest._z_order(F.col("latitude"), F.col("longitude")), F.col("id")]
+    sites = numbering.with_position(city(F.lit(48.0), F.lit(2.0), rng[2], rng[3]), order, "_position", "_total")
+    leaves = nearest.reachable_leaves(points.select(*here, "_x", "_y", "_z"), sites, here)
+    assert leaves.count() / n < 100 / 2**nearest.FANOUT_BITS * 8  # leaves of 32 targets each
 
 
 def test_nearest_when_everything_is_far_away(spark):
