@@ -6,16 +6,16 @@ import json
 import os
 import re
 import string
+import sys
 import unicodedata
-
-import numpy as np
+from array import array
 
 #: The split this class relies on: letters, single digits and runs of other characters, white space dropped.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _TAIL = string.punctuation.replace("'", "")
-#: Chunks remembered per worker before the memory starts afresh.
-REMEMBERED = 150_000
+#: Words and chunks remembered per worker before its memory of them starts afresh.
+REMEMBERED_WORDS, REMEMBERED_CHUNKS = 250_000, 80_000
 
 
 def _byte_letters() -> list[str]:
@@ -30,8 +30,8 @@ def _byte_letters() -> list[str]:
     return out
 
 
-class WordEncoder:
-    """Encodes white-space separated chunks once and remembers them.
+class WordEncoder(dict):
+    """Encodes white-space separated chunks once and remembers them, chunk to packed ids.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its chunks in a row. A chunk
     of letters with trailing punctuation is two words to the vocabulary; every other form goes through the library.
@@ -45,51 +45,51 @@ class WordEncoder:
         if parts[0].get("pattern", {}).get("Regex") != _SPLIT:
             raise ValueError("this vocabulary doesn't drop white space; its chunks can't be encoded one by one")
         self._all = Tokenizer.from_str(definition)
-        self._model = self._all.model
+        self._tokenize = self._all.model.tokenize
         self._letters = _byte_letters()
-        self._chunks: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u2").tobytes()
+        packed = array("H", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
-    def _word(self, word: str) -> bytes:
-        held = self._words.get(word)
-        if held is None:
-            plain = word if word.isascii() else "".join(self._letters[b] for b in word.encode())
-            held = self._words[word] = self._pack([t.id for t in self._model.tokenize(plain)])
-        return held
+    def _ids(self, word: str) -> bytes:
+        plain = word if word.isascii() else "".join([self._letters[b] for b in word.encode()])
+        return self._pack([t.id for t in self._tokenize(plain)])
 
-    def _chunk(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str) -> bytes:
         word = chunk.rstrip(_TAIL)
-        if word and word.isalpha():
+        # letters that lower-casing one by one and composing treat alike in Python and in the library
+        if word.isalpha() and (word.isascii() or max(word) <= "\xff" or word == unicodedata.normalize("NFC", word.lower())):
             low = word.lower()
-            # other letters only where lower-casing and composing leave them alone
-            if word.isascii() or (low == word and unicodedata.is_normalized("NFC", word)):
+            held = self._words.get(low)
+            again = held is not None
+            if not again:
+                held = self._words[low] = self._ids(low)
+            if len(word) < len(chunk):
                 tail = chunk[len(word) :]
-                return self._word(low) + (self._word(tail) if tail else b"")
-        return self._pack(self._all.encode(chunk, add_special_tokens=False).ids)
+                rest = self._words.get(tail)
+                if rest is None:
+                    rest = self._words[tail] = self._ids(tail)
+                held = held + rest
+            if again:  # most words never come again: a chunk is kept from its word's second time on
+                self[chunk] = held
+            return held
+        held = self[chunk] = self._pack(self._all.encode(chunk, add_special_tokens=False).ids)
+        return held
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, two bytes each."""
         if _SEPARATORS.search(text):  # Python splits at these, the vocabulary doesn't
             return self._pack(self._all.encode(text, add_special_tokens=False).ids)
-        chunks = text.split()
-        held = self._chunks
-        try:
-            return b"".join(map(held.__getitem__, chunks))
-        except KeyError:
-            if len(held) > REMEMBERED:
-                held.clear()
-                self._words.clear()
-            out = []
-            for c in chunks:
-                ids = held.get(c)
-                if ids is None:
-                    ids = held[c] = self._chunk(c)
-                out.append(ids)
-            return b"".join(out)
+        if len(self) > REMEMBERED_CHUNKS:
+            self.clear()
+        if len(self._words) > REMEMBERED_WORDS:
+            self._words.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
