@@ -29,6 +29,7 @@ def share(column: str, digits: int, within: str = "") -> str:
 
 # -- card ---------------------------------------------------------------------
 
+# Decline reasons, spend categories of the listed codes, bands and their labels.
 _CARD = """
 WITH reasons(error_key, error_name, fault_owner, step) AS (VALUES
   (1, 'Insufficient Balance', 'Customer', 11), (2, 'Bad PIN', 'Customer', 13),
@@ -180,7 +181,8 @@ SELECT spend_category, {n('COUNT(*)', 'stale_credential_declines')}, CAST(ROUND(
 UNION ALL
 SELECT NULL, {n('COUNT(*)', 'a')}, CAST(ROUND(SUM(abs_amount)) AS BIGINT), {n('COUNT(DISTINCT card_id)', 'b')}, 1 FROM s""")
 _STALE = "SUM(CASE WHEN is_stale THEN 1 ELSE 0 END)"
-_SEGMENT = ("CASE WHEN spend_category IN ('Digital & Entertainment', 'Transport & Travel', 'Utilities & Telecom') "
+# Categories that bill a stored card.
+_SEGMENT = ("CASE WHEN spend_category IN ('Transport & Travel', 'Utilities & Telecom', 'Digital & Entertainment') "
             "THEN 'Card-on-file' ELSE 'Card-present' END")
 card("f3_1_7b_stale_rate_by_segment", f"""
 SELECT {_SEGMENT} AS segment, {n('COUNT(*)', 'transactions')}, {n(_STALE, 'stale_credential')},
@@ -226,7 +228,7 @@ card("n_4_evening_shares", f"""
 SELECT block, {n('c', 'transactions')}, {share('c', 1)} AS pct_of_transactions, {n('f', 'fraud_txns')},
   {share('f', 1)} AS pct_of_fraud FROM t""")
 card("n_5_segment_ratios", f"""
-, s AS (SELECT spend_category IN ('Digital & Entertainment', 'Transport & Travel', 'Utilities & Telecom') AS top,
+, s AS (SELECT spend_category IN ('Transport & Travel', 'Utilities & Telecom', 'Digital & Entertainment') AS top,
     CAST({_STALE} AS DOUBLE) / COUNT(*) AS r FROM bi JOIN codes USING (mcc) GROUP BY 1),
 e AS (SELECT hour_of_day IN (17, 18, 19) AS top, CAST({_FRAUDS} AS DOUBLE) / CAST({_LABELLED} AS DOUBLE) AS r FROM bi GROUP BY 1),
 t AS (SELECT CAST(SUM(CASE WHEN fraud THEN abs_amount END) AS DOUBLE) / {_FRAUDS} AS a,
@@ -305,6 +307,7 @@ SELECT client_id, age_band, CAST(age_o AS BIGINT) AS age_band_order, credit_band
 card("p8_card_limit_bands", """
 SELECT card_id, credit_limit, (['Under $5k','$5-15k','$15-30k','$30k+'])[limit_o] AS limit_band,
   CAST(limit_o AS BIGINT) AS limit_band_order FROM dim_card""")
+# Merchant category codes per spend category.
 ORACLE["p10_spend_category"] = """
 WITH p AS (SELECT p_partkey * 7919 % 10000 AS mcc FROM part),
 listed(spend_category, codes) AS (VALUES
@@ -709,11 +712,11 @@ hospital("h3_a_hospital_access", """
 SELECT id AS hospital_id, name AS hospital_name, type AS hospital_type, owner_group, owner AS owner_type, address, city, state,
   'County ' || (n % 30) AS county, CAST(n % 30 AS VARCHAR) AS county_fips, lat AS latitude, lon AS longitude,
   CAST(beds AS BIGINT) AS beds, units AS units_at_site, pad AS has_helipad, category AS trauma_category,
-  CAST(adult AS BIGINT) AS trauma_adult_level, COALESCE(adult, 9) < 3 AS is_level12_trauma, cid AS nearest_trauma_id,
+  CAST(adult AS BIGINT) AS trauma_adult_level, COALESCE(adult <= 2, FALSE) AS is_level12_trauma, cid AS nearest_trauma_id,
   cname AS nearest_trauma_name, cstate AS nearest_trauma_state, tenths / 1e1 AS distance_km,
-  CASE WHEN km >= 200 THEN '> 200 km' WHEN km >= 100 THEN '100-200 km' WHEN km >= 50 THEN '50-100 km' WHEN km >= 25 THEN '25-50 km'
-    ELSE '< 25 km' END AS distance_band,
-  CAST(CASE WHEN km >= 200 THEN 5 WHEN km >= 100 THEN 4 WHEN km >= 50 THEN 3 WHEN km >= 25 THEN 2 ELSE 1 END AS BIGINT)
+  CASE WHEN km < 25 THEN '< 25 km' WHEN km < 50 THEN '25-50 km' WHEN km < 100 THEN '50-100 km' WHEN km < 200 THEN '100-200 km'
+    ELSE '> 200 km' END AS distance_band,
+  CAST(CASE WHEN km < 25 THEN 1 WHEN km < 50 THEN 2 WHEN km < 100 THEN 3 WHEN km < 200 THEN 4 ELSE 5 END AS BIGINT)
     AS distance_band_order FROM acc""")
 _MEDIAN = "floor(quantile_cont(CAST(tenths AS DOUBLE), 0.5) + 0.5) / 1e1"
 _FAR = "SUM(CASE WHEN tenths > 1000 THEN 1 ELSE 0 END)"
