@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stellate.llm.common import struct_array
 from stellate.llm.cutting_stock import solve
 from stellate.llm.tokens import encoder
 from stellate.session import cut_lineage
@@ -29,33 +29,40 @@ _BLOCK = 1 << 20
 #: Rows per window group when running totals are taken.
 _GROUP_BITS = 12
 
-_TOKENS = "struct<ids:binary,tokens:long,full_crc:array<long>,rest_crc:long>"
-
-
-def tokenized(spark: SparkSession, text: str, definition: str, end_id: int, length: int) -> Column:
-    """Ids (two bytes each, end id included), their number, and checksums of the full pieces and the rest."""
-    shared = spark.sparkContext.broadcast(definition)
-
-    @F.arrow_udf(_TOKENS)
-    def run(texts: pa.Array) -> pa.Array:
-        encode = encoder(shared.value).encode
-        end = np.array([end_id], "<u2").tobytes()
-        ids, tokens, full, rest = [], [], [], []
-        for text in texts:  # one at a time: a batch's texts are never all held twice
-            raw = encode(text.as_py()) + end
-            n = len(raw) // 2
-            wide = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
-            cuts = range(0, n // length * length, length)
-            ids.append(raw)
-            tokens.append(n)
-            full.append([zlib.crc32(wide[4 * c : 4 * (c + length)]) for c in cuts])
-            rest.append(zlib.crc32(wide[4 * len(cuts) * length :]))
-        return struct_array(
-            ["ids", "tokens", "full_crc", "rest_crc"],
-            [pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int64())],
-        )
-
-    return run(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+#: Documents of an output batch.
+_ROWS_AT_ONCE = 1000
+
+
+def tokenized(docs: DataFrame, doc_id: str, text: str, definition: str, end_id: int, length: int) -> DataFrame:
+    """Per row: doc_id, ids (two bytes each, end id included), their number, and checksums of the full pieces and the rest."""
+    shared = docs.sparkSession.sparkContext.broadcast(definition)
+    end = np.array([end_id], "<u2").tobytes()
+
+    def of(text: str, encode: Callable[[str], bytes]) -> tuple[bytes, int, list[int], int]:
+        raw = encode(text) + end
+        n = len(raw) // 2
+        wide = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+        cuts = range(0, n // length * length, length)
+        full = [zlib.crc32(wide[4 * c : 4 * (c + length)]) for c in cuts]
+        return raw, n, full, zlib.crc32(wide[4 * len(cuts) * length :])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(shared.value)
+        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                part = batch.slice(at, _ROWS_AT_ONCE)
+                rows = [of(t.as_py(), words.encode) for t in part.column("text")]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                names = ["doc_id", "ids", "tokens", "full_crc", "rest_crc"]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
+        words.forget()  # the worker lives on and may do other work next
+
+    rows = docs.select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
+    )
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, tokens long, full_crc array<long>, rest_crc long")
 
 
 def running_total(rows: DataFrame, order: str, value: str, out: str, bits: int = _GROUP_BITS) -> DataFrame:
@@ -141,12 +148,8 @@ def pack(
     spark = docs.sparkSession
     if length % width:
         raise ValueError("the class width must divide the sequence length")
-    t = F.col("_t")
-    table = cut_lineage(
-        docs.select(F.col(f"`{doc_id}`").alias("doc_id"), tokenized(spark, text, definition, end_id, length).alias("_t"))
-        .select("doc_id", t["ids"].alias("ids"), t["tokens"].alias("tokens"), t["full_crc"].alias("full_crc"), t["rest_crc"].alias("rest_crc"))
-        .withColumn("uid", F.monotonically_increasing_id())
-    )
+    tokens = tokenized(docs, doc_id, text, definition, end_id, length)
+    table = cut_lineage(tokens.withColumn("uid", F.monotonically_increasing_id()))
     facts = table.drop("ids").withColumn("rest", F.col("tokens") % length)
     counts = {int(r["rest"]): r["count"] for r in facts.where("rest > 0").groupBy("rest").count().collect()}  # at most `length` rows
     plan = Plan(counts, length, width)

@@ -15,7 +15,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _TAIL = string.punctuation.replace("'", "")
 #: Words and chunks remembered per worker before its memory of them starts afresh.
-REMEMBERED_WORDS, REMEMBERED_CHUNKS = 250_000, 80_000
+REMEMBERED_WORDS, REMEMBERED_CHUNKS = 120_000, 60_000
 
 
 def _byte_letters() -> list[str]:
@@ -81,6 +81,11 @@ class WordEncoder(dict):
         held = self[chunk] = self._pack(self._all.encode(chunk, add_special_tokens=False).ids)
         return held
 
+    def forget(self) -> None:
+        """Lets go of the remembered words and chunks."""
+        self.clear()
+        self._words.clear()
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, two bytes each."""
         if _SEPARATORS.search(text):  # Python splits at these, the vocabulary doesn't
