@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
 _KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -37,5 +40,13 @@ def unique_prefix(df: DataFrame, stem: str) -> str:
     return name
 
 
+def release_memory() -> None:
+    """Hands back what this worker's allocators keep after a batch: idle workers share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def struct_array(names: list[str], arrays: list[pa.Array]) -> pa.StructArray:
     return pa.StructArray.from_arrays(arrays, names)

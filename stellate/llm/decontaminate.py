@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellate.llm.common import plain_words, unique_prefix, utf8
+from stellate.llm.common import plain_words, release_memory, unique_prefix, utf8
 
 SIMILARITY = 0.8
 #: A repeat agrees on this many places; places of an embedded leak that agree at worst, and the recall aimed at.
@@ -154,7 +155,7 @@ def _windows(index: Index, ids: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
-def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+def find(index: Index, texts: Iterable[bytes]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, last word after the run, edits, words of the item): the best run of each leak."""
     get = index.vocabulary.get
     out: list[tuple[int, int, int, int, int]] = []
@@ -285,9 +286,10 @@ def _lookup(spark: SparkSession, text: str, rows: list, similarity: float) -> Co
         held = shared.value
         index = _index_of(name, held, similarity)
         out: list[list[dict]] = [[] for _ in range(len(batch))]
-        for t, i, last, d, n in find(index, batch.to_pylist()):
+        for t, i, last, d, n in find(index, (text.as_py() for text in batch)):
             for item in held[i][1]:
                 out[t].append({"item_id": item, "end_word": last, "edits": d, "item_words": n, "similarity": 1 - d / n})
+        release_memory()
         return pa.array(out, kind)
 
     return run(utf8(text))

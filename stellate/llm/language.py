@@ -7,7 +7,7 @@ a change of language costs a penalty, labels its spans. The text's language hold
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import crc_of_id, struct_array, unique_prefix
+from stellate.llm.common import crc_of_id, release_memory, struct_array, unique_prefix
 
 #: Expected number of documents per language that the trigram model is fitted on.
 SAMPLE_PER_LANGUAGE = 2000
@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 SWITCH_PENALTY = 6.0
 LEAST_SHARE = 0.5
 _FOREIGN = -20.0
-_TEXT_AT_ONCE = 1 << 20
+_TEXT_AT_ONCE = 1 << 18
 
 #: Script of a word by the first byte of its UTF-8 form: ranges of lead bytes.
 SCRIPTS = (
@@ -119,7 +119,7 @@ def spans(model: Model, text: str, penalty: float = SWITCH_PENALTY) -> list[tupl
     return [(model.languages[labels[a]], a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _batches(texts: list[str]) -> Iterator[list[str]]:
+def _batches(texts: Iterable[str]) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -131,11 +131,11 @@ def _batches(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def predict(model: Model, texts: list[str | None], penalty: float = SWITCH_PENALTY) -> tuple[list[str], list[float]]:
+def predict(model: Model, texts: Iterable[str | None], penalty: float = SWITCH_PENALTY) -> tuple[list[str], list[float]]:
     """Language and its share of the letters; ``und`` and 0 without a letter or without a model."""
     names: list[str] = []
     shares: list[float] = []
-    for part in _batches([t or "" for t in texts]):
+    for part in _batches(t or "" for t in texts):
         n = len(part)
         if not model.languages:
             names += ["und"] * n
@@ -209,7 +209,8 @@ def prediction(text: str, model: Model) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
-        names, shares = predict(model, texts.to_pylist())
+        names, shares = predict(model, (t.as_py() for t in texts))
+        release_memory()
         return struct_array(["lang", "score"], [pa.array(names, pa.string()), pa.array(shares, pa.float64())])
 
     return run(F.col(f"`{text}`"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import struct_array, unique_prefix, utf8
+from stellate.llm.common import release_memory, struct_array, unique_prefix, utf8
 
 #: Bounds of the fitting sample; nothing else is bounded.
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 200
@@ -205,7 +205,8 @@ def verdict(text: str, weights: np.ndarray, moves: np.ndarray) -> Column:
 
     @F.arrow_udf(_VERDICT)
     def run(texts: pa.Array) -> pa.Array:
-        rows = [assess(t, weights, moves) for t in texts.to_pylist()]
+        rows = [assess(t.as_py(), weights, moves) for t in texts]
+        release_memory()
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
         kinds = [pa.int64()] * 5 + [pa.float64()]
         return struct_array(_NAMES, [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)])

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stellate.llm.common import release_memory
 from stellate.llm.cutting_stock import solve
 from stellate.llm.tokens import encoder
 from stellate.session import cut_lineage
@@ -57,6 +58,7 @@ def tokenized(docs: DataFrame, doc_id: str, text: str, definition: str, end_id:
                 names = ["doc_id", "ids", "tokens", "full_crc", "rest_crc"]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
         words.forget()  # the worker lives on and may do other work next
+        release_memory()
 
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import unique_prefix, utf8
+from stellate.llm.common import release_memory, unique_prefix, utf8
 from stellate.llm.components import components
 from stellate.session import cut_lineage
 
@@ -62,7 +62,8 @@ def fingerprint(text: str, shingle: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        values = np.fromiter((fingerprint_of(t, shingle) for t in texts.to_pylist()), np.uint64, len(texts))
+        values = np.fromiter((fingerprint_of(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
+        release_memory()
         return pa.array(values.view(np.int64))
 
     return run(utf8(text))
