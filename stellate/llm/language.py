@@ -24,7 +24,8 @@ BUCKETS = 1 << 16
 SWITCH_PENALTY = 6.0
 LEAST_SHARE = 0.5
 _FOREIGN = -20.0
-_TEXT_AT_ONCE = 1 << 18
+#: Characters that are scored at once, and that are decoded at once.
+_TEXT_AT_ONCE, _DECODED_AT_ONCE = 1 << 18, 1 << 21
 
 #: Script of a word by the first byte of its UTF-8 form: ranges of lead bytes.
 SCRIPTS = (
@@ -119,12 +120,12 @@ def spans(model: Model, text: str, penalty: float = SWITCH_PENALTY) -> list[tupl
     return [(model.languages[labels[a]], a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _batches(texts: Iterable[str]) -> Iterator[list[str]]:
+def _batches(texts: Iterable[str], most: int = _TEXT_AT_ONCE) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
         size += len(t)
-        if size >= _TEXT_AT_ONCE:
+        if size >= most:
             yield part
             part, size = [], 0
     if part:
@@ -135,13 +136,18 @@ def predict(model: Model, texts: Iterable[str | None], penalty: float = SWITCH_P
     """Language and its share of the letters; ``und`` and 0 without a letter or without a model."""
     names: list[str] = []
     shares: list[float] = []
-    for part in _batches(t or "" for t in texts):
+    for part in _batches((t or "" for t in texts), _DECODED_AT_ONCE):
         n = len(part)
         if not model.languages:
             names += ["und"] * n
             shares += [0.0] * n
             continue
-        scores, size, text = word_scores(model, part)
+        scored, before = [], 0
+        for some in _batches(part):
+            scores, size, text = word_scores(model, some)
+            scored.append((scores, size, text + before))
+            before += len(some)
+        scores, size, text = (np.concatenate(column) for column in zip(*scored, strict=True))
         count = np.bincount(text, minlength=n)
         start = np.cumsum(count) - count
         labels = viterbi(scores, start, count, penalty)
