@@ -1,29 +1,41 @@
-"""Main text of web pages: page structure first, a suffix array per host for what structure leaves open.
+"""Main text of web pages: page structure first, a host's sorted suffixes for what structure leaves open.
 
 Tags and class names decide most blocks: inside an article or main element, or in a menu, header, footer, sidebar, notice, advert,
-form or comment. All pages of a host are also laid in one token stream, whose suffixes are sorted to a depth of RUN
-tokens; suffixes that agree so far and lie in several pages are repeated runs. On pages without an article or main element a
+form or comment. The suffixes of all pages of a host are also sorted to a depth of RUN tokens, as codes; suffixes that agree so far
+and lie in several pages are repeated runs. On pages without an article or main element a
 block that such runs mostly cover is boilerplate, and unique runs stay.
+
+Pages are packed into parts in the order they are read, whatever their host. A part lists each of its runs once, with the number
+of its pages that have it; hash buckets sum the lists of all parts and answer each with the runs that are repeated. So
+a host may have any number of pages. Few runs get that far: a repeated run's least code of SKETCH tokens repeats as
+well, and these codes, a fifth as many and short, are summed first.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from stellate.session import cut_lineage
+from stellate.llm.common import release_memory
+from stellate.llm.lm_score import packed, unpacked
 
 #: Tokens of a repeated run, pages it has to lie in, and the share of a block that runs must cover.
 RUN, PAGES, COVERED = 12, 3, 0.5
-#: A host's pages are dealt into parts of about this many pages and bytes.
-PART_PAGES, PART_BYTES = 128, 1 << 20
-_TOKENS_AT_ONCE = 1 << 18
+#: Pages and tokens that fill a part, and expected runs of a bucket.
+PART_PAGES, PART_TOKENS, BUCKET_RUNS = 1 << 14, 1 << 20, 1 << 20
+#: Tokens of the codes that are summed first, and their bits beyond those that number all tokens.
+SKETCH, SPARE_BITS = 4, 6
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 CHROME, MAIN, OPEN = 0, 1, 2
 
@@ -140,83 +152,210 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return [(z, " ".join(pieces)) for z, pieces in found]
 
 
-_BLOCKS = "array<struct<zone:tinyint,text:string>>"
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _BASE
+    return x ^ (x >> np.uint64(29))
 
 
-def blocks(page: str) -> Column:
-    """The blocks of an html column; null is an empty page."""
+def _codes(words: np.ndarray, host: np.ndarray, size: int) -> np.ndarray:
+    """A code for every ``size`` tokens in a row and the host of the first; tokens and hosts are given as hashes."""
+    n = max(0, len(words) - size + 1)
+    out = host[:n].copy()
+    for i in range(size):
+        out = (out ^ (out >> np.uint64(29))) * _BASE + words[i : i + n]
+    return _mix(out)
 
-    @F.arrow_udf(_BLOCKS)
-    def run(pages: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("zone", pa.int8()), ("text", pa.string())]))
-        return pa.array([[{"zone": z, "text": t} for z, t in blocks_of(p or "")] for p in pages.to_pylist()], kind)
 
-    return run(F.col(f"`{page}`"))
+def _starts(page: np.ndarray, run: int) -> np.ndarray:
+    """Where runs start that don't leave their page."""
+    return np.flatnonzero(page[: max(0, len(page) - run + 1)] == page[run - 1 :])
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, host: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """Marks tokens inside a run of ``run`` tokens that lies in ``pages`` pages or more of its host.
+def _sketches(words: np.ndarray, host: np.ndarray, run: int) -> np.ndarray:
+    """For every run the least code of a few of its tokens: equal runs have equal ones."""
+    size = min(run, SKETCH)
+    codes = _codes(words, host, size)
+    n = max(0, len(words) - run + 1)
+    least = codes[:n].copy()
+    for i in range(1, run - size + 1):
+        np.minimum(least, codes[i : i + n], out=least)
+    return _mix(least)
 
-    Suffixes are ranked by their first 1, 2, 4, ... tokens by prefix doubling, up to ``run``; a suffix that
-    leaves its page before that has no run.
-    """
-    n = len(tokens)
-    out = np.zeros(n, bool)
-    if n < run:
-        return out
-    rank = np.unique(np.stack([host, tokens]), axis=1, return_inverse=True)[1].ravel().astype(np.int64)
-    length = 1
-    while length < run:
-        step = min(length, run - length)
-        pair = rank[: len(rank) - step] * (n + 1) + rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1]
-        length += step
-    start = np.flatnonzero(page[: len(rank)] == page[run - 1 : run - 1 + len(rank)])
-    order = start[np.lexsort((page[start], rank[start]))]
-    if not len(order):
-        return out
-    new_class = np.ones(len(order), bool)
-    new_class[1:] = rank[order[1:]] != rank[order[:-1]]
-    new_page = new_class.copy()
-    new_page[1:] |= page[order[1:]] != page[order[:-1]]
-    classes = np.cumsum(new_class) - 1
-    often = np.bincount(classes, new_page)[classes] >= pages
+
+def _counts(codes: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes by size and the number of pages of each; pages come in rising order."""
+    order = np.argsort(codes, kind="stable")
+    codes, page = codes[order], page[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    new_page = new.copy()
+    new_page[1:] |= page[1:] != page[:-1]
+    first = np.flatnonzero(new)
+    return codes[first], np.add.reduceat(new_page.astype(np.int64), first) if len(first) else first
+
+
+def _marks(n: int, at: np.ndarray, run: int) -> np.ndarray:
+    """Marks the ``run`` tokens from each place."""
     edge = np.zeros(n + 1, np.int64)
-    at = order[often]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + run, -1)
+    edge[at] += 1
+    edge[at + run] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
-def _texts(rows: list[dict], run: int, pages: int) -> Iterator[tuple[str, int]]:
-    """Main text and number of repeated tokens of each page; the rows hold whole parts of hosts."""
+def repeated(tokens: np.ndarray, page: np.ndarray, host: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
+    """Marks tokens inside a run of ``run`` tokens that lies in ``pages`` pages or more of its host.
+
+    Suffixes are sorted by the code of their host and first ``run`` tokens; a suffix that leaves its page before that has no run.
+    """
+    start = _starts(page, run)
+    codes = _codes(_mix(tokens.astype(np.uint64) + np.uint64(1)), _mix(~host.astype(np.uint64)), run)[start]
+    found, n = _counts(codes, page[start])
+    return _marks(len(tokens), start[np.isin(codes, found[n >= pages])], run)
+
+
+def _parts(id_type: pa.DataType):
+    """Packs pages, as zones and texts of their blocks, into one row per part."""
+    kinds = pa.schema([
+        ("page_id", id_type), ("url", pa.string()), ("host", pa.string()), ("zones", pa.list_(pa.int8())), ("texts", pa.list_(pa.string())),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        tokens = number = 0
+        task = TaskContext.get().partitionId()
+
+        def done() -> pa.RecordBatch:
+            ids, *columns = zip(*rows, strict=True)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kinds, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                columns = [pa.array(c, k) for c, k in zip(columns, kinds.types[1:], strict=True)]
+                out.write_batch(pa.record_batch([pa.array(ids, id_type), *columns], schema=kinds))
+            data = sink.getvalue().to_pybytes()
+            return pa.record_batch({
+                "part": pa.array([task], pa.int32()), "number": pa.array([number], pa.int32()),
+                "key": pa.array([xxhash.xxh64_intdigest(data) - (1 << 63)], pa.int64()), "pages": pa.array([data], pa.binary()),
+            })
+
+        for batch in batches:
+            for page_id, url, host, page in zip(*(batch.column(c) for c in ("page_id", "url", "host", "html")), strict=True):
+                found = blocks_of(page.as_py() or "")
+                rows.append((page_id.as_py(), url.as_py(), host.as_py(), [z for z, _ in found], [t for _, t in found]))
+                tokens += sum(t.count(" ") + 1 for _, t in found)
+                if tokens >= PART_TOKENS or len(rows) >= PART_PAGES:
+                    yield done()
+                    rows, tokens, number = [], 0, number + 1
+        if rows:
+            yield done()
+
+    return run
+
+
+def _read(data: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+    """The pages of a part, and of all their tokens the hash, the page and the host's hash."""
+    pages = pa.ipc.open_stream(data).read_next_batch()
     number: dict[str, int] = {}
-    groups: dict[tuple[str, int], int] = {}
-    tokens, owner, group, sizes = [], [], [], []
-    for p, row in enumerate(rows):
-        g = groups.setdefault((row["host"], row["part"]), len(groups))
-        for b in row["blocks"]:
-            words = b["text"].split()
-            tokens += [number.setdefault(w, len(number)) for w in words]
-            sizes.append(len(words))
-            owner += [p] * len(words)
-            group += [g] * len(words)
-    marked = repeated(np.array(tokens, np.int64), np.array(owner, np.int64), np.array(group, np.int64), run, pages)
+    words = []
+    for texts in pages.column("texts"):
+        words.append(np.array([number.setdefault(w, len(number)) for t in texts for w in t.as_py().split()], np.int64))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number), np.uint64, len(number))
+    hosts = np.fromiter((xxhash.xxh64_intdigest(h, 1) for h in pages.column("host").to_pylist()), np.uint64, len(words))
+    page = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    return pages, hashes[np.concatenate(words)], page, hosts[page]
+
+
+_LISTS = "bucket long, part int, number int, key long, codes binary, times binary"
+_ANSWERS = "part int, number int, key long, codes binary"
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _told(row: dict) -> np.ndarray:
+    """The repeated codes that the buckets answered a part."""
+    if any(a["key"] != row["key"] for a in row["answers"] or ()):
+        raise RuntimeError("the pages were read in another order the second time")
+    return np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(unpacked(a["codes"]), dtype=np.uint64) for a in row["answers"] or ())])
+
+
+def _lists(run: int, pages: int, bits: int, short: int, sketches: bool):
+    """Lists the codes of each part per bucket: of sketches, or of the runs whose sketch is repeated."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            _, words, page, host = _read(row["pages"])
+            start = _starts(page, run)
+            codes, width = _sketches(words, host, run)[start] >> np.uint64(64 - short), short
+            if not sketches:
+                start = start[np.isin(codes, _told(row))]
+                codes, width = _codes(words, host, run)[start], 64
+            codes, times = _counts(codes, page[start])
+            bucket = (codes >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(codes), np.int64)
+            first = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+            spans = list(zip(first, [*first[1:], len(bucket)], strict=False))
+            yield pa.record_batch({
+                "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int64()),
+                "part": pa.array([row["part"]] * len(spans), pa.int32()),
+                "number": pa.array([row["number"]] * len(spans), pa.int32()),
+                "key": pa.array([row["key"]] * len(spans), pa.int64()),
+                "codes": pa.array([packed(np.diff(codes[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
+                "times": pa.array([packed(np.minimum(times[a:b], pages)) for a, b in spans], pa.binary()),
+            })
+            release_memory()
+
+    return make
+
+
+def _answer(pages: int):
+    """The codes of each list that lie in enough pages of all parts; rows come sorted by bucket."""
+
+    def done(held: list[dict]) -> pa.RecordBatch:
+        lists = [np.cumsum(unpacked(r["codes"]), dtype=np.uint64) for r in held]
+        times = np.concatenate([unpacked(r["times"]) for r in held]).astype(np.int64)
+        codes, number = np.unique(np.concatenate(lists), return_inverse=True)
+        often = (np.bincount(number, times) >= pages)[number]
+        ends = np.cumsum([len(x) for x in lists])[:-1]
+        told = [(r, x[o]) for r, x, o in zip(held, lists, np.split(often, ends), strict=True) if o.any()]
+        return pa.record_batch({
+            "part": pa.array([r["part"] for r, _ in told], pa.int32()),
+            "number": pa.array([r["number"] for r, _ in told], pa.int32()),
+            "key": pa.array([r["key"] for r, _ in told], pa.int64()),
+            "codes": pa.array([packed(np.diff(x, prepend=np.uint64(0))) for _, x in told], pa.binary()),
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for row in _rows(batches):
+            if held and held[0]["bucket"] != row["bucket"]:
+                yield done(held)
+                held = []
+            held.append(row)
+        if held:
+            yield done(held)
+        release_memory()
+
+    return run
+
+
+def _texts(pages: pa.RecordBatch, marked: np.ndarray) -> Iterator[tuple[str, int]]:
+    """Main text and number of repeated tokens of each page of a part."""
     seen = np.concatenate([[0], np.cumsum(marked)])
-    at = i = 0
-    for row in rows:
+    at = 0
+    for zones, texts in zip(pages.column("zones"), pages.column("texts"), strict=True):
         main, unique, plain = [], [], []
         first = at
-        for b in row["blocks"]:
-            covered = int(seen[at + sizes[i]] - seen[at])
-            if b["zone"] == MAIN:
-                main.append(b["text"])
-            elif b["zone"] == OPEN:
-                plain.append(b["text"])
-                if covered <= COVERED * sizes[i]:
-                    unique.append(b["text"])
-            at += sizes[i]
-            i += 1
+        for zone, text in zip(zones.as_py(), texts.as_py(), strict=True):
+            size = text.count(" ") + 1
+            covered = int(seen[at + size] - seen[at])
+            if zone == MAIN:
+                main.append(text)
+            elif zone == OPEN:
+                plain.append(text)
+                if covered <= COVERED * size:
+                    unique.append(text)
+            at += size
         # a page all of whose open blocks repeat is a copy: its text stays
         yield " ".join(main or unique or plain), int(seen[at] - seen[first])
 
@@ -226,9 +365,9 @@ def extract(
 ) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars, n_repeated.
 
-    ``n_repeated`` counts the page's tokens in runs repeated on its host. Null and empty pages have an empty text. A null
-    url is a host of its own. Repeated rows and null ids keep their row, an empty table gives an empty result, and other
-    columns are not looked at. Hosts above PART_PAGES pages or PART_BYTES bytes are dealt into parts by a hash; runs are found within a part.
+    ``n_repeated`` counts the page's tokens in runs repeated on its host, however many pages that has. Null and empty pages have an
+    empty text. A null url is a host of its own. Repeated rows and null ids keep their row and count as pages of their own, an empty
+    table gives an empty result, and other columns are not looked at.
     """
     rows = pages.select(
         F.col(f"`{page_id}`").alias("page_id"),
@@ -236,46 +375,33 @@ def extract(
         F.col(f"`{page}`").alias("html"),
         F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)).alias("host"),
     )
-    sizes = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
-    parts = F.ceil(F.greatest(F.col("n") / PART_PAGES, F.coalesce("bytes", F.lit(0)) / PART_BYTES)).cast("long")
-    large = cut_lineage(sizes.select(F.col("host").alias("large_host"), parts.alias("parts")).where("parts > 1"))
-    dealt = rows.join(large, F.col("host") == F.col("large_host"), "left").select(
-        "page_id", "url", "host",
-        F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), "parts")).cast("long").alias("part"),
-        blocks("html").alias("blocks"),
-    )
+    tokens = (rows.agg(F.sum(F.octet_length("html")).alias("n")).first()["n"] or 0) / 8
+    bits = max(0, math.ceil(math.log2(max(1, tokens / BUCKET_RUNS))))
+    short = min(64, math.ceil(math.log2(max(1, tokens))) + SPARE_BITS)
+    id_type = to_arrow_type(rows.schema["page_id"].dataType)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        tokens = 0
-
-        def done(rows: list[dict]) -> pa.RecordBatch:
-            texts, counts = zip(*_texts(rows, run, in_pages), strict=True)
-            names = ["page_id", "url", "text", "n_chars", "n_repeated"]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["page_id"] for r in rows], id_type),
-                    pa.array([r["url"] for r in rows], pa.string()),
-                    pa.array(texts, pa.string()),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(counts, pa.int64()),
-                ],
-                names,
-            )
-
-        id_type = pa.int64()
-        for batch in batches:
-            id_type = batch.schema.field("page_id").type
-            for start in range(0, batch.num_rows, 256):
-                for row in batch.slice(start, 256).to_pylist():
-                    if tokens >= _TOKENS_AT_ONCE and (row["host"], row["part"]) != (held[-1]["host"], held[-1]["part"]):
-                        yield done(held)
-                        held, tokens = [], 0
-                    held.append(row)
-                    tokens += sum(b["text"].count(" ") + 1 for b in row["blocks"])
-        if held:
-            yield done(held)
-
+        for row in _rows(batches):
+            held, words, page, host = _read(row["pages"])
+            start = _starts(page, run)
+            at = start[np.isin(_codes(words, host, run)[start], _told(row))]
+            texts, counts = zip(*_texts(held, _marks(len(words), at, run)), strict=True)
+            yield pa.record_batch({
+                "page_id": held.column("page_id"), "url": held.column("url"), "text": pa.array(texts, pa.string()),
+                "n_chars": pa.array([len(t) for t in texts], pa.int64()), "n_repeated": pa.array(counts, pa.int64()),
+            })
+            release_memory()
+
+    # shuffled once: all three readers below share this exchange
+    parts = rows.mapInArrow(_parts(id_type), "part int, number int, key long, pages binary").repartition("part", "number")
+
+    def answered(lists: DataFrame) -> DataFrame:
+        """The parts, each with what the buckets answer to its lists."""
+        dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
+        answers = dealt.mapInArrow(_answer(in_pages), _ANSWERS).groupBy("part", "number").agg(F.collect_list(F.struct("key", "codes")).alias("answers"))
+        return parts.join(answers, ["part", "number"], "left")
+
+    sketched = answered(parts.mapInArrow(_lists(run, in_pages, bits, short, True), _LISTS))
+    met = answered(sketched.mapInArrow(_lists(run, in_pages, bits, short, False), _LISTS))
     kind = dict(rows.dtypes)["page_id"]
-    placed = dealt.repartition("host", "part").sortWithinPartitions("host", "part")
-    return placed.mapInArrow(finish, f"page_id {kind}, url string, text string, n_chars long, n_repeated long")
+    return met.mapInArrow(finish, f"page_id {kind}, url string, text string, n_chars long, n_repeated long")

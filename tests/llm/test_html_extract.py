@@ -90,3 +90,18 @@ def test_large_hosts_are_dealt_into_parts(spark, monkeypatch):
     monkeypatch.setattr(hx, "PART_PAGES", 10)
     rows = [(i, f"https://h.example/{i}", f"<article>{awkward.words(20, i)}</article>") for i in range(60)]
     assert texts(spark, rows) == {i: awkward.words(20, i) for i in range(60)}
+
+
+def on_a_host(n: int, repeats: int) -> list[tuple]:
+    """Pages of one host, one in n / repeats of which holds the same 20 words."""
+    shared = f"<p>{awkward.words(20, 1)}</p>"
+    return [(i, f"https://h.example/{i}", f"<body>{shared if i % (n // repeats) == 0 else ''}<p>{awkward.words(15, 100 + i)}</p></body>") for i in range(n)]
+
+
+def test_runs_are_found_across_a_whole_host(spark, monkeypatch):
+    rows = on_a_host(900, 3) + [(1000 + i, f"https://two.example/{i}", f"<p>{awkward.words(20, 1)}</p>") for i in range(2)]
+    got = {r["page_id"]: r["n_repeated"] for r in hx.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {i: 20 if i in (0, 300, 600) else 0 for i in [*range(900), 1000, 1001]}
+    monkeypatch.setattr(hx, "PART_PAGES", 50)
+    monkeypatch.setattr(hx, "BUCKET_RUNS", 1000)
+    assert {r["page_id"]: r["n_repeated"] for r in hx.extract(spark.createDataFrame(rows, PAGE)).collect()} == got
