@@ -2,8 +2,8 @@
 
 Tags and class names decide most blocks: inside an article or main element, or in a menu, header, footer, sidebar, notice, advert,
 form or comment. The suffixes of all pages of a host are also sorted to a depth of RUN tokens, as codes; suffixes that agree so far
-and lie in several pages are repeated runs. On pages without an article or main element a
-block that such runs mostly cover is boilerplate, and unique runs stay.
+and lie in several pages are repeated runs. On pages without an article or main element they
+are cut out of the blocks, and unique runs stay.
 
 Pages are packed into parts in the order they are read, whatever their host. A part lists each of its runs once, with the number
 of its pages that have it; hash buckets sum the lists of all parts and answer each with the runs that are repeated. So
@@ -29,8 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from stellate.llm.common import release_memory
 from stellate.llm.lm_score import packed, unpacked
 
-#: Tokens of a repeated run, pages it has to lie in, and the share of a block that runs must cover.
-RUN, PAGES, COVERED = 12, 3, 0.5
+#: Tokens of a repeated run, and pages it has to lie in.
+RUN, PAGES = 12, 3
 #: Pages and tokens that fill a part, and expected runs of a bucket.
 PART_PAGES, PART_TOKENS, BUCKET_RUNS = 1 << 14, 1 << 20, 1 << 20
 #: Tokens of the codes that are summed first, and their bits beyond those that number all tokens.
@@ -341,23 +341,20 @@ def _answer(pages: int):
 
 def _texts(pages: pa.RecordBatch, marked: np.ndarray) -> Iterator[tuple[str, int]]:
     """Main text and number of repeated tokens of each page of a part."""
-    seen = np.concatenate([[0], np.cumsum(marked)])
     at = 0
     for zones, texts in zip(pages.column("zones"), pages.column("texts"), strict=True):
         main, unique, plain = [], [], []
         first = at
         for zone, text in zip(zones.as_py(), texts.as_py(), strict=True):
             size = text.count(" ") + 1
-            covered = int(seen[at + size] - seen[at])
             if zone == MAIN:
                 main.append(text)
             elif zone == OPEN:
                 plain.append(text)
-                if covered <= COVERED * size:
-                    unique.append(text)
+                unique += [w for w, m in zip(text.split(), marked[at : at + size].tolist(), strict=True) if not m]
             at += size
         # a page all of whose open blocks repeat is a copy: its text stays
-        yield " ".join(main or unique or plain), int(seen[at] - seen[first])
+        yield " ".join(main or unique or plain), int(marked[first:at].sum())
 
 
 def extract(

@@ -105,3 +105,10 @@ def test_runs_are_found_across_a_whole_host(spark, monkeypatch):
     monkeypatch.setattr(hx, "PART_PAGES", 50)
     monkeypatch.setattr(hx, "BUCKET_RUNS", 1000)
     assert {r["page_id"]: r["n_repeated"] for r in hx.extract(spark.createDataFrame(rows, PAGE)).collect()} == got
+
+
+def test_unique_runs_of_a_partly_repeated_block_stay(spark):
+    shared, own = awkward.words(14, 1), [awkward.words(13, 100 + i) for i in range(4)]
+    long = [awkward.words(40, 200 + i) for i in range(4)]
+    rows = [(i, f"https://h.example/{i}", f"<div>{shared} {own[i]}</div><div>{long[i]} {shared}</div>") for i in range(4)]
+    assert texts(spark, rows) == {i: f"{own[i]} {long[i]}" for i in range(4)}
