@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 
 from stellate.llm import html_extract as hx
 from tests.llm import awkward
@@ -112,3 +115,12 @@ def test_unique_runs_of_a_partly_repeated_block_stay(spark):
     long = [awkward.words(40, 200 + i) for i in range(4)]
     rows = [(i, f"https://h.example/{i}", f"<div>{shared} {own[i]}</div><div>{long[i]} {shared}</div>") for i in range(4)]
     assert texts(spark, rows) == {i: f"{own[i]} {long[i]}" for i in range(4)}
+
+
+def test_copies_of_a_row_spread_over_parts(monkeypatch):
+    monkeypatch.setattr(hx, "PART_PAGES", 10)
+    monkeypatch.setattr(hx.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    copy = {"page_id": None, "url": None, "host": "", "html": f"<article>{awkward.words(20, 1)}</article>"}
+    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("html", pa.string())])
+    parts = list(hx._parts(pa.int64())([pa.RecordBatch.from_pylist([copy] * 95, kinds)]))
+    assert [hx._read(p.column("pages")[0].as_py())[0].num_rows for p in parts] == [10] * 9 + [5]
