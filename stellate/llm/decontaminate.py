@@ -1,10 +1,12 @@
 """Benchmark decontamination by edit distance.
 
 A benchmark item leaks into a text if some run of the text's words is within ``1 - similarity`` of the item's length in word edits.
-Item-sized windows are laid where a piece of the item occurs: of k + 1 pieces, k edits leave
-one whole, so no leak is without a window. Item and window are embedded by CGK random walks, which turn
-few edits into few differing places; windows that agree with their item on sampled places in any of several
-repeats go on, and a banded edit distance over the window's surroundings verifies them exactly.
+An item has k + 1 pieces, and its segments, of at most about SEGMENT_WORDS words, have some of them each. k edits leave some
+segment with fewer edits than pieces, so with a whole piece; windows of a segment's size are laid where a piece of it
+occurs, so no leak is without a window. Segment and window are embedded by CGK random walks, which turn
+few edits into few differing places, and which drift apart over long texts, so that whole items are not embedded; windows that
+agree with their segment on sampled places in any of several repeats go on, and a banded edit distance of the
+item over the window's surroundings verifies them exactly.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ SIMILARITY = 0.8
 SAMPLED, AGREEING, RECALL = 2, 0.35, 0.99
 REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREEING**SAMPLED))
 WALK = 3  # steps per word
+SEGMENT_WORDS = 30  # walks that long agree as said above
 #: Expected words of a block of benchmark items; blocks are looked up one after the other.
 BLOCK_WORDS = 500_000
-_WORDS_AT_ONCE, _WINDOWS_AT_ONCE = 1 << 19, 1 << 13
+_WORDS_AT_ONCE, _WINDOWS_AT_ONCE, _CELLS_AT_ONCE = 1 << 19, 1 << 13, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,12 +80,13 @@ def edit_distances(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class Index:
-    """Benchmark items as word ids, and their pieces by length."""
+    """Benchmark items as word ids, their segments (item, first word, word after the last) and their pieces by length."""
 
     similarity: float = SIMILARITY
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     items: list[np.ndarray] = field(default_factory=list)
     edits: list[int] = field(default_factory=list)
+    segments: list[tuple[int, int, int]] = field(default_factory=list)
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -103,8 +107,14 @@ class Index:
                 continue
             size = len(ids) // (k + 1)
             codes = _codes(ids, size)
-            for piece in range(k + 1):
-                entries.setdefault(size, []).append((int(codes[piece * size]), number, piece * size))
+            places = [piece * len(ids) // (k + 1) for piece in range(k + 1)]
+            parts = min(k + 1, math.ceil(len(ids) / SEGMENT_WORDS))
+            cuts = [part * (k + 1) // parts for part in range(parts + 1)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                first = places[a]
+                for place in places[a:b]:
+                    entries.setdefault(size, []).append((int(codes[place]), len(index.segments), place - first))
+                index.segments.append((number, first, places[b] if b <= k else len(ids)))
         for size, rows in entries.items():
             rows.sort()
             code = np.array([r[0] for r in rows], np.uint64)
@@ -114,11 +124,13 @@ class Index:
             index.pieces[size] = (unique, first, ends, owners)
         return index
 
-    def embedded(self, item: int, repeat: int) -> np.ndarray:
-        key = (item, repeat)
+    def embedded(self, segment: int, repeat: int) -> np.ndarray:
+        """The walk over a segment at the places sampled."""
+        key = (segment, repeat)
         if key not in self._embedded:
-            ids = self.items[item]
-            self._embedded[key] = embed(ids[None, :], WALK * len(ids), repeat)[0]
+            item, first, end = self.segments[segment]
+            places = sampled_places(WALK * (end - first), repeat)
+            self._embedded[key] = embed(self.items[item][None, first:end], int(places[-1]) + 1, repeat)[0, places]
         return self._embedded[key]
 
 
@@ -132,7 +144,7 @@ def _codes(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def _windows(index: Index, ids: np.ndarray) -> np.ndarray:
-    """Distinct (item, start) of the windows that a piece of the item puts there; ``ids`` holds texts parted by zeros."""
+    """Distinct (segment, start) of the windows that a piece of the segment puts there; ``ids`` holds texts parted by zeros."""
     known = np.concatenate([[0], np.cumsum(ids > 0)])
     found = []
     for size, (codes, first, ends, owners) in index.pieces.items():
@@ -190,32 +202,36 @@ def _leaks(index: Index, ids: np.ndarray, begin: np.ndarray) -> list[tuple[int,
     best: dict[tuple[int, int], tuple[int, int]] = {}
     runs = np.flatnonzero(np.diff(windows[:, 0], prepend=-1)).tolist()
     cuts = sorted({*runs, *range(0, len(windows), _WINDOWS_AT_ONCE), len(windows)})
-    for a, b in zip(cuts, cuts[1:], strict=False):  # windows of one item
-        item = int(windows[a, 0])
-        words, k = index.items[item], index.edits[item]
+    found = []  # item, start of the item
+    for a, b in zip(cuts, cuts[1:], strict=False):  # windows of one segment
+        segment = int(windows[a, 0])
+        item, first, end = index.segments[segment]
         start = windows[a:b, 1]
-        n = len(words)
-        rows = ids[start[:, None] + np.arange(n)]
-        steps = WALK * n
+        rows = ids[start[:, None] + np.arange(end - first)]
         near = np.zeros(len(start), bool)
         for repeat in range(REPEATS):
             left = np.flatnonzero(~near)
             if not len(left):
                 break
-            places = sampled_places(steps, repeat)
+            places = sampled_places(WALK * (end - first), repeat)
             walk = embed(rows[left], int(places[-1]) + 1, repeat)[:, places]
-            near[left] = (walk == index.embedded(item, repeat)[places]).all(axis=1)
-        start = start[near]
-        if not len(start):
-            continue
-        low = start - k  # other runs of the text may start up to k words off
-        edits, end = edit_distances(words, ids[low[:, None] + np.arange(n + 2 * k)])
-        for first, d, e in zip(low[edits <= k], edits[edits <= k], end[edits <= k], strict=True):
-            last = int(first + e)
-            text = int(np.searchsorted(begin, last, side="left") - 1)
-            rank = (int(d), last - int(begin[text]))
-            if rank < best.get((text, item), (1 << 60, 0)):
-                best[text, item] = rank
+            near[left] = (walk == index.embedded(segment, repeat)).all(axis=1)
+        found.append(np.stack([np.full(near.sum(), item), start[near] - first], axis=1))
+    near_items = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+    for item in np.unique(near_items[:, 0]).tolist():
+        words, k = index.items[item], index.edits[item]
+        n = len(words)
+        starts = near_items[near_items[:, 0] == item, 1]
+        step = max(1, _CELLS_AT_ONCE // (n + 2 * k))
+        for a in range(0, len(starts), step):
+            low = starts[a : a + step] - k  # other runs of the text may start up to k words off
+            edits, end = edit_distances(words, ids[low[:, None] + np.arange(n + 2 * k)])
+            for begins, d, e in zip(low[edits <= k], edits[edits <= k], end[edits <= k], strict=True):
+                last = int(begins + e)
+                text = int(np.searchsorted(begin, last, side="left") - 1)
+                rank = (int(d), last - int(begin[text]))
+                if rank < best.get((text, item), (1 << 60, 0)):
+                    best[text, item] = rank
     return [(t, i, last, d, len(index.items[i])) for (t, i), (d, last) in sorted(best.items())]
 
 

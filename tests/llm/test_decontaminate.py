@@ -125,3 +125,20 @@ def test_empty_tables(spark):
     assert dc.leaks(awkward.documents(spark), bench).collect() == []
     assert dc.leaks(awkward.empty(spark), bench).collect() == []
     assert dc.clean(awkward.documents(spark), bench).count() == len(awkward.document_rows())
+
+
+def test_recall_of_long_items():
+    for size, trials in ((60, 40), (120, 20), (250, 20), (500, 12)):
+        rng = random.Random(size)
+        items = [awkward.words(size, 5000 + i) for i in range(4)]
+        index = dc.Index.of([i.encode() for i in items])
+        texts = []
+        for n in range(trials):  # half of them lose words only
+            words = items[n % 4].split()
+            if n % 2:
+                words = edited(words, size // 5, rng)
+            else:
+                words = [words[i] for i in sorted(rng.sample(range(size), size - size // 5))]
+            texts.append(" ".join([awkward.words(20, n), *words, awkward.words(20, n + 1)]).encode())
+        found = {(t, i) for t, i, *_ in dc.find(index, texts)}
+        assert sum((n, n % 4) in found for n in range(trials)) >= 0.97 * trials
