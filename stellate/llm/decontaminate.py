@@ -247,15 +247,16 @@ def leaks(
     """One row (doc_id, item_id, end_word, edits, item_words, similarity) per row of ``docs`` and leaked item.
 
     ``end_word`` is the word after the best run, the earliest of the best. Null and empty texts and items without words leak nothing; items
-    that repeat are each reported; null ids keep their rows; other columns are not looked at. The benchmark is
-    looked up in blocks of bounded size.
+    that repeat are each reported; null ids keep their rows; other columns are not looked at. The benchmark's distinct texts are
+    looked up in blocks of bounded size, and the item ids joined to what leaks.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    out = None
-    for column in leak_columns("text", benchmark, item_id, item_text, similarity):
+    found = None
+    for column in leak_columns("text", benchmark, item_text, similarity):
         part = rows.select("doc_id", F.explode(column).alias("leak")).select("doc_id", "leak.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+        found = part if found is None else found.unionByName(part)
+    ids = benchmark.select(F.sha2(utf8(item_text), 256).alias("item_key"), F.col(f"`{item_id}`").cast("long").alias("item_id"))
+    return found.join(ids, "item_key").select("doc_id", "item_id", "end_word", "edits", "item_words", "similarity")
 
 
 def clean(
@@ -266,35 +267,31 @@ def clean(
     item_text: str = "text",
     similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that leak no item."""
+    """The rows of ``docs``, with all their columns, that leak no item; ``item_id`` is not looked at."""
     mark = unique_prefix(docs, "_leaks")
-    for column in leak_columns(text, benchmark, item_id, item_text, similarity):
+    for column in leak_columns(text, benchmark, item_text, similarity):
         docs = docs.withColumn(mark, column).where(F.size(mark) == 0).drop(mark)
     return docs
 
 
-def leak_columns(
-    text: str, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY
-) -> list[Column]:
-    """One column per block of the benchmark: the leaks of its items in a text column."""
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("id"), utf8(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+def leak_columns(text: str, benchmark: DataFrame, item_text: str = "text", similarity: float = SIMILARITY) -> list[Column]:
+    """One column per block of the benchmark's distinct texts: the leaks of these in a text column, by the texts' SHA-256."""
+    texts = benchmark.select(utf8(item_text).alias("text")).where(F.octet_length("text") > 0).distinct()
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / 6 / BLOCK_WORDS))
-    parts = [items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("id", "text") for b in range(blocks)]
-    return [_lookup(benchmark.sparkSession, text, part.collect(), similarity) for part in parts]
+    parts = (texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("text") for b in range(blocks))
+    keyed = (part.select("text", F.sha2("text", 256).alias("key")) for part in parts)
+    return [_lookup(benchmark.sparkSession, text, part.collect(), similarity) for part in keyed]  # one block at a time
 
 
-_LEAK = "array<struct<item_id:long,end_word:long,edits:long,item_words:long,similarity:double>>"
+_LEAK = "array<struct<item_key:string,end_word:long,edits:long,item_words:long,similarity:double>>"
 
 
 def _lookup(spark: SparkSession, text: str, rows: list, similarity: float) -> Column:
-    texts: dict[bytes, list[int]] = {}
-    for r in rows:
-        texts.setdefault(bytes(r["text"]), []).append(r["id"])
-    shared = spark.sparkContext.broadcast(list(texts.items()))  # one block, bounded by BLOCK_WORDS
+    shared = spark.sparkContext.broadcast([(bytes(r["text"]), r["key"]) for r in rows])  # one block, bounded by BLOCK_WORDS
     name = uuid.uuid4().hex
     kind = pa.list_(pa.struct([
-        ("item_id", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int64()), ("item_words", pa.int64()), ("similarity", pa.float64()),
+        ("item_key", pa.string()), ("end_word", pa.int64()), ("edits", pa.int64()), ("item_words", pa.int64()), ("similarity", pa.float64()),
     ]))
 
     @F.arrow_udf(_LEAK)
@@ -303,8 +300,7 @@ def _lookup(spark: SparkSession, text: str, rows: list, similarity: float) -> Co
         index = _index_of(name, held, similarity)
         out: list[list[dict]] = [[] for _ in range(len(batch))]
         for t, i, last, d, n in find(index, (text.as_py() for text in batch)):
-            for item in held[i][1]:
-                out[t].append({"item_id": item, "end_word": last, "edits": d, "item_words": n, "similarity": 1 - d / n})
+            out[t].append({"item_key": held[i][1], "end_word": last, "edits": d, "item_words": n, "similarity": 1 - d / n})
         release_memory()
         return pa.array(out, kind)
 

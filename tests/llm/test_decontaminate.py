@@ -142,3 +142,14 @@ def test_recall_of_long_items():
             texts.append(" ".join([awkward.words(20, n), *words, awkward.words(20, n + 1)]).encode())
         found = {(t, i) for t, i, *_ in dc.find(index, texts)}
         assert sum((n, n % 4) in found for n in range(trials)) >= 0.97 * trials
+
+
+def test_repeated_items_are_looked_up_once(spark, monkeypatch):
+    sizes = []
+    lookup = dc._lookup
+    monkeypatch.setattr(dc, "_lookup", lambda spark, text, rows, *rest: sizes.append(len(rows)) or lookup(spark, text, rows, *rest))
+    item = awkward.words(30, 1)
+    bench = spark.createDataFrame([(i, item) for i in range(50)] + [(50, awkward.words(30, 2))], ITEM)
+    docs = spark.createDataFrame([(1, item)], "doc_id long, text string")
+    got = dc.leaks(docs, bench).collect()
+    assert sizes == [2] and sorted(r["item_id"] for r in got) == list(range(50))
