@@ -152,7 +152,7 @@ def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 300) -> tuple[np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Fits the field on at most SAMPLE_DOCS labelled texts, chosen by a hash of their id."""
+    """Fits the field on at most SAMPLE_DOCS labelled texts, chosen by a hash of their id; of an id that repeats, on one text."""
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
         .groupBy("doc_id")
@@ -169,7 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # the sample's size is bounded by its parameters
     rows = (
         docs.join(F.broadcast(chosen), F.col(f"`{doc_id}`") == F.col("_labelled"))
-        .select(features(utf8(text)).alias("x"), F.col("_quality").alias("y"), F.xxhash64("_labelled").alias("h"))
+        .select(features(utf8(text)).alias("x"), F.col("_quality").alias("y"), F.col("_labelled").alias("id"))
+        .groupBy("id", "y")
+        .agg(F.min("x").alias("x"))
+        .select("x", "y", F.xxhash64("id").alias("h"))
         .collect()
     )
     rows.sort(key=lambda r: (r.h, r.x))

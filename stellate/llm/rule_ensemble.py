@@ -167,9 +167,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Ensemble:
-    """Fits on at most SAMPLE_DOCS labelled rows whose crc32 of the id mod 5 is not 0, chosen by a hash of the id.
+    """Fits on at most SAMPLE_DOCS labelled ids whose crc32 of the id mod 5 is not 0, chosen by a hash of the id.
 
-    Rows that repeat an id are labelled alike; null labels and ids teach nothing.
+    Of rows that repeat an id the one with the least statistics teaches; null labels and ids teach nothing.
     """
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -184,6 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = (
         docs.join(F.broadcast(chosen), F.col(f"`{doc_id}`") == F.col("_labelled"))
         .select(statistics(text).alias("x"), F.col("_quality").alias("y"), F.col("_labelled").alias("id"))
+        .groupBy("id", "y")
+        .agg(F.min("x").alias("x"))
         .collect()
     )
     rows.sort(key=lambda r: (r.id, r.x))

@@ -76,3 +76,11 @@ def test_gold_labels_on_the_generated_documents(spark):
     right = [r["kept"] == (r["quality"] == 1) for r in got]
     assert sum(right) / len(right) > 0.95
     assert all(r["kept"] for r in got if r["quality"] == 1)
+
+
+def test_a_repeated_id_teaches_once(spark, monkeypatch):
+    rows = [(i, awkward.prose(20 + i, i)) for i in range(30)] + [(0, awkward.prose(90, n)) for n in range(300)]
+    fitted = []
+    monkeypatch.setattr(lq, "fit", lambda texts: fitted.append(len(texts)))
+    lq.train(spark.createDataFrame(rows, "doc_id long, text string"), awkward.labels(spark, [(i, i % 2, 0) for i in range(30)]))
+    assert fitted == [30]

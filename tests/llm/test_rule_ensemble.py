@@ -66,3 +66,13 @@ def test_without_labels_and_rows(spark):
     assert re_.classify(awkward.empty(spark), awkward.labels(spark)).collect() == []
     one = re_.fit(np.ones((3, len(re_.STATISTICS))), np.ones(3))
     assert one.rules == () and one.intercept == pytest.approx(math.log(4))
+
+
+def test_a_repeated_id_teaches_once(spark, monkeypatch):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, awkward.prose(20 + i, i)) for i in ids] + [(ids[0], awkward.prose(90, n)) for n in range(300)]
+    labels = awkward.labels(spark, [(i, n % 2, 0) for n, i in enumerate(ids)])
+    fitted = []
+    monkeypatch.setattr(re_, "fit", lambda x, y: fitted.append(x.shape) or re_.Ensemble(0.0, ()))
+    re_.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert fitted == [(len(ids), len(re_.STATISTICS))]
