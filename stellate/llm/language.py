@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from stellate.llm.common import crc_of_id, release_memory, struct_array, unique_prefix
 
-#: Expected number of documents per language that the trigram model is fitted on.
+#: Expected number of distinct texts per language that the trigram model is fitted on.
 SAMPLE_PER_LANGUAGE = 2000
-LANGUAGES = 256  # most languages, by number of documents, that a model holds
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 6.0
 LEAST_SHARE = 0.5
@@ -82,12 +81,13 @@ def viterbi(scores: np.ndarray, start: np.ndarray, count: np.ndarray, penalty: f
     order = np.argsort(-count, kind="stable")
     start, count = start[order], count[order]
     n_lang = scores.shape[1]
-    out = np.zeros(len(scores), np.int16)
+    kind = np.int16 if n_lang < 1 << 15 else np.int32
+    out = np.zeros(len(scores), kind)
     most = int(count[0]) if len(count) else 0
     active = np.searchsorted(-count, -np.arange(most), side="left")
-    back = np.zeros((len(scores), n_lang), np.int16)
+    back = np.zeros((len(scores), n_lang), kind)
     value = np.zeros((len(count), n_lang), np.float32)
-    own = np.arange(n_lang, dtype=np.int16)
+    own = np.arange(n_lang, dtype=kind)
     for t in range(most):
         k = active[t]
         rows = start[:k] + t
@@ -96,11 +96,11 @@ def viterbi(scores: np.ndarray, start: np.ndarray, count: np.ndarray, penalty: f
             best = v.argmax(axis=1)
             jump = v[np.arange(k), best][:, None] - penalty
             stay = v >= jump
-            back[rows] = np.where(stay, own, best[:, None].astype(np.int16))
+            back[rows] = np.where(stay, own, best[:, None].astype(kind))
             v = np.where(stay, v, jump)
             v = v - v.max(axis=1, keepdims=True)
         value[:k] = v + scores[rows]
-    state = value.argmax(axis=1).astype(np.int16)
+    state = value.argmax(axis=1).astype(kind)
     for t in range(most - 1, -1, -1):
         k = active[t]
         rows = start[:k] + t
@@ -166,20 +166,23 @@ def predict(model: Model, texts: Iterable[str | None], penalty: float = SWITCH_P
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """Fits trigram scores and script use on about SAMPLE_PER_LANGUAGE documents per language.
+    """Fits trigram scores and script use on about SAMPLE_PER_LANGUAGE distinct texts of every language.
 
-    Learns only from rows with a language whose crc32 of the id mod 3 is not 1. Documents are chosen by a
-    hash of their text; a language with fewer documents gives all of them.
+    Learns only from rows with a language whose crc32 of the id mod 3 is not 1. Texts are chosen by a
+    hash, and one that repeats teaches once; a language with fewer texts gives all of them.
     """
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & (crc_of_id(doc_id) % 3 != 1)).select(
         F.col(f"`{lang}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     )
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    # hashes of the texts are counted, not sent with them
+    hashed = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    found = hashed.groupBy("lang").agg(F.count("*").alias("n")).collect()
     names = sorted(r["lang"] for r in found)
     if not names:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
-    share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_PER_LANGUAGE / r["count"])))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    shares = [(r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["n"]) * 1_000_003) for r in found]
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, below double"))
+    chosen = rows.join(share, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("below")).select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = {}
@@ -197,7 +200,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             at = np.flatnonzero(total)
             yield pa.record_batch({"lang": pa.array([name] * len(at)), "at": pa.array(at), "n": pa.array(total[at])})
 
-    # at most LANGUAGES x (BUCKETS + N_SCRIPTS) counts
+    # at most BUCKETS + N_SCRIPTS counts per language
     counted = chosen.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
     counts = np.zeros((BUCKETS + N_SCRIPTS, len(names)))
     place = {n: i for i, n in enumerate(names)}

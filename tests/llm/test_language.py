@@ -65,3 +65,21 @@ def test_nothing_to_learn_from(spark):
     rows = [(1, "abc", None, None, None)]
     assert [tuple(r)[2:] for r in language.identify(awkward.documents(spark, rows)).collect()] == [("und", 0.0)]
     assert language.identify(awkward.empty(spark)).collect() == []
+
+
+def learned_ids(n: int) -> list[int]:
+    return [i for i in range(3 * n) if zlib.crc32(str(i).encode()) % 3 != 1][:n]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, awkward.words(20, i), f"l{n:03}") for n, i in enumerate(learned_ids(300))]
+    assert len(language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) == 300
+
+
+def test_copies_of_a_text_teach_once(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_PER_LANGUAGE", 50)
+    ids = learned_ids(100)
+    rows = [(i, awkward.words(20, i), "ab"[i % 2]) for i in ids]
+    copied = rows + [(ids[n % 100], rows[t][1], rows[t][2]) for t in (0, 1, 2, 3, 4, 5, 6, 7) for n in range(60)]
+    once, often = (language.train(spark.createDataFrame(r, "doc_id long, text string, lang string")) for r in (rows, copied))
+    assert once.languages == often.languages == ("a", "b") and (once.scores == often.scores).all()
