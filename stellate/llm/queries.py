@@ -7,7 +7,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellate.llm import decontaminate, html_extract, language, licenses, line_quality, lm_score, packing, rule_ensemble, simhash, warc
+from stellate.llm import (
+    decontaminate, dual_tree, html_extract, language, licenses, line_quality, lm_score, packing, private_data, rule_ensemble, simhash,
+    token_align, warc,
+)
 from stellate.llm.common import table
 from stellate.session import scratch_path
 
@@ -85,6 +88,46 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+@query("op11_token_alignment")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return token_align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), pieces)
+
+
+@query("op12_private_spans")
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op13_ranked_search")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+ORACLE["op13_ranked_search"] = r"""
+WITH low AS (SELECT doc_id, row_number() OVER () AS row, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT row, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM low),
+lengths AS (SELECT row, COUNT(*) AS n FROM words GROUP BY row),
+corpus AS (SELECT COUNT(*) AS docs, CAST(SUM(n) AS BIGINT) AS terms FROM lengths),
+wanted AS (
+  SELECT DISTINCT row, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS row FROM benchmark)),
+counts AS (SELECT row, doc_id, term, COUNT(*) AS tf FROM words WHERE term IN (SELECT term FROM wanted) GROUP BY row, doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM counts, corpus GROUP BY term, docs),
+impacts AS (
+  SELECT c.row, c.doc_id, c.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS s
+  FROM counts c JOIN lengths USING (row) JOIN weights USING (term), corpus),
+scores AS (
+  SELECT q.row AS item, q.item_id, i.row, i.doc_id, CAST(SUM(s) AS BIGINT) AS score
+  FROM wanted q JOIN impacts i USING (term) GROUP BY q.row, q.item_id, i.row, i.doc_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INT) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 ORACLE["op7_warc_revisits"] = """
 WITH p AS (SELECT page_id, octet_length(encode(COALESCE(html, ''))) AS payload_bytes, sha1(COALESCE(html, '')) AS h FROM pages),
 f AS (SELECT h, MIN(page_id) AS first_id FROM p GROUP BY h),

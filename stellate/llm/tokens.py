@@ -18,7 +18,7 @@ _TAIL = string.punctuation.replace("'", "")
 REMEMBERED_WORDS, REMEMBERED_CHUNKS = 120_000, 60_000
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out, extra = [""] * 256, 256
@@ -46,7 +46,7 @@ class WordEncoder(dict):
             raise ValueError("this vocabulary doesn't drop white space; its chunks can't be encoded one by one")
         self._all = Tokenizer.from_str(definition)
         self._tokenize = self._all.model.tokenize
-        self._letters = _byte_letters()
+        self._letters = byte_letters()
         self._words: dict[str, bytes] = {}
 
     @staticmethod
