@@ -5,14 +5,19 @@ one with the other's transpose list the token pairs that share bytes (Gustavson:
 rows of the right factor that the left row names). Byte offsets where tokens of both end cut the text into groups; products of
 token-group incidence matrices list the pairs that share a group. A batch of texts is one block-diagonal product: as both
 cover the same bytes, every text's end is a common offset, and neither links nor groups reach from one text into the next.
+
+The same holds inside a text: a space before a character that isn't white space begins a token for both, so a text's matrices are
+block-diagonal over the chunks between such spaces. Chunks repeat, so each distinct chunk is encoded and multiplied once and kept.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,11 @@ from stellate.llm.tokens import byte_letters
 from stellate.session import cut_lineage
 
 #: Bytes of text that one product covers; a longer text is a product of its own.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
+#: Distinct chunks that a worker keeps before it starts afresh.
+KEPT_CHUNKS = 150_000
+#: Texts with other white space beside a space aren't cut into chunks; nor are those with characters that white space is defined differently for.
+_WHOLE = re.compile("[\x1c-\x1f\u180e\ufeff]| \\s| \\Z|\\A\\s")
 #: Distinct id pairs up to which their counts are broadcast (about 50 bytes each); beyond, links are shuffled to them.
 BROADCAST_PAIRS = 1 << 20
 #: Pairs of an output batch of ``links``; a text whose own product is larger comes in several.
@@ -143,71 +152,176 @@ class Aligner:
         self._a_len = np.array([len(x) for x in self.a_bytes])
         self._b_len = np.array([len(x) for x in self.b_bytes])
 
-    def encode(self, raws: list[bytes]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both for each text; two empty lists for empty texts and those that either can't give back byte by byte."""
+    def encode(self, raws: list[bytes]) -> tuple[Aligned, np.ndarray, np.ndarray]:
+        """Texts one by one, and both numbers of tokens; none for empty texts and those that either can't give back byte by byte."""
         texts = [raw.decode("utf-8", "replace") for raw in raws]
         left = self._left.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         right = self._right.encode(texts, num_threads=1) if texts else []
-        out = []
+        a_ids, b_ids = [], []
         for raw, one, b in zip(raws, left, right, strict=True):
             a = one.ids
             whole = b" " + raw
             same = raw and whole == b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append((a, b) if same else ([], []))
-        return out
+            a_ids.append(a if same else [])
+            b_ids.append(b if same else [])
+        none = np.zeros(0, np.int64)
+        a = np.concatenate([none, *a_ids]).astype(np.int64)
+        b = np.concatenate([none, *b_ids]).astype(np.int64)
+        both = Aligned(a, b, np.cumsum(self._a_len[a]), np.cumsum(self._b_len[b]))
+        return both, np.array([len(x) for x in a_ids]), np.array([len(x) for x in b_ids])
+
+    def encode_chunks(self, raws: list[bytes]) -> tuple[Aligned, np.ndarray, np.ndarray]:
+        """The same for chunks: one text of all of them, cut where each begins; one by one if that doesn't come out."""
+        text = b" ".join(raws)
+        a = np.array(self._left.encode_batch_fast([" " + text.decode()], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self._right.encode(text.decode()), np.int64)
+        both = Aligned(a, b, np.cumsum(self._a_len[a]), np.cumsum(self._b_len[b]))
+        whole = b" " + text
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        if b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
+            to_a, to_b = np.searchsorted(both.a_end, ends), np.searchsorted(both.b_end, ends)
+            if (both.a_end[to_a] == ends).all() and (both.b_end[to_b] == ends).all():
+                return both, np.diff(to_a + 1, prepend=0), np.diff(to_b + 1, prepend=0)
+        return self.encode(raws)
+
 
-    def align(self, ids: list[tuple[list[int], list[int]]]) -> Aligned:
-        a = np.concatenate([np.zeros(0, np.int64), *[x for x, _ in ids]]).astype(np.int64)
-        b = np.concatenate([np.zeros(0, np.int64), *[x for _, x in ids]]).astype(np.int64)
-        return Aligned(a, b, np.cumsum(self._a_len[a]), np.cumsum(self._b_len[b]))
+@dataclass
+class Summary:
+    """What chunks say, one entry each: tokens of both, groups, links, the group text, and the links end to end."""
 
+    counts: np.ndarray  # rows: tokens a, tokens b, groups, links
+    groups: list[bytes]
+    links: np.ndarray
 
-class _Writer:
-    """The digest text ``a1,a2|b1;a3|b2,b3`` of groups: every id with the mark that follows it, in group order."""
+
+class Chunks:
+    """Distinct chunks and what they say; a chunk that can't be given back byte by byte has -1 tokens."""
 
     def __init__(self, aligner: Aligner) -> None:
-        names_a = [str(i) for i in range(len(aligner.a_bytes))]
-        names_b = [str(i) for i in range(len(aligner.b_bytes))]
-        self._a, self._b = len(names_a), len(names_b)
-        self._marked = np.array(
-            [f"{x},".encode() for x in names_a] + [f"{x}|".encode() for x in names_a]
-            + [f"{x},".encode() for x in names_b] + [f"{x};".encode() for x in names_b], object
-        )
-
-    def write(self, both: Aligned, left: Csr, right: Csr) -> tuple[np.ndarray, np.ndarray]:
-        """The marked ids in order, and how many come before each group."""
+        self.aligner = aligner
+        n_a, n_b = len(aligner.a_bytes), len(aligner.b_bytes)
+        self._a, self._b = n_a, n_b
+        marks = [(n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")]
+        self._marked = np.array([f"{i}{mark}".encode() for n, mark in marks for i in range(n)], object)
+        self._size = np.array([len(x) for x in self._marked])
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.held = Summary(np.zeros((4, 0), np.int64), [], np.zeros(0, np.int64))
+
+    def learn(self, chunks: list[str]) -> None:
+        """Takes in new chunks."""
+        made = self.summary([c.encode() for c in chunks], self.aligner.encode_chunks)
+        old = len(self.number)
+        self.number.update(zip(chunks, range(old, old + len(chunks)), strict=True))
+        self.held.counts = np.concatenate([self.held.counts, made.counts], axis=1)
+        self.held.groups.extend(made.groups)
+        self.held.links = np.concatenate([self.held.links, made.links])
+
+    def summary(self, raws: list[bytes], encode: Callable[[list[bytes]], tuple[Aligned, np.ndarray, np.ndarray]]) -> Summary:
+        """Products of some chunks or whole texts, BATCH_BYTES at a time."""
+        counts, groups, links = [np.zeros((4, 0), np.int64)], [], [np.zeros(0, np.int64)]
+        first, size = 0, 0
+        for i, raw in enumerate(raws):
+            size += len(raw) + 1
+            if size >= BATCH_BYTES or i == len(raws) - 1:
+                c, g, x = self._product(raws[first : i + 1], encode)
+                counts.append(c)
+                groups += g
+                links.append(x)
+                first, size = i + 1, 0
+        return Summary(np.concatenate(counts, axis=1), groups, np.concatenate(links))
+
+    def _product(self, raws: list[bytes], encode: Callable) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        both, n_a, n_b = encode(raws)
+        i, j = both.end_links()
+        left, right = both.groups()
+        marked, before = self._write(both, left, right)
+        ends = np.cumsum(n_a)
+        n_links = np.diff(np.searchsorted(i, ends), prepend=0)  # links come by rising left token
+        to = np.where(ends > 0, left.indices[np.maximum(ends, 1) - 1] + 1, 0) if len(both.a) else np.zeros(len(raws), np.int64)
+        since = np.concatenate([[0], to[:-1]])
+        line = b"".join(self._marked[marked])
+        place = np.concatenate([[0], np.cumsum(self._size[marked])])
+        texts = [line[a : b - 1] if b > a else b"" for a, b in zip(place[before[since]].tolist(), place[before[to]].tolist(), strict=True)]
+        n_a = np.where((n_a == 0) & (np.array([len(r) for r in raws]) > 0), -1, n_a)
+        return np.stack([n_a, n_b, to - since, n_links]), texts, both.a[i] << 32 | both.b[j]
+
+    def _write(self, both: Aligned, left: Csr, right: Csr) -> tuple[np.ndarray, np.ndarray]:
+        """Every id with the mark that follows it in ``a1,a2|b1;a3|b2,b3``, as numbers of marked ids in group order, and how many come before each group."""
         ga, gb = left.indices, right.indices
         na, nb = np.bincount(ga, minlength=left.width), np.bincount(gb, minlength=right.width)
-        before = np.concatenate([[0], np.cumsum(na + nb)])
-        out = np.empty(len(ga) + len(gb), object)
+        out = np.empty(len(ga) + len(gb), np.int64)
         last_a = np.append(ga[1:] != ga[:-1], True) if len(ga) else np.zeros(0, bool)
         last_b = np.append(gb[1:] != gb[:-1], True) if len(gb) else np.zeros(0, bool)
         # an id's place: its own number among its side's ids, and the other side's ids of the groups before (and of its own)
-        out[np.arange(len(ga)) + (np.cumsum(nb) - nb)[ga]] = self._marked[both.a + self._a * last_a]
-        out[np.arange(len(gb)) + np.cumsum(na)[gb]] = self._marked[2 * self._a + both.b + self._b * last_b]
-        return out, before
-
-
-_ALIGNERS: dict[int, tuple[Aligner, _Writer]] = {}
-
-
-def _aligner(byte_bpe: str, pieces: bytes) -> tuple[Aligner, _Writer]:
+        out[np.arange(len(ga)) + (np.cumsum(nb) - nb)[ga]] = both.a + self._a * last_a
+        out[np.arange(len(gb)) + np.cumsum(na)[gb]] = 2 * self._a + both.b + self._b * last_b
+        return out, np.concatenate([[0], np.cumsum(na + nb)])
+
+    def of_texts(self, raws: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Per text the four counts and the digest; and all links."""
+        parts = [self._cut(raw) for raw in raws]
+        new = {c for some in parts if some is not None for c in some if c not in self.number}
+        if len(self.number) + len(new) > KEPT_CHUNKS:
+            self.clear()
+            new = {c for some in parts if some is not None for c in some}
+        if new:
+            self.learn(list(new))
+        whole = [raw for raw, some in zip(raws, parts, strict=True) if some is None]
+        more = self.summary(whole, self.aligner.encode)
+        number, known = self.number, len(self.number)
+        own = iter(range(known, known + len(whole)))
+        rows = [[next(own)] if some is None else [number[c] for c in some] for some in parts]
+        counts = np.concatenate([self.held.counts, more.counts], axis=1)
+        links = np.concatenate([self.held.links, more.links])
+        groups = self.held.groups + more.groups
+        flat = np.fromiter(chain.from_iterable(rows), np.int64)
+        ends = np.cumsum([len(r) for r in rows])
+        bad = np.concatenate([[0], np.cumsum(counts[0, flat] < 0)])
+        good = np.diff(bad[np.concatenate([[0], ends])]) == 0
+        flat = flat[np.repeat(good, np.diff(ends, prepend=0))]
+        rows = [r if ok else [] for r, ok in zip(rows, good, strict=True)]
+        ends = np.cumsum([len(r) for r in rows])
+        sums = np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(counts[:, flat], axis=1)], axis=1)
+        per_text = np.diff(sums[:, np.concatenate([[0], ends])], axis=1)
+        first = np.cumsum(counts[3]) - counts[3]
+        size = counts[3, flat]
+        at = np.arange(int(size.sum())) + np.repeat(first[flat] - np.cumsum(size) + size, size)
+        shas = [hashlib.sha256(b";".join([groups[k] for k in r])).hexdigest() if r else "" for r in rows]
+        return per_text, shas, links[at]
+
+    @staticmethod
+    def _cut(raw: bytes) -> list[str] | None:
+        """The chunks of a text without the space that each begins with; None if it has to stay whole."""
+        if not raw:
+            return []
+        text = raw.decode("utf-8", "replace")
+        if _WHOLE.search(text) or len(text.encode()) != len(raw):
+            return None
+        return text.split(" ")
+
+
+_CHUNKS: dict[int, Chunks] = {}
+
+
+def _chunks(byte_bpe: str, pieces: bytes) -> Chunks:
     """One per worker and pair of vocabularies."""
     key = hash((byte_bpe, pieces))
-    if key not in _ALIGNERS:
-        _ALIGNERS.clear()
-        made = Aligner(byte_bpe, pieces)
-        _ALIGNERS[key] = made, _Writer(made)
-    return _ALIGNERS[key]
+    if key not in _CHUNKS:
+        _CHUNKS.clear()
+        _CHUNKS[key] = Chunks(Aligner(byte_bpe, pieces))
+    return _CHUNKS[key]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts of up to BATCH_BYTES at a time."""
+    """Ids and texts of up to a few times BATCH_BYTES at a time."""
     ids, raws, size = [], [], 0
     for batch in batches:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             raw = text.as_py()
-            if raws and size + len(raw) > BATCH_BYTES:
+            if raws and size + len(raw) > 4 * BATCH_BYTES:
                 yield ids, raws
                 ids, raws, size = [], [], 0
             ids.append(doc)
@@ -225,30 +339,17 @@ def _summaries(byte_bpe: str, pieces: bytes, spark: SparkSession, id_type: pa.Da
     shared = spark.sparkContext.broadcast((byte_bpe, pieces))  # two vocabulary files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, writer = _aligner(*shared.value)
+        chunks = _chunks(*shared.value)
         for docs, raws in _batches(batches):
-            ids = aligner.encode(raws)
-            both = aligner.align(ids)
-            i, j = both.end_links()
-            left, right = both.groups()
-            marked, before = writer.write(both, left, right)
-            n_a = np.array([len(a) for a, _ in ids])
-            n_b = np.array([len(b) for _, b in ids])
-            ends = np.cumsum(n_a)
-            link_to = np.searchsorted(i, ends)  # links come by rising left token
-            group_to = np.where(ends > 0, left.indices[np.maximum(ends, 1) - 1] + 1, 0) if len(both.a) else np.zeros(len(ids), np.int64)
-            group_from = np.concatenate([[0], group_to[:-1]])
-            shas = []
-            for some, g0, g1 in zip(n_a, group_from, group_to, strict=True):
-                shas.append(hashlib.sha256(b"".join(marked[before[g0] : before[g1]])[:-1]).hexdigest() if some else "")
-            links = both.a[i] << 32 | both.b[j]
-            offsets = np.concatenate([[0], link_to]).astype(np.int32)
+            (n_a, n_b, n_groups, n_links), shas, links = chunks.of_texts(raws)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, id_type), pa.array(n_a), pa.array(n_b), pa.array(group_to - group_from), pa.array(np.diff(offsets).astype(np.int64)),
-                 pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(links))],
+                [pa.array(docs, id_type), pa.array(n_a), pa.array(n_b), pa.array(n_groups), pa.array(n_links),
+                 pa.array(shas, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(links))],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"],
             )
-            release_memory()
+        chunks.clear()  # the worker lives on and may do other work next
+        release_memory()
 
     return run
 
@@ -311,15 +412,13 @@ def links(
     shared = docs.sparkSession.sparkContext.broadcast((byte_bpe, pieces))  # two vocabulary files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, _ = _aligner(*shared.value)
+        aligner = _chunks(*shared.value).aligner
         for docs, raws in _batches(batches):
-            ids = aligner.encode(raws)
-            both = aligner.align(ids)
+            both, n_a, n_b = aligner.encode(raws)
             left, right = (Csr.spans(both.a_end), Csr.spans(both.b_end)) if share == "bytes" else both.groups()
             right = right.transposed()
-            owner = np.repeat(np.arange(len(ids)), [len(a) for a, _ in ids])
-            first_a = np.concatenate([[0], np.cumsum([len(a) for a, _ in ids])])
-            first_b = np.concatenate([[0], np.cumsum([len(b) for _, b in ids])])
+            owner = np.repeat(np.arange(len(raws)), n_a)
+            first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
             cost = np.concatenate([[0], np.cumsum(np.diff(right.indptr)[left.indices])])[left.indptr]
             at = 0
             while at < left.height:
