@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,8 +31,16 @@ _BLOCK = 1 << 20
 #: Rows per window group when running totals are taken.
 _GROUP_BITS = 12
 
-#: Documents of an output batch.
-_ROWS_AT_ONCE = 1000
+#: Bytes of text that are encoded at once.
+_BYTES_AT_ONCE = 2 << 20
+
+
+def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in turn, about _BYTES_AT_ONCE of text at a time."""
+    group = np.cumsum(pc.binary_length(batch.column("text")).to_numpy()) // _BYTES_AT_ONCE
+    cuts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
 
 
 def tokenized(docs: DataFrame, doc_id: str, text: str, definition: str, end_id: int, length: int) -> DataFrame:
@@ -39,24 +48,29 @@ def tokenized(docs: DataFrame, doc_id: str, text: str, definition: str, end_id:
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     end = np.array([end_id], "<u2").tobytes()
 
-    def of(text: str, encode: Callable[[str], bytes]) -> tuple[bytes, int, list[int], int]:
-        raw = encode(text) + end
-        n = len(raw) // 2
-        wide = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
-        cuts = range(0, n // length * length, length)
-        full = [zlib.crc32(wide[4 * c : 4 * (c + length)]) for c in cuts]
-        return raw, n, full, zlib.crc32(wide[4 * len(cuts) * length :])
+    def pieces(ids: np.ndarray, ends: np.ndarray) -> tuple[list[list[int]], list[int]]:
+        """Checksums of each text's full pieces and of its rest."""
+        wide = ids.astype("<u4").data.cast("B")
+        full, rest, first = [], [], 0
+        for end in ends.tolist():
+            cut = first + (end - first) // length * length
+            full.append([zlib.crc32(wide[4 * c : 4 * (c + length)]) for c in range(first, cut, length)])
+            rest.append(zlib.crc32(wide[4 * cut : 4 * end]))
+            first = end
+        return full, rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(shared.value)
-        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
-                part = batch.slice(at, _ROWS_AT_ONCE)
-                rows = [of(t.as_py(), words.encode) for t in part.column("text")]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                names = ["doc_id", "ids", "tokens", "full_crc", "rest_crc"]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
+            for part in _by_bytes(batch):
+                ids, counts = words.encode_all(part.column("text"))
+                ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u2")
+                ends = np.cumsum(counts + 1)
+                full, rest = pieces(ids, ends)
+                offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                columns = [part.column("doc_id"), raw, pa.array(counts + 1), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "tokens", "full_crc", "rest_crc"])
         words.forget()  # the worker lives on and may do other work next
         release_memory()
 

@@ -1,21 +1,22 @@
-"""Token ids of whole texts from a public vocabulary file, as little-endian unsigned 16 or 32 bit runs."""
+"""Token ids of whole texts from a public vocabulary file."""
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import string
-import sys
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: The split this class relies on: letters, single digits and runs of other characters, white space dropped.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 _TAIL = string.punctuation.replace("'", "")
-#: Words and chunks remembered per worker before its memory of them starts afresh.
-REMEMBERED_WORDS, REMEMBERED_CHUNKS = 120_000, 60_000
+#: Words remembered per worker before its memory of them starts afresh.
+REMEMBERED_WORDS = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -30,11 +31,12 @@ def byte_letters() -> list[str]:
     return out
 
 
-class WordEncoder(dict):
-    """Encodes white-space separated chunks once and remembers them, chunk to packed ids.
+class WordEncoder:
+    """Encodes many texts at once by their distinct chunks between ASCII white space.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its chunks in a row. A chunk
-    of letters with trailing punctuation is two words to the vocabulary; every other form goes through the library.
+    of letters with trailing punctuation is two words to the vocabulary, which are remembered; every other form goes through the
+    library. Texts are split, chunks made distinct and ids put in place by array operations.
     """
 
     def __init__(self, definition: str) -> None:
@@ -51,50 +53,45 @@ class WordEncoder(dict):
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        packed = array("H", ids)
-        if sys.byteorder == "big":
-            packed.byteswap()
-        return packed.tobytes()
+        return array("H", ids).tobytes()
 
     def _ids(self, word: str) -> bytes:
-        plain = word if word.isascii() else "".join([self._letters[b] for b in word.encode()])
-        return self._pack([t.id for t in self._tokenize(plain)])
+        held = self._words.get(word)
+        if held is None:
+            plain = word if word.isascii() else "".join([self._letters[b] for b in word.encode()])
+            held = self._words[word] = self._pack([t.id for t in self._tokenize(plain)])
+        return held
 
-    def __missing__(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str) -> bytes:
         word = chunk.rstrip(_TAIL)
         # letters that lower-casing one by one and composing treat alike in Python and in the library
         if word.isalpha() and (word.isascii() or max(word) <= "\xff" or word == unicodedata.normalize("NFC", word.lower())):
-            low = word.lower()
-            held = self._words.get(low)
-            again = held is not None
-            if not again:
-                held = self._words[low] = self._ids(low)
-            if len(word) < len(chunk):
-                tail = chunk[len(word) :]
-                rest = self._words.get(tail)
-                if rest is None:
-                    rest = self._words[tail] = self._ids(tail)
-                held = held + rest
-            if again:  # most words never come again: a chunk is kept from its word's second time on
-                self[chunk] = held
-            return held
-        held = self[chunk] = self._pack(self._all.encode(chunk, add_special_tokens=False).ids)
-        return held
+            held = self._ids(word.lower())
+            return held if len(word) == len(chunk) else held + self._ids(chunk[len(word) :])
+        return self._pack(self._all.encode(chunk, add_special_tokens=False).ids) if chunk else b""
 
     def forget(self) -> None:
-        """Lets go of the remembered words and chunks."""
-        self.clear()
+        """Lets go of the remembered words."""
         self._words.clear()
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, two bytes each."""
-        if _SEPARATORS.search(text):  # Python splits at these, the vocabulary doesn't
-            return self._pack(self._all.encode(text, add_special_tokens=False).ids)
-        if len(self) > REMEMBERED_CHUNKS:
-            self.clear()
+    def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has. Nulls have none."""
         if len(self._words) > REMEMBERED_WORDS:
-            self._words.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+            self.forget()
+        chunks = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = chunks.flatten().dictionary_encode()
+        packed = [self._chunk(c) for c in coded.dictionary.to_pylist()]
+        flat = np.frombuffer(b"".join(packed), np.uint16)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+        at = coded.indices.to_numpy()
+        sizes = size[at]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.arange(before[-1]) + np.repeat((np.cumsum(size) - size)[at] - before[:-1], sizes)
+        ends = np.cumsum(chunks.value_lengths().to_numpy())
+        return flat[places], np.diff(before[np.concatenate([[0], ends])])
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all(pa.array([text], pa.string()))[0].tolist()
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
