@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
 _LIBC = ctypes.CDLL(None)
 _KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -40,6 +43,20 @@ def unique_prefix(df: DataFrame, stem: str) -> str:
     return name
 
 
+def bounded(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``run(spark, ...)`` with Arrow batches of at most BATCH_BYTES: Spark's default of 10,000 rows or 64 MB a batch, times the
+    copies that a batch has on its way, is too much for executors that hold whole texts."""
+
+    @functools.wraps(run)
+    def with_small_batches(spark: SparkSession, *args: object) -> DataFrame:
+        now = str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return run(spark, *args)
+
+    return with_small_batches
+
+
 def release_memory() -> None:
     """Hands back what this worker's allocators keep after a batch: idle workers share their executor's memory."""
     pa.default_memory_pool().release_unused()

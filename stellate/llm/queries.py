@@ -11,7 +11,7 @@ from stellate.llm import (
     decontaminate, dual_tree, html_extract, language, licenses, line_quality, lm_score, packing, private_data, rule_ensemble, simhash,
     token_align, warc,
 )
-from stellate.llm.common import table
+from stellate.llm.common import bounded, table
 from stellate.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,7 +23,7 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
-        QUERIES[name] = build
+        QUERIES[name] = bounded(build)
         return build
 
     return register

@@ -194,6 +194,19 @@ def links_between(prints: DataFrame, max_bits: int = 3, cell_rows: int = CELL_RO
     return placed.mapInArrow(_linked(max_bits), "a long, b long")
 
 
+def _classes(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component_id, root) per distinct fingerprint of ``prints`` (doc_id, fp): its group's smallest id, and what the group shares."""
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(cut_lineage(links_between(distinct.select("fp"), max_bits)))
+    rooted = cut_lineage(
+        distinct.join(cut_lineage(roots), F.col("fp") == F.col("node"), "left").select(
+            "fp", "first", F.coalesce("root", "fp").alias("root")
+        )
+    )
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    return cut_lineage(rooted.join(least, "root").select("fp", "component_id", "root"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3
 ) -> DataFrame:
@@ -205,15 +218,7 @@ def near_duplicates(
     table gives an empty result; other columns are not looked at.
     """
     prints = cut_lineage(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(text, shingle).alias("fp")))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(cut_lineage(links_between(distinct.select("fp"), max_bits)))
-    rooted = cut_lineage(
-        distinct.join(cut_lineage(roots), F.col("fp") == F.col("node"), "left").select(
-            "fp", "first", F.coalesce("root", "fp").alias("root")
-        )
-    )
-    least = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = cut_lineage(rooted.join(least, "root").select("fp", "component_id"))
+    named = _classes(prints, max_bits).select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -222,17 +227,19 @@ def near_duplicates(
 def one_of_each(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the smallest of their group.
+    """One row of ``docs``, with all its columns, of each group of near-duplicates.
 
-    Of rows that repeat such an id one stays. Rows without an id can't be told apart and stay.
+    It is decided row by row: the row with the group's smallest id stays, and of several with that id (rows may repeat an id, under
+    equal or other texts) the one whose text has the smallest hash. Rows without an id come after all ids; a group without any
+    keeps one row as well. Every row belongs to one group, so no group is lost. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, doc_id, text, shingle, max_bits)
-    key = unique_prefix(docs, "_dropped")
-    dropped = cut_lineage(found.where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct())
-    left = docs.join(dropped, F.col(f"`{doc_id}`") == F.col(key), "left_anti")
-    again = docs.where(F.col(f"`{doc_id}`").isNotNull()).groupBy(f"`{doc_id}`").count().where("count > 1")
-    again = cut_lineage(again.select(F.col(doc_id).alias(key)))
-    if again.limit(1).isEmpty():
-        return left
-    same = F.col(f"`{doc_id}`") == F.col(key)
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([doc_id]))
+    key, mark = unique_prefix(docs, "_row"), unique_prefix(docs, "_fp")
+    rows = cut_lineage(docs.withColumn(mark, fingerprint(text, shingle)).withColumn(key, F.monotonically_increasing_id()))
+    prints = rows.select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(mark).alias("fp"), F.xxhash64(utf8(text)).alias("hash"), F.col(key).alias("row")
+    )
+    classes = _classes(prints.select("doc_id", "fp"), max_bits).select("fp", "root")
+    # a row per group and task is shuffled, however large the group
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "row")
+    first = cut_lineage(prints.join(classes, "fp").groupBy("root").agg(F.min(order)["row"].alias("first")).select("first"))
+    return rows.join(first, F.col(key) == F.col("first"), "left_semi").drop(key, mark)

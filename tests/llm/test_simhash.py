@@ -93,10 +93,23 @@ def test_empty_table(spark):
     assert simhash.one_of_each(awkward.empty(spark)).collect() == []
 
 
-def test_one_document_of_each_group_stays(spark):
-    docs = awkward.documents(spark)
+def survivors(rows: list[tuple]) -> Counter:
+    """(id, text) of the row that stays of each group: smallest id, nulls last, then any text of that id."""
+    root = groups([plain_fingerprint(r[1]) for r in rows])
+    least: dict[int, tuple] = {}
+    for r, g in zip(rows, root, strict=True):
+        least[g] = min(least.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+    return Counter(None if none else d for none, d in least.values())
+
+
+@pytest.mark.parametrize("more", [[], [(0, 31), (1, 31), (1, 32), (7, 33), (7, 34), (None, 35), (None, 35), (9, 31), (None, 32), (0, 31)]])
+def test_one_row_of_each_group_stays(spark, more):
+    """Also of groups whose smallest id other rows have under unrelated texts."""
+    rows = awkward.document_rows() + [(d, awkward.prose(60, 700 + t), None, None, None) for d, t in more]
+    docs = awkward.documents(spark, rows)
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    found = {(r[0], r[2]) for r in simhash.near_duplicates(docs).collect() if r[0] is not None}
-    ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert sorted(ids) == sorted({d for d, c in found if d == c})
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert Counter(d for d, _ in got) == survivors(rows)
+    root = dict(zip([(r[0], r[1]) for r in rows], groups([plain_fingerprint(r[1]) for r in rows]), strict=True))
+    assert sorted(root[k] for k in got) == sorted(set(root.values()))  # every group, once
