@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stellate.llm import decontaminate, language, line_quality, packing, simhash
-from stellate.llm.common import table
+from stellate.llm.common import bounded, table
 from stellate.llm.queries import vocabulary
 from stellate.session import cut_lineage
 
@@ -36,11 +36,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality rules", quality_rules),
-    ("language ID", language_id),
-    ("SimHash near-dedup", near_dedup),
-    ("benchmark decontamination", decontamination),
-    ("packing", packed),
+    ("quality rules", bounded(quality_rules)),
+    ("language ID", bounded(language_id)),
+    ("SimHash near-dedup", bounded(near_dedup)),
+    ("benchmark decontamination", bounded(decontamination)),
+    ("packing", bounded(packed)),
 ]
 
 #: Trained and iterative stages have no SQL form; the tests hold run() against brute force.
