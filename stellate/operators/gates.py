@@ -71,3 +71,14 @@ def key_counters(table: DataFrame, *key: str) -> DataFrame:
 
 def row_total(table: DataFrame, name: str) -> DataFrame:
     return table.agg(F.count(F.lit(1)).alias(name))
+
+
+def missing_counts(uses: DataFrame, known: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row: per kind of key how many rows use one that is not known.
+
+    ``uses`` and ``known`` are (kind, key) rows, of all kinds together, so that one scan and one shuffle serve every kind;
+    ``names`` gives each kind its counter. A use without a key counts as unknown.
+    """
+    per_key = uses.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    unknown = per_key.join(known.select("kind", "key").distinct(), ["kind", "key"], "left_anti")
+    return unknown.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(name) for kind, name in names.items()])

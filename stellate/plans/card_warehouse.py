@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from stellate.functions import bands, calendar, text
 from stellate.functions.literals import literal_map, literal_table
-from stellate.operators.gates import counters, key_counters, row_total, side_by_side
+from stellate.operators.gates import key_counters, missing_counts, side_by_side
 from stellate.operators.numbering import hash_key
-from stellate.sources.publish import Landing, Reader, open_published, publish_layer, register_views
+from stellate.sources.publish import Landing, Reader, open_published, publish_layer, register_views, totals_of
 
 # Calendar span and first day of the reporting window.
 CALENDAR_FIRST, CALENDAR_LAST = "2010-01-01", "2019-12-31"
@@ -306,6 +306,42 @@ def has_any_error(*names: str) -> Column:
     return F.coalesce(F.arrays_overlap("error_keys", F.array(*wanted)), F.lit(False))
 
 
+def _names_unknown(names: Column) -> Column:
+    return F.size(F.filter(names, lambda name: _lookup(ERRORS, F.trim(name)).isNull()))
+
+
+#: Per table what is counted and summed over its rows, while they are written or, over lazy frames, in one pass.
+TOTALS: dict[str, dict[str, Callable[[], Column]]] = {
+    "transactions": {
+        "null_dates": lambda: F.count_if(F.col("transacted_at").isNull()),
+        "null_amounts": lambda: F.count_if(F.col("amount").isNull()),
+        "null_mcc": lambda: F.count_if(F.col("mcc").isNull()),
+        "failed_without_error": lambda: F.count_if(F.col("is_failed") & F.col("error_list").isNull()),
+        "channel_disagreement": lambda: F.count_if(F.col("is_online") != (F.col("merchant_city") == "ONLINE")),
+        "unknown_errors": lambda: F.coalesce(F.sum(_names_unknown(F.col("error_list"))), F.lit(0)),
+        "staged": lambda: F.count(F.lit(1)),
+        "staged_amount": lambda: F.sum("amount"),
+    },
+    "fact_transaction": {
+        "facts": lambda: F.count(F.lit(1)),
+        "fact_amount": lambda: F.sum("amount"),
+        "unmatched_channel": lambda: F.count_if(F.col("channel_key").isNull()),
+        "unmatched_location": lambda: F.count_if(F.col("location_key").isNull()),
+        "unbanded_ticket": lambda: F.count_if(F.col("ticket_band_key").isNull()),
+        "bi_window_rows": lambda: F.count_if(F.col("date_key") >= WINDOW_FIRST_KEY),
+        "bridge_rows": lambda: F.sum(F.coalesce(F.size("error_keys"), F.lit(0))),
+        "fraud_rows": lambda: F.count_if("is_fraud"),
+        "zero_auth_rows": lambda: F.count_if("is_zero_auth"),
+    },
+    "dim_mcc": {"uncategorised_mcc": lambda: F.count_if(F.col("spend_category").isNull())},
+    "dim_location": {"locations": lambda: F.count(F.lit(1))},
+}
+
+
+def totals_columns(table: str) -> dict[str, Column]:
+    return {name: make() for name, make in TOTALS.get(table, {}).items()}
+
+
 class CardWarehouse:
     """The card star schema as lazy frames over raw text.
 
@@ -317,6 +353,7 @@ class CardWarehouse:
     def __init__(self, spark: SparkSession, source: Callable[[str], DataFrame]):
         self.spark = spark
         self._source = source
+        self._runs: list[Callable[[str], DataFrame]] = [source]
 
     @cached_property
     def typed(self) -> DataFrame:
@@ -405,6 +442,15 @@ class CardWarehouse:
             (F.col("full_date") >= F.to_date(F.lit(WINDOW_FIRST_DAY))) & (F.col("date_key") <= last)
         )
 
+    def totals(self, table: str) -> DataFrame:
+        """One row with the table's TOTALS: from the manifest of the run it was written in, else over the frame itself."""
+        for read in self._runs:
+            held = totals_of(read, table)
+            if held is not None:
+                return held
+        frame = {"transactions": "typed", "fact_transaction": "fact"}.get(table, table)
+        return getattr(self, frame).agg(*[c.alias(n) for n, c in totals_columns(table).items()])
+
     def views(self) -> dict[str, DataFrame]:
         return {
             "fact_transaction": self.window_fact,
@@ -428,7 +474,7 @@ class CardWarehouse:
         ``check`` sees a warehouse over the written tables before they become current.
         """
         tables = {
-            "transactions": Landing(self.transactions),
+            "transactions": Landing(self.transactions, totals=totals_columns("transactions")),
             "clients": Landing(self.clients),
             "cards": Landing(self.cards),
             "mcc": Landing(self.mcc_codes),
@@ -437,7 +483,8 @@ class CardWarehouse:
         return publish_layer(self.spark, root, tables, gate)
 
     def publish(self, root: str, check: Callable[[CardWarehouse], object] | None = None) -> dict[str, int]:
-        """Write the warehouse; the fact is laid out by year so that the window prunes folders.
+        """Write the warehouse; the fact is laid out by year, so that the window prunes folders, and in ranges of days inside a
+        year, so that a month or a day prunes files and row groups by their statistics.
 
         The bridge is read off the written fact, and ``check`` sees the written warehouse
         next to this one's staging before it becomes current.
@@ -448,13 +495,16 @@ class CardWarehouse:
             self.spark,
             root,
             {
-                "fact_transaction": Landing(by_year, partition_by=(YEAR_FOLDER,)),
+                "fact_transaction": Landing(
+                    by_year, partition_by=(YEAR_FOLDER,), order_by=("date_key", "transaction_id"),
+                    totals=totals_columns("fact_transaction"), extremes=("date_key",),
+                ),
                 "br_transaction_error": Landing(lambda written: bridge_of(written("fact_transaction"))),
                 "dim_date": Landing(self.dim_date),
                 "dim_client": Landing(self.dim_client),
                 "dim_card": Landing(self.dim_card),
-                "dim_location": Landing(self.dim_location),
-                "dim_mcc": Landing(self.dim_mcc),
+                "dim_location": Landing(self.dim_location, totals=totals_columns("dim_location")),
+                "dim_mcc": Landing(self.dim_mcc, totals=totals_columns("dim_mcc")),
                 "dim_channel": Landing(self.dim_channel),
                 "dim_ticket_band": Landing(self.dim_ticket_band),
                 "dim_error": Landing(self.dim_error),
@@ -488,6 +538,17 @@ class PublishedCardWarehouse(CardWarehouse):
         self.charges = self.fact = read("fact_transaction")
         if staged is not None:
             self.typed = staged.typed
+            self._runs += staged._runs
+
+    @cached_property
+    def window_calendar(self) -> DataFrame:
+        """The calendar up to the last fact, which the manifest names."""
+        known = getattr(self._source, "facts", {}).get("fact_transaction")
+        if known is None or "date_key" not in known.greatest:
+            return super().window_calendar
+        last = known.greatest["date_key"]
+        days = self.dim_date.filter(F.col("full_date") >= F.to_date(F.lit(WINDOW_FIRST_DAY)))
+        return days.filter(F.col("date_key") <= F.lit(last).cast("int"))
 
     @cached_property
     def window_fact(self) -> DataFrame:
@@ -507,78 +568,50 @@ class PublishedCardWarehouse(CardWarehouse):
 
 
 def staging_gate(wh: CardWarehouse) -> DataFrame:
-    """Seven counters that must be zero. Orphans are counted on distinct ids joined to their dimension."""
-    t = wh.typed
-    direct = counters(
-        t,
-        {
-            "null_dates": F.col("transacted_at").isNull(),
-            "null_amounts": F.col("amount").isNull(),
-            "null_mcc": F.col("mcc").isNull(),
-            "failed_without_error": F.col("is_failed") & F.col("error_list").isNull(),
-        },
-    )
-
-    def orphans(key: str, known: DataFrame, name: str) -> DataFrame:
-        per_key = t.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        return per_key.join(known.select(key).distinct(), key, "left_anti").agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias(name)
-        )
-
-    codes = wh.mcc_codes.select(F.col("mcc").cast("int").alias("mcc"))
-    return side_by_side(
-        direct,
-        orphans("card_id", wh.cards, "orphan_cards"),
-        orphans("client_id", wh.clients, "orphan_clients"),
-        orphans("mcc", codes, "unknown_mcc"),
-    )
+    """Seven counters that must be zero: four were taken while the table was written, three need one scan of its keys."""
+    direct = wh.totals("transactions").select("null_dates", "null_amounts", "null_mcc", "failed_without_error")
+    keys = ("card_id", "client_id", "mcc")
+    uses = wh.typed.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("long").alias("key")) for k in keys])).alias("u"))
+    known = None
+    for key, table in zip(keys, (wh.cards, wh.clients, wh.mcc_codes), strict=True):
+        one = table.select(F.lit(key).alias("kind"), F.col(key).cast("long").alias("key"))
+        known = one if known is None else known.unionByName(one)
+    names = {"card_id": "orphan_cards", "client_id": "orphan_clients", "mcc": "unknown_mcc"}
+    return side_by_side(direct, missing_counts(uses.select("u.kind", "u.key"), known, names))
 
 
 def channel_disagreement(wh: CardWarehouse) -> DataFrame:
     """Informational: rows whose city text contradicts their channel."""
-    return counters(
-        wh.typed,
-        {
-            "informational_channel_disagreement": F.col("is_online")
-            != (F.col("merchant_city") == "ONLINE")
-        },
-    )
+    return wh.totals("transactions").select(F.col("channel_disagreement").cast("long").alias("informational_channel_disagreement"))
 
 
 def reconciliation_gate(wh: CardWarehouse) -> DataFrame:
-    """Source against warehouse. Every counter must be zero."""
-    money = lambda df: df.agg(F.sum("amount").alias("total"))
+    """Source against warehouse. Every counter must be zero.
+
+    What can be told from single rows was counted while they were written; the days and the places are one scan each.
+    """
     both = side_by_side(
-        row_total(wh.typed, "staged"),
-        row_total(wh.fact, "facts"),
-        money(wh.typed).toDF("staged_amount"),
-        money(wh.fact).toDF("fact_amount"),
+        wh.totals("transactions").select("staged", "staged_amount", "unknown_errors"),
+        wh.totals("fact_transaction").select("facts", "fact_amount", "unmatched_channel", "unmatched_location", "unbanded_ticket"),
+        wh.totals("dim_mcc").select("uncategorised_mcc"),
     ).select(
         (F.col("staged") - F.col("facts")).alias("rows_lost"),
         (F.col("staged_amount") - F.col("fact_amount")).alias("amount_drift"),
+        "uncategorised_mcc", "unmatched_channel", "unmatched_location", "unbanded_ticket", "unknown_errors",
+    )
+    return side_by_side(both, _days_compared(wh), wrong_location(wh))
+
+
+def _days_compared(wh: CardWarehouse) -> DataFrame:
+    """Rows on days that the calendar lacks, and days of the reporting window without a row."""
+    per_day = wh.charges.groupBy(F.col("date_key").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    window = wh.window_calendar.select(F.col("date_key").alias("inside"))
+    days = wh.dim_date.select("date_key").join(window, F.col("date_key") == F.col("inside"), "left")
+    met = days.join(per_day, F.col("date_key") == F.col("day"), "full_outer")
+    return met.agg(
+        F.coalesce(F.sum(F.when(F.col("date_key").isNull(), F.col("n"))), F.lit(0)).alias("unmatched_date"),
+        F.count_if(F.col("inside").isNotNull() & F.col("n").isNull()).alias("empty_bi_days"),
     )
-    unknown = counters(
-        wh.charges,
-        {
-            "unmatched_channel": F.col("channel_key").isNull(),
-            "unmatched_location": F.col("location_key").isNull(),
-            "unbanded_ticket": F.col("ticket_band_key").isNull(),
-        },
-    )
-    per_day = wh.charges.groupBy("date_key").agg(F.count(F.lit(1)).alias("n"))
-    known = wh.dim_date.select(F.col("date_key").alias("_known"))
-    outside = per_day.join(known, F.col("date_key") == F.col("_known"), "left_anti")
-    unmatched_date = outside.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unmatched_date"))
-    uncategorised = counters(wh.dim_mcc, {"uncategorised_mcc": F.col("spend_category").isNull()})
-    names = wh.typed.select(F.explode("error_list").alias("name"))
-    unknown_errors = counters(
-        names, {"unknown_errors": _lookup(ERRORS, F.trim("name")).isNull()}
-    )
-    facts_on = wh.window_charges.select("date_key").distinct()
-    empty_days = wh.window_calendar.join(facts_on, "date_key", "left_anti").agg(
-        F.count(F.lit(1)).alias("empty_bi_days")
-    )
-    return side_by_side(both, uncategorised, unknown, unmatched_date, unknown_errors, wrong_location(wh), empty_days)
 
 
 # Counters of the reconciliation that are reported without failing the layer: a name
@@ -632,12 +665,8 @@ def wrong_location(wh: CardWarehouse) -> DataFrame:
 
 
 def sizes(wh: CardWarehouse) -> DataFrame:
-    """Informational sizes, from one pass over the fact and one over the places."""
-    in_window = F.col("date_key") >= WINDOW_FIRST_KEY
-    from_fact = wh.fact.agg(
-        F.count_if(in_window).alias("bi_window_rows"),
-        F.sum(F.coalesce(F.size("error_keys"), F.lit(0))).alias("bridge_rows"),
-        F.count_if("is_fraud").alias("fraud_rows"),
-        F.count_if("is_zero_auth").alias("zero_auth_rows"),
+    """Informational sizes."""
+    return side_by_side(
+        wh.totals("fact_transaction").select("bi_window_rows", "bridge_rows", "fraud_rows", "zero_auth_rows"),
+        wh.totals("dim_location").select("locations"),
     )
-    return side_by_side(from_fact, row_total(wh.dim_location, "locations"))
