@@ -308,8 +308,7 @@ card("p8_card_limit_bands", """
 SELECT card_id, credit_limit, (['Under $5k','$5-15k','$15-30k','$30k+'])[limit_o] AS limit_band,
   CAST(limit_o AS BIGINT) AS limit_band_order FROM dim_card""")
 # Merchant category codes per spend category.
-ORACLE["p10_spend_category"] = """
-WITH p AS (SELECT p_partkey * 7919 % 10000 AS mcc FROM part),
+_LISTED = """
 listed(spend_category, codes) AS (VALUES
   ('Groceries & Food Retail', [5411, 5499, 5300, 5921]),
   ('Restaurants & Bars', [5812, 5813, 5814]),
@@ -322,9 +321,13 @@ listed(spend_category, codes) AS (VALUES
   ('Home & Trade Supplies', [1711, 3504, 3509, 3596, 3640, 3684, 5211, 5251, 5261, 7349])),
 one AS (SELECT spend_category, unnest(codes) AS mcc FROM listed),
 named AS (
-  SELECT p.mcc, COALESCE(one.spend_category, CASE WHEN p.mcc >= 3000 AND p.mcc <= 3999 THEN 'Home & Trade Supplies' END,
-    'General Retail & Apparel') AS spend_category FROM p LEFT JOIN one ON one.mcc = p.mcc)
+  SELECT p.*, COALESCE(one.spend_category, CASE WHEN p.mcc >= 3000 AND p.mcc <= 3999 THEN 'Home & Trade Supplies' END,
+    'General Retail & Apparel') AS spend_category FROM p LEFT JOIN one ON one.mcc = p.mcc)"""
+ORACLE["p10_spend_category"] = "WITH p AS (SELECT p_partkey * 7919 % 10000 AS mcc FROM part)," + _LISTED + """
 SELECT spend_category, COUNT(*) AS n, MIN(mcc) AS lowest, MAX(mcc) AS highest FROM named GROUP BY spend_category"""
+ORACLE["p10_every_code"] = """WITH dealt AS (SELECT p_partkey * 7919 % 10000 AS mcc, COUNT(*) AS parts FROM part GROUP BY 1),
+p AS (SELECT range AS mcc, COALESCE(parts, 0) AS parts FROM range(10000) LEFT JOIN dealt ON mcc = range),""" + _LISTED + """
+SELECT mcc, spend_category, parts FROM named"""
 card("p14_channel_disagreement", """
 SELECT COUNT(*) AS informational_channel_disagreement FROM tx WHERE is_online AND city <> 'ONLINE' OR NOT is_online AND city = 'ONLINE'""")
 card("p20_window_fact_by_month", """
@@ -409,35 +412,53 @@ _FAULTY = """
     transaction_id % 131 = 8 AS no_channel, transaction_id % 137 = 2 AS no_city,
     transaction_id % 139 = 12 AS blank, transaction_id % 139 <> 12 AND transaction_id % 149 = 13 AS strange
   FROM tx)"""
-card("q1_card_staging_gate", _FAULTY + """
+_STAGING_GATE = _FAULTY + """
 SELECT COUNT(*) FILTER (fd IS NULL) AS null_dates, COUNT(*) FILTER (fa IS NULL) AS null_amounts,
   COUNT(*) FILTER (fm IS NULL) AS null_mcc, 0::BIGINT AS failed_without_error,
   COUNT(*) FILTER (fcard NOT IN (SELECT card_id FROM dim_card)) AS orphan_cards,
   COUNT(*) FILTER (fclient NOT IN (SELECT client_id FROM dim_client)) AS orphan_clients,
-  COUNT(*) FILTER (fm IS NULL OR fm NOT IN (SELECT mcc FROM codes)) AS unknown_mcc FROM ft""")
-card("q5_card_reconciliation", _FAULTY + """
-, fdays AS (SELECT full_date FROM days WHERE full_date >= DATE '2017-01-01' AND full_date <= (SELECT MAX(fd) FROM ft))
-SELECT 0::BIGINT AS rows_lost, 0::BIGINT AS amount_drift, 0::BIGINT AS uncategorised_mcc,
-  (SELECT COUNT(*) FROM ft WHERE no_channel) AS unmatched_channel,
-  (SELECT COUNT(*) FROM ft WHERE no_city) AS unmatched_location,
-  (SELECT COUNT(*) FROM ft WHERE fa IS NULL) AS unbanded_ticket,
-  (SELECT COUNT(*) FROM ft WHERE fd IS NULL OR fd NOT IN (SELECT full_date FROM days)) AS unmatched_date,
+  COUNT(*) FILTER (fm IS NULL OR fm NOT IN (SELECT mcc FROM codes)) AS unknown_mcc FROM ft"""
+card("q1_card_staging_gate", _STAGING_GATE)
+card("q1_card_staging_gate_from_the_write", _STAGING_GATE)
+_RECONCILIATION = _FAULTY + """
+, kept AS (SELECT *, fa + CASE WHEN n % 163 = 4 THEN 1 ELSE 0 END AS drifted FROM ft WHERE n % 157 <> 3),
+fdays AS (SELECT full_date FROM days WHERE full_date >= DATE '2017-01-01' AND full_date <= (SELECT MAX(fd) FROM kept))
+SELECT (SELECT COUNT(*) FROM ft) - (SELECT COUNT(*) FROM kept) AS rows_lost,
+  CAST(trunc((SELECT SUM(fa) FROM ft) - (SELECT SUM(drifted) FROM kept)) AS BIGINT) AS amount_drift,
+  (SELECT COUNT(*) FROM codes WHERE mcc % 5 = 0) AS uncategorised_mcc,
+  (SELECT COUNT(*) FROM kept WHERE no_channel) AS unmatched_channel,
+  (SELECT COUNT(*) FROM kept WHERE no_city) AS unmatched_location,
+  (SELECT COUNT(*) FROM kept WHERE fa IS NULL) AS unbanded_ticket,
+  (SELECT COUNT(*) FROM kept WHERE fd IS NULL OR fd NOT IN (SELECT full_date FROM days)) AS unmatched_date,
   (SELECT COUNT(*) FROM ft WHERE strange) AS unknown_errors,
   (SELECT COUNT(*) FROM ft WHERE no_city) AS wrong_location,
-  (SELECT COUNT(*) FROM fdays WHERE NOT EXISTS (SELECT 1 FROM ft WHERE fd = full_date)) AS empty_bi_days""")
+  (SELECT COUNT(*) FROM fdays WHERE NOT EXISTS (SELECT 1 FROM kept WHERE fd = full_date)) AS empty_bi_days"""
+card("q5_card_reconciliation", _RECONCILIATION)
+card("q5_card_reconciliation_from_the_write", _RECONCILIATION)
 card("q6_card_sizes", f"""
 SELECT (SELECT COUNT(*) FROM bi) AS bi_window_rows, (SELECT COUNT(*) FROM br) AS bridge_rows,
   (SELECT COUNT(*) FROM tx WHERE fraud) AS fraud_rows, (SELECT COUNT(*) FROM tx WHERE amount = 0) AS zero_auth_rows,
   (SELECT COUNT(*) FROM (SELECT DISTINCT {_PLACE} FROM tx)) AS locations""")
-card("q12_card_keys", """
+ORACLE["q6_card_sizes_from_the_write"] = ORACLE["q6_card_sizes"]
+card("q12_card_keys", f"""
 SELECT 'fact_transaction' AS table_name, 0::BIGINT AS duplicate_keys, COUNT(*) FILTER (transaction_id IS NULL) AS null_keys FROM tx
-UNION ALL SELECT 'br_transaction_error', 0, 0
+UNION ALL SELECT 'br_transaction_error', COUNT(*), 0 FROM br
+  WHERE transaction_id % 167 = 5 AND transaction_id % 139 <> 12 AND transaction_id % 149 <> 13
 UNION ALL SELECT 'dim_client', COUNT(*), 0 FROM dim_client WHERE client_id % 151 = 1
 UNION ALL SELECT 'dim_card', COUNT(*), 0 FROM dim_card WHERE card_id % 151 = 1
-UNION ALL SELECT 'dim_location', 0, 0
+UNION ALL SELECT 'dim_location', COUNT(*), 0 FROM (SELECT DISTINCT {_PLACE} FROM tx WHERE transaction_id % 137 <> 2) WHERE zip % 7 = 1
 UNION ALL SELECT 'dim_mcc', COUNT(*) - COUNT(DISTINCT mcc), 0 FROM codes
 UNION ALL SELECT 'dim_mcc, codes beyond four digits', COUNT(*) FILTER (mcc > 9999), 0 FROM codes""")
 
+card("q12_ids_where_they_lie", """
+SELECT 'transactions' AS table_name, COUNT(*) FILTER (transaction_id % 173 = 6) AS duplicate_keys, 0::BIGINT AS null_keys FROM tx
+UNION ALL SELECT 'fraud_labels', COUNT(*) FILTER (o_orderkey % 179 = 6), 0 FROM orders WHERE o_orderstatus <> 'P'""")
+ORACLE["j1_co_located_labels"] = ORACLE["p1_stage_transactions"]
+ORACLE["p21_window_calendar_from_the_manifest"] = ORACLE["p21_window_calendar"]
+card("p20_month_of_a_clustered_fact", """
+SELECT date_key, COUNT(*) AS n, CAST(SUM(amount) AS DECIMAL(18,2)) AS amount FROM tx
+WHERE date_key BETWEEN 20180301 AND 20180531 GROUP BY date_key""")
+
 _D = "CAST({} AS DOUBLE)"
 _MEASURE = {
     "transactions": "COUNT(*)",

@@ -127,10 +127,13 @@ def _n8(spark, sf_dir):
 # -- card staging, dimensions, fact -------------------------------------------
 
 
+def _staged_columns(staged: DataFrame) -> DataFrame:
+    return staged.withColumn("error_list", F.array_join("error_list", "|"))
+
+
 @query("p1_stage_transactions")
 def _p1(spark, sf_dir):
-    staged = _card(spark, sf_dir).transactions
-    return staged.withColumn("error_list", F.array_join("error_list", "|"))
+    return _staged_columns(_card(spark, sf_dir).transactions)
 
 
 @query("p2_stage_clients")
@@ -168,6 +171,16 @@ def _p10(spark, sf_dir):
     )
 
 
+@query("p10_every_code")
+def _p10_every_code(spark, sf_dir):
+    """Every four-digit code with its category, and the parts dealt to it."""
+    parts = driver.table(spark, sf_dir, "part").groupBy((F.col("p_partkey") * 7919 % 10000).cast("int").alias("mcc")).agg(rows().alias("parts"))
+    codes = spark.range(10_000).select(F.col("id").cast("int").alias("mcc"))
+    return codes.join(parts, "mcc", "left").select(
+        "mcc", cw.spend_category(F.col("mcc")).alias("spend_category"), F.coalesce("parts", F.lit(0)).alias("parts")
+    )
+
+
 @query("p14_channel_disagreement")
 def _p14(spark, sf_dir):
     return cw.channel_disagreement(_card(spark, sf_dir))
@@ -182,13 +195,17 @@ def _p20(spark, sf_dir):
     )
 
 
-@query("p21_window_calendar")
-def _p21(spark, sf_dir):
-    return _card(spark, sf_dir).window_calendar.groupBy("year").agg(
+def _calendar_years(days: DataFrame) -> DataFrame:
+    return days.groupBy("year").agg(
         rows().alias("days"), F.min("full_date").alias("first_day"), F.max("full_date").alias("last_day")
     )
 
 
+@query("p21_window_calendar")
+def _p21(spark, sf_dir):
+    return _calendar_years(_card(spark, sf_dir).window_calendar)
+
+
 @query("k1_generated_calendar")
 def _k1(spark, sf_dir):
     """The generated calendar with the transactions of each of its days, quiet days included."""
@@ -335,8 +352,34 @@ def _faulty_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return raw
 
 
+def _with_faults(wh: cw.CardWarehouse) -> cw.CardWarehouse:
+    """Facts of which some are lost and some have another amount, and codes of which some have no category."""
+
+    def worn(fact: DataFrame) -> DataFrame:
+        n = F.col("transaction_id")
+        drifted = F.when(n % 163 == 4, F.col("amount") + 1).otherwise(F.col("amount"))
+        return fact.filter(n % 157 != 3).withColumn("amount", drifted.cast("decimal(12,2)"))
+
+    wh.fact, wh.charges = worn(wh.fact), worn(wh.charges)
+    wh.dim_mcc = wh.dim_mcc.withColumn("spend_category", F.when(F.col("mcc") % 5 != 0, F.col("spend_category")))
+    return wh
+
+
 def _faulty_card(spark: SparkSession, sf_dir: str) -> cw.CardWarehouse:
-    return cw.CardWarehouse(spark, lambda name: _faulty_source(spark, sf_dir, name))
+    return _with_faults(cw.CardWarehouse(spark, lambda name: _faulty_source(spark, sf_dir, name)))
+
+
+def _faulty_staged(spark: SparkSession, sf_dir: str) -> cw.CardWarehouse:
+    """The same, staged and published."""
+    root = scratch_path(spark, "faulty")
+    cw.CardWarehouse(spark, lambda name: _faulty_source(spark, sf_dir, name)).publish_staging(root)
+    return cw.StagedCardWarehouse(spark, publish.open_published(spark, root))
+
+
+def _published(spark: SparkSession, staged: cw.CardWarehouse) -> cw.PublishedCardWarehouse:
+    root = scratch_path(spark, "published")
+    staged.publish(root)
+    return cw.PublishedCardWarehouse(spark, publish.open_published(spark, root), staged=staged)
 
 
 def _faulty_bills(spark: SparkSession, sf_dir: str) -> bills.BillWarehouse:
@@ -364,9 +407,72 @@ def _q6(spark, sf_dir):
     return _whole(cw.sizes(_card(spark, sf_dir)))
 
 
+@query("q1_card_staging_gate_from_the_write")
+def _q1_written(spark, sf_dir):
+    """Row counters from the manifest, orphans from one scan of the written table."""
+    return _whole(cw.staging_gate(_faulty_staged(spark, sf_dir)))
+
+
+@query("q5_card_reconciliation_from_the_write")
+def _q5_written(spark, sf_dir):
+    return _whole(cw.reconciliation_gate(_published(spark, _with_faults(_faulty_staged(spark, sf_dir)))))
+
+
+@query("q6_card_sizes_from_the_write")
+def _q6_written(spark, sf_dir):
+    return _whole(cw.sizes(_published(spark, _card(spark, sf_dir))))
+
+
 @query("q12_card_keys")
 def _q12(spark, sf_dir):
-    return cw.key_gate(_faulty_card(spark, sf_dir))
+    """With bridge rows that come twice and places that share a key."""
+    wh = cw.CardWarehouse(spark, lambda name: _faulty_source(spark, sf_dir, name))
+    wh.bridge = wh.bridge.unionByName(wh.bridge.filter(F.col("transaction_id") % 167 == 5))
+    place = wh.dim_location
+    wh.dim_location = place.unionByName(place.filter(F.col("zip") % 7 == 1).withColumn("zip", F.col("zip") + 1))
+    return cw.key_gate(wh)
+
+
+@query("q12_ids_where_they_lie")
+def _q12_ids(spark, sf_dir):
+    """Staged ids, some of which come twice, grouped in their buckets."""
+    raw = lambda name: driver.card_source(spark, sf_dir, name)
+    def twice(name):
+        if name not in ("transactions", "fraud_labels"):
+            return raw(name)
+        n = F.col("id" if name == "transactions" else "transaction_id").cast("long")
+        return raw(name).unionByName(raw(name).filter(n % (173 if name == "transactions" else 179) == 6))
+    root = scratch_path(spark, "ids")
+    wh = cw.CardWarehouse(spark, twice)
+    wh.transactions = wh.typed
+    wh.publish_staging(root)
+    return cw.id_gate(cw.StagedCardWarehouse(spark, publish.open_published(spark, root)))
+
+
+@query("j1_co_located_labels")
+def _j1(spark, sf_dir):
+    """Staged transactions and labels joined where they lie: both are dealt by id into the same buckets."""
+    root = scratch_path(spark, "co_located")
+    wh = _card(spark, sf_dir)
+    ids = {"bucket_by": "transaction_id", "buckets": publish.FEWEST_BUCKETS}
+    publish.publish_layer(spark, root, {
+        "typed": publish.Landing(wh.typed, **ids), "labels": publish.Landing(cw.type_labels(wh.labels), **ids),
+    })
+    read = publish.open_published(spark, root)
+    return _staged_columns(cw.attach_labels(read("typed"), read("labels")))
+
+
+@query("p21_window_calendar_from_the_manifest")
+def _p21_written(spark, sf_dir):
+    return _calendar_years(_published(spark, _card(spark, sf_dir)).window_calendar)
+
+
+@query("p20_month_of_a_clustered_fact")
+def _p20_clustered(spark, sf_dir):
+    """Months of one year, read from files that hold ranges of days."""
+    fact = _published(spark, _card(spark, sf_dir)).fact
+    year = fact.filter((F.col(cw.YEAR_FOLDER) == 2018) & F.col("date_key").between(20180301, 20180531))
+    return year.groupBy("date_key").agg(rows().alias("n"), F.sum("amount").alias("amount"))
 
 
 # -- measures -----------------------------------------------------------------

@@ -20,16 +20,19 @@ from stellate.operators.gates import enforce, enforce_rows
 from stellate.plans import bill_payments, card_warehouse, trauma_access
 from stellate.plans.card_warehouse import CardWarehouse, PublishedCardWarehouse, StagedCardWarehouse
 from stellate.sources import readers, schemas
-from stellate.sources.publish import Landing, Reader, export_csv, open_published, publish_layer, read_published
+from stellate.sources.publish import Landing, Reader, export_csv, open_published, publish_layer, read_published, totals_of
 
 
 log = logging.getLogger(__name__)
 
 
 def _report(name: str, result: DataFrame) -> None:
-    """Informational counters: written to the log, never a reason to stop."""
-    for row in result.limit(100).collect():
+    """Informational counters: written to the log, never a reason to stop. Beyond 100 rows the log says so."""
+    rows = result.limit(101).collect()
+    for row in rows[:100]:
         log.info("%s: %s", name, row.asDict())
+    if len(rows) > 100:
+        log.info("%s: more rows than the 100 logged", name)
 
 
 def land_card_sources(
@@ -61,6 +64,7 @@ def run_card(
 
     def staging(wh: CardWarehouse) -> None:
         enforce("card staging", card_warehouse.staging_gate(wh))
+        enforce_rows("card ids", card_warehouse.id_gate(wh), "table_name")
         _report("channel disagreement", card_warehouse.channel_disagreement(wh))
 
     def model(wh: CardWarehouse) -> None:
@@ -82,12 +86,13 @@ def run_card(
 def run_bills(spark: SparkSession, file: str, out: str, expected_rows: int | None = None) -> DataFrame:
     """The bill warehouse; returns the report view over its published tables."""
     publish_layer(spark, f"{out}/raw", {"bills": Landing(readers.read_bills(spark, file), expected_rows)})
-    raw = read_published(spark, f"{out}/raw", "bills")
+    landed = open_published(spark, f"{out}/raw")
+    raw = landed("bills")
     publish_layer(
         spark,
         f"{out}/staging",
-        {"bills": Landing(bill_payments.stage_bills(raw))},
-        lambda read: enforce("bill staging", bill_payments.staging_gate(read("bills"))),
+        {"bills": Landing(bill_payments.stage_bills(raw), totals=bill_payments.staging_totals())},
+        lambda read: enforce("bill staging", totals_of(read, "bills")),
     )
 
     def model(wh: bill_payments.BillWarehouse) -> None:
@@ -97,8 +102,9 @@ def run_bills(spark: SparkSession, file: str, out: str, expected_rows: int | Non
         if len(set(counts.values())) > 1:
             raise RuntimeError(f"bill row counts differ: {counts}")
 
-    staged = read_published(spark, f"{out}/staging", "bills")
-    bill_payments.BillWarehouse(spark, raw, staged).publish(f"{out}/warehouse", model)
+    run = open_published(spark, f"{out}/staging")
+    known = {"raw_rows": landed.facts["bills"].rows, "staged_rows": run.facts["bills"].rows}
+    bill_payments.BillWarehouse(spark, raw, run("bills"), known).publish(f"{out}/warehouse", model)
     report = bill_payments.report_from_tables(spark, f"{out}/warehouse")
     report.createOrReplaceTempView("vw_transaction_report")
     return report

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellate.functions import calendar
+from stellate.functions.literals import literal_table
 from stellate.functions.rates import percent, rows, sum_where
-from stellate.operators.gates import counters, key_counters, row_total, side_by_side
-from stellate.operators.joins import missing_keys
+from stellate.operators.gates import key_counters, row_total, side_by_side
 from stellate.operators.numbering import with_dense_key
 from stellate.operators.shares import with_share
 from stellate.operators.star import split_by_dimensions
 from stellate.session import cut_lineage
-from stellate.sources.publish import Landing, Reader, open_published, publish_layer
+from stellate.sources.publish import Landing, Run, open_published, publish_layer
 
 # The settled status and the days below which a month is partial.
 SETTLED = "Sukses"
@@ -43,19 +43,23 @@ def stage_bills(raw: DataFrame) -> DataFrame:
     )
 
 
-def staging_gate(staged: DataFrame) -> DataFrame:
-    def empty(name: str):
+def staging_totals() -> dict[str, Column]:
+    """Four counters that must be zero."""
+
+    def empty(name: str) -> Column:
         return F.col(name).isNull() | (F.col(name) == "")
 
-    return counters(
-        staged,
-        {
-            "null_dates": F.col("transaction_date_clean").isNull(),
-            "null_channels": empty("channel"),
-            "null_status": empty("status"),
-            "amount_mismatch": F.col("total_bayar") != F.col("nominal") + F.col("biaya_admin"),
-        },
-    )
+    return {
+        "null_dates": F.count_if(F.col("transaction_date_clean").isNull()),
+        "null_channels": F.count_if(empty("channel")),
+        "null_status": F.count_if(empty("status")),
+        "amount_mismatch": F.count_if(F.col("total_bayar") != F.col("nominal") + F.col("biaya_admin")),
+    }
+
+
+def staging_gate(staged: DataFrame) -> DataFrame:
+    """The counters over a frame; the job takes them while it writes."""
+    return staged.agg(*[c.alias(name) for name, c in staging_totals().items()])
 
 
 @dataclass
@@ -63,6 +67,8 @@ class BillWarehouse:
     spark: SparkSession
     raw: DataFrame
     staged: DataFrame
+    #: Row counts known from manifests, by the names of ``load_check``.
+    known: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def from_raw(cls, raw: DataFrame) -> BillWarehouse:
@@ -109,26 +115,24 @@ class BillWarehouse:
 
     def load_check(self) -> DataFrame:
         """Rows at each step and in the report, which an inner join makes shorter by every row without a key."""
-        return side_by_side(
-            row_total(self.raw, "raw_rows"),
-            row_total(self.staged, "staged_rows"),
-            row_total(self.fact, "fact_rows"),
-            row_total(self.report, "report_rows"),
-        )
+        steps = {"raw_rows": self.raw, "staged_rows": self.staged, "fact_rows": self.fact}
+        counted = [
+            literal_table(self.spark, [(self.known[name],)], f"{name} long") if name in self.known else row_total(frame, name)
+            for name, frame in steps.items()
+        ]
+        return side_by_side(*counted, row_total(self.report, "report_rows"))
 
     def reference_gate(self) -> DataFrame:
-        """Per dimension: facts without its key, and keys that it lacks."""
-        found = None
-        for key, dimension in (
-            ("date_key", self.dim_date), ("channel_key", self.dim_channel), ("biller_key", self.dim_biller),
-        ):
-            keyless = self.fact.agg(F.count_if(F.col(key).isNull()).alias("facts_without_key"))
-            unknown = missing_keys(self.fact.filter(F.col(key).isNotNull()), dimension, key)
-            one = side_by_side(keyless, unknown.agg(rows().alias("missing"))).select(
-                F.lit(key).alias("key"), F.col("facts_without_key").cast("long"), F.col("missing").cast("long")
-            )
-            found = one if found is None else found.unionByName(one)
-        return found
+        """Per dimension: facts without its key, and keys that it lacks. One scan and one shuffle of the facts' distinct keys."""
+        dimensions = {"date_key": self.dim_date, "channel_key": self.dim_channel, "biller_key": self.dim_biller}
+        pair = lambda key: F.struct(F.lit(key).alias("key"), F.col(key).cast("long").alias("value"))
+        uses = self.fact.select(F.explode(F.array(*[pair(key) for key in dimensions])).alias("u")).groupBy("u.key", "u.value").agg(rows().alias("n"))
+        members = reduce(DataFrame.unionByName, [d.select(pair(key).alias("u")).select("u.*") for key, d in dimensions.items()])
+        met = uses.join(members.distinct().withColumn("there", F.lit(True)), ["key", "value"], "left")
+        return met.groupBy("key").agg(
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("facts_without_key"),
+            F.count_if(F.col("value").isNotNull() & F.col("there").isNull()).alias("missing"),
+        )
 
     def key_gate(self) -> DataFrame:
         """Per table: keys that occur twice, and rows without one. A biller belongs to one kind."""
@@ -144,8 +148,9 @@ class BillWarehouse:
     def publish(self, root: str, check: Callable[[BillWarehouse], object] | None = None) -> dict[str, int]:
         """Write the warehouse; ``check`` sees the written tables before they become current."""
 
-        def gate(read: Reader) -> None:
-            written = BillWarehouse(self.spark, self.raw, self.staged)
+        def gate(read: Run) -> None:
+            counts = {name: read.facts[t].rows for name, t in (("fact_rows", "fact_transactions"),)}
+            written = BillWarehouse(self.spark, self.raw, self.staged, {**self.known, **counts})
             written.fact, written.dim_date = read("fact_transactions"), read("dim_date")
             written.dim_channel, written.dim_biller = read("dim_channel"), read("dim_biller")
             check(written)

@@ -12,7 +12,7 @@ from stellate.functions import bands, calendar, text
 from stellate.functions.literals import literal_map, literal_table
 from stellate.operators.gates import key_counters, missing_counts, side_by_side
 from stellate.operators.numbering import hash_key
-from stellate.sources.publish import Landing, Reader, open_published, publish_layer, register_views, totals_of
+from stellate.sources.publish import Landing, Reader, buckets_for, open_published, publish_layer, register_views, totals_of
 
 # Calendar span and first day of the reporting window.
 CALENDAR_FIRST, CALENDAR_LAST = "2010-01-01", "2019-12-31"
@@ -86,15 +86,17 @@ def type_transactions(raw: DataFrame) -> DataFrame:
     )
 
 
+def type_labels(raw: DataFrame) -> DataFrame:
+    return raw.select(F.col("transaction_id").cast("long").alias("transaction_id"), "is_fraud")
+
+
 def attach_labels(typed: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds the fraud label where one exists; without one, ``is_fraud`` is unknown.
 
-    The one large shuffle of the flow: both ids are unique, so no key is hot.
+    The one large shuffle of the flow: both ids are unique, so no key is hot. Staged tables lie in buckets of the
+    id, so that labels which come later join them where they lie.
     """
-    known = labels.select(
-        F.col("transaction_id").cast("long").alias("transaction_id"),
-        F.col("is_fraud").alias("_label"),
-    )
+    known = type_labels(labels).withColumnRenamed("is_fraud", "_label")
     return typed.join(known, "transaction_id", "left").select(
         *typed.columns,
         F.col("_label").isNotNull().alias("has_fraud_label"),
@@ -361,7 +363,11 @@ class CardWarehouse:
 
     @cached_property
     def transactions(self) -> DataFrame:
-        return attach_labels(self.typed, self._source("fraud_labels"))
+        return attach_labels(self.typed, self.labels)
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return self._source("fraud_labels")
 
     @cached_property
     def clients(self) -> DataFrame:
@@ -471,10 +477,14 @@ class CardWarehouse:
     def publish_staging(self, root: str, check: Callable[[CardWarehouse], object] | None = None) -> dict[str, int]:
         """Write the typed tables: the only place where raw transactions are read and labels are joined.
 
-        ``check`` sees a warehouse over the written tables before they become current.
+        Transactions and labels are dealt into buckets of the transaction id: later joins on it and the gate on its
+        uniqueness need no shuffle. ``check`` sees a warehouse over the written tables before they become current.
         """
+        raw = getattr(self._source, "facts", {}).get("transactions")
+        ids = {"bucket_by": "transaction_id", "buckets": buckets_for(raw.rows if raw else 0)}
         tables = {
-            "transactions": Landing(self.transactions, totals=totals_columns("transactions")),
+            "transactions": Landing(self.transactions, totals=totals_columns("transactions"), **ids),
+            "fraud_labels": Landing(type_labels(self.labels), **ids),
             "clients": Landing(self.clients),
             "cards": Landing(self.cards),
             "mcc": Landing(self.mcc_codes),
@@ -645,6 +655,14 @@ def key_gate(wh: CardWarehouse) -> DataFrame:
     return found.unionByName(codes)
 
 
+def id_gate(wh: CardWarehouse) -> DataFrame:
+    """Staged transactions and labels by id, where they lie: buckets are grouped without a shuffle."""
+    staged = key_counters(wh.transactions.select("transaction_id"), "transaction_id")
+    labels = key_counters(type_labels(wh.labels).select("transaction_id"), "transaction_id")
+    named = [t.select(F.lit(n).alias("table_name"), "duplicate_keys", "null_keys") for n, t in (("transactions", staged), ("fraud_labels", labels))]
+    return named[0].unionByName(named[1])
+
+
 def wrong_location(wh: CardWarehouse) -> DataFrame:
     """Facts whose location row differs from their source row in city, state or zip.
 

@@ -63,6 +63,15 @@ class TableFacts:
     buckets: int = 0
 
 
+#: Rows of a bucket, and buckets of a table at least and at most (Spark's own limit is 100,000).
+BUCKET_ROWS, FEWEST_BUCKETS, MOST_BUCKETS = 2_000_000, 8, 1 << 16
+
+
+def buckets_for(rows: int) -> int:
+    """A power of two, so that tables of different sizes still fit into each other's buckets."""
+    return min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length()))
+
+
 #: Reads a table of one run.
 Reader = Callable[[str], DataFrame]
 
