@@ -373,6 +373,19 @@ v AS (SELECT CAST(value * 2 AS DECIMAL(12,2)) AS v FROM events)
 SELECT CAST(ticket_band_key AS BIGINT) AS ticket_band_key, COUNT(*) AS n, CAST(MIN(v) AS DECIMAL(18,2)) AS lowest,
   CAST(MAX(v) AS DECIMAL(18,2)) AS highest
 FROM v LEFT JOIN bands ON v >= lo AND (hi IS NULL OR v < hi) GROUP BY 1"""
+ORACLE["j5_order_bands_from_a_table"] = """
+WITH b AS (SELECT n_nationkey + 1 AS band, n_nationkey * 20000 + 1500 AS lo, CASE WHEN n_nationkey < 24 THEN (n_nationkey + 1) * 20000 + 1500 END AS hi
+  FROM nation),
+o AS (SELECT CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders)
+SELECT CAST(band AS BIGINT) AS band, COUNT(*) AS n, CAST(MIN(price) AS DECIMAL(18,2)) AS lowest, CAST(MAX(price) AS DECIMAL(18,2)) AS highest
+FROM o LEFT JOIN b ON price >= lo AND (hi IS NULL OR price < hi) GROUP BY 1"""
+ORACLE["j5_promotions_that_overlap"] = """
+WITH r AS (SELECT s_suppkey AS promotion, s_suppkey * 7919 % 90000 AS lo,
+  CASE WHEN s_suppkey % 20 <> 7 THEN s_suppkey * 7919 % 90000 + 400 + s_suppkey % 300 END AS hi FROM supplier),
+l AS (SELECT CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem)
+SELECT CAST(promotion AS BIGINT) AS promotion, COUNT(*) AS n, CAST(SUM(price) AS DECIMAL(18,2)) AS price
+FROM l JOIN r ON price >= lo AND (hi IS NULL OR price < hi) GROUP BY promotion"""
+ORACLE["j5_promotions_by_cells"] = ORACLE["j5_promotions_that_overlap"]
 card("j7_value_per_error_and_per_transaction", """
 SELECT (SELECT COUNT(*) FROM bibr) AS declines, (SELECT CAST(SUM(abs_amount) AS DECIMAL(18,2)) FROM bibr) AS value_per_error,
   (SELECT COUNT(*) FROM bi WHERE is_failed) AS transactions,
@@ -850,6 +863,15 @@ ORACLE["w5_distributed_ntile"] = """
 WITH t AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price,
   NTILE(100) OVER (ORDER BY CAST(o_totalprice AS DECIMAL(18,2)) DESC, o_orderkey) AS tile FROM orders)
 SELECT tile, COUNT(*) AS n, MIN(price) AS lowest, MAX(price) AS highest, CAST(SUM(o_orderkey) AS BIGINT) AS key_sum FROM t GROUP BY tile"""
+ORACLE["w5_tiles_from_value_counts"] = """
+WITH p AS (SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1000 ELSE o_totalprice END AS DECIMAL(18,2)) AS price FROM orders),
+t AS (SELECT *, NTILE(100) OVER (ORDER BY price DESC, o_orderkey) AS tile FROM p)
+SELECT tile, COUNT(*) AS n, MIN(price) AS lowest, MAX(price) AS highest, CAST(SUM(o_orderkey) AS BIGINT) AS key_sum FROM t GROUP BY tile"""
+ORACLE["a10_quantiles_of_a_hot_group"] = """
+WITH l AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END AS who, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem),
+q AS (SELECT who, unnest([0.5, 0.9]) AS share, unnest([percentile_cont(0.5) WITHIN GROUP (ORDER BY price),
+  percentile_cont(0.9) WITHIN GROUP (ORDER BY price)]) AS q FROM l GROUP BY who)
+SELECT CAST(who AS BIGINT) AS who, CAST(share AS DOUBLE) AS share, CAST(round(q * 100) AS BIGINT) AS cents FROM q"""
 _ORDER_DAYS = """
 WITH days AS (SELECT CAST(g AS DATE) AS full_date FROM generate_series(
   (SELECT CAST(MIN(o_orderdate) AS DATE) FROM orders), (SELECT CAST(MAX(o_orderdate) AS DATE) FROM orders), INTERVAL 1 DAY) AS t(g)),

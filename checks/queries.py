@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import DateType, DecimalType, IntegralType, TimestampNTZType
 
 from stellate.functions import bands, calendar, text
 from stellate.functions.geo import haversine_km
 from stellate.functions.rates import percent, ratio, rows, rows_where, sum_where
-from stellate.operators import gates, joins, numbering, periods
+from stellate.operators import gates, intervals, joins, numbering, order_statistics, periods
 from stellate.operators.nearest import nearest_target
 from stellate.operators.shares import with_share
 from stellate.operators.star import split_by_dimensions
@@ -273,6 +274,36 @@ def _j5(spark, sf_dir):
     )
 
 
+@query("j5_order_bands_from_a_table")
+def _j5_table(spark, sf_dir):
+    """Orders against bands that come as rows: one band per nation's mean price, the last one open, none below the first."""
+    orders = driver.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    cuts = driver.table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 20000 + 1500).cast("decimal(18,2)").alias("lower_bound"))
+    ahead = Window.orderBy("lower_bound")
+    bands_ = cuts.select("lower_bound", F.lead("lower_bound").over(ahead).alias("upper_bound"), F.row_number().over(ahead).alias("band"))
+    banded = intervals.with_band(orders, "price", bands_, "lower_bound", "upper_bound", ["band"])
+    return banded.groupBy("band").agg(rows().alias("n"), F.min("price").alias("lowest"), F.max("price").alias("highest"))
+
+
+@query("j5_promotions_by_cells")
+def _j5_cells(spark, sf_dir):
+    """The same without the index for few intervals."""
+    return _j5_overlapping(spark, sf_dir, 0)
+
+
+@query("j5_promotions_that_overlap")
+def _j5_overlapping(spark, sf_dir, index_rows=intervals.INDEX_ROWS):
+    """Lines against price ranges of suppliers, which overlap and of which some have no upper end."""
+    lines = driver.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    key = F.col("s_suppkey")
+    low = (key * 7919 % 90000).cast("decimal(18,2)")
+    ranges = driver.table(spark, sf_dir, "supplier").select(
+        key.alias("promotion"), low.alias("lower_bound"), F.when(key % 20 != 7, low + 400 + key % 300).cast("decimal(18,2)").alias("upper_bound")
+    )
+    met = intervals.interval_join(lines, "price", ranges, "lower_bound", "upper_bound", index_rows)
+    return met.groupBy("promotion").agg(rows().alias("n"), F.sum("price").alias("price"))
+
+
 @query("j7_value_per_error_and_per_transaction")
 def _j7(spark, sf_dir):
     """The fan-out through the bridge next to the count that takes each transaction once."""
@@ -807,6 +838,32 @@ def _w5(spark, sf_dir):
     )
 
 
+@query("w5_tiles_from_value_counts")
+def _w5_counts(spark, sf_dir):
+    """A third of all orders have one price, which several tiles' ends cut."""
+    orders = driver.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, 1000).otherwise(F.col("o_totalprice")).cast("decimal(18,2)").alias("price")
+    )
+    tiled = order_statistics.with_tile_by_value(orders, 100, "price", "o_orderkey", "tile", descending=True)
+    return tiled.groupBy("tile").agg(
+        rows().alias("n"), F.min("price").alias("lowest"), F.max("price").alias("highest"), F.sum("o_orderkey").alias("key_sum")
+    )
+
+
+@query("a10_quantiles_of_a_hot_group")
+def _a10_hot(spark, sf_dir):
+    """Prices have any number of values, and one group has a third of all rows."""
+    lines = driver.table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_suppkey")).alias("who"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price")
+    )
+    found = None
+    for share in (0.5, 0.9):
+        one = order_statistics.quantile(lines, ["who"], "price", share, "q")
+        one = one.select("who", F.lit(share).alias("share"), F.round(F.col("q") * 100).cast("long").alias("cents"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def _order_days(spark, sf_dir):
     """Calendar over the order dates with each day's value, quiet days included."""
     orders = driver.table(spark, sf_dir, "orders").select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stellate.functions.rates import (
     mean_from, percent, ratio, rows, rows_where, sum_where, whole_units,
 )
-from stellate.operators.numbering import with_tile
+from stellate.operators.order_statistics import with_tile_by_value
 from stellate.operators.shares import with_share
 from stellate.operators.star import totals_by_attribute, totals_by_label
 from stellate.plans.card_warehouse import STALE_CREDENTIAL, CardWarehouse, bridge_of, has_any_error
@@ -316,13 +316,12 @@ def fraud_by_ticket_band(wh: CardWarehouse) -> DataFrame:
 
 
 def loss_concentration(wh: CardWarehouse) -> DataFrame:
-    """Labelled tickets in 100 tiles by size; equal sizes are ordered by transaction id."""
-    ranked = with_tile(
-        wh.window_fact.filter("has_fraud_label").select("transaction_id", "abs_amount", "is_fraud"),
-        100,
-        [F.desc("abs_amount"), F.asc("transaction_id")],
-        "pct_rank",
-    )
+    """Labelled tickets in 100 tiles by size; equal sizes are ordered by transaction id.
+
+    Sizes are counted, not sorted row by row; only tickets of a size that a tile's end cuts are numbered.
+    """
+    labelled = wh.window_fact.filter("has_fraud_label").select("transaction_id", "abs_amount", "is_fraud")
+    ranked = with_tile_by_value(labelled, 100, "abs_amount", "transaction_id", "pct_rank", descending=True)
     tile = F.col("pct_rank")
     piece = (
         F.when(tile <= 1, "Top 1% by ticket size")
