@@ -520,6 +520,12 @@ card("m10_issuer_value_by_card_type", _measured(
     "failed_value issuer_owned_failed_value", "card_type", "bi JOIN dim_card USING (card_id)"))
 card("m28_m31_stale_by_credit_band", _measured(_STALES, "credit_band", "bi JOIN dim_client USING (client_id)"))
 card("m28_m31_stale_overall", _measured(_STALES, "", "bi"))
+card("m28_stale_cards_from_stored_sets", """
+, s AS (SELECT bi.card_id, bi.year, cl.credit_band, ca.card_type FROM bi JOIN dim_client cl ON cl.client_id = bi.client_id
+  JOIN dim_card ca ON ca.card_id = bi.card_id WHERE is_stale)
+SELECT 'credit_band' AS grouped_by, credit_band AS label, COUNT(DISTINCT card_id) AS cards FROM s GROUP BY credit_band
+UNION ALL SELECT 'card_type / year', card_type || ' / ' || year, COUNT(DISTINCT card_id) FROM s GROUP BY card_type, year
+UNION ALL SELECT '', 'all', COUNT(DISTINCT card_id) FROM s""")
 card("m18_spend_per_day_by_month", """
 , s AS (SELECT year(d) AS y, month(d) AS m, SUM(amount) AS v FROM bi GROUP BY 1, 2),
 c AS (SELECT year(full_date) AS y, month(full_date) AS m, COUNT(*) AS c FROM bidays GROUP BY 1, 2)

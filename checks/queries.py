@@ -26,7 +26,7 @@ from stellate.plans import card_reports as card
 from stellate.plans import card_warehouse as cw
 from stellate.plans import retail_sales as retail
 from stellate.plans import trauma_access as trauma
-from stellate.session import scratch_path
+from stellate.session import cut_lineage, scratch_path
 from stellate.sources import driver_tables as driver
 from stellate.sources import publish, readers, schemas
 
@@ -569,6 +569,20 @@ def _m28b(spark, sf_dir):
     return measures.evaluate(_card(spark, sf_dir), names)
 
 
+@query("m28_stale_cards_from_stored_sets")
+def _m28_sets(spark, sf_dir):
+    """Three groupings of distinct cards from one stored table of bitmaps."""
+    sets = cut_lineage(measures.stale_card_sets(_card(spark, sf_dir), ["credit_band", "card_type", "year"]))
+    found = None
+    for by in (["credit_band"], ["card_type", "year"], []):
+        label = F.concat_ws(" / ", *[F.col(c).cast("string") for c in by]) if by else F.lit("all")
+        one = measures.cards_with_stale_credential(sets, by).select(
+            F.lit(" / ".join(by)).alias("grouped_by"), label.alias("label"), F.col("cards_with_stale_credential").alias("cards")
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query("m_filtered_domestic_by_state")
 def _mf(spark, sf_dir):
     return measures.evaluate(

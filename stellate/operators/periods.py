@@ -1,7 +1,8 @@
-"""Time intelligence over a complete calendar.
+"""Time intelligence.
 
-Every function takes a frame that has already been reduced to one row per
-calendar day or period, so its windows run over a few thousand rows.
+Every function takes a frame that has already been reduced to one row per calendar day or period of a group, so
+that a window runs over a few thousand rows. ``trailing_days`` and ``with_prior_year`` want a calendar without gaps; the
+others also take the days alone that have facts.
 """
 
 from __future__ import annotations
@@ -37,6 +38,12 @@ def trailing_days(column: str, day: str, days: int, within: Sequence[str] = ())
     return F.sum(column).over(window.rowsBetween(1 - days, Window.currentRow))
 
 
+def trailing_range(column: str, day: str, days: int, within: Sequence[str] = ()) -> Column:
+    """Sum over the day and the days - 1 before it, whichever of them have rows."""
+    window = Window.partitionBy(*within).orderBy(F.unix_date(F.col(day)))
+    return F.sum(column).over(window.rangeBetween(1 - days, 0))
+
+
 def with_prior_year(
     periods: DataFrame, start: str, columns: Sequence[str], suffix: str, within: Sequence[str] = ()
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stellate.functions.rates import ratio, rows, rows_where, sum_where
 from stellate.operators import periods
+from stellate.operators.distinct import distinct_keys, key_sets
 from stellate.plans.card_warehouse import (
     ERRORS, STALE_CREDENTIAL, WINDOW_FIRST_DAY, CardWarehouse, has_any_error,
 )
@@ -224,23 +225,15 @@ def _over_time(
 ) -> DataFrame:
     """Time measures per group and period.
 
-    The fact is reduced to days per group; every group then gets every day of the window, at most some
-    thousand, and all windows run inside a group. A period stands where its last day does.
+    The fact is reduced to the days per group that have any; every group gets the last day of every period besides, and all
+    windows run inside a group, over ranges of days. A period stands where its last day does.
     """
     grains = [a for a in by if a in GRAINS]
     others = [a for a in by if ATTRIBUTES[a] != "date_key"]
     if len(grains) != 1 or len(grains) + len(others) != len(by):
         raise ValueError(f"time measures need one of {', '.join(GRAINS)} and no other date attribute in by")
     grain = grains[0]
-    daily = evaluate(wh, _DAILY, [*others, "full_date"], where, fact, filters)
-    last = wh.window_calendar.agg(F.max("full_date")).first()[0]
-    if last is None:
-        span_days = F.array().cast("array<date>")
-    else:
-        span_days = F.sequence(F.to_date(F.lit(WINDOW_FIRST_DAY)), F.lit(last), F.expr("interval 1 day"))
-    groups = daily.select(*others).distinct() if others else wh.spark.range(1)
-    every = groups.select(*others, F.explode(span_days).alias("full_date"))
-    days = _join_by(every, daily, [*others, "full_date"]).na.fill(0, _DAILY)
+    days = _days_and_ends(wh, evaluate(wh, _DAILY, [*others, "full_date"], where, fact, filters), others, grain)
 
     spend, day = "total_spend", "full_date"
     dated = days.withColumns({"_year": F.year(day), "_month": F.month(day)})
@@ -249,7 +242,7 @@ def _over_time(
         periods.to_date(spend, day, [*others, "_year", "_month"]).alias("spend_mtd"),
         periods.to_date(spend, day, [*others, "_year"]).alias("spend_ytd"),
         periods.to_date(spend, day, others).alias("spend_running_total"),
-        periods.trailing_days(spend, day, 30, others).alias("spend_rolling_30d"),
+        periods.trailing_range(spend, day, 30, others).alias("spend_rolling_30d"),
     )
     running = ["spend_mtd", "spend_ytd", "spend_running_total", "spend_rolling_30d"]
     start = F.trunc(day, GRAINS[grain]) if grain != "full_date" else F.col(day)
@@ -274,6 +267,29 @@ def _over_time(
     return both.select(*by, *[made[n].alias(n) for n in measures])
 
 
+def _days_and_ends(wh: CardWarehouse, daily: DataFrame, others: Sequence[str], grain: str) -> DataFrame:
+    """The days of each group that have facts, and with zeros the last day in the window of each period.
+
+    Every other day of the calendar would only carry the sums of the day before.
+    """
+    last = wh.window_calendar.agg(F.max("full_date")).first()[0]
+    first, until = F.to_date(F.lit(WINDOW_FIRST_DAY)), F.lit(last).cast("date")
+    if last is None:
+        ends = F.array().cast("array<date>")
+    elif grain == "full_date":
+        ends = F.sequence(first, until, F.expr("interval 1 day"))
+    elif grain == "month_start":
+        ends = F.transform(F.sequence(first, F.trunc(until, "month"), F.expr("interval 1 month")), lambda d: F.least(F.last_day(d), until))
+    else:
+        ends = F.transform(F.sequence(F.year(first), F.year(until)), lambda y: F.least(F.make_date(y, F.lit(12), F.lit(31)), until))
+    groups = daily.select(*others).distinct() if others else wh.spark.range(1)
+    zeros = [F.lit(0).cast(daily.schema[n].dataType).alias(n) for n in _DAILY]
+    every = groups.select(*others, F.explode(ends).alias("full_date"), *zeros)
+    known = daily.filter(F.col("full_date") <= until).select(*others, "full_date", *[F.coalesce(n, F.lit(0)).alias(n) for n in _DAILY])
+    met = known.unionByName(every).groupBy(*others, "full_date").agg(*[F.sum(n).alias(n) for n in _DAILY])
+    return met.withColumns({n: F.col(n).cast(daily.schema[n].dataType) for n in _DAILY})
+
+
 def _with_days(
     wh: CardWarehouse, result: DataFrame, by: Sequence[str], filters: Mapping[str, Sequence[object]]
 ) -> DataFrame:
@@ -291,6 +307,23 @@ def _with_days(
     ).drop("_one")
 
 
+# -- distinct counts that merge -----------------------------------------------
+
+
+def stale_card_sets(wh: CardWarehouse, by: Sequence[str]) -> DataFrame:
+    """The cards with stale credentials as bitmaps per combination of ``by``: a table to store once, from which
+    ``cards_with_stale_credential`` counts any grouping by some of these attributes."""
+    keys = list(dict.fromkeys(ATTRIBUTES[a] for a in by))
+    uses = wh.window_charges.filter(has_any_error(*STALE_CREDENTIAL)).select(*dict.fromkeys([*keys, "card_id"])).distinct()
+    for key in keys:
+        uses = uses.join(_dimension(wh, key, {}).select(key, *[a for a in by if ATTRIBUTES[a] == key]), key)
+    return key_sets(uses, by, "card_id")
+
+
+def cards_with_stale_credential(sets: DataFrame, by: Sequence[str]) -> DataFrame:
+    return distinct_keys(sets, by, "cards_with_stale_credential")
+
+
 # -- time intelligence --------------------------------------------------------
 
 

@@ -179,6 +179,34 @@ def test_time_measures_see_quiet_days_of_every_group(wh):
         assert sum(x.spend_mtd for x in by_day if x.full_date == r.full_date) == r.spend_mtd
 
 
+@pytest.mark.parametrize(("grain", "periods"), [("month_start", 1), ("year", 1), ("full_date", 5)])
+def test_time_windows_run_over_days_with_facts_and_period_ends(spark, wh, grain, periods):
+    daily = measures.evaluate(wh, measures._DAILY, ["channel_name", "full_date"])
+    groups = daily.select("channel_name").distinct().count()
+    rows = measures._days_and_ends(wh, daily, ["channel_name"], grain)
+    assert rows.count() <= daily.count() + groups * periods
+
+
+def test_sparse_time_windows_equal_those_over_every_day(spark):
+    """Groups with gaps of months: each period's values are those of its last day in the dense calendar."""
+    days = ["2017-01-03", "2017-01-31", "2017-02-28", "2017-05-01", "2018-01-02", "2018-01-03", "2018-02-28"]
+    made = [(str(100 + i), f"{d} 10:00:00", "1", "10", f"${i + 1}.00", ["Chip Transaction", "Online Transaction"][i % 3 == 1], "1", "Austin", "TX", None, "5812", None) for i, d in enumerate(days)]
+    gaps = warehouse(spark, transactions=made, labels=LABELS)
+    names = ["spend_mtd", "spend_ytd", "spend_running_total", "spend_rolling_30d"]
+    dense = {(r.channel_name, r.full_date): r for r in measures.evaluate(gaps, names, by=["channel_name", "full_date"]).collect()}
+    last = max(d for _, d in dense)
+    for grain in ("month_start", "year"):
+        got = measures.evaluate(gaps, [*names, "spend_py"], by=["channel_name", grain]).collect()
+        per = {(r.channel_name, r[grain]): r for r in got}
+        ends = {}
+        for channel, day in dense:
+            start = day.replace(day=1) if grain == "month_start" else day.year
+            ends[channel, start] = max(ends.get((channel, start), day), day)
+        assert set(per) == set(ends) and max(ends.values()) == last
+        for key, day in ends.items():
+            assert [per[key][n] for n in names] == [dense[key[0], day][n] for n in names]
+
+
 def test_filters_meet_the_dimension_before_the_fact(wh):
     both = measures.evaluate(wh, ["transactions"], by=["card_type"]).collect()
     for r in both:
