@@ -935,3 +935,10 @@ SELECT CASE WHEN o_totalprice < 470000 THEN 'No' ELSE 'Yes' END AS is_fraud, COU
 FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1"""
 card("s8_s9_publish_and_read_back", """
 SELECT year, COUNT(*) AS n, CAST(SUM(amount) AS DECIMAL(18,2)) AS amount FROM bi GROUP BY year""")
+ORACLE["s1_quoted_line_breaks"] = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, md5(text) AS md5, CAST(length(text) AS BIGINT) AS length FROM documents"""
+ORACLE["s7_texts_with_commas_and_escapes"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS md5 FROM documents"
+ORACLE["s3_required_columns"] = """
+SELECT column_name, column_name IN ('Channel', 'Status') AS is_missing, (SELECT COUNT(*) FROM orders) AS file_rows
+FROM (VALUES ('ID Transaksi'), ('Tanggal'), ('No Rekening'), ('Nama Nasabah'), ('Jenis Biller'), ('Nama Biller'), ('Nomor Pelanggan'),
+  ('Nominal'), ('Biaya Admin'), ('Total Bayar'), ('Channel'), ('Status')) AS t(column_name)"""

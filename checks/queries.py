@@ -15,6 +15,7 @@ from pyspark.sql.types import DateType, DecimalType, IntegralType, TimestampNTZT
 
 from stellate.functions import bands, calendar, text
 from stellate.functions.geo import haversine_km
+from stellate.functions.literals import literal_table
 from stellate.functions.rates import percent, ratio, rows, rows_where, sum_where
 from stellate.operators import gates, intervals, joins, numbering, order_statistics, periods
 from stellate.operators.nearest import nearest_target
@@ -1007,6 +1008,41 @@ def _s1(spark, sf_dir):
     )
 
 
+@query("s1_quoted_line_breaks")
+def _s1_breaks(spark, sf_dir):
+    """Texts with line breaks, quotes and commas, written as CSV and read by as many tasks as the files have splits."""
+    path = scratch_path(spark, "texts")
+    texts = driver.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+    texts.write.option("header", True).option("emptyValue", '""').option("escape", '"').csv(path)
+    back = readers.read_delimited(spark, path, schemas.text_schema("doc_id lang text"), line_breaks=True)
+    return back.select("doc_id", "lang", F.md5("text").alias("md5"), F.length("text").alias("length"))
+
+
+@query("s3_required_columns")
+def _s3(spark, sf_dir):
+    """Which columns a bill file without two of them lacks, next to the rows it would have brought."""
+    path = scratch_path(spark, "short_bills")
+    names = {new: old for old, new in schemas.BILLS_RENAMED.items()}
+    short = driver.bill_payments(spark, sf_dir).drop("channel", "status").withColumnsRenamed(names)
+    short.write.option("header", True).option("sep", ";").csv(path)
+    found = spark.read.option("header", True).option("sep", ";").csv(path)
+    missing = readers.missing_columns(found.columns, schemas.BILLS_FILE.fieldNames())
+    wanted = literal_table(spark, [(n, n in missing) for n in schemas.BILLS_FILE.fieldNames()], "column_name string, is_missing boolean")
+    return wanted.crossJoin(found.agg(rows().alias("file_rows")))  # one row
+
+
+@query("s7_texts_with_commas_and_escapes")
+def _s7_texts(spark, sf_dir):
+    """One JSON object whose texts hold commas, quotes, backslashes and line breaks, read in parallel."""
+    path = scratch_path(spark, "object")
+    text = F.to_json(F.array("text"))
+    pairs = driver.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit('"'), "doc_id", F.lit('": '), F.substring(text, F.lit(2), F.length(text) - 2), F.lit(",")).alias("value")
+    )
+    pairs.write.text(path)
+    return readers.read_code_map(spark, path).select(F.col("mcc").alias("doc_id"), F.md5("description").alias("md5"))
+
+
 @query("s2_semicolon_csv_bills")
 def _s2(spark, sf_dir):
     path = scratch_path(spark, "bills")

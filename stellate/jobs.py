@@ -13,6 +13,7 @@ from __future__ import annotations
 import logging
 import sys
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,14 +37,18 @@ def _report(name: str, result: DataFrame) -> None:
 
 
 def land_card_sources(
-    spark: SparkSession, folder: str, root: str, expected: Mapping[str, int] | None = None
+    spark: SparkSession, folder: str, root: str, expected: Mapping[str, int] | None = None, line_breaks: bool = True
 ) -> dict[str, int]:
-    """All five card sources as text tables. The label object is parsed here, once."""
+    """All five card sources as text tables. The label object is parsed here, once.
+
+    Quoted fields may hold line breaks; without ``line_breaks`` that stops the load, and the scan that looks for them is spared.
+    """
     expected = expected or {}
+    delimited = partial(readers.read_delimited, spark, line_breaks=line_breaks)
     # Names of the source files.
     frames = {
-        "transactions": readers.read_delimited(spark, f"{folder}/transactions_data.csv", schemas.TRANSACTIONS),
-        "users": readers.read_delimited(spark, f"{folder}/users_data.csv", schemas.USERS),
+        "transactions": delimited(f"{folder}/transactions_data.csv", schemas.TRANSACTIONS),
+        "users": delimited(f"{folder}/users_data.csv", schemas.USERS),
         "cards": readers.read_card_file(spark, f"{folder}/cards_data.csv"),
         "mcc": readers.read_code_map(spark, f"{folder}/mcc_codes.json"),
         "fraud_labels": readers.read_label_object(spark, f"{folder}/train_fraud_labels.json"),

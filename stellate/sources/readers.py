@@ -9,42 +9,58 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from stellate.sources import schemas
+from stellate.sources.quoted import MalformedSource, csv_quotes, has_cut_records, json_quotes, whole_records
 
+__all__ = ["MalformedSource"]
 
-class MissingColumns(ValueError):
-    pass
 
-
-class MalformedSource(ValueError):
+class MissingColumns(ValueError):
     pass
 
 
 def require_columns(found: Iterable[str], wanted: Iterable[str]) -> None:
-    found = set(found)
-    missing = [name for name in wanted if name not in found]
+    missing = missing_columns(found, wanted)
     if missing:
         raise MissingColumns(f"source lacks columns: {missing}")
 
 
-def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> DataFrame:
+def missing_columns(found: Iterable[str], wanted: Iterable[str]) -> list[str]:
+    found = set(found)
+    return [name for name in wanted if name not in found]
+
+
+_CSV = {"nullValue": "\u0001", "emptyValue": "", "escape": '"', "mode": "FAILFAST"}
+
+
+def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str = ",", line_breaks: bool = False) -> DataFrame:
     """Delimited text with a header line, read by column name.
 
     An unquoted empty field is NULL, a quoted one is empty text. The header is
     read first so that the file's own column order does not matter and a
     missing column stops the load; every further file must have the same header.
+    With ``line_breaks`` quoted fields may hold line breaks; the text is scanned once for lines that quotes leave open, and if
+    there are any, records are put together across lines and splits before they are parsed.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("nullValue", "\u0001")
-        .option("emptyValue", "")
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-    )
+    reader = spark.read.option("header", True).option("sep", sep).options(**_CSV)
     header = reader.option("inferSchema", False).csv(path).columns
     require_columns(header, schema.fieldNames())
     in_file = StructType([StructField(name, StringType()) for name in header])
-    return reader.option("enforceSchema", False).schema(in_file).csv(path).select(*[F.col(f"`{f.name}`") for f in schema.fields])
+    wanted = [F.col(f"`{f.name}`") for f in schema.fields]
+    if line_breaks:
+        lines = spark.read.option("lineSep", "\n").text(path)
+        if has_cut_records(lines, csv_quotes(F.col("value"))):
+            return _parsed(whole_records(spark, path, "\n", csv_quotes), in_file, sep).select(*wanted)
+    return reader.option("enforceSchema", False).schema(in_file).csv(path).select(*wanted)
+
+
+def _parsed(records: DataFrame, schema: StructType, sep: str) -> DataFrame:
+    """Records without each file's header, which has to name the same columns everywhere."""
+    text = F.regexp_replace("value", "\r$", "")
+    fields = F.from_csv(text, ", ".join(f"`{f.name}` string" for f in schema.fields), {**_CSV, "sep": sep})
+    headers = records.filter("record = 0").select(text.alias("value")).distinct().select(fields.alias("f")).select("f.*").distinct().limit(2).collect()
+    if [list(h) for h in headers] != [schema.fieldNames()]:
+        raise MalformedSource(f"headers differ: {[list(h) for h in headers]}, expected {schema.fieldNames()}")
+    return records.filter("record > 0").filter(text != "").select(fields.alias("f")).select("f.*")
 
 
 def read_card_file(spark: SparkSession, path: str) -> DataFrame:
@@ -67,36 +83,32 @@ def read_bills(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_code_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object {code: description}. Codes have four digits, so the object is small."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(
-        F.explode(F.from_json("value", "map<string,string>")).alias("mcc", "description")
-    )
-
+_SPACE = " \t\r\n"
 
-# One '"id": "Yes"' pair of the label object, with nothing but the object's wrapping around it.
-_PAIR = r'^[\s{]*(?:"target"\s*:\s*\{)?\s*"([^",:{}]+)"\s*:\s*"([^",:{}]*)"[\s}]*$'
-_WRAPPING = r'^[\s{}]*("target"\s*:\s*\{)?[\s{}]*$'
 
+def _read_pairs(spark: SparkSession, path: str, key: str, value: str, what: str) -> DataFrame:
+    """The pairs of one JSON object of text values, bare or below "target", as rows.
 
-def read_label_object(spark: SparkSession, path: str) -> DataFrame:
-    """The nested label object {"target": {id: "Yes" | "No"}} as rows.
-
-    The whole file is one JSON value, which a JSON reader would hand to one
-    task. Labels hold no commas, so the text is split at commas instead and
-    the pairs are read in parallel. Text that is neither a pair nor the
-    object's own wrapping stops the load.
+    The whole file is one JSON value, which a JSON reader would hand to one task. It is split at commas instead, and pieces that
+    a comma inside a text has cut are put together again. What is neither a pair nor the object's own wrapping stops the load.
     """
-    piece = F.col("value")
     pieces = spark.read.option("lineSep", ",").text(path)
-    key = F.regexp_extract(piece, _PAIR, 1)
-    blank = F.regexp_like(piece, F.lit(_WRAPPING))
-    bad = F.raise_error(F.concat(F.lit("malformed label text: "), piece)).cast("string")
-    return (
-        pieces.filter(~blank)
-        .select(
-            F.when(key == "", bad).otherwise(key).alias("transaction_id"),
-            F.regexp_extract(piece, _PAIR, 2).alias("is_fraud"),
-        )
-    )
+    if has_cut_records(pieces, json_quotes(F.col("value"))):
+        pieces = whole_records(spark, path, ",", json_quotes)
+    bare = F.ltrim(F.rtrim("value", F.lit(_SPACE + "}")), F.lit(_SPACE + "{"))
+    pair = F.ltrim(F.regexp_replace(bare, r'^"target"\s*:\s*\{', ""), F.lit(_SPACE))
+    held = F.from_json(F.concat(F.lit("{"), F.col("pair"), F.lit("}")), "map<string,string>")
+    one = F.col("pair").startswith('"') & F.col("pair").endswith('"') & (F.size(held) == 1)
+    bad = F.raise_error(F.concat(F.lit(f"malformed {what} text: "), F.col("pair"))).cast("map<string,string>")
+    found = pieces.select(pair.alias("pair")).filter("pair != ''")
+    return found.select(F.explode(F.when(F.coalesce(one, F.lit(False)), held).otherwise(bad)).alias(key, value))
+
+
+def read_code_map(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON object {code: description}."""
+    return _read_pairs(spark, path, "mcc", "description", "code")
+
+
+def read_label_object(spark: SparkSession, path: str) -> DataFrame:
+    """The nested label object {"target": {id: "Yes" | "No"}} as rows."""
+    return _read_pairs(spark, path, "transaction_id", "is_fraud", "label")
