@@ -464,7 +464,7 @@ UNION ALL SELECT 'dim_mcc', COUNT(*) - COUNT(DISTINCT mcc), 0 FROM codes
 UNION ALL SELECT 'dim_mcc, codes beyond four digits', COUNT(*) FILTER (mcc > 9999), 0 FROM codes""")
 
 card("q12_ids_where_they_lie", """
-SELECT 'transactions' AS table_name, COUNT(*) FILTER (transaction_id % 173 = 6) AS duplicate_keys, 0::BIGINT AS null_keys FROM tx
+SELECT 'transactions' AS table_name, COUNT(*) FILTER (transaction_id % 173 = 6 OR (labelled AND transaction_id % 179 = 6)) AS duplicate_keys, 0::BIGINT AS null_keys FROM tx
 UNION ALL SELECT 'fraud_labels', COUNT(*) FILTER (o_orderkey % 179 = 6), 0 FROM orders WHERE o_orderstatus <> 'P'""")
 ORACLE["j1_co_located_labels"] = ORACLE["p1_stage_transactions"]
 ORACLE["p21_window_calendar_from_the_manifest"] = ORACLE["p21_window_calendar"]

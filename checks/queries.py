@@ -476,7 +476,6 @@ def _q12_ids(spark, sf_dir):
         return raw(name).unionByName(raw(name).filter(n % (173 if name == "transactions" else 179) == 6))
     root = scratch_path(spark, "ids")
     wh = cw.CardWarehouse(spark, twice)
-    wh.transactions = wh.typed
     wh.publish_staging(root)
     return cw.id_gate(cw.StagedCardWarehouse(spark, publish.open_published(spark, root)))
 

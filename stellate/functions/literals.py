@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 
 def _literal(value: object) -> str:
@@ -32,3 +32,21 @@ def literal_table(spark: SparkSession, rows: Iterable[Sequence[object]], schema:
     columns = ", ".join(f"`{f.name}`" for f in fields)
     typed = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in fields)
     return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({columns})")
+
+
+def typed_literal(value: object, kind: DataType) -> str:
+    """SQL text of a value read back from a column of this type."""
+    return "NULL" if value is None else f"CAST({_literal(str(value))} AS {kind.simpleString()})"
+
+
+def steps_passed(value: str, steps: Sequence[object], kind: DataType, descending: bool = False) -> Column:
+    """How many of the steps, in order, the column has reached: a balanced tree of comparisons, written as one expression."""
+    sign = ">" if descending else "<"
+
+    def half(first: int, last: int) -> str:
+        if first == last:
+            return str(first)
+        middle = (first + last) // 2
+        return f"CASE WHEN `{value}` {sign} {typed_literal(steps[middle], kind)} THEN {half(first, middle)} ELSE {half(middle + 1, last)} END"
+
+    return F.expr(half(0, len(steps)))

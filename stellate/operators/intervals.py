@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, DecimalType, IntegralType, TimestampNTZType, TimestampType
 
+from stellate.functions.literals import steps_passed
+
 #: Intervals up to which their bounds are read back and made an index.
 INDEX_ROWS = 256
 _BITS = 4  # a cell holds 16 of the next smaller ones
@@ -23,16 +25,9 @@ def _overlaps(low: Column, high: Column) -> Column:
     return low.isNotNull() & (high.isNull() | (low < high))
 
 
-def _segment(value: Column, cuts: Sequence[object], kind: DataType) -> Column:
-    """How many of the rising ``cuts`` are at or below the value, by halves; NULL for NULL."""
-
-    def half(first: int, last: int) -> Column:
-        if first == last:
-            return F.lit(first)
-        middle = (first + last) // 2
-        return F.when(value < F.lit(cuts[middle]).cast(kind), half(first, middle)).otherwise(half(middle + 1, last))
-
-    return F.when(value.isNotNull(), half(0, len(cuts)))
+def _segment(value: str, cuts: Sequence[object], kind: DataType) -> Column:
+    """How many of the rising ``cuts`` are at or below the value; NULL for NULL."""
+    return F.when(F.col(value).isNotNull(), steps_passed(value, cuts, kind))
 
 
 def _indexed(rows: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, how: str) -> DataFrame:
@@ -40,9 +35,9 @@ def _indexed(rows: DataFrame, value: str, intervals: DataFrame, lower: str, uppe
     ends = [b for r in intervals.select(lower, upper).collect() for b in r if b is not None]
     cuts = sorted(set(ends))
     kind = intervals.schema[lower].dataType
-    last = F.coalesce(_segment(F.col(upper), cuts, kind) - 1, F.lit(len(cuts)))
-    pieces = intervals.filter(_overlaps(F.col(lower), F.col(upper))).withColumn("_segment", F.explode(F.sequence(_segment(F.col(lower), cuts, kind), last)))
-    found = rows.withColumn("_segment", _segment(F.col(value), cuts, kind))
+    last = F.coalesce(_segment(upper, cuts, kind) - 1, F.lit(len(cuts)))
+    pieces = intervals.filter(_overlaps(F.col(lower), F.col(upper))).withColumn("_segment", F.explode(F.sequence(_segment(lower, cuts, kind), last)))
+    found = rows.withColumn("_segment", _segment(value, cuts, kind))
     return found.join(F.broadcast(pieces), "_segment", how).drop("_segment")  # at most 2 x INDEX_ROWS segments of INDEX_ROWS rows
 
 

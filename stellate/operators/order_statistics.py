@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stellate.functions.literals import steps_passed, typed_literal
 from stellate.session import cut_lineage
 
 
@@ -27,10 +28,10 @@ def with_prefix_sum(rows: DataFrame, by: Sequence[str], order: Sequence[Column],
     placed = cut_lineage(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
     sums = placed.groupBy(*by, "_part").agg(F.sum(weight).alias("_sum"))
     ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut_lineage(sums.select(
+    offsets = sums.select(
         *[F.col(c).alias(f"_g_{c}") for c in by], F.col("_part").alias("_g_part"),
         F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_offset"), F.sum("_sum").over(Window.partitionBy(*by)).alias(total),
-    ))
+    )
     inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by], F.col("_part") == F.col("_g_part"))
     return (
@@ -83,30 +84,27 @@ def with_tile_by_value(df: DataFrame, tiles: int, value: str, tie: str, tile: st
     ahead = _tile_at(F.col("_before") - 1, F.col("_total"), tiles)
     starts = placed.select(value, "_before", "_total", first.alias("_first"), last.alias("_last"), F.when(F.col("_before") > 0, ahead).otherwise(1).alias("_ahead"))
     edges = starts.filter((F.col("_first") != F.col("_last")) | (F.col("_first") != F.col("_ahead"))).collect()  # at most tiles - 1
-    kind = df.schema[value].dataType
-    here = F.col(value)
-
-    def from_here_on(edge: object) -> Column:
-        """The row's value is the edge or comes after it."""
-        if edge is None:
-            return here.isNull() if descending else F.lit(True)
-        bound = F.lit(edge).cast(kind)
-        after = here <= bound if descending else here >= bound
-        return F.coalesce(after, F.lit(descending))
-
-    number = F.lit(1)
-    for e in edges:
-        if e["_first"] == e["_last"]:
-            number = number + F.when(from_here_on(e[value]), e["_first"] - e["_ahead"]).otherwise(0)
-        else:  # rows behind a cut value have passed all its tiles; its own rows are numbered apart
-            beyond = from_here_on(e[value]) & ~here.eqNullSafe(F.lit(e[value]).cast(kind))
-            number = number + F.when(beyond, e["_last"] - e["_ahead"]).otherwise(0)
+    here, kind = F.col(value), df.schema[value].dataType
+    edges.sort(key=lambda e: e["_before"])
+    known = [e for e in edges if e[value] is not None]
+    null = next((e for e in edges if e[value] is None), None)
+    passed = steps_passed(value, [e[value] for e in known], kind, descending)  # edges at or before the row's value
+    pick = lambda values: F.element_at(F.expr(f"array({', '.join(values)})"), F.col("_passed") + 1)
+    numbers = lambda values: pick([str(v) for v in values])
+
+    # tiles of rows behind each edge, and of rows whose value is an edge's own, unless the edge cuts it: 0
+    base = null["_last"] if null is not None and not descending else 1
+    behind = [base, *[e["_last"] for e in known]]
+    own = [0, *[e["_first"] if e["_first"] == e["_last"] else 0 for e in known]]
+    edge_values = [typed_literal(e[value], kind) for e in known]
+    on_edge = (F.col("_passed") > 0) & (here == pick([*edge_values[:1], *edge_values])) if known else F.lit(False)
+    number = F.when(on_edge, numbers(own)).otherwise(numbers(behind))
+    of_null = (0 if null["_first"] != null["_last"] else null["_first"]) if null is not None else behind[-1] if descending else 1
+    marked = df.withColumn("_passed", passed).withColumn(tile, F.when(here.isNull(), of_null).otherwise(number).cast("int"))
     cut = [e for e in edges if e["_first"] != e["_last"]]
     if not cut:
-        return df.withColumn(tile, number.cast("int"))
-    is_cut = reduce(lambda a, b: a | b, [here.eqNullSafe(F.lit(e[value]).cast(kind)) for e in cut])
-    whole = df.filter(~is_cut).withColumn(tile, number.cast("int"))
-    begins = F.coalesce(*[F.when(here.eqNullSafe(F.lit(e[value]).cast(kind)), F.lit(e["_before"])) for e in cut])
-    rows = with_prefix_sum(df.filter(is_cut).withColumn("_one", F.lit(1)), [value], [F.asc(tie)], "_one", "_at", "_of")
+        return marked.drop("_passed")
+    rows = with_prefix_sum(marked.filter(F.col(tile) == 0).withColumn("_one", F.lit(1)), [value], [F.asc(tie)], "_one", "_at", "_of")
+    begins = F.when(here.isNull(), F.lit(null["_before"] if null is not None else 0)).otherwise(numbers([0, *[e["_before"] for e in known]]))
     numbered = rows.withColumn(tile, _tile_at(begins + F.col("_at"), F.lit(cut[0]["_total"]), tiles).cast("int"))
-    return whole.unionByName(numbered.select(*df.columns, tile))
+    return marked.filter(F.col(tile) > 0).drop("_passed").unionByName(numbered.select(*df.columns, tile))

@@ -481,10 +481,15 @@ class CardWarehouse:
         uniqueness need no shuffle. ``check`` sees a warehouse over the written tables before they become current.
         """
         raw = getattr(self._source, "facts", {}).get("transactions")
-        ids = {"bucket_by": "transaction_id", "buckets": buckets_for(raw.rows if raw else 0)}
+        n = buckets_for(raw.rows if raw else 0)
+        ids = {"bucket_by": "transaction_id", "buckets": n}
         tables = {
-            "transactions": Landing(self.transactions, totals=totals_columns("transactions"), **ids),
             "fraud_labels": Landing(type_labels(self.labels), **ids),
+            "transactions": Landing(
+                # the join's own shuffle deals the transactions; the labels lie dealt already
+                lambda written: attach_labels(self.typed.repartition(n, "transaction_id"), written("fraud_labels")),
+                totals=totals_columns("transactions"), dealt=True, **ids,
+            ),
             "clients": Landing(self.clients),
             "cards": Landing(self.cards),
             "mcc": Landing(self.mcc_codes),

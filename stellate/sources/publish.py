@@ -1,7 +1,7 @@
 """Writing layers: validate first, publish after, always safe to run again.
 
 A run's manifest keeps what was learnt while its tables were written: rows, files, named totals, least and
-greatest values. Gates and views take these from the manifest instead of scanning what has just been written.
+greatest values, and the schema, so that no file has to be opened to plan a read. Gates and views take these from the manifest instead of scanning what has just been written.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stellate.functions.literals import literal_table
 
@@ -37,7 +37,8 @@ class Landing:
     ``totals`` are named aggregates over the rows, ``extremes`` columns whose least and greatest value is wanted; both are taken
     while the rows are written. ``order_by`` lays rows out in ranges of these columns (after the folders), so that the files' and row groups'
     statistics tell most of them apart; it should end in a column with many values, for a range splits no equal keys.
-    ``bucket_by`` deals rows by a hash of a column into ``buckets`` files that later joins and groupings on it take as they are.
+    ``bucket_by`` deals rows by a hash of a column into ``buckets`` files that later joins and groupings on it take as they are;
+    ``dealt`` says that the frame's own last shuffle dealt them so.
     """
 
     frame: DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]
@@ -48,6 +49,7 @@ class Landing:
     order_by: tuple[str, ...] = ()
     bucket_by: str | None = None
     buckets: int = 0
+    dealt: bool = False
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,7 @@ class TableFacts:
 
     rows: int
     files: int
+    schema: str
     totals: dict[str, str | None] = field(default_factory=dict)
     least: dict[str, int | str | None] = field(default_factory=dict)
     greatest: dict[str, int | str | None] = field(default_factory=dict)
@@ -98,10 +101,10 @@ class Run:
         return f"{self._root}/run={self.run}/{table}"
 
     def __call__(self, table: str) -> DataFrame:
-        frame = self.spark.read.parquet(self.path(table))
         known = self.facts.get(table)
         if known is None:
-            return frame
+            return self.spark.read.parquet(self.path(table))
+        frame = self.spark.read.schema(StructType.fromJson(json.loads(known.schema))).parquet(self.path(table))
         there = len(frame.inputFiles())  # from the listing that the read needs anyway
         if there != known.files:
             raise MissingFiles(f"{table} of run {self.run} has {there} of {known.files} files")
@@ -147,7 +150,7 @@ def publish_layer(
     if check is not None:
         check(written)
     lines = [(json.dumps({"table": name, **asdict(f)}),) for name, f in facts.items()]
-    literal_table(spark, lines, "value string").coalesce(1).write.text(f"{root}/manifests/run={run}")
+    spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{root}/manifests/run={run}")
     _switch(spark, root, run)
     return {name: f.rows for name, f in facts.items()}
 
@@ -155,7 +158,9 @@ def publish_layer(
 def _write(frame: DataFrame, name: str, landing: Landing, run: Run) -> TableFacts:
     """Lays rows out, then counts them on their way into the files: behind the last shuffle, where a task's counts are taken
     once, when it succeeds, however often rows before it have to be made anew."""
-    if landing.bucket_by:
+    if landing.bucket_by and landing.dealt:
+        pass
+    elif landing.bucket_by:
         frame = frame.repartition(landing.buckets, F.col(landing.bucket_by)).sortWithinPartitions(landing.bucket_by)
     elif landing.order_by:
         order = [F.col(c) for c in (*landing.partition_by, *landing.order_by)]
@@ -179,7 +184,8 @@ def _write(frame: DataFrame, name: str, landing: Landing, run: Run) -> TableFact
     plain = lambda v: v if v is None or isinstance(v, int) else str(v)
     return TableFacts(
         rows=got["rows"],
-        files=len(run.spark.read.parquet(run.path(name)).inputFiles()),
+        files=len(run.spark.read.schema(frame.schema).parquet(run.path(name)).inputFiles()),
+        schema=json.dumps(_nullable(frame, landing.partition_by).jsonValue()),
         totals={t: None if got[f"total_{t}"] is None else str(got[f"total_{t}"]) for t in landing.totals},
         least={c: plain(got[f"least_{c}"]) for c in landing.extremes},
         greatest={c: plain(got[f"greatest_{c}"]) for c in landing.extremes},
@@ -188,6 +194,12 @@ def _write(frame: DataFrame, name: str, landing: Landing, run: Run) -> TableFact
     )
 
 
+def _nullable(frame: DataFrame, folders: Sequence[str]) -> StructType:
+    """The schema as files give it back: folders last, anything may be NULL."""
+    fields = [*[f for f in frame.schema.fields if f.name not in folders], *[frame.schema[c] for c in folders]]
+    return StructType([StructField(f.name, f.dataType, True) for f in fields])
+
+
 def totals_of(read: Reader, table: str) -> DataFrame | None:
     """One row with a written table's totals, without a scan; None where no manifest has them."""
     known = getattr(read, "facts", {}).get(table)
