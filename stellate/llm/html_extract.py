@@ -44,13 +44,17 @@ _MARK = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "noframes"}
+_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "noframes", "annotation", "annotation-xml"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
     "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    # formulas, drawings and what stands in for objects are text of their block
+    "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mstyle", "semantics",
+    "svg", "g", "text", "tspan", "path", "object", "param",
 }
 _DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset"}
+_FORMS = {"form", "fieldset"}  # a page's article may lie in one
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu"}
 _COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion"}
 _HINTS = _COMMENTS | {
@@ -59,12 +63,25 @@ _HINTS = _COMMENTS | {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "share", "sharing",
     "social", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "skip", "login", "signup",
 }
+#: First parts of class names that make the last part no hint: ``with-header`` says what the element goes with, ``post-header`` is an article's own.
+_BESIDE = {"with", "without", "has", "no", "is", "show", "hide", "js"}
+_OWN = {"post", "entry", "article", "story", "content"}
 #: Elements whose start ends an open one of the same kind.
 _ENDS_SAME = {"p", "li", "option", "tr", "td", "th", "dt", "dd"}
 
 
+def _hint(name: str) -> str | None:
+    """The hint that a class or id gives by its first part or its last one, as in ``ad-box`` and ``site-header``."""
+    parts = [p for p in re.split("[_-]+", name) if p]
+    if not parts or parts[0] in _BESIDE:
+        return None
+    if parts[0] in _HINTS:
+        return parts[0]
+    return parts[-1] if parts[-1] in _HINTS and not (parts[0] in _OWN and parts[-1] == "header") else None
+
+
 def _hints(attributes: str) -> tuple[set[str], str]:
-    """Words of the class and id, and the role."""
+    """Hints of the classes and the id, and the role."""
     words: set[str] = set()
     role = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
@@ -72,7 +89,7 @@ def _hints(attributes: str) -> tuple[set[str], str]:
         if name.lower() == "role":
             role = value.strip()
         else:
-            words.update(re.split(r"[\s_-]+", value))
+            words.update(h for h in map(_hint, value.split()) if h)
     return words, role
 
 
@@ -139,10 +156,14 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             if words & _COMMENTS or under:
                 inner, under = CHROME, True
             else:
-                inner = MAIN if not any(e in _DROPPED for e, _, _ in stack) else zone
+                inner = MAIN if not any(e in _DROPPED and e not in _FORMS for e, _, _ in stack) else zone
+        elif name == "header" and zone == MAIN and any(e == "article" for e, _, _ in stack):
+            pass  # the article's own heading
+        elif name == "form" and all(e in ("html", "body") for e, _, _ in stack):
+            pass  # some servers wrap the whole page in a form; its fields are dropped on their own
         elif name in _DROPPED or role in _ROLES:
             inner = CHROME
-        elif name not in ("html", "body") and words & _HINTS:
+        elif name not in ("html", "body") and words:
             inner, under = CHROME, under or bool(words & _COMMENTS)
         if inner != zone:
             end_block()

@@ -43,6 +43,30 @@ def test_broken_markup():
     assert main_of("<article>" + "<div><p>deep " * 3000) == " ".join(["deep"] * 3000)
 
 
+def test_articles_in_forms_and_headings_in_articles():
+    body = "<h1>T</h1><p>Some text.</p>"
+    assert main_of(f"<body><form><div><article>{body}</article></div><input><button>Go</button></form></body>") == "T Some text."
+    assert main_of("<article><header><h1>T</h1></header><p>x</p><footer>by me</footer></article>") == "T x"
+    assert main_of("<header><article><p>teaser</p></article></header><main><p>x</p></main>") == "x"
+    open_form = "<html><body><form id='aspnet'><div><p>All of it.</p></div><select><option>a</select></form></body></html>"
+    assert [t for z, t in hx.blocks_of(open_form) if z == hx.OPEN] == ["All of it."]
+    assert main_of("<article><p>a</p><form><p>Your name</p></form></article>") == "a"
+
+
+def test_hints_are_whole_names_or_their_ends():
+    for name in ("with-header", "has-sidebar", "no-ads", "post-header", "content", "shadow", "headered", "adapt", "related_to_us"):
+        kept = [t for z, t in hx.blocks_of(f'<div id="content" class="{name}"><p>x</p></div>') if z == hx.OPEN]
+        assert kept == (["x"] if name != "related_to_us" else []), name
+    for name in ("ad", "ad-box", "site-header", "cookie_notice", "main-nav", "post-share", "comments"):
+        assert [z for z, _ in hx.blocks_of(f'<article><div class="wide {name}"><p>x</p></div></article>')] == [hx.CHROME], name
+
+
+def test_formulas_drawings_and_fallbacks_are_text():
+    assert main_of("<article><p>Let <math><mi>a</mi><mo>+</mo><mn>1</mn><annotation>TeX</annotation></math> be.</p></article>") == "Let a+1 be."
+    assert main_of("<article><p>See <svg><style>x{}</style><text>axis</text><path d='M0'/></svg>!</p></article>") == "See axis!"
+    assert main_of("<article><object data=x><p>instead</p></object></article>") == "instead"
+
+
 def test_pages_without_an_article_lose_what_their_host_repeats(spark):
     shell = "<p>" + awkward.words(30, 1) + "</p>"
     rows = [(i, f"https://h.example/{i}", f"<body>{shell}<p>{awkward.words(40, 100 + i)}</p></body>") for i in range(6)]
