@@ -3,7 +3,7 @@
 Every line that has a word gets a feature vector; Viterbi decoding over the
 lines of a text marks each as content or boilerplate. A text is kept if content lines hold
 at least half of its words. The field's weights are fitted here on a bounded sample of labelled
-texts, whose lines carry the label of their text.
+texts, whose lines carry the label of their text; they are put together, good and bad, so that states change in a chain.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stellate.llm.common import release_memory, struct_array, unique_prefix, utf8
 
 #: Bounds of the fitting sample; nothing else is bounded.
-SAMPLE_DOCS, SAMPLE_LINES = 2000, 200
+SAMPLE_DOCS, SAMPLE_LINES, MIXED_LINES = 2000, 200, 60
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words, and percent of words in repeated windows
 CONTENT_SHARE = 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -99,27 +99,38 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return out
 
 
+def chains_of(texts: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, state of each line) to fit on: two good and two bad texts in a row, in turns in either order, of each the first
+    MIXED_LINES lines, so that the field sees what changes of state look like; what is left over of one label stays alone."""
+    by = [[x for x, y in texts if y == s and len(x)] for s in (0, 1)]
+    fours = min(map(len, by)) // 2
+    out = [(x, np.full(len(x), s, np.int8)) for s in (0, 1) for x in by[s][2 * fours :]]
+    for i in range(fours):
+        order = [(1, 2 * i), (0, 2 * i), (1, 2 * i + 1), (0, 2 * i + 1)][:: -1 if i % 2 else 1]
+        parts = [(by[s][j][:MIXED_LINES], s) for s, j in order]
+        out.append((np.concatenate([x for x, _ in parts]), np.concatenate([np.full(len(x), s, np.int8) for x, s in parts])))
+    return out
+
+
 def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (2 x features) and transition scores (2 x 2) by gradient ascent on the chain's log-likelihood.
+    """Weights (2 x features) and transition scores (2 x 2) by gradient ascent on the log-likelihood of ``chains_of`` the texts.
 
     All chains advance together, line by line. Without both labels the weights are zero, which keeps everything.
     """
     weights, moves = np.zeros((2, FEATURES)), np.zeros((2, 2))
-    texts = [t for t in texts if len(t[0])]
-    if len({y for _, y in texts}) < 2:
+    if len({y for x, y in texts if len(x)}) < 2:
         return weights, moves
-    texts.sort(key=lambda t: -len(t[0]))
-    lengths = np.array([len(x) for x, _ in texts])
-    y = np.array([y for _, y in texts])
-    n, most = len(texts), int(lengths.max())
+    chains = sorted(chains_of(texts), key=lambda c: -len(c[0]))
+    lengths = np.array([len(x) for x, _ in chains])
+    n, most = len(chains), int(lengths.max())
     feats = np.zeros((most, n, FEATURES))
-    for j, (x, _) in enumerate(texts):
+    gold_w, gold_m = np.zeros_like(weights), np.zeros_like(moves)
+    for j, (x, y) in enumerate(chains):
         feats[: len(x), j] = x
+        for s in (0, 1):
+            gold_w[s] += x[y == s].sum(axis=0)
+        np.add.at(gold_m, (y[:-1], y[1:]), 1)
     active = [int((lengths > t).sum()) for t in range(most)]
-    gold_w, gold_m = np.zeros_like(weights), np.zeros_like(moves)
-    for s in (0, 1):
-        gold_w[s] = feats[:, y == s].sum(axis=(0, 1))
-        gold_m[s, s] = (lengths[y == s] - 1).sum()
     total = lengths.sum()
     first, second = [np.zeros_like(weights), np.zeros_like(moves)], [np.zeros_like(weights), np.zeros_like(moves)]
     for r in range(1, rounds + 1):

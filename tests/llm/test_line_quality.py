@@ -52,6 +52,31 @@ def test_training_separates_held_out_lines(spark):
     assert all(lq.assess(t, weights, moves)[5] < 0.5 for t in junk[40:])
 
 
+def test_content_share_of_mixed_texts(spark):
+    """Texts put together from good and bad ones of which the field has seen none: the share is that of the good one's words."""
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id", "text", "quality").collect()
+    by = [[r["text"].encode() for r in sorted(rows) if r["quality"] == s and len(r["text"].split()) >= 30 and "\n" in r["text"]] for s in (0, 1)]
+    seen, unseen = [b[: len(b) // 2] for b in by], [b[len(b) // 2 :] for b in by]
+    fitted = lq.fit([(np.array(lq.lines_of(t)[0][: lq.SAMPLE_LINES]), s) for s in (0, 1) for t in seen[s][:400]])
+    off = []
+    for i, (bad, good) in enumerate(zip(*unseen, strict=False)):
+        parts = [(good, 1), (bad, 0)][:: 1 if i % 2 else -1] + ([(unseen[1][-1 - i], 1)] if i % 3 == 0 else [])
+        words = [len(t.split()) for t, _ in parts]
+        want = sum(n for n, (_, s) in zip(words, parts, strict=True) if s) / sum(words)
+        off.append(abs(lq.assess(b"\n".join(t for t, _ in parts), *fitted)[5] - want))
+    off = np.array(off)
+    assert len(off) >= 40 and (off <= 0.1).mean() >= 0.85 and off.mean() <= 0.07, (len(off), (off <= 0.1).mean(), off.mean())
+
+
+def test_chains_hold_changes_of_state():
+    texts = [(np.full((3 + i, lq.FEATURES), i), i % 2) for i in range(9)]
+    chains = lq.chains_of(texts)
+    assert sum(len(x) for x, _ in chains) == sum(len(x) for x, _ in texts) and all(len(x) == len(y) for x, y in chains)
+    assert {"".join(map(str, y[np.flatnonzero(np.diff(y, prepend=-1))])) for _, y in chains} == {"1010", "0101", "0"}
+    assert all((y == x[:, 0] % 2).all() for x, y in chains)
+
+
 def test_without_labels_only_the_base_rules_count(spark):
     got = lq.assess_documents(awkward.documents(spark), awkward.labels(spark, [])).collect()
     assert all(r["kept"] == (not r["base_failed"]) for r in got)
