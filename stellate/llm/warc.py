@@ -10,7 +10,6 @@ line separator, so archives go wherever Spark can write.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -20,9 +19,10 @@ from pyspark.sql import functions as F
 
 from stellate.llm.common import utf8
 
-#: Bytes of payload aimed at per archive file; a reader holds one file.
+#: Bytes of payload aimed at per archive file, by the mean size; readers stream, so a file of large pages is none too many.
 FILE_BYTES = 8 << 20
 _END = "\r\n\r\n"
+_BLANK = _END.encode()
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -109,48 +109,100 @@ def write_archives(
     )
 
 
+class Records:
+    """Puts records together from an archive's text, which comes cut at blank lines: a header up to its first one, then
+    as many bytes as its Content-Length says, whatever blank lines or headers a payload holds."""
+
+    def __init__(self) -> None:
+        self._held: list[bytes] = []
+        self._size = 0
+        self._fields: dict[str, str] | None = None
+
+    def take(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """The records that this piece ends."""
+        self._held += (piece, _BLANK)
+        self._size += len(piece) + len(_BLANK)
+        while True:
+            if self._fields is None:
+                text = b"".join(self._held)
+                end = text.find(_BLANK)
+                if end < 0:
+                    return
+                lines = text[:end].decode("utf-8").split("\r\n")
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError(f"no record starts with {lines[0][:80]!r}")
+                self._fields = dict(line.split(": ", 1) for line in lines[1:])
+                self._keep(text[end + len(_BLANK) :])
+            need = int(self._fields["Content-Length"])
+            if self._size < need + len(_BLANK):
+                return
+            text = b"".join(self._held)
+            if text[need : need + len(_BLANK)] != _BLANK:
+                raise ValueError("a record is longer than its header says")
+            fields, self._fields = self._fields, None
+            self._keep(text[need + len(_BLANK) :])
+            yield fields, text[:need]
+
+    def _keep(self, rest: bytes) -> None:
+        self._held, self._size = [rest] if rest else [], len(rest)
+
+    def end(self) -> None:
+        if self._fields is not None or b"".join(self._held) not in (b"", _BLANK):
+            raise ValueError("an archive ends inside a record")
+        self._keep(b"")
+
+
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record, walked by Content-Length."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record starts at byte {at}")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        start = end + 4
-        at = start + int(fields["Content-Length"])
-        yield fields, content[start:at]
-        at += 4
+    """Header fields and block of each record of an unpacked archive."""
+    records = Records()
+    if content:
+        yield from records.take(content.removesuffix(_BLANK))
+    records.end()
 
 
 _READ = "page_id long, url string, record_type string, digest string, refers_to string, payload_bytes long, payload_sha1 string, payload binary"
+_ROWS_AT_ONCE, _BYTES_AT_ONCE = 2000, 4 << 20
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """One row per record; lengths and digests of responses are taken from the payload itself."""
+    """One row per record; lengths and digests of responses are taken from the payload itself.
+
+    Archives are unpacked as streams, so a task holds one record and a batch of rows, however large a file is.
+    """
+
+    def row_of(fields: dict[str, str], block: bytes) -> dict:
+        body = block[block.index(b"\r\n\r\n") + 4 :]
+        whole = fields["WARC-Type"] == "response"
+        return {
+            "page_id": int(fields["Page-ID"]) if "Page-ID" in fields else None,
+            "url": fields.get("WARC-Target-URI"),
+            "record_type": fields["WARC-Type"],
+            "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+            "refers_to": fields.get("WARC-Refers-To"),
+            "payload_bytes": len(body) if whole else None,
+            "payload_sha1": base64.b32encode(hashlib.sha1(body).digest()).decode() if whole else None,
+            "payload": body if whole and payloads else None,
+        }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records, file, rows, size = Records(), None, [], 0
         for batch in batches:
-            for content in batch.column("content"):
-                rows = []
-                for fields, block in parse_records(gzip.decompress(content.as_py())):
-                    body = block[block.index(b"\r\n\r\n") + 4 :]
-                    whole = fields["WARC-Type"] == "response"
-                    rows.append({
-                        "page_id": int(fields["Page-ID"]) if "Page-ID" in fields else None,
-                        "url": fields.get("WARC-Target-URI"),
-                        "record_type": fields["WARC-Type"],
-                        "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-                        "refers_to": fields.get("WARC-Refers-To"),
-                        "payload_bytes": len(body) if whole else None,
-                        "payload_sha1": base64.b32encode(hashlib.sha1(body).digest()).decode() if whole else None,
-                        "payload": body if whole and payloads else None,
-                    })
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, _READ)
+            for where, piece in zip(batch.column("file"), batch.column("value"), strict=True):
+                if where.as_py() != file:  # a packed archive is one split, its pieces come in order
+                    records.end()
+                    file = where.as_py()
+                for fields, block in records.take(piece.as_py()):
+                    rows.append(row_of(fields, block))
+                    size += len(block) if payloads else 0
+                    if len(rows) >= _ROWS_AT_ONCE or size >= _BYTES_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        rows, size = [], 0
+        records.end()
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    pieces = spark.read.option("lineSep", _END).text(path)
+    return pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(run, _READ)
 
 
 _ARROW = pa.schema([

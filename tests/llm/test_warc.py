@@ -73,3 +73,23 @@ def test_many_files(spark, monkeypatch):
     warc.write_archives(spark.createDataFrame(rows, PAGE), path)
     assert spark.read.format("binaryFile").load(path).count() > 10
     assert sorted(map(tuple, warc.resolve(warc.read_archives(spark, path)).collect()), key=repr) == expected(rows)
+
+
+def test_large_pages_among_small_ones_and_blank_lines(spark):
+    """A file's size is set by the mean; readers hold a record, whatever the payloads hold."""
+    path = scratch_path(spark, "warc-test")
+    odd = ["\r\n\r\n", "\r\n\r\n\r\n", "\r\n\r\r\n\r\n", "\n\n", "\r", "a\r\n\r\nWARC/1.0\r\n\r\n", "\r\n", "x\r\n\r"]
+    rows = [(i, "u", odd[i] if i < len(odd) else "y" * (2_000_000 if i % 50 == 0 else 5) + str(i)) for i in range(200)]
+    warc.write_archives(spark.createDataFrame(rows, PAGE).coalesce(1), path)
+    records = warc.read_archives(spark, path, payloads=True)
+    held = {r["page_id"]: bytes(r["payload"]).decode() for r in records.collect()}
+    assert held == {i: h for i, _, h in rows}
+    assert sorted(map(tuple, warc.resolve(records).collect()), key=repr) == expected(rows)
+
+
+def test_cut_archives_are_noticed():
+    header = "WARC/1.0\r\nContent-Length: 5\r\n\r\n"
+    assert list(warc.parse_records((header + "ab\r\nc\r\n\r\n").encode())) == [({"Content-Length": "5"}, b"ab\r\nc")]
+    for text in (header + "abc", header + "abcdefgh\r\n\r\n", "HTTP/1.1 200\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(text.encode()))
