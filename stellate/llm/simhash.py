@@ -229,17 +229,23 @@ def one_of_each(
 ) -> DataFrame:
     """One row of ``docs``, with all its columns, of each group of near-duplicates.
 
-    It is decided row by row: the row with the group's smallest id stays, and of several with that id (rows may repeat an id, under
-    equal or other texts) the one whose text has the smallest hash. Rows without an id come after all ids; a group without any
+    The row with the group's smallest id stays, and of several texts under that id (rows may repeat an id) the
+    one with the smallest hash; of rows that repeat both any one. Rows without an id come after all ids; a group without any
     keeps one row as well. Every row belongs to one group, so no group is lost. An empty table gives an empty result.
     """
-    key, mark = unique_prefix(docs, "_row"), unique_prefix(docs, "_fp")
-    rows = cut_lineage(docs.withColumn(mark, fingerprint(text, shingle)).withColumn(key, F.monotonically_increasing_id()))
-    prints = rows.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.col(mark).alias("fp"), F.xxhash64(utf8(text)).alias("hash"), F.col(key).alias("row")
-    )
+    mark = unique_prefix(docs, "_key")
+    content = F.xxhash64(utf8(text))
+    prints = cut_lineage(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(text, shingle).alias("fp"), content.alias("hash")))
     classes = _classes(prints.select("doc_id", "fp"), max_bits).select("fp", "root")
     # a row per group and task is shuffled, however large the group
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "row")
-    first = cut_lineage(prints.join(classes, "fp").groupBy("root").agg(F.min(order)["row"].alias("first")).select("first"))
-    return rows.join(first, F.col(key) == F.col("first"), "left_semi").drop(key, mark)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    first = prints.join(classes, "fp").groupBy("root").agg(F.min(order).alias("f")).select("f.*")
+
+    def key(id_: Column, hash_: Column) -> Column:
+        return F.concat(F.when(id_.isNull(), "none").otherwise(F.concat(F.lit("id "), F.coalesce(id_.cast("string"), F.lit("")))), F.lit(" "), hash_.cast("string"))
+
+    stays = unique_prefix(docs, "_stays")
+    kept = cut_lineage(first.select(key(F.col("doc_id"), F.col("hash")).alias(stays)))
+    # rows meet what stays by one shuffle of the documents, at every size, and copies of a row are reduced where they lie
+    rows = docs.withColumn(mark, key(F.col(f"`{doc_id}`"), content)).join(kept.hint("merge"), F.col(mark) == F.col(stays), "left_semi")
+    return rows.dropDuplicates([mark]).drop(mark)
