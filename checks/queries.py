@@ -301,8 +301,9 @@ def _j5_overlapping(spark, sf_dir, index_rows=intervals.INDEX_ROWS):
     ranges = driver.table(spark, sf_dir, "supplier").select(
         key.alias("promotion"), low.alias("lower_bound"), F.when(key % 20 != 7, low + 400 + key % 300).cast("decimal(18,2)").alias("upper_bound")
     )
-    met = intervals.interval_join(lines, "price", ranges, "lower_bound", "upper_bound", index_rows)
-    return met.groupBy("promotion").agg(rows().alias("n"), F.sum("price").alias("price"))
+    totals = {"n": F.lit(1), "price": F.col("price")}
+    met = intervals.interval_join(lines, "price", ranges, "lower_bound", "upper_bound", index_rows, totals)
+    return met.groupBy("promotion").agg(F.sum("n").alias("n"), F.sum("price").alias("price"))
 
 
 @query("j7_value_per_error_and_per_transaction")

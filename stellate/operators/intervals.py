@@ -30,7 +30,7 @@ def _segment(value: str, cuts: Sequence[object], kind: DataType) -> Column:
     return F.when(F.col(value).isNotNull(), steps_passed(value, cuts, kind))
 
 
-def _indexed(rows: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, how: str) -> DataFrame:
+def _indexed(rows: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, how: str, totals: dict[str, Column] | None = None) -> DataFrame:
     """Joins by segment; every row has one, so outer rows stay single. ``intervals`` has at most INDEX_ROWS rows."""
     ends = [b for r in intervals.select(lower, upper).collect() for b in r if b is not None]
     cuts = sorted(set(ends))
@@ -38,6 +38,8 @@ def _indexed(rows: DataFrame, value: str, intervals: DataFrame, lower: str, uppe
     last = F.coalesce(_segment(upper, cuts, kind) - 1, F.lit(len(cuts)))
     pieces = intervals.filter(_overlaps(F.col(lower), F.col(upper))).withColumn("_segment", F.explode(F.sequence(_segment(lower, cuts, kind), last)))
     found = rows.withColumn("_segment", _segment(value, cuts, kind))
+    if totals is not None:
+        found = found.select("_segment", *[c.alias(name) for name, c in totals.items()])
     return found.join(F.broadcast(pieces), "_segment", how).drop("_segment")  # at most 2 x INDEX_ROWS segments of INDEX_ROWS rows
 
 
@@ -53,18 +55,38 @@ def _code(value: Column, kind: DataType, like: DataType) -> Column:
     raise ValueError("values and bounds have to be whole or decimal numbers, dates or times; cast them to decimals")
 
 
-def interval_join(rows: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, index_rows: int = INDEX_ROWS) -> DataFrame:
+def _summed(rows: DataFrame, key: str, totals: dict[str, Column]) -> DataFrame:
+    """Sums per key, combined before the shuffle."""
+    return rows.groupBy(key).agg(*[F.sum(c).alias(name) for name, c in totals.items()])
+
+
+def interval_join(
+    rows: DataFrame,
+    value: str,
+    intervals: DataFrame,
+    lower: str,
+    upper: str,
+    index_rows: int = INDEX_ROWS,
+    totals: dict[str, Column] | None = None,
+) -> DataFrame:
     """Rows with every interval that holds their value, lower <= value < upper; intervals may overlap.
 
     A NULL upper bound is open. NULL values, NULL lower bounds and empty intervals meet nothing. No column name may be on both sides.
+    With ``totals`` (names and the columns of ``rows`` to sum) an interval meets the sums of all rows of a segment or cell inside it
+    instead of each row: a few rows per interval, however many rows it holds, that add up to the sums over its rows.
     """
     if intervals.limit(index_rows + 1).count() <= index_rows:
-        return _indexed(rows, value, intervals, lower, upper, "inner")
+        return _indexed(rows, value, intervals, lower, upper, "inner", totals)
     like, kind = rows.schema[value].dataType, intervals.schema[lower].dataType
-    coded = rows.filter(F.col(value).isNotNull()).withColumn("_code", _code(F.col(value), like, like))
-    span = coded.agg(F.min("_code").alias("least"), F.max("_code").alias("greatest")).first()
+    rows = rows.filter(F.col(value).isNotNull())
+    ends = rows.agg(F.min(value).alias("least"), F.max(value).alias("greatest"))
+    span = ends.select(*[_code(F.col(c), like, like).alias(c) for c in ends.columns]).first()
+    coded = rows.withColumn("_code", _code(F.col(value), like, like))
+    if totals is not None:  # once per value, so that a hot value or cell is one row a task
+        rows = _summed(rows.withColumn("_value", F.col(value)), "_value", totals)
+        coded = rows.withColumn("_code", _code(F.col("_value"), like, like)).drop("_value")
     if span["least"] is None:
-        return rows.limit(0).crossJoin(intervals.limit(0))
+        return coded.limit(0).drop("_code").crossJoin(intervals.limit(0))
     least, beyond = span["least"], span["greatest"] + 1
     # intervals are cut off where no value lies, and begin at 0
     low = F.greatest(_code(F.col(lower), kind, like), F.lit(least)) - least
@@ -74,7 +96,10 @@ def interval_join(rows: DataFrame, value: str, intervals: DataFrame, lower: str,
     pieces = held.withColumn("_cell", F.explode(F.concat(*[_cells(level, levels) for level in range(levels)]))).drop("_low", "_high")
     used = sorted(r["level"] for r in pieces.select("_cell.level").distinct().collect())  # at most 16
     mine = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col("_code") - least, _BITS * k).alias("at")) for k in used])
-    return coded.withColumn("_cell", F.explode(mine)).drop("_code").join(pieces, "_cell").drop("_cell")
+    cells = coded.withColumn("_cell", F.explode(mine)).drop("_code")
+    if totals is not None:
+        cells = _summed(cells, "_cell", {name: F.col(name) for name in totals})
+    return cells.join(pieces, "_cell").drop("_cell")
 
 
 def _cells(level: int, levels: int) -> Column:

@@ -9,6 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
 from stellate.operators.intervals import interval_join, with_band
 from tests.conftest import rows_of
 
@@ -90,3 +91,47 @@ def test_values_without_a_scale_of_whole_numbers_are_refused(spark):
     held = spark.createDataFrame([(1, 0.0, 1.0)], "k int, lo double, hi double")
     with pytest.raises(ValueError, match="decimal"):
         interval_join(rows, "v", held, "lo", "hi", 0)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sums_by_cells(spark, seed):
+    values, intervals = numbers(seed)
+    check_sums(spark, values, intervals, 0)
+
+
+def check_sums(spark, values, intervals, index_rows):
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v decimal(12,2)")
+    held = spark.createDataFrame([(k, *b) for k, b in enumerate(intervals)], "k int, lo decimal(12,2), hi decimal(12,2)")
+    met = interval_join(rows, "v", held, "lo", "hi", index_rows, {"n": F.lit(1), "v": F.col("v"), "i": F.col("i")})
+    assert met.columns == ["n", "v", "i", "k", "lo", "hi"]
+    got = {r["k"]: (r["n"], r["v"], r["i"]) for r in met.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "v", "i")]).collect()}
+    want = {}
+    for i, v, k, _, _ in pairs(values, intervals):
+        n, total, places = want.get(k, (0, 0, 0))
+        want[k] = (n + 1, total + v, places + i)
+    assert got == want
+
+
+def rows_met(spark, monkeypatch, tmp_path, name, suppliers):
+    """The query's result over 3,000 lines, checked, and how many rows its join returns."""
+    prices = [None if i % 97 == 0 else 55400 + (i % 1500) * 37 / 100 for i in range(3000)]
+    spark.createDataFrame(list(enumerate(prices)), "l_orderkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    keys = [7, 7, 27, 11, None, *range(1000, 1000 + suppliers)]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    met = []
+    plain = interval_join
+    monkeypatch.setattr("stellate.operators.intervals.interval_join", lambda *a: met.append(plain(*a)) or met[-1])
+    got = {r["promotion"]: (r["n"], r["price"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    want = {}
+    for k in keys:
+        low = None if k is None else k * 7919 % 90000
+        held = [] if k is None else [Decimal(f"{p:.2f}") for p in prices if p is not None and p >= low and (k % 20 == 7 or p < low + 400 + k % 300)]
+        if held:
+            n, total = want.get(k, (0, 0))
+            want[k] = (n + len(held), total + sum(held))
+    assert got == want and sum(n for n, _ in want.values()) > 3000
+    return met[0].count()
+
+
+def test_promotions_by_cells_meet_sums_not_lines(spark, monkeypatch, tmp_path):
+    assert rows_met(spark, monkeypatch, tmp_path, "j5_promotions_by_cells", 2) < 500
