@@ -30,6 +30,11 @@ def _segment(value: str, cuts: Sequence[object], kind: DataType) -> Column:
     return F.when(F.col(value).isNotNull(), steps_passed(value, cuts, kind))
 
 
+def _summed(rows: DataFrame, key: str, totals: dict[str, Column]) -> DataFrame:
+    """Sums per key, combined before the shuffle."""
+    return rows.groupBy(key).agg(*[F.sum(c).alias(name) for name, c in totals.items()])
+
+
 def _indexed(rows: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, how: str, totals: dict[str, Column] | None = None) -> DataFrame:
     """Joins by segment; every row has one, so outer rows stay single. ``intervals`` has at most INDEX_ROWS rows."""
     ends = [b for r in intervals.select(lower, upper).collect() for b in r if b is not None]
@@ -39,7 +44,7 @@ def _indexed(rows: DataFrame, value: str, intervals: DataFrame, lower: str, uppe
     pieces = intervals.filter(_overlaps(F.col(lower), F.col(upper))).withColumn("_segment", F.explode(F.sequence(_segment(lower, cuts, kind), last)))
     found = rows.withColumn("_segment", _segment(value, cuts, kind))
     if totals is not None:
-        found = found.select("_segment", *[c.alias(name) for name, c in totals.items()])
+        found = _summed(found.filter(F.col("_segment").isNotNull()), "_segment", totals)
     return found.join(F.broadcast(pieces), "_segment", how).drop("_segment")  # at most 2 x INDEX_ROWS segments of INDEX_ROWS rows
 
 
@@ -55,11 +60,6 @@ def _code(value: Column, kind: DataType, like: DataType) -> Column:
     raise ValueError("values and bounds have to be whole or decimal numbers, dates or times; cast them to decimals")
 
 
-def _summed(rows: DataFrame, key: str, totals: dict[str, Column]) -> DataFrame:
-    """Sums per key, combined before the shuffle."""
-    return rows.groupBy(key).agg(*[F.sum(c).alias(name) for name, c in totals.items()])
-
-
 def interval_join(
     rows: DataFrame,
     value: str,

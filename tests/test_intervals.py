@@ -135,3 +135,16 @@ def rows_met(spark, monkeypatch, tmp_path, name, suppliers):
 
 def test_promotions_by_cells_meet_sums_not_lines(spark, monkeypatch, tmp_path):
     assert rows_met(spark, monkeypatch, tmp_path, "j5_promotions_by_cells", 2) < 500
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sums_by_segments(spark, seed):
+    values, intervals = numbers(seed)
+    check_sums(spark, values, intervals, 256)
+    check_sums(spark, [], intervals, 256)
+    check_sums(spark, values, [], 256)
+
+
+@pytest.mark.parametrize("suppliers", [3, 300])  # by segments and by cells
+def test_promotions_that_overlap_meet_sums_not_lines(spark, monkeypatch, tmp_path, suppliers):
+    assert rows_met(spark, monkeypatch, tmp_path, "j5_promotions_that_overlap", suppliers) < 500 + 30 * suppliers
