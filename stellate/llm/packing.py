@@ -32,7 +32,7 @@ _BLOCK = 1 << 20
 _GROUP_BITS = 12
 
 #: Bytes of text that are encoded at once.
-_BYTES_AT_ONCE = 2 << 20
+_BYTES_AT_ONCE = 4 << 20
 
 
 def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,9 @@ import pyarrow.compute as pc
 #: The split this class relies on: letters, single digits and runs of other characters, white space dropped.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TAIL = string.punctuation.replace("'", "")
-#: Words remembered per worker before its memory of them starts afresh.
+#: Letters that Arrow, Python and the library lower-case alike.
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+#: Words remembered per worker before those that it last met longer ago are let go.
 REMEMBERED_WORDS = 120_000
 
 
@@ -31,12 +33,21 @@ def byte_letters() -> list[str]:
     return out
 
 
+def _laid(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat``, of which ``size`` holds the lengths, put in the order ``at``; and where each begins, the end included."""
+    sizes = size[at]
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    places = np.repeat((np.cumsum(size) - size)[at] - before[:-1], sizes)
+    places += np.arange(before[-1])
+    return flat[places], before
+
+
 class WordEncoder:
     """Encodes many texts at once by their distinct chunks between ASCII white space.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its chunks in a row. A chunk
     of letters with trailing punctuation is two words to the vocabulary, which are remembered; every other form goes through the
-    library. Texts are split, chunks made distinct and ids put in place by array operations.
+    library. Texts and Latin chunks are split, chunks and words made distinct and ids put in place by array operations.
     """
 
     def __init__(self, definition: str) -> None:
@@ -50,6 +61,7 @@ class WordEncoder:
         self._tokenize = self._all.model.tokenize
         self._letters = byte_letters()
         self._words: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -58,8 +70,11 @@ class WordEncoder:
     def _ids(self, word: str) -> bytes:
         held = self._words.get(word)
         if held is None:
-            plain = word if word.isascii() else "".join([self._letters[b] for b in word.encode()])
-            held = self._words[word] = self._pack([t.id for t in self._tokenize(plain)])
+            held = self._older.get(word)
+            if held is None:
+                plain = word if word.isascii() else "".join([self._letters[b] for b in word.encode()])
+                held = self._pack([t.id for t in self._tokenize(plain)])
+            self._words[word] = held
         return held
 
     def _chunk(self, chunk: str) -> bytes:
@@ -72,23 +87,39 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Lets go of the remembered words."""
-        self._words.clear()
+        self._words, self._older = {}, {}
+
+    def _parts(self, chunks: pa.StringArray) -> tuple[list[bytes], np.ndarray]:
+        """The ids of the distinct parts of chunks, and each chunk's two parts by number; the second may be empty."""
+        rest = pc.utf8_ltrim(chunks, characters=_LETTERS)
+        letters = pc.less(pc.binary_length(rest), pc.binary_length(chunks))
+        plain = pc.and_(letters, pc.equal(pc.binary_length(pc.ascii_ltrim(rest, characters=_TAIL)), 0)).to_numpy(zero_copy_only=False)
+        mine = pa.array(plain)
+        words = pc.utf8_lower(pc.ascii_rtrim(chunks.filter(mine), characters=_TAIL))
+        coded = pa.concat_arrays([words, rest.filter(mine), pa.array([""], words.type)]).dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = list(map(self._words.get, names))
+        for i, held in enumerate(packed):
+            if held is None:
+                packed[i] = self._ids(names[i])
+        at = coded.indices.to_numpy()
+        parts = np.full((len(chunks), 2), at[-1], np.int64)
+        parts[plain] = at[:-1].reshape(2, -1).T
+        parts[~plain, 0] = np.arange(len(packed), len(packed) + np.count_nonzero(~plain))
+        return packed + [self._chunk(c) for c in chunks.filter(pa.array(~plain)).to_pylist()], parts
 
     def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has. Nulls have none."""
         if len(self._words) > REMEMBERED_WORDS:
-            self.forget()
+            self._older, self._words = self._words, {}
         chunks = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = chunks.flatten().dictionary_encode()
-        packed = [self._chunk(c) for c in coded.dictionary.to_pylist()]
-        flat = np.frombuffer(b"".join(packed), np.uint16)
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
-        at = coded.indices.to_numpy()
-        sizes = size[at]
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        places = np.arange(before[-1]) + np.repeat((np.cumsum(size) - size)[at] - before[:-1], sizes)
+        packed, parts = self._parts(coded.dictionary)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+        flat, _ = _laid(np.frombuffer(b"".join(packed), np.uint16), sizes, parts.ravel())
+        flat, before = _laid(flat, sizes[parts].sum(axis=1), coded.indices.to_numpy())
         ends = np.cumsum(chunks.value_lengths().to_numpy())
-        return flat[places], np.diff(before[np.concatenate([[0], ends])])
+        return flat, np.diff(before[np.concatenate([[0], ends])])
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all(pa.array([text], pa.string()))[0].tolist()

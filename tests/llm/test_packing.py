@@ -34,6 +34,31 @@ def test_cached_encoding_equals_the_library(tokenizer):
     assert ids.tolist() == list(itertools.chain(*want)) and counts.tolist() == [len(x) for x in want]
 
 
+def test_every_latin_letter_and_tail_equals_the_library(tokenizer):
+    encoder = tokens.WordEncoder(vocabulary())
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    chunks = [f"{a}{b}{c}" for a in letters for b in ("", "Q", "ÿ") for c in ("", ".", ",)", "'", "';", "-a", "2")]
+    texts = [" ".join(chunks), *chunks, "".join(letters), "ªß. ÀÉ, µ", "Ā.", "aĀ", "Ω,", "...", "", " \n", "Σ. Σ a.b ,a"]
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    for kind in (pa.string(), pa.large_string()):
+        ids, counts = encoder.encode_all(pa.array(texts, kind))
+        assert ids.tolist() == list(itertools.chain(*want)) and counts.tolist() == [len(x) for x in want]
+
+
+def test_words_that_come_again_are_tokenized_once(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_WORDS", 100)
+    encoder, asked = tokens.WordEncoder(vocabulary()), Counter()
+    plain, chunk = encoder._tokenize, encoder._chunk
+    encoder._tokenize = lambda word: asked.update([word]) or plain(word)
+    monkeypatch.setattr(encoder, "_chunk", lambda c: asked.update(["one by one"]) or chunk(c))
+    spell = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))
+    for batch in range(20):
+        text = " ".join([f"{spell(n)}, {spell(n).upper()} É{spell(n)}" for n in [*range(50), *range(1000 + 60 * batch, 1060 + 60 * batch)]])
+        assert encoder.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder._words) + len(encoder._older) < 800
+    assert set(asked.values()) == {1} and "one by one" not in asked
+
+
 def check(rows: list[tuple], pieces: list, tokenizer, length: int) -> int:
     """Every document is covered once, sequences are gapless; returns the padding."""
     want = Counter()
